@@ -64,3 +64,163 @@ SELECT strftime(l_shipdate, '%Y-%m') AS l_shipdate, l_returnflag,
        round(sum(l_extendedprice), 2) AS value
 FROM lineitem GROUP BY 1, 2
 """, decimals=2)
+
+
+# ---------------------------------------------------------------- filters
+def _nullable_lineitem() -> dict:
+    # Manufactured nulls: zero discounts and return flag 'A' become null.
+    return {"l_discount_n": F.nullif(F.col("l_discount"), F.lit(0.0)),
+            "l_returnflag_n": F.nullif(F.col("l_returnflag"), F.lit("A"))}
+
+
+NULLABLE_LINEITEM_SQL = ("(SELECT *, nullif(l_discount, 0.0) AS l_discount_n, "
+                         "nullif(l_returnflag, 'A') AS l_returnflag_n FROM lineitem)")
+
+plan_query("flt_eq", "lineitem",
+           Plan(group_by=("l_linestatus",), metric="l_quantity", filters=(Filter("l_returnflag", "eq", "R"),)),
+           "SELECT l_linestatus, sum(l_quantity) AS value FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1")
+plan_query("flt_ne_null_number", "lineitem",
+           Plan(group_by=("l_returnflag",), aggregation="count",
+                filters=(Filter("l_discount_n", "ne", 0.05),)),
+           f"SELECT l_returnflag, count(*) AS value FROM {NULLABLE_LINEITEM_SQL} "
+           "WHERE l_discount_n IS DISTINCT FROM 0.05 GROUP BY 1",
+           derive=_nullable_lineitem)
+plan_query("flt_ne_null_string", "lineitem",
+           Plan(group_by=("l_linestatus",), aggregation="count",
+                filters=(Filter("l_returnflag_n", "ne", "N"),)),
+           f"SELECT l_linestatus, count(*) AS value FROM {NULLABLE_LINEITEM_SQL} "
+           "WHERE l_returnflag_n <> 'N' GROUP BY 1",
+           derive=_nullable_lineitem)
+plan_query("flt_gt", "lineitem",
+           Plan(group_by=("l_returnflag",), metric="l_extendedprice", filters=(Filter("l_quantity", "gt", 30),)),
+           "SELECT l_returnflag, round(sum(l_extendedprice), 2) AS value FROM lineitem "
+           "WHERE l_quantity > 30 GROUP BY 1", decimals=2)
+plan_query("flt_gte", "lineitem",
+           Plan(group_by=("l_returnflag",), aggregation="count", filters=(Filter("l_quantity", "gte", 30),)),
+           "SELECT l_returnflag, count(*) AS value FROM lineitem WHERE l_quantity >= 30 GROUP BY 1")
+plan_query("flt_lt_date", "lineitem",
+           Plan(group_by=("l_linestatus",), aggregation="count", filters=(Filter("l_shipdate", "lt", "1997-01-01"),)),
+           "SELECT l_linestatus, count(*) AS value FROM lineitem "
+           "WHERE l_shipdate < TIMESTAMP '1997-01-01' GROUP BY 1")
+plan_query("flt_lte", "lineitem",
+           Plan(group_by=("l_linestatus",), metric="l_tax", aggregation="mean",
+                filters=(Filter("l_discount", "lte", 0.03),)),
+           "SELECT l_linestatus, round(avg(l_tax), 6) AS value FROM lineitem WHERE l_discount <= 0.03 GROUP BY 1",
+           decimals=6)
+plan_query("flt_contains", "orders",
+           Plan(group_by=("o_orderstatus",), aggregation="count",
+                filters=(Filter("o_orderpriority", "contains", "URG"),)),
+           "SELECT o_orderstatus, count(*) AS value FROM orders "
+           "WHERE contains(o_orderpriority, 'URG') GROUP BY 1")
+plan_query("flt_contains_number", "orders",
+           Plan(group_by=("o_orderpriority",), aggregation="count",
+                filters=(Filter("o_orderkey", "contains", "77"),)),
+           "SELECT o_orderpriority, count(*) AS value FROM orders "
+           "WHERE contains(CAST(o_orderkey AS VARCHAR), '77') GROUP BY 1")
+plan_query("flt_in", "orders",
+           Plan(group_by=("o_orderstatus",), metric="o_totalprice",
+                filters=(Filter("o_orderpriority", "in", ["1-URGENT", "5-LOW"]),)),
+           "SELECT o_orderstatus, round(sum(o_totalprice), 2) AS value FROM orders "
+           "WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY 1", decimals=2)
+plan_query("flt_in_date", "orders",
+           Plan(group_by=("o_orderstatus",), aggregation="count",
+                filters=(Filter("o_orderdate", "in", ["1996-01-01", "1997-03-15", "1999-12-31"]),)),
+           "SELECT o_orderstatus, count(*) AS value FROM orders WHERE o_orderdate IN "
+           "(TIMESTAMP '1996-01-01', TIMESTAMP '1997-03-15', TIMESTAMP '1999-12-31') GROUP BY 1")
+plan_query("flt_conjunction", "lineitem",
+           Plan(group_by=("l_returnflag", "l_linestatus"), metric="l_quantity",
+                filters=(Filter("l_shipdate", "gte", "1996-01-01"), Filter("l_shipdate", "lt", "1998-01-01"),
+                         Filter("l_discount", "gt", 0.02), Filter("l_returnflag", "ne", "N"))),
+           "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS value FROM lineitem "
+           "WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1998-01-01' "
+           "AND l_discount > 0.02 AND l_returnflag <> 'N' GROUP BY 1, 2")
+
+# ---------------------------------------------------------------- aggregations
+KEYS2 = ("l_returnflag", "l_linestatus")
+plan_query("agg_sum", "lineitem", Plan(group_by=KEYS2, metric="l_extendedprice"),
+           "SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice), 2) AS value "
+           "FROM lineitem GROUP BY 1, 2", decimals=2)
+plan_query("agg_mean", "lineitem", Plan(group_by=KEYS2, metric="l_extendedprice", aggregation="mean"),
+           "SELECT l_returnflag, l_linestatus, round(avg(l_extendedprice), 6) AS value "
+           "FROM lineitem GROUP BY 1, 2", decimals=6)
+plan_query("agg_min", "lineitem", Plan(group_by=KEYS2, metric="l_extendedprice", aggregation="min"),
+           "SELECT l_returnflag, l_linestatus, min(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2")
+plan_query("agg_max", "lineitem", Plan(group_by=KEYS2, metric="l_extendedprice", aggregation="max"),
+           "SELECT l_returnflag, l_linestatus, max(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2")
+plan_query("agg_count", "lineitem", Plan(group_by=KEYS2, aggregation="count"),
+           "SELECT l_returnflag, l_linestatus, count(*) AS value FROM lineitem GROUP BY 1, 2")
+plan_query("agg_ratio_total", "lineitem",
+           Plan(group_by=KEYS2, metric="l_extendedprice", denominator="l_quantity", aggregation="ratio_total"),
+           "SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice) / sum(l_quantity), 6) AS value "
+           "FROM lineitem GROUP BY 1, 2", decimals=6)
+plan_query("agg_ratio_mean", "lineitem",
+           Plan(group_by=KEYS2, metric="l_extendedprice", denominator="l_quantity", aggregation="ratio_mean"),
+           "SELECT l_returnflag, l_linestatus, round(avg(l_extendedprice / l_quantity), 6) AS value "
+           "FROM lineitem GROUP BY 1, 2", decimals=6)
+plan_query("agg_raw", "lineitem",
+           Plan(group_by=("l_orderkey", "l_linenumber"), metric="l_extendedprice", aggregation="raw"),
+           "SELECT l_orderkey, l_linenumber, l_extendedprice AS value FROM lineitem")
+plan_query("agg_global", "lineitem", Plan(metric="l_quantity"),
+           "SELECT 'All / 全部' AS _all, sum(l_quantity) AS value FROM lineitem")
+plan_query("agg_3keys", "lineitem",
+           Plan(group_by=("l_returnflag", "l_linestatus", "l_linenumber"), aggregation="count"),
+           "SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS value FROM lineitem GROUP BY 1, 2, 3")
+plan_query("agg_null_key", "lineitem",
+           Plan(group_by=("l_returnflag_n",), metric="l_quantity", aggregation="mean", missing="keep"),
+           f"SELECT l_returnflag_n, round(avg(l_quantity), 6) AS value FROM {NULLABLE_LINEITEM_SQL} GROUP BY 1",
+           decimals=6, derive=_nullable_lineitem)
+
+# ---------------------------------------------------------------- missing values, duplicates
+plan_query("missing_exclude", "lineitem",
+           Plan(group_by=("l_returnflag",), metric="l_discount_n", aggregation="mean", missing="exclude"),
+           f"SELECT l_returnflag, round(avg(l_discount_n), 6) AS value FROM {NULLABLE_LINEITEM_SQL} "
+           "WHERE l_discount_n IS NOT NULL GROUP BY 1", decimals=6, derive=_nullable_lineitem)
+plan_query("missing_keep", "lineitem",
+           Plan(group_by=("l_returnflag_n", "l_linestatus"), metric="l_discount_n", missing="keep"),
+           f"SELECT l_returnflag_n, l_linestatus, round(sum(l_discount_n), 2) AS value "
+           f"FROM {NULLABLE_LINEITEM_SQL} GROUP BY 1, 2", decimals=2, derive=_nullable_lineitem)
+plan_query("missing_keep_count", "lineitem",
+           Plan(group_by=("l_returnflag_n",), aggregation="count", missing="keep"),
+           f"SELECT l_returnflag_n, count(*) AS value FROM {NULLABLE_LINEITEM_SQL} GROUP BY 1",
+           derive=_nullable_lineitem)
+
+
+def _dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity")
+    ds = Dataset.from_frame(df, source="lineitem")
+    plan = Plan(group_by=("l_returnflag",), metric="l_quantity", duplicates="drop_exact")
+    return compile_plan(ds, plan).df
+
+
+register("dedupe_exact", """
+SELECT l_returnflag, sum(l_quantity) AS value
+FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem) GROUP BY 1
+""")(_dedupe)
+
+# ---------------------------------------------------------------- time buckets
+plan_query("grain_day", "events", Plan(group_by=("ts",), aggregation="count", time_grain="day"),
+           "SELECT strftime(ts, '%Y-%m-%d') AS ts, count(*) AS value FROM events GROUP BY 1")
+plan_query("grain_week", "events",
+           Plan(group_by=("ts", "event_type"), metric="value", time_grain="week", sort="label"),
+           "SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') || '/' || "
+           "strftime(date_trunc('week', ts) + INTERVAL 6 DAY, '%Y-%m-%d') AS ts, event_type, "
+           "round(sum(value), 2) AS value FROM events GROUP BY 1, 2", decimals=2)
+plan_query("grain_month", "orders",
+           Plan(group_by=("o_orderdate",), metric="o_totalprice", time_grain="month", sort="label"),
+           "SELECT strftime(o_orderdate, '%Y-%m') AS o_orderdate, round(sum(o_totalprice), 2) AS value "
+           "FROM orders GROUP BY 1", decimals=2)
+plan_query("grain_year", "orders",
+           Plan(group_by=("o_orderdate", "o_orderstatus"), aggregation="count", time_grain="year"),
+           "SELECT strftime(o_orderdate, '%Y') AS o_orderdate, o_orderstatus, count(*) AS value "
+           "FROM orders GROUP BY 1, 2")
+
+# ---------------------------------------------------------------- sorts (O1-O2)
+plan_query("sort_desc", "orders",
+           Plan(group_by=("o_orderpriority",), metric="o_totalprice", sort="desc"),
+           "SELECT o_orderpriority, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1", decimals=2)
+plan_query("sort_asc", "orders",
+           Plan(group_by=("o_custkey",), metric="o_totalprice", aggregation="max", sort="asc"),
+           "SELECT o_custkey, max(o_totalprice) AS value FROM orders GROUP BY 1")
+plan_query("sort_label", "customer",
+           Plan(group_by=("c_mktsegment",), metric="c_acctbal", aggregation="mean", sort="label"),
+           "SELECT c_mktsegment, round(avg(c_acctbal), 6) AS value FROM customer GROUP BY 1", decimals=6)
