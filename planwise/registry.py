@@ -224,3 +224,147 @@ plan_query("sort_asc", "orders",
 plan_query("sort_label", "customer",
            Plan(group_by=("c_mktsegment",), metric="c_acctbal", aggregation="mean", sort="label"),
            "SELECT c_mktsegment, round(avg(c_acctbal), 6) AS value FROM customer GROUP BY 1", decimals=6)
+
+
+# ---------------------------------------------------------------- top-k evidence
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import top_evidence
+    res = compile_plan(dataset(spark, sf_dir, "orders"),
+                       Plan(group_by=("o_custkey",), metric="o_totalprice"), decimals=2).df
+    return top_evidence(res, "value", ["o_custkey"])
+
+
+register("top_evidence", """
+WITH r AS (SELECT o_custkey, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1),
+     t AS (SELECT count(*) AS total_groups FROM r)
+SELECT o_custkey, value, row_number() OVER (ORDER BY value DESC, o_custkey) AS evidence_id, total_groups
+FROM r, t ORDER BY value DESC, o_custkey LIMIT 100
+""")(_evidence)
+
+
+# ---------------------------------------------------------------- profile / inference / review (T, G)
+def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.profile import profile
+    return profile(dataset(spark, sf_dir, "orders")).select("field", "dtype", "nulls", "unique")
+
+
+register("profile_orders", """
+SELECT * FROM (VALUES
+ ('o_orderkey', 'number'), ('o_custkey', 'number'), ('o_orderstatus', 'string'),
+ ('o_totalprice', 'number'), ('o_orderdate', 'date'), ('o_orderpriority', 'string')) AS f(field, dtype)
+JOIN (
+ SELECT 'o_orderkey' AS field, count(*) - count(o_orderkey) AS nulls, count(DISTINCT o_orderkey) AS "unique" FROM orders
+ UNION ALL SELECT 'o_custkey', count(*) - count(o_custkey), count(DISTINCT o_custkey) FROM orders
+ UNION ALL SELECT 'o_orderstatus', count(*) - count(o_orderstatus), count(DISTINCT o_orderstatus) FROM orders
+ UNION ALL SELECT 'o_totalprice', count(*) - count(o_totalprice), count(DISTINCT o_totalprice) FROM orders
+ UNION ALL SELECT 'o_orderdate', count(*) - count(o_orderdate), count(DISTINCT o_orderdate) FROM orders
+ UNION ALL SELECT 'o_orderpriority', count(*) - count(o_orderpriority), count(DISTINCT o_orderpriority) FROM orders
+) USING (field)
+""")(_profile)
+
+
+def _profile_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.profile import profile
+    ds = dataset(spark, sf_dir, "lineitem").with_frame(
+        table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_shipdate"))
+    ds = Dataset.from_frame(ds.df, source="lineitem")
+    return profile(ds).select("field", "min", "max")
+
+
+register("profile_minmax", """
+SELECT 'l_orderkey' AS field, CAST(min(l_orderkey) AS VARCHAR) AS min, CAST(max(l_orderkey) AS VARCHAR) AS max FROM lineitem
+UNION ALL SELECT 'l_quantity', CAST(min(l_quantity) AS VARCHAR), CAST(max(l_quantity) AS VARCHAR) FROM lineitem
+UNION ALL SELECT 'l_shipdate', CAST(min(l_shipdate) AS VARCHAR), CAST(max(l_shipdate) AS VARCHAR) FROM lineitem
+""")(_profile_minmax)
+
+
+def _text_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders table as text cells, as a delimited import would hold it."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(*[F.col(c).cast("string").alias(c) for c in o.columns])
+
+
+def _infer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.profile import infer_types
+    return infer_types(_text_orders(spark, sf_dir)).select("field", "nonnull", "numeric", "dtype")
+
+
+register("infer_types", """
+SELECT 'o_orderkey' AS field, count(o_orderkey) AS nonnull, count(o_orderkey) AS numeric, 'number' AS dtype FROM orders
+UNION ALL SELECT 'o_custkey', count(o_custkey), count(o_custkey), 'number' FROM orders
+UNION ALL SELECT 'o_orderstatus', count(o_orderstatus), 0, 'string' FROM orders
+UNION ALL SELECT 'o_totalprice', count(o_totalprice), count(o_totalprice), 'number' FROM orders
+UNION ALL SELECT 'o_orderdate', count(o_orderdate), 0, 'date' FROM orders
+UNION ALL SELECT 'o_orderpriority', count(o_orderpriority), 0, 'string' FROM orders
+""")(_infer)
+
+
+def _typed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text cells -> inferred, strictly cast dataset."""
+    from planwise.operators.profile import type_dataset
+    text = Dataset.from_frame(_text_orders(spark, sf_dir), positional_ids=True, source="orders-text")
+    return type_dataset(text).df
+
+
+register("typed_roundtrip", """
+SELECT CAST(o_orderkey AS DOUBLE) AS f1, CAST(o_custkey AS DOUBLE) AS f2, o_orderstatus AS f3,
+       o_totalprice AS f4, o_orderdate AS f5, o_orderpriority AS f6 FROM orders
+""")(_typed_roundtrip)
+
+
+def _events_with_labels():
+    # Summary-like labels manufactured from whole categories, both engines.
+    return {"event_label": F.when(F.col("event_type") == "error", F.lit(" Total "))
+            .when(F.col("event_type") == "signup", F.lit("合计")).otherwise(F.col("event_type"))}
+
+
+EVENTS_LABELLED_SQL = ("(SELECT *, CASE WHEN event_type = 'error' THEN ' Total ' WHEN event_type = 'signup' "
+                       "THEN '合计' ELSE event_type END AS event_label FROM events)")
+
+
+def _suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.review import summary_suspects
+    return summary_suspects(dataset(spark, sf_dir, "events", _events_with_labels()))
+
+
+register("review_suspects", f"""
+SELECT 'event_label' AS field, lower(trim(event_label)) AS value, count(*) AS rows
+FROM {EVENTS_LABELLED_SQL}
+WHERE lower(trim(event_label)) IN ('all', 'total', 'subtotal', 'grand total', '合计', '总计', '小计', '全部')
+GROUP BY 1, 2
+""")(_suspects)
+
+
+def _review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.review import review_frame
+    df = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_shipdate")
+    return review_frame(Dataset.from_frame(df))
+
+
+register("review_summary", """
+SELECT 'rows' AS metric, count(*) AS value FROM lineitem
+UNION ALL
+SELECT 'exact_duplicate_rows', count(*) - (SELECT count(*) FROM
+  (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity, l_shipdate FROM lineitem)) FROM lineitem
+UNION ALL
+SELECT 'suspect_rows', 0
+""")(_review)
+
+
+def _dup_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.profile import duplicate_rows
+    return duplicate_rows(table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", "o_orderdate"))
+
+
+register("dup_count", """
+SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT o_orderstatus, o_orderpriority, o_orderdate FROM orders))
+  AS duplicate_rows FROM orders
+""")(_dup_count)
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.profile import fingerprint
+    return fingerprint(table(spark, sf_dir, "lineitem")).select("rows", "checksum")
+
+
+register("fingerprint")(_fingerprint)
