@@ -368,3 +368,432 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("fingerprint")(_fingerprint)
+
+
+# ---------------------------------------------------------------- guarded SQL (Q1-Q11)
+SQL_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+def register_views(spark: SparkSession, sf_dir: str, names=SQL_TABLES) -> None:
+    for name in names:
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def sql_query(name: str, sql: str, spark_sql: str | None = None):
+    """Same text in both engines unless a dialect difference forces two."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from planwise.sources.sql import guarded_sql
+        register_views(spark, sf_dir)
+        return guarded_sql(spark, spark_sql or sql)
+    register(name, sql)(run)
+
+
+sql_query("sql_join_inner", """
+SELECT n.n_name, count(*) AS orders, round(sum(o.o_totalprice), 2) AS revenue
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+GROUP BY n.n_name
+""")
+sql_query("sql_join_left", """
+SELECT c.c_custkey, count(o.o_orderkey) AS n_orders
+FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_custkey
+""")
+sql_query("sql_join_full", """
+SELECT coalesce(s.s_nationkey, c.c_nationkey) AS nationkey, count(DISTINCT s.s_suppkey) AS suppliers,
+       count(DISTINCT c.c_custkey) AS customers
+FROM supplier s FULL OUTER JOIN customer c ON s.s_nationkey = c.c_nationkey GROUP BY 1
+""")
+sql_query("sql_join_semi", """
+SELECT c.c_custkey, c.c_name FROM customer c
+WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')
+""")
+sql_query("sql_join_anti", """
+SELECT c.c_custkey, c.c_mktsegment FROM customer c
+WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')
+""")
+sql_query("sql_join_nonequi", """
+SELECT p.p_partkey, count(*) AS pricier_lines
+FROM part p JOIN lineitem l ON l.l_partkey = p.p_partkey AND l.l_extendedprice > p.p_retailprice * 10
+GROUP BY p.p_partkey
+""")
+sql_query("sql_window_rank", """
+SELECT c_custkey, c_mktsegment, c_acctbal,
+       CAST(rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS BIGINT) AS rnk
+FROM customer
+""")
+sql_query("sql_window_running", """
+SELECT o_orderkey, o_custkey,
+       round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running_total,
+       CAST(coalesce(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), -1) AS BIGINT)
+         AS prev_order
+FROM orders
+""")
+sql_query("sql_union", """
+SELECT c_nationkey AS nationkey, 'customer' AS kind FROM customer
+UNION SELECT s_nationkey, 'supplier' FROM supplier
+""")
+sql_query("sql_union_all", """
+SELECT kind, count(*) AS n FROM (
+  SELECT 'customer' AS kind, c_nationkey AS k FROM customer UNION ALL SELECT 'supplier', s_nationkey FROM supplier
+) u GROUP BY kind
+""")
+sql_query("sql_intersect", """
+SELECT c_nationkey AS nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier
+""")
+sql_query("sql_except", """
+SELECT o_custkey AS custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'
+""")
+sql_query("sql_rollup", """
+SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, count(*) AS n
+FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)
+""")
+sql_query("sql_cube", """
+SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)
+""")
+sql_query("sql_grouping_sets", """
+SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice), 2) AS revenue
+FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())
+""")
+sql_query("sql_having", """
+SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY o_custkey HAVING count(*) > 15
+""")
+sql_query("sql_cte_subquery", """
+WITH big AS (SELECT o_custkey, sum(o_totalprice) AS spend FROM orders GROUP BY o_custkey)
+SELECT c.c_mktsegment, count(*) AS big_customers FROM customer c JOIN big b ON c.c_custkey = b.o_custkey
+WHERE b.spend > (SELECT avg(spend) FROM big) GROUP BY c.c_mktsegment
+""")
+sql_query("sql_pricing_summary", """
+SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty,
+       round(sum(l_extendedprice), 2) AS sum_base_price,
+       round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
+       round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00'
+GROUP BY l_returnflag, l_linestatus
+""")
+sql_query("sql_scalar_functions", """
+SELECT upper(substr(p_name, 1, 4)) AS prefix, length(p_brand) AS brand_len, count(*) AS n,
+       round(avg(p_retailprice), 6) AS avg_price
+FROM part GROUP BY 1, 2
+""")
+
+
+def _sql_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A guarded query's result as a dataset (positional IDs), then a plan on it."""
+    from planwise.sources.sql import sql_dataset
+    register_views(spark, sf_dir)
+    ds = sql_dataset(spark, "SELECT r.r_name, n.n_name, s.s_acctbal FROM supplier s "
+                            "JOIN nation n ON s.s_nationkey = n.n_nationkey "
+                            "JOIN region r ON n.n_regionkey = r.r_regionkey", limit=None)
+    return compile_plan(ds, Plan(group_by=("r_name",), metric="s_acctbal", aggregation="mean"), decimals=6).df
+
+
+register("sql_to_dataset_plan", """
+SELECT r.r_name AS f1, round(avg(s.s_acctbal), 6) AS value FROM supplier s
+JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY 1
+""")(_sql_dataset)
+
+
+# ---------------------------------------------------------------- chart data
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events")
+
+
+def _mark_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import histogram
+    return histogram(_events(spark, sf_dir), "value").select("bin", "count")
+
+
+register("mark_histogram", """
+WITH s AS (SELECT min(value) AS lo, max(value) AS hi FROM events),
+     b AS (SELECT CAST(least(floor((value - lo) / (hi - lo) * 10) + 1, 10) AS BIGINT) AS bin, count(*) AS count
+           FROM events, s WHERE value IS NOT NULL GROUP BY 1)
+SELECT r.bin, coalesce(b.count, 0) AS count FROM (SELECT range AS bin FROM range(1, 11)) r LEFT JOIN b USING (bin)
+""")(_mark_histogram)
+
+
+def _mark_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import box_stats
+    out = box_stats(_events(spark, sf_dir), "event_type", "value")
+    return out.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3")],
+                      "lower_whisker", "upper_whisker", "outliers")
+
+
+register("mark_box", """
+WITH s AS (SELECT event_type, count(value) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
+                  quantile_cont(value, 0.75) AS q3 FROM events WHERE value IS NOT NULL GROUP BY 1)
+SELECT s.event_type, s.n, round(s.q1, 6) AS q1, round(s.median, 6) AS median, round(s.q3, 6) AS q3,
+       min(CASE WHEN e.value >= s.q1 - 1.5 * (s.q3 - s.q1) THEN e.value END) AS lower_whisker,
+       max(CASE WHEN e.value <= s.q3 + 1.5 * (s.q3 - s.q1) THEN e.value END) AS upper_whisker,
+       count(CASE WHEN e.value < s.q1 - 1.5 * (s.q3 - s.q1) OR e.value > s.q3 + 1.5 * (s.q3 - s.q1) THEN 1 END)
+         AS outliers
+FROM events e JOIN s USING (event_type) WHERE e.value IS NOT NULL
+GROUP BY s.event_type, s.n, s.q1, s.median, s.q3
+""")(_mark_box)
+
+
+def _mark_quartiles_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import exact_quantiles
+    out = exact_quantiles(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", (0.1, 0.5, 0.9))
+    return out.select("l_returnflag", "n", *[F.round(c, 6).alias(c) for c in ("q0", "q1", "q2")])
+
+
+register("mark_quantiles", """
+SELECT l_returnflag, count(l_extendedprice) AS n, round(quantile_cont(l_extendedprice, 0.1), 6) AS q0,
+       round(quantile_cont(l_extendedprice, 0.5), 6) AS q1, round(quantile_cont(l_extendedprice, 0.9), 6) AS q2
+FROM lineitem GROUP BY 1
+""")(_mark_quartiles_lineitem)
+
+
+def _mark_violin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import violin_density
+    out = violin_density(_events(spark, sf_dir), "event_type", "value")
+    return out.select("event_type", "idx", F.round("x", 6).alias("x"), F.round(F.col("density") * 1e6, 3).alias("density_e6"))
+
+
+register("mark_violin", """
+WITH s AS (SELECT event_type, count(*) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi
+           FROM events WHERE value IS NOT NULL GROUP BY 1),
+     p AS (SELECT event_type, n, sd * pow(CAST(n AS DOUBLE), -0.2) AS bw, lo, hi FROM s WHERE n > 1 AND sd > 0),
+     g AS (SELECT event_type, n, bw, lo - 2.0 * bw AS start, (hi - lo + 2 * 2.0 * bw) / 99 AS step FROM p)
+SELECT g.event_type, CAST(i.range AS INTEGER) AS idx, round(g.start + i.range * g.step, 6) AS x,
+       round(sum(exp(-0.5 * ((g.start + i.range * g.step - e.value) / g.bw) * ((g.start + i.range * g.step - e.value) / g.bw)))
+             / (g.n * g.bw * sqrt(2 * pi())) * 1e6, 3) AS density_e6
+FROM events e JOIN g USING (event_type), range(100) i
+WHERE e.value IS NOT NULL
+GROUP BY g.event_type, i.range, g.start, g.step, g.n, g.bw
+""")(_mark_violin)
+
+
+def _mark_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import heatmap_matrix
+    res = compile_plan(dataset(spark, sf_dir, "lineitem"),
+                       Plan(group_by=("l_returnflag", "l_linestatus"), metric="l_quantity")).df
+    return heatmap_matrix(res, "l_returnflag", "l_linestatus", "value")
+
+
+register("mark_heatmap", """
+SELECT l_returnflag, sum(CASE WHEN l_linestatus = 'F' THEN l_quantity END) AS "F",
+       sum(CASE WHEN l_linestatus = 'O' THEN l_quantity END) AS "O"
+FROM lineitem GROUP BY 1
+""")(_mark_heatmap)
+
+
+def _mark_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import density_raster
+    return density_raster(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", 64, 48)
+
+
+register("mark_density", """
+WITH s AS (SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0,
+                  max(l_extendedprice) AS y1 FROM lineitem)
+SELECT CAST(least(floor((l_quantity - x0) / (x1 - x0) * 64), 63) AS BIGINT) AS px,
+       CAST(least(floor((l_extendedprice - y0) / (y1 - y0) * 48), 47) AS BIGINT) AS py, count(*) AS count
+FROM lineitem, s GROUP BY 1, 2
+""")(_mark_density)
+
+
+def _mark_density_viewport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import density_raster, density_stats
+    raster = density_raster(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", 64, 48,
+                            x_range=(10.0, 30.0), y_range=(10000.0, 50000.0))
+    return density_stats(raster)
+
+
+register("mark_density_viewport", """
+WITH c AS (SELECT count(*) AS count FROM lineitem
+           WHERE l_quantity BETWEEN 10 AND 30 AND l_extendedprice BETWEEN 10000 AND 50000
+           GROUP BY CAST(least(floor((l_quantity - 10.0) / 20.0 * 64), 63) AS BIGINT),
+                    CAST(least(floor((l_extendedprice - 10000.0) / 40000.0 * 48), 47) AS BIGINT))
+SELECT CAST(coalesce(sum(count), 0) AS BIGINT) AS points_in_view, coalesce(max(count), 0) AS max_count FROM c
+""")(_mark_density_viewport)
+
+
+def _flow_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compile_plan(dataset(spark, sf_dir, "orders"),
+                        Plan(group_by=("o_orderstatus", "o_orderpriority"), metric="o_totalprice"), decimals=2).df
+
+
+def _mark_sankey_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import sankey_links
+    return sankey_links(_flow_result(spark, sf_dir), "o_orderstatus", "o_orderpriority", "value")
+
+
+register("mark_sankey_links", """
+SELECT o_orderstatus AS source, o_orderpriority AS target, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2
+""")(_mark_sankey_links)
+
+
+def _mark_sankey_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import sankey_nodes
+    return sankey_nodes(_flow_result(spark, sf_dir), "o_orderstatus", "o_orderpriority")
+
+
+register("mark_sankey_nodes", """
+SELECT o_orderstatus AS name FROM orders UNION SELECT o_orderpriority FROM orders
+""")(_mark_sankey_nodes)
+
+
+def _mark_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import tree_rows
+    res = compile_plan(dataset(spark, sf_dir, "customer"), Plan(group_by=("c_mktsegment",), aggregation="count")).df
+    return tree_rows(res, "c_mktsegment", "value", "customers")
+
+
+register("mark_tree", """
+SELECT 'customers' AS parent, c_mktsegment AS name, count(*) AS value FROM customer GROUP BY 2
+""")(_mark_tree)
+
+
+def _mark_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import funnel_stages
+    res = compile_plan(dataset(spark, sf_dir, "events"),
+                       Plan(group_by=("event_type",), aggregation="count", sort="desc")).df
+    return funnel_stages(res, "event_type", "value")
+
+
+register("mark_funnel", """
+SELECT event_type AS stage, count(*) AS value FROM events GROUP BY 1
+""")(_mark_funnel)
+
+
+def _mark_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import bar_marks
+    res = compile_plan(dataset(spark, sf_dir, "lineitem", _nullable_lineitem()),
+                       Plan(group_by=("l_returnflag_n",), metric="l_quantity", missing="keep")).df
+    return bar_marks(res, "l_returnflag_n", "value")
+
+
+register("mark_bars_missing_label", f"""
+SELECT coalesce(l_returnflag_n, '(missing)') AS category, sum(l_quantity) AS value
+FROM {NULLABLE_LINEITEM_SQL} GROUP BY l_returnflag_n
+""")(_mark_bars)
+
+
+def _mark_color_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import color_scale
+    res = compile_plan(dataset(spark, sf_dir, "orders"),
+                       Plan(group_by=("o_orderpriority",), metric="o_totalprice"), decimals=2).df
+    return color_scale(res, "value").withColumn("color_t", F.round("color_t", 6))
+
+
+register("mark_color_scale", """
+WITH r AS (SELECT o_orderpriority, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1)
+SELECT o_orderpriority, value, round((value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()), 6)
+  AS color_t FROM r
+""")(_mark_color_scale)
+
+
+def _mark_color_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import color_codes
+    res = compile_plan(dataset(spark, sf_dir, "nation"), Plan(group_by=("n_name",), aggregation="count")).df
+    return color_codes(res, "n_name")
+
+
+register("mark_color_codes", """
+SELECT n_name, count(*) AS value, CAST((dense_rank() OVER (ORDER BY n_name) - 1) % 10 AS INTEGER) AS color_code
+FROM nation GROUP BY n_name
+""")(_mark_color_codes)
+
+
+def _mark_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import kpi_table
+    res = compile_plan(dataset(spark, sf_dir, "nation"), Plan(group_by=("n_regionkey",), aggregation="count")).df
+    return kpi_table(res, "n_regionkey", "value")
+
+
+register("mark_kpi_table", """
+SELECT n_regionkey, count(*) AS value,
+       CAST(row_number() OVER (ORDER BY count(*) DESC, n_regionkey) AS INTEGER) AS rank
+FROM nation GROUP BY n_regionkey
+""")(_mark_kpi)
+
+
+def _mark_brush(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.filters import brush
+    sel = brush(table(spark, sf_dir, "lineitem"), "l_quantity", "l_discount", (5, 25), (0.02, 0.06))
+    ds = Dataset.from_frame(sel, source="lineitem")
+    return compile_plan(ds, Plan(group_by=("l_returnflag",), metric="l_extendedprice"), decimals=2).df
+
+
+register("mark_brush_linked", """
+SELECT l_returnflag, round(sum(l_extendedprice), 2) AS value FROM lineitem
+WHERE l_quantity BETWEEN 5 AND 25 AND l_discount BETWEEN 0.02 AND 0.06 GROUP BY 1
+""")(_mark_brush)
+
+
+def _mark_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import facet_values
+    return facet_values(_flow_result(spark, sf_dir), "o_orderpriority")
+
+
+register("mark_facets", "SELECT DISTINCT o_orderpriority FROM orders")(_mark_facets)
+
+
+def _edge_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.timegrain import bucket_coverage
+    return bucket_coverage(table(spark, sf_dir, "events"), "ts", "month")
+
+
+register("edge_months", """
+WITH b AS (SELECT strftime(ts, '%Y-%m') AS bucket, CAST(date_trunc('month', min(ts)) AS DATE) AS bucket_start,
+                  CAST(date_trunc('month', min(ts)) + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS bucket_end,
+                  count(*) AS rows FROM events GROUP BY 1),
+     r AS (SELECT CAST(min(ts) AS DATE) AS lo, CAST(max(ts) AS DATE) AS hi FROM events)
+SELECT bucket, rows, (bucket_start < lo OR bucket_end > hi) AS is_edge FROM b, r
+""")(_edge_months)
+
+
+# ---------------------------------------------------------------- run log (L1-L3, O8) on events
+# events as a run log: user_id = run, event_id = sequence, event_type = status.
+def _log_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.runlog import latest_state
+    return latest_state(_events(spark, sf_dir), "user_id", "event_id").select("user_id", "event_id", "event_type", "ts")
+
+
+register("log_latest", """
+SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(ts, event_id) AS ts
+FROM events GROUP BY user_id
+""")(_log_latest)
+
+
+def _log_overdue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.runlog import latest_state, overdue_runs
+    ev = _events(spark, sf_dir)
+    status = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "running") \
+        .otherwise(F.col("event_type"))
+    latest = latest_state(ev.withColumn("status", status), "user_id", "event_id")
+    as_of = ev.agg(F.max("ts")).first()[0]
+    return overdue_runs(latest, "status", "ts", as_of).select("user_id", "status", "deadline_s")
+
+
+register("log_overdue", """
+WITH l AS (SELECT user_id, arg_max(CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running'
+                                   ELSE event_type END, event_id) AS status,
+                  arg_max(ts, event_id) AS ts FROM events GROUP BY user_id),
+     a AS (SELECT max(ts) AS as_of FROM events)
+SELECT user_id, status, CASE status WHEN 'queued' THEN 60 ELSE 150 END AS deadline_s FROM l, a
+WHERE status IN ('queued', 'running')
+  AND epoch_us(as_of) - epoch_us(ts) > (CASE status WHEN 'queued' THEN 60 ELSE 150 END) * 1000000
+""")(_log_overdue)
+
+
+def _log_superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.runlog import superseded
+    return superseded(_events(spark, sf_dir).select("event_id", "user_id"), "user_id", "event_id")
+
+
+register("log_superseded", """
+SELECT event_id, user_id, event_id < max(event_id) OVER (PARTITION BY user_id) AS superseded FROM events
+""")(_log_superseded)
+
+
+def _log_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.runlog import recent_per_key
+    return recent_per_key(_events(spark, sf_dir).select("event_id", "user_id", "event_type"), "user_id", "event_id", 30)
+
+
+register("log_recent30", """
+SELECT * FROM (SELECT event_id, user_id, event_type,
+       CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS INTEGER) AS rank FROM events)
+WHERE rank <= 30
+""")(_log_recent)
