@@ -797,3 +797,62 @@ SELECT * FROM (SELECT event_id, user_id, event_type,
        CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS INTEGER) AS rank FROM events)
 WHERE rank <= 30
 """)(_log_recent)
+
+
+# ---------------------------------------------------------------- streaming
+def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.streaming import event_stream
+    schema = table(spark, sf_dir, "events").schema
+    return event_stream(spark, sf_dir.rstrip("/"), schema, glob="events.parquet", time_col="ts")
+
+
+def _stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.session import scratch_dir
+    from planwise.streaming import read_latest, run_available, stream_plan
+    stream = stream_plan(_events_stream(spark, sf_dir), "ts", "day", ["event_type"], "sum", "value")
+    data = run_available(stream, scratch_dir(spark, "stream-daily"), mode="update")
+    return read_latest(spark, data, ["ts", "event_type"]).withColumn("value", F.round("value", 2))
+
+
+register("stream_daily_sum", """
+SELECT strftime(ts, '%Y-%m-%d') AS ts, event_type, round(sum(value), 2) AS value FROM events GROUP BY 1, 2
+""")(_stream_daily)
+
+
+def _stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.session import scratch_dir
+    from planwise.streaming import run_available, tail_terminal
+    stream = tail_terminal(_events_stream(spark, sf_dir), "event_type", ("purchase", "error"))
+    data = run_available(stream.select("event_id", "user_id", "event_type"), scratch_dir(spark, "stream-tail"))
+    return spark.read.parquet(data).drop("batch")
+
+
+register("stream_terminal_tail", """
+SELECT event_id, user_id, event_type FROM events WHERE event_type IN ('purchase', 'error')
+""")(_stream_tail)
+
+
+def _deadline_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.streaming import deadline_sessions
+    ev = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "running") \
+        .otherwise(F.col("event_type"))
+    out = deadline_sessions(ev.withColumn("status", status).withColumn("ts", F.col("ts").cast("timestamp")),
+                            "user_id", "ts", "status", "event_id", "150 seconds")
+    return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
+                      F.col("session_end").cast("timestamp_ntz").alias("session_end"), "events", "last_status", "overdue")
+
+
+register("log_deadline_sessions", """
+WITH e AS (SELECT user_id, event_id, ts,
+                  CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' ELSE event_type END AS status,
+                  CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL
+                         OR ts >= max(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + INTERVAL 150 SECOND
+                       THEN 1 ELSE 0 END AS brk
+           FROM events),
+     s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM e)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 150 SECOND AS session_end, count(*) AS events,
+       arg_max(status, event_id) AS last_status, arg_max(status, event_id) IN ('queued', 'running') AS overdue
+FROM s GROUP BY user_id, sid
+""")(_deadline_sessions)

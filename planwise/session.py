@@ -19,6 +19,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.legacy.javaCharsets": "true",
+    # Merge session windows inside each task before the shuffle, so one run
+    # with a huge number of events does not reach a single reducer unmerged.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
