@@ -44,7 +44,7 @@ def _date(c: Column, fmt: str) -> Column:
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """One row per string column: (field, nonnull, numeric, date_like, dtype, date_format, mixed).
+    """One row per string column: (field, nonnull, numeric, dtype, date_format, mixed, infinite).
 
     All counts come from a single aggregate over the table.
     """
@@ -58,6 +58,7 @@ def infer_types(df: DataFrame) -> DataFrame:
             F.count(col).alias(f"n{i}"),
             F.count(_number(col)).alias(f"num{i}"),
             F.count_if(col.rlike(DATE_PREFIX)).alias(f"pre{i}"),
+            F.count_if(F.abs(_number(col)) == float("inf")).alias(f"inf{i}"),
         ]
         aggs += [F.count(_date(col, fmt)).alias(f"d{i}_{k}") for k, fmt in enumerate(DATE_FORMATS)]
     counts = df.agg(*aggs)
@@ -77,6 +78,7 @@ def infer_types(df: DataFrame) -> DataFrame:
             dtype.alias("dtype"),
             F.when(is_date, fmt).alias("date_format"),
             ((num > 0) & (num < n) & ~is_date).alias("mixed"),
+            F.col(f"inf{i}").alias("infinite"),
         ))
     return counts.select(F.inline(F.array(*rows)))
 
@@ -141,6 +143,8 @@ def type_dataset(ds: Dataset, overrides: dict[str, dict] | None = None) -> Datas
         if info is None and target == f.dtype:
             cols.append(F.col(f.id))
         elif info is not None and target == dtype:
+            if dtype == "number" and info["infinite"]:
+                raise DatasetError(f"{f.name}: infinite numeric values are not supported")
             if dtype == "number":
                 cols.append(F.nanvl(_number(F.col(f.id)), F.lit(None).cast("double")).alias(f.id))
             elif dtype == "date":
