@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Above this many rows the small side is joined by shuffle; AQE then splits
-# skewed partitions (spark.sql.adaptive.skewJoin.enabled).
+# Bound for broadcasting a side whose size is known before the join runs.
 MAX_BROADCAST_ROWS = 1_000_000
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+               known_rows: int | None = None) -> DataFrame:
     """Join ``small`` (typically one row per group) onto ``big``.
 
-    The small side is counted first; only when its size is proven under the
-    bound is it broadcast, which keeps a group holding a third of all rows
-    from landing in one reducer.  Otherwise a regular shuffle join runs and
-    AQE's skew handling splits oversized partitions.
+    When the caller knows the small side's row count and it is under the
+    bound, it is broadcast outright.  Otherwise the join is left to adaptive
+    execution: the small side is an aggregate, so it is materialised as a
+    shuffle stage first and AQE broadcasts it only if its measured size is
+    under ``spark.sql.adaptive.autoBroadcastJoinThreshold`` - a size check
+    that costs no second computation.  Above the threshold the join stays a
+    shuffle join and AQE's skew handling splits a hot key's partition.
     """
-    n = small.count()
-    if n <= max_broadcast_rows:
+    if known_rows is not None and known_rows <= MAX_BROADCAST_ROWS:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)

@@ -17,6 +17,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Runtime broadcast decision for joins against measured aggregate stages.
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.legacy.javaCharsets": "true",
     # Merge session windows inside each task before the shuffle, so one run
