@@ -60,7 +60,11 @@ def infer_types(df: DataFrame) -> DataFrame:
             F.count_if(col.rlike(DATE_PREFIX)).alias(f"pre{i}"),
             F.count_if(F.abs(_number(col)) == float("inf")).alias(f"inf{i}"),
         ]
-        aggs += [F.count(_date(col, fmt)).alias(f"d{i}_{k}") for k, fmt in enumerate(DATE_FORMATS)]
+        # A date column needs every value to match the prefix, so formats are
+        # only probed on values that do (parsing is the expensive part).
+        looks_like_date = col.rlike(DATE_PREFIX)
+        aggs += [F.count(F.when(looks_like_date, _date(col, fmt))).alias(f"d{i}_{k}")
+                 for k, fmt in enumerate(DATE_FORMATS)]
     counts = df.agg(*aggs)
     rows = []
     for i, c in enumerate(string_cols):

@@ -856,3 +856,22 @@ SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 150 SECOND AS sessi
        arg_max(status, event_id) AS last_status, arg_max(status, event_id) IN ('queued', 'running') AS overdue
 FROM s GROUP BY user_id, sid
 """)(_deadline_sessions)
+
+
+# ---------------------------------------------------------------- delimited round trip
+def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole orders table written as CSV by Spark, then strictly imported
+    and typed; must equal the Parquet original (keys become numbers)."""
+    from planwise.operators.profile import type_dataset
+    from planwise.session import scratch_dir
+    from planwise.sources.delimited import read_delimited
+    out = scratch_dir(spark, "csv-roundtrip")
+    (table(spark, sf_dir, "orders").write.mode("errorifexists").option("header", True)
+     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(f"{out}/orders"))
+    return type_dataset(read_delimited(spark, f"{out}/orders")).df
+
+
+register("csv_roundtrip", """
+SELECT CAST(o_orderkey AS DOUBLE) AS f1, CAST(o_custkey AS DOUBLE) AS f2, o_orderstatus AS f3,
+       o_totalprice AS f4, o_orderdate AS f5, o_orderpriority AS f6 FROM orders
+""")(_csv_roundtrip)
