@@ -1,5 +1,6 @@
 from planwise.functions.exprs import (
     any_null,
+    format_value,
     guard,
     missing_label,
     sort_key,
@@ -7,4 +8,4 @@ from planwise.functions.exprs import (
     week_label,
 )
 
-__all__ = ["any_null", "guard", "missing_label", "sort_key", "time_bucket", "week_label"]
+__all__ = ["any_null", "format_value", "guard", "missing_label", "sort_key", "time_bucket", "week_label"]

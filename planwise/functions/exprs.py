@@ -63,6 +63,13 @@ def bucket_end(col: Column, grain: str) -> Column:
     return F.add_months(start.cast("date"), 12).cast("timestamp_ntz")
 
 
+def format_value(col: Column, value_format: str = "number", decimals: int = 2) -> Column:
+    """Display text of a value: grouped digits; ratios as percentages (x100)."""
+    if value_format == "percent":
+        return F.concat(F.format_number(col * 100, decimals), F.lit("%"))
+    return F.format_number(col, decimals)
+
+
 def missing_label(col: Column) -> Column:
     """Category text with nulls shown as a visible placeholder."""
     return F.coalesce(col.cast("string"), F.lit(MISSING_CATEGORY))

@@ -875,3 +875,163 @@ register("csv_roundtrip", """
 SELECT CAST(o_orderkey AS DOUBLE) AS f1, CAST(o_custkey AS DOUBLE) AS f2, o_orderstatus AS f3,
        o_totalprice AS f4, o_orderdate AS f5, o_orderpriority AS f6 FROM orders
 """)(_csv_roundtrip)
+
+
+# ---------------------------------------------------------------- ordering, report, formatting
+plan_query("plan_first_seen", "events", Plan(group_by=("event_type",), aggregation="count"),
+           "SELECT event_type, count(*) AS value FROM events GROUP BY 1")
+QUERIES["plan_first_seen"] = lambda spark, sf_dir: compile_plan(
+    dataset(spark, sf_dir, "events"), Plan(group_by=("event_type",), aggregation="count"), first_seen=True).df
+
+
+def _plan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "lineitem").select(
+        "l_returnflag", "l_linestatus", "l_quantity", F.nullif(F.col("l_discount"), F.lit(0.0)).alias("l_discount_n"))
+    plan = Plan(group_by=("l_returnflag",), metric="l_discount_n", aggregation="mean", missing="exclude",
+                duplicates="drop_exact", filters=(Filter("l_quantity", "gt", 10),))
+    rep = compile_plan(Dataset.from_frame(df), plan).report_frame()
+    return rep.withColumn("min_value", F.round("min_value", 6)).withColumn("max_value", F.round("max_value", 6))
+
+
+register("plan_report", """
+WITH d AS (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity, nullif(l_discount, 0.0) AS l_discount_n FROM lineitem),
+     f AS (SELECT * FROM d WHERE l_quantity > 10),
+     g AS (SELECT l_returnflag, avg(l_discount_n) AS v FROM f
+           WHERE l_returnflag IS NOT NULL AND l_discount_n IS NOT NULL GROUP BY 1)
+SELECT (SELECT count(*) FROM lineitem) AS input_rows,
+       (SELECT count(*) FROM f) AS filtered_rows,
+       (SELECT count(*) FROM f WHERE l_returnflag IS NOT NULL AND l_discount_n IS NOT NULL) AS analyzed_rows,
+       (SELECT count(*) FROM f WHERE l_returnflag IS NULL OR l_discount_n IS NULL) AS missing_rows,
+       (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM d) AS duplicate_rows_removed,
+       (SELECT count(*) FROM g) AS groups,
+       (SELECT round(min(v), 6) FROM g) AS min_value, (SELECT round(max(v), 6) FROM g) AS max_value,
+       'number' AS value_format
+""")(_plan_report)
+
+
+def _value_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.functions.exprs import format_value
+    res = compile_plan(dataset(spark, sf_dir, "lineitem"),
+                       Plan(group_by=("l_returnflag",), metric="l_discount", denominator="l_quantity",
+                            aggregation="ratio_total")).df
+    return res.select("l_returnflag", format_value(F.col("value"), "percent", 4).alias("label"))
+
+
+register("plan_value_format", """
+SELECT l_returnflag, format('{:,.4f}', sum(l_discount) / sum(l_quantity) * 100) || '%' AS label
+FROM lineitem GROUP BY 1
+""")(_value_format)
+
+
+# ---------------------------------------------------------------- snapshots, cache, preview, sources
+def _snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.session import scratch_dir
+    from planwise.sources.snapshot import read_snapshot, write_snapshot
+    root = scratch_dir(spark, "snapshots")
+    meta = write_snapshot(dataset(spark, sf_dir, "orders"), root)
+    return read_snapshot(spark, root, meta["id"]).df
+
+
+register("snapshot_roundtrip", "SELECT * FROM orders")(_snapshot_roundtrip)
+
+
+def _plan_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.profile import fingerprint
+    from planwise.operators.suggest import cache_key, cached_result
+    from planwise.session import scratch_dir
+    ds = dataset(spark, sf_dir, "orders")
+    plan = Plan(group_by=("o_orderstatus",), metric="o_totalprice", aggregation="mean")
+    key = cache_key(fingerprint(ds.df).first()["checksum"], ds, plan)
+    root = scratch_dir(spark, "result-cache")
+    first, hit = cached_result(compile_plan(ds, plan, decimals=6).df, root, key)
+    again, hit_again = cached_result(compile_plan(ds, plan, decimals=6).df, root, key)
+    assert not hit and hit_again
+    return again
+
+
+register("plan_cached", """
+SELECT o_orderstatus, round(avg(o_totalprice), 6) AS value FROM orders GROUP BY 1
+""")(_plan_cached)
+
+
+def _row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import with_row_index
+    return with_row_index(table(spark, sf_dir, "region").select("r_name"), ["r_name"])
+
+
+register("mark_row_index", """
+SELECT r_name, CAST(row_number() OVER (ORDER BY r_name) - 1 AS INTEGER) AS _index FROM region
+""")(_row_index)
+
+
+def _preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.sources.catalog import preview_frame
+    return preview_frame(dataset(spark, sf_dir, "nation"), 50)
+
+
+register("preview_nation", """
+SELECT *, CAST(count(*) OVER () AS BIGINT) AS total_rows FROM nation
+""")(_preview)
+
+
+def _browse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.sources.catalog import SourceCatalog
+    cat = SourceCatalog(spark)
+    cat.add_parquet("warehouse", {t: f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("region", "nation", "orders")})
+    return cat.browse("warehouse")
+
+
+register("source_browse", """
+SELECT table_name AS "table", column_name AS "column",
+       CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string'
+                      WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END AS type
+FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'orders')
+""")(_browse)
+
+
+def _sql_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.sources.sql import sql_dataset
+    register_views(spark, sf_dir)
+    return sql_dataset(spark, "SELECT n_regionkey, count(*) AS nations FROM nation GROUP BY n_regionkey").df
+
+
+register("sql_capped_result", """
+SELECT n_regionkey AS f1, count(*) AS f2 FROM nation GROUP BY n_regionkey
+""")(_sql_capped)
+
+
+def _proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.suggest import proposals_frame
+    return proposals_frame(dataset(spark, sf_dir, "orders"), goal="order value by segment")
+
+
+register("suggest_plans")(_proposals)
+
+
+# ---------------------------------------------------------------- more stream grains
+def _stream_week_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.session import scratch_dir
+    from planwise.streaming import read_latest, run_available, stream_plan
+    stream = stream_plan(_events_stream(spark, sf_dir), "ts", "week", [], "mean", "value", watermark="7 days")
+    data = run_available(stream, scratch_dir(spark, "stream-week"), mode="update")
+    return read_latest(spark, data, ["ts"]).withColumn("value", F.round("value", 6))
+
+
+register("stream_week_mean", """
+SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') || '/' ||
+       strftime(date_trunc('week', ts) + INTERVAL 6 DAY, '%Y-%m-%d') AS ts, round(avg(value), 6) AS value
+FROM events GROUP BY 1
+""")(_stream_week_mean)
+
+
+def _stream_month_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.session import scratch_dir
+    from planwise.streaming import read_latest, run_available, stream_plan
+    stream = stream_plan(_events_stream(spark, sf_dir), "ts", "month", ["event_type"], "count")
+    data = run_available(stream, scratch_dir(spark, "stream-month"), mode="update")
+    return read_latest(spark, data, ["ts", "event_type"])
+
+
+register("stream_month_count", """
+SELECT strftime(ts, '%Y-%m') AS ts, event_type, count(*) AS value FROM events GROUP BY 1, 2
+""")(_stream_month_count)
