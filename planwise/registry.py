@@ -371,7 +371,8 @@ register("fingerprint")(_fingerprint)
 
 
 # ---------------------------------------------------------------- guarded SQL (Q1-Q11)
-SQL_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+SQL_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+              "documents", "labels", "conversations", "pages")
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=SQL_TABLES) -> None:
@@ -1035,3 +1036,67 @@ def _stream_month_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("stream_month_count", """
 SELECT strftime(ts, '%Y-%m') AS ts, event_type, count(*) AS value FROM events GROUP BY 1, 2
 """)(_stream_month_count)
+
+
+# ---------------------------------------------------------------- text tables (whole texts)
+plan_query("docs_by_lang", "documents", Plan(group_by=("lang",), metric="n_chars", aggregation="mean"),
+           "SELECT lang, round(avg(n_chars), 6) AS value FROM documents GROUP BY 1", decimals=6)
+plan_query("docs_contains_license", "documents",
+           Plan(group_by=("lang",), aggregation="count", filters=(Filter("text", "contains", "license"),)),
+           "SELECT lang, count(*) AS value FROM documents WHERE contains(text, 'license') GROUP BY 1")
+plan_query("labels_quality_by_toxic", "labels", Plan(group_by=("toxic",), metric="quality", aggregation="mean"),
+           "SELECT toxic, round(avg(quality), 6) AS value FROM labels GROUP BY 1", decimals=6)
+plan_query("conversations_roles", "conversations", Plan(group_by=("role",), metric="turn", aggregation="max"),
+           "SELECT role, max(turn) AS value FROM conversations GROUP BY 1")
+
+
+def _docs_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ds = Dataset.from_frame(table(spark, sf_dir, "documents").select("lang", "text"), source="documents")
+    return compile_plan(ds, Plan(group_by=("lang",), aggregation="count", duplicates="drop_exact")).df
+
+
+register("docs_dedupe_text", """
+SELECT lang, count(*) AS value FROM (SELECT DISTINCT lang, text FROM documents) GROUP BY 1
+""")(_docs_dedupe)
+
+
+def _docs_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.profile import duplicate_rows
+    return duplicate_rows(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+register("docs_duplicate_rows", """
+SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT lang, source, text FROM documents)) AS duplicate_rows
+FROM documents
+""")(_docs_dups)
+
+
+def _pages_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.profile import profile
+    return profile(dataset(spark, sf_dir, "pages")).select("field", "nulls", "unique")
+
+
+register("pages_profile", """
+SELECT 'page_id' AS field, count(*) - count(page_id) AS nulls, count(DISTINCT page_id) AS "unique" FROM pages
+UNION ALL SELECT 'url', count(*) - count(url), count(DISTINCT url) FROM pages
+UNION ALL SELECT 'html', count(*) - count(html), count(DISTINCT html) FROM pages
+""")(_pages_profile)
+
+
+def _docs_suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.review import summary_suspects
+    return summary_suspects(dataset(spark, sf_dir, "documents"))
+
+
+register("docs_review_suspects", """
+SELECT field, value, count(*) AS rows FROM (
+  SELECT 'text' AS field, lower(trim(text)) AS value FROM documents
+  UNION ALL SELECT 'lang', lower(trim(lang)) FROM documents
+  UNION ALL SELECT 'source', lower(trim(source)) FROM documents)
+WHERE value IN ('all', 'total', 'subtotal', 'grand total', '合计', '总计', '小计', '全部') GROUP BY 1, 2
+""")(_docs_suspects)
+
+sql_query("sql_docs_labels", """
+SELECT l.quality, l.toxic, count(*) AS docs, round(avg(d.n_chars), 6) AS avg_chars
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY l.quality, l.toxic
+""")
