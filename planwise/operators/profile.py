@@ -43,14 +43,12 @@ def _date(c: Column, fmt: str) -> Column:
     return F.try_to_timestamp(F.trim(c), F.lit(fmt)).cast("timestamp_ntz")
 
 
-def infer_types(df: DataFrame) -> DataFrame:
-    """One row per string column: (field, nonnull, numeric, dtype, date_format, mixed, infinite).
+def inference_aggregates(string_cols: list[str]) -> list[Column]:
+    """Per-column counts that decide each text column's dtype.
 
-    All counts come from a single aggregate over the table.
+    Usable inside any other aggregate over the same rows (ingestion fuses
+    them with its validation counts so an import scans the file once).
     """
-    string_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not string_cols:
-        raise DatasetError("no text columns to infer")
     aggs = []
     for i, c in enumerate(string_cols):
         col = F.col(c)
@@ -65,7 +63,12 @@ def infer_types(df: DataFrame) -> DataFrame:
         looks_like_date = col.rlike(DATE_PREFIX)
         aggs += [F.count(F.when(looks_like_date, _date(col, fmt))).alias(f"d{i}_{k}")
                  for k, fmt in enumerate(DATE_FORMATS)]
-    counts = df.agg(*aggs)
+    return aggs
+
+
+def inference_rows(counts: DataFrame, string_cols: list[str]) -> DataFrame:
+    """One row per text column from the counts of ``inference_aggregates``:
+    (field, nonnull, numeric, dtype, date_format, mixed, infinite)."""
     rows = []
     for i, c in enumerate(string_cols):
         n, num, pre = F.col(f"n{i}"), F.col(f"num{i}"), F.col(f"pre{i}")
@@ -87,6 +90,14 @@ def infer_types(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
+def infer_types(df: DataFrame) -> DataFrame:
+    """Dtype decision per text column, from a single aggregate over the table."""
+    string_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not string_cols:
+        raise DatasetError("no text columns to infer")
+    return inference_rows(df.agg(*inference_aggregates(string_cols)), string_cols)
+
+
 def strict_cast(df: DataFrame, column: str, dtype: str, name: str | None = None,
                 date_format: str | None = None) -> Column:
     """Checked conversion of a text column; raises with up to 3 bad samples.
@@ -124,18 +135,20 @@ def strict_cast(df: DataFrame, column: str, dtype: str, name: str | None = None,
     raise DatasetError(f"unknown dtype {dtype!r}")
 
 
-def type_dataset(ds: Dataset, overrides: dict[str, dict] | None = None) -> Dataset:
+def type_dataset(ds: Dataset, overrides: dict[str, dict] | None = None, inferred: dict | None = None) -> Dataset:
     """Infer dtypes of text columns (one job), apply overrides, cast.
 
     Inferred types can never fail their cast; overridden ones are checked.
+    ``inferred`` passes decisions already computed (e.g. during ingestion).
     """
     overrides = overrides or {}
     unknown = set(overrides) - set(ds.ids)
     if unknown:
         raise DatasetError(f"Unknown field ID: {sorted(unknown)[0]}")
     df = ds.df
-    inferred = {r["field"]: r for r in infer_types(df).collect()} if any(
-        isinstance(f.dataType, T.StringType) for f in df.schema.fields) else {}
+    if inferred is None:
+        inferred = {r["field"]: r for r in infer_types(df).collect()} if any(
+            isinstance(f.dataType, T.StringType) for f in df.schema.fields) else {}
     cols, fields, warnings = [], [], list(ds.warnings)
     for f in ds.fields:
         info = inferred.get(f.id)

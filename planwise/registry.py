@@ -863,13 +863,12 @@ FROM s GROUP BY user_id, sid
 def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole orders table written as CSV by Spark, then strictly imported
     and typed; must equal the Parquet original (keys become numbers)."""
-    from planwise.operators.profile import type_dataset
     from planwise.session import scratch_dir
     from planwise.sources.delimited import read_delimited
     out = scratch_dir(spark, "csv-roundtrip")
     (table(spark, sf_dir, "orders").write.mode("errorifexists").option("header", True)
      .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(f"{out}/orders"))
-    return type_dataset(read_delimited(spark, f"{out}/orders")).df
+    return read_delimited(spark, f"{out}/orders", infer=True).df
 
 
 register("csv_roundtrip", """

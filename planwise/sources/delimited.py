@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planwise.dataset import Dataset, DatasetError
+from planwise.operators.profile import inference_aggregates, inference_rows, type_dataset
 
 CORRUPT = "_corrupt_record"
 REPLACEMENT_CHAR = "�"
@@ -55,7 +56,14 @@ def read_delimited(
     multiline: bool = False,
     max_rows: int | None = None,
     check_blank_lines: bool = True,
+    infer: bool = False,
+    overrides: dict[str, dict] | None = None,
 ) -> Dataset:
+    """Strict import of a delimited file or folder.
+
+    ``infer=True`` also types the columns; the inference counts are computed
+    in the same aggregate as the validation counts (one scan of the data).
+    """
     if header_row < 1:
         raise IngestError("Header row starts at 1")
     delim = _delimiter(path, delimiter)
@@ -76,12 +84,14 @@ def read_delimited(
     bad_text = F.lit(False)
     for i in ids:
         bad_text = bad_text | F.coalesce(F.col(i).contains(REPLACEMENT_CHAR), F.lit(False))
-    checks = df.agg(
+    validation = [
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col(CORRUPT).isNotNull()).alias("ragged"),
         F.first(F.col(CORRUPT), ignorenulls=True).alias("example"),
         F.count_if(bad_text).alias("undecodable"),
-    ).first()
+    ]
+    counts_df = df.agg(*validation, *(inference_aggregates(ids) if infer else []))
+    checks = counts_df.first()
     if checks["ragged"]:
         hint = "" if multiline else " (set multiline=True if quoted fields contain line breaks)"
         raise IngestError(f"{checks['ragged']} rows do not have {len(ids)} columns, e.g. "
@@ -95,7 +105,13 @@ def read_delimited(
     if max_rows is not None and checks["rows"] > max_rows:
         raise IngestError("Row limit exceeded; no rows were imported")
     ds = Dataset.from_frame(df.drop(CORRUPT), names=names, positional_ids=False, source=path)
-    return ds.with_frame(ds.df, {"operation": "import", "source": path, "header_row": header_row})
+    ds = ds.with_frame(ds.df, {"operation": "import", "source": path, "header_row": header_row})
+    if not infer:
+        return ds
+    # The decisions are derived from the one-row counts already collected.
+    one_row = spark.createDataFrame([checks], counts_df.schema)
+    inferred = {r["field"]: r for r in inference_rows(one_row, ids).collect()}
+    return type_dataset(ds, overrides, inferred=inferred)
 
 
 def read_pasted(spark: SparkSession, text: str) -> Dataset:
