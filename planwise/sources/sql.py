@@ -40,12 +40,17 @@ def check_sql(sql: str) -> None:
 def guarded_sql(spark: SparkSession, sql: str) -> DataFrame:
     """Run one read-only query; the whole result stays a lazy DataFrame."""
     check_sql(sql)
-    spark.conf.set("spark.sql.runSQLOnFiles", "false")
     body = sql.strip().rstrip(";") if sql.strip().endswith(";") and sql.count(";") == 1 else sql
+    # Paths are resolved while the query is analysed, which happens inside
+    # spark.sql(); the caller's setting is restored afterwards.
+    previous = spark.conf.get("spark.sql.runSQLOnFiles", "true")
+    spark.conf.set("spark.sql.runSQLOnFiles", "false")
     try:
         return spark.sql(f"SELECT * FROM (\n{body}\n) AS guarded_query")
     except Exception as e:  # noqa: BLE001 - parse/analysis errors become guard errors
         raise SqlGuardError(f"Only one read-only SELECT query is supported: {str(e).splitlines()[0]}") from e
+    finally:
+        spark.conf.set("spark.sql.runSQLOnFiles", previous)
 
 
 def capped(df: DataFrame, limit: int = DEFAULT_ROW_LIMIT) -> DataFrame:
