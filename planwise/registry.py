@@ -1051,7 +1051,8 @@ plan_query("conversations_roles", "conversations", Plan(group_by=("role",), metr
 
 def _docs_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ds = Dataset.from_frame(table(spark, sf_dir, "documents").select("lang", "text"), source="documents")
-    return compile_plan(ds, Plan(group_by=("lang",), aggregation="count", duplicates="drop_exact")).df
+    return compile_plan(ds, Plan(group_by=("lang",), aggregation="count", duplicates="drop_exact"),
+                        dedupe_strategy="hash").df
 
 
 register("docs_dedupe_text", """
@@ -1099,3 +1100,15 @@ sql_query("sql_docs_labels", """
 SELECT l.quality, l.toxic, count(*) AS docs, round(avg(d.n_chars), 6) AS avg_chars
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY l.quality, l.toxic
 """)
+
+
+def _docs_dedupe_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash-first exact dedupe of whole documents (wide text rows)."""
+    from planwise.operators.dedupe import drop_exact_duplicates
+    docs = table(spark, sf_dir, "documents").select("lang", "source", "text")
+    return drop_exact_duplicates(docs, "hash").groupBy("lang").agg(F.count(F.lit(1)).alias("distinct_docs"))
+
+
+register("docs_dedupe_hash", """
+SELECT lang, count(*) AS distinct_docs FROM (SELECT DISTINCT lang, source, text FROM documents) GROUP BY 1
+""")(_docs_dedupe_hash)
