@@ -173,3 +173,40 @@ def test_filter_and_complement_cover_input(spark):
 def test_canonical_json_roundtrip():
     p = Plan(group_by=["a"], metric="m", filters=[Filter("a", "in", ["x", "y"])])
     assert Plan.from_json(p.canonical_json()) == p
+
+
+DEMO_ROWS = [
+    (0, "2026-01", 12000.0, 1000.0, 100.0), (0, "2026-02", 18000.0, 3000.0, 150.0), (0, "2026-03", 15000.0, 2000.0, 200.0),
+    (1, "2026-01", 9000.0, 800.0, 80.0), (1, "2026-02", 11000.0, 1200.0, 180.0), (1, "2026-03", 13000.0, 2000.0, 140.0),
+    (2, "2026-01", 17000.0, 1500.0, 120.0), (2, "2026-02", 21000.0, 2500.0, 300.0), (2, "2026-03", 19000.0, 1000.0, 150.0),
+    (3, "2026-01", 6000.0, 400.0, 40.0), (3, "2026-02", 8000.0, 800.0, 40.0), (3, "2026-03", 7000.0, 1200.0, 180.0),
+]
+
+
+def test_demo_ratios_and_top_sales(spark):
+    from planwise.functions.exprs import format_value
+    from planwise.operators.review import check_positive_finite
+    df = spark.createDataFrame(DEMO_ROWS, "region int, month string, sales double, visits double, orders double")
+    ds = frame(spark, DEMO_ROWS, "region int, month string, sales double, visits double, orders double")
+    check_positive_finite(df, "sales", "visits")
+    total = compile_plan(ds, Plan(group_by=["region"], metric="orders", denominator="visits", aggregation="ratio_total"))
+    mean = compile_plan(ds, Plan(group_by=["region"], metric="orders", denominator="visits", aggregation="ratio_mean"))
+    fmt = lambda res: {r["region"]: r["label"] for r in res.df.select("region", format_value(res.df["value"], "percent").alias("label")).collect()}
+    assert fmt(total)[0] == "7.50%" and fmt(mean)[0] == "8.33%"
+    top = compile_plan(ds, Plan(group_by=["region"], metric="sales", sort="desc")).df.first()
+    assert (top["region"], top["value"]) == (2, 57000.0)
+
+
+def test_conversion_fixture(spark):
+    ds = frame(spark, [("East", 1000.0, 100.0), ("East", 2000.0, 400.0), ("West", 1000.0, 100.0)],
+               "region string, visits double, orders double")
+    got = values(compile_plan(ds, Plan(group_by=["region"], metric="orders", denominator="visits",
+                                       aggregation="ratio_total")))
+    assert got[("East",)] == pytest.approx(500 / 3000) and got[("West",)] == pytest.approx(0.1)
+
+
+def test_positive_finite_guard(spark):
+    from planwise.operators.review import GuardError, check_positive_finite
+    bad = spark.createDataFrame([(1.0, 0.0)], "m double, d double")
+    with pytest.raises(GuardError):
+        check_positive_finite(bad, "m", "d")
