@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from planwise.dataset import Dataset
 from planwise.plans.compile import compile_plan
 from planwise.plans.plan import Filter, Plan
+from planwise.sources.parquet import read_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,7 +33,7 @@ def register(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def dataset(spark: SparkSession, sf_dir: str, name: str, derive: dict | None = None) -> Dataset:

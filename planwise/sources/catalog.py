@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planwise.dataset import Dataset
+from planwise.sources.parquet import read_parquet
 from planwise.sources.sql import SAFE_IDENTIFIER
 
 
@@ -49,7 +50,7 @@ class SourceCatalog:
         if kind == "parquet":
             if table not in loc:
                 raise UnknownSource(f"unknown table {table!r}")
-            return self.spark.read.parquet(loc[table])
+            return read_parquet(self.spark, loc[table])
         if kind == "sqlite":
             from planwise.sources.sqlite import read_sqlite
             return read_sqlite(self.spark, loc, table)
@@ -64,7 +65,7 @@ class SourceCatalog:
         kind, loc = self._get(source_id)
         if kind == "parquet":
             rows = [(t, f.name, f.dataType.simpleString()) for t in sorted(loc)
-                    for f in self.spark.read.parquet(loc[t]).schema.fields]
+                    for f in read_parquet(self.spark, loc[t]).schema.fields]
         elif kind == "sqlite":
             import sqlite3
             with sqlite3.connect(f"file:{loc}?mode=ro", uri=True) as con:
