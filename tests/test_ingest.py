@@ -7,7 +7,7 @@ import pytest
 from planwise import Dataset, Plan, compile_plan
 from planwise.dataset import DatasetError
 from planwise.operators.profile import duplicate_rows, fingerprint, infer_types, profile, type_dataset
-from planwise.operators.review import data_review, summary_suspects
+from planwise.operators.review import data_review, review_counts, review_frame, summary_suspects
 from planwise.sources.delimited import IngestError, read_delimited, read_pasted
 
 
@@ -124,3 +124,22 @@ def test_review_suspects_and_quality(spark):
     clean = Dataset.from_frame(spark.createDataFrame([("East", 100.0), ("East", 300.0), ("West", 200.0)], "r string, s double"))
     rev = data_review(clean)
     assert rev["rows"] == 3 and rev["exact_duplicate_rows"] == 0 and rev["possible_summary_rows"] == []
+
+
+def test_fused_review_counts_match_separate_passes(spark):
+    """The single-aggregate review equals the per-field suspects and the
+    duplicate count computed separately, with nulls and repeated rows."""
+    rows = [("A", "合计", 1.0), ("A", "合计", 1.0), ("total", None, 2.0), (None, "x", None),
+            ("全部", "ALL ", 3.0), ("全部", "ALL ", 3.0), ("全部", "ALL ", 3.0), ("B", "y", 4.0)]
+    df = spark.createDataFrame(rows, "a string, b string, v double")
+    ds = Dataset.from_frame(df)
+    counts = review_counts(ds).first()
+    assert counts["rows"] == 8
+    assert counts["exact_duplicate_rows"] == duplicate_rows(df).first()["duplicate_rows"] == 3
+    per_field = summary_suspects(ds).collect()
+    assert counts["suspect_rows"] == sum(r["rows"] for r in per_field) == 9
+    assert {r["metric"]: r["value"] for r in review_frame(ds).collect()} == {
+        "rows": 8, "exact_duplicate_rows": 3, "suspect_rows": 9}
+    rev = data_review(ds)
+    assert {(r["field"], r["value"]): r["rows"] for r in rev["possible_summary_rows"]} == {
+        ("a", "total"): 1, ("a", "全部"): 3, ("b", "合计"): 2, ("b", "all"): 3}
