@@ -8,10 +8,11 @@ keys are reduced map-side or split across tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from planwise.operators.joins import join_small
+from planwise.session import ensure_checkpoint_dir
 
 OPEN_STATUSES = ("queued", "running")
 # Fixed deadlines in seconds (they must equal the reference's defaults):
@@ -78,15 +79,41 @@ def recent(events: DataFrame, order: str, k: int = 30) -> DataFrame:
     return events.orderBy(F.col(order).desc()).limit(k)
 
 
-def history_depth(spark, revisions_view: str, id_col: str, parent_col: str) -> DataFrame:
-    """Ancestry depth of each revision via a recursive CTE over a view."""
-    return spark.sql(f"""
-        WITH RECURSIVE chain(id, root, depth) AS (
-          SELECT {id_col}, {id_col}, 0 FROM {revisions_view} WHERE {parent_col} IS NULL
-          UNION ALL
-          SELECT r.{id_col}, c.root, c.depth + 1 FROM {revisions_view} r JOIN chain c ON r.{parent_col} = c.id
-        )
-        SELECT id AS {id_col}, root, depth FROM chain""")
+def history_depth(revisions: DataFrame, id_col: str, parent_col: str) -> DataFrame:
+    """Root and depth of every revision reachable from a root (null parent).
+
+    Pointer doubling: each round moves every revision from its known
+    ancestor to that ancestor's known ancestor, so a chain of length L takes
+    about log2(L) rounds (a recursive CTE takes L, and stops at its recursion
+    limit).  A round is one join whose right side has one row per revision;
+    a popular ancestor on the left is split by AQE's skew join.  Lineage is
+    cut by a reliable checkpoint each round.  Revisions under a dangling
+    parent or on a cycle never reach a root and are left out, as in the
+    recursive definition.  Output: id, root, depth.
+    """
+    spark = revisions.sparkSession
+    ensure_checkpoint_dir(spark)
+    nodes = revisions.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"))
+    is_root = F.col("parent").isNull()
+    # (id, anc, dist): ``anc`` is the ancestor ``dist`` steps up; a root points at itself.
+    state = nodes.select("id", F.coalesce("parent", "id").alias("anc"),
+                         F.when(is_root, 0).otherwise(1).alias("dist")).checkpoint(eager=True)
+    total = state.count()
+    rounds = max(total, 2).bit_length() + 1  # enough to climb any acyclic chain
+    for _ in range(rounds):
+        hop = state.select(F.col("id").alias("_to"), F.col("anc").alias("_anc2"), F.col("dist").alias("_d2"))
+        moved = Observation()
+        state = (state.join(hop, F.col("anc") == F.col("_to"))
+                 .select("id", F.col("_anc2").alias("anc"), (F.col("dist") + F.col("_d2")).alias("dist"),
+                         (F.col("_d2") > 0).alias("_moved"))
+                 .observe(moved, F.count_if("_moved").alias("moved"))
+                 .drop("_moved")
+                 .checkpoint(eager=True))
+        if moved.get["moved"] == 0:
+            break
+    roots = nodes.filter(is_root).select(F.col("id").alias("anc"))
+    return (state.join(roots, "anc", "left_semi")
+            .select(F.col("id").alias(id_col), F.col("anc").alias("root"), F.col("dist").alias("depth")))
 
 
 def compare_and_set(results: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:

@@ -801,6 +801,53 @@ WHERE rank <= 30
 """)(_log_recent)
 
 
+# ---------------------------------------------------------------- revisions (L4, L5) on conversations
+# conversations as revision chains: each turn revises the previous turn of its
+# conversation; an assistant turn is a result computed for the user turn before
+# it, and a conversation's head is its latest user turn.
+def _revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = table(spark, sf_dir, "conversations")
+    rev = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    parent = F.when(F.col("turn") > 0, F.concat_ws(":", F.col("conv_id").cast("string"),
+                                                    (F.col("turn") - 1).cast("string")))
+    return conv.select(rev.alias("rev_id"), parent.alias("parent_id"))
+
+
+def _log_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.runlog import history_depth
+    return history_depth(_revisions(spark, sf_dir), "rev_id", "parent_id")
+
+
+register("log_history_depth", """
+WITH RECURSIVE revs AS (
+  SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS rev_id,
+         CASE WHEN turn > 0 THEN CAST(conv_id AS VARCHAR) || ':' || CAST(turn - 1 AS VARCHAR) END AS parent_id
+  FROM conversations),
+chain(id, root, depth) AS (
+  SELECT rev_id, rev_id, 0 FROM revs WHERE parent_id IS NULL
+  UNION ALL
+  SELECT r.rev_id, c.root, c.depth + 1 FROM revs r JOIN chain c ON r.parent_id = c.id)
+SELECT id AS rev_id, root, depth FROM chain
+""")(_log_history)
+
+
+def _log_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.runlog import compare_and_set
+    conv = table(spark, sf_dir, "conversations")
+    results = conv.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("generation"), "turn")
+    head = conv.filter(F.col("role") == "user").groupBy("conv_id").agg(F.max("turn").alias("generation"))
+    return compare_and_set(results, head, ["conv_id", "generation"])
+
+
+register("log_compare_and_set", """
+WITH r AS (SELECT conv_id, turn - 1 AS generation, turn FROM conversations WHERE role = 'assistant'),
+     s AS (SELECT conv_id, max(turn) AS generation FROM conversations WHERE role = 'user' GROUP BY conv_id)
+SELECT r.conv_id, r.generation, r.turn, s.conv_id IS NOT NULL AS accepted
+FROM r LEFT JOIN s ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.generation IS NOT DISTINCT FROM s.generation
+""")(_log_publish)
+
+
 # ---------------------------------------------------------------- streaming
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from planwise.streaming import event_stream

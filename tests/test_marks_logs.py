@@ -122,11 +122,32 @@ def test_compare_and_set(spark):
 
 
 def test_history_depth(spark):
-    spark.createDataFrame([("a", None), ("b", "a"), ("c", "b")], "id string, parent string").createOrReplaceTempView("revs")
-    depth = {r["id"]: r["depth"] for r in runlog.history_depth(spark, "revs", "id", "parent").collect()}
+    revs = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b")], "id string, parent string")
+    depth = {r["id"]: r["depth"] for r in runlog.history_depth(revs, "id", "parent").collect()}
     assert depth == {"a": 0, "b": 1, "c": 2}
 
 
+def test_history_depth_matches_recursive_cte(spark):
+    """Pointer doubling equals the recursive definition on a forest with a
+    long chain, a wide fan-out, a dangling parent and a cycle."""
+    rows = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(300)]          # one chain of 300
+    rows += [("r", None)] + [(f"k{i}", "r") for i in range(50)]                  # fan-out under one root
+    rows += [("x1", "missing"), ("x2", "x1"), ("y1", "y2"), ("y2", "y1")]       # dangling and cyclic
+    revs = spark.createDataFrame(rows, "id string, parent string")
+    got = {r["id"]: (r["root"], r["depth"]) for r in runlog.history_depth(revs, "id", "parent").collect()}
+    parent = dict(rows)
+    expect = {}
+    for node in parent:
+        seen, cur, d = set(), node, 0
+        while cur in parent and parent[cur] is not None and cur not in seen:
+            seen.add(cur)
+            cur, d = parent[cur], d + 1
+        if cur in parent and parent[cur] is None:
+            expect[node] = (cur, d)
+    assert got == expect
+    assert got["c299"] == ("c0", 299) and "x2" not in got and "y1" not in got
+
+
 def test_proposals_and_cache_key(spark):
     ds = Dataset.from_frame(spark.createDataFrame([("A", 1.0), ("B", 3.0)], "hospital string, visits double"))
     out = propose(ds, goal="penetration of hospitals")
