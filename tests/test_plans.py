@@ -210,3 +210,28 @@ def test_positive_finite_guard(spark):
     bad = spark.createDataFrame([(1.0, 0.0)], "m double, d double")
     with pytest.raises(GuardError):
         check_positive_finite(bad, "m", "d")
+
+
+@pytest.mark.parametrize("duplicates,missing,grain", [
+    ("keep", "exclude", "month"), ("drop_exact", "exclude", "month"), ("drop_exact", "keep", "none"),
+    ("keep", "keep", "day"),
+])
+def test_exact_report_equals_observed_report(spark, duplicates, missing, grain):
+    """The default report (its own aggregate, exact under task retries) has
+    the same counts as the observed fast path on the main job."""
+    import datetime
+    d = datetime.datetime
+    rows = [("A", 1.0, d(2026, 1, 1)), ("A", 1.0, d(2026, 1, 1)), ("B", None, d(2026, 1, 31)),
+            (None, 5.0, d(2026, 2, 3)), ("B", 7.0, None), ("C", 2.0, d(2026, 3, 9)), ("C", 2.0, d(2026, 3, 9)),
+            ("A", 9.0, d(2025, 12, 30))]
+    ds = Dataset.from_frame(spark.createDataFrame(rows, "g string, v double, t timestamp_ntz"))
+    group = ("t", "g") if grain != "none" else ("g",)
+    plan = Plan(group_by=group, metric="v", missing=missing, duplicates=duplicates, time_grain=grain,
+                filters=[Filter("v", "ne", 9.0)])
+    exact_rows, exact = compile_plan(ds, plan).collect()
+    obs_rows, observed = compile_plan(ds, plan).collect(exact_report=False)
+    assert sorted(map(tuple, exact_rows), key=repr) == sorted(map(tuple, obs_rows), key=repr)
+    for key in ("input_rows", "filtered_rows", "analyzed_rows", "missing_rows", "duplicate_rows_removed",
+                "observed_range"):
+        assert getattr(exact, key) == getattr(observed, key), key
+    assert exact.duplicate_rows_removed == (2 if duplicates == "drop_exact" else 0)
