@@ -53,9 +53,17 @@ def read_snapshot(spark: SparkSession, root: str, snapshot_id: str) -> Dataset:
                    tuple(meta.get("warnings", [])), tuple(meta.get("transforms", [])))
 
 
-def write_result(df: DataFrame, path: str, fmt: str = "json", report: dict | None = None) -> None:
+UTF8_BOM = "\ufeff"
+
+
+def write_result(df: DataFrame, path: str, fmt: str = "json", report: dict | None = None,
+                 bom: bool = True) -> None:
     """Result sink: JSON records, CSV (UTF-8 with header) or Parquet, plus
-    the plan report next to it."""
+    the plan report next to it.  CSV part files start with a byte-order mark
+    (spreadsheet tools need it to read UTF-8): it is written as the first
+    character of the header line of every part file."""
+    if fmt == "csv" and bom and df.columns:
+        df = df.withColumnRenamed(df.columns[0], UTF8_BOM + df.columns[0])
     writer = df.write.mode("errorifexists")
     if fmt == "csv":
         writer.option("header", True).csv(f"{path}/data")

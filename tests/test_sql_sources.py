@@ -84,3 +84,24 @@ def test_sqlite_source(spark, tmp_dir):
     assert got == {"East": 400.0, "West": 200.0}
     with pytest.raises(Exception):
         read_sqlite(spark, path, "orders; DROP TABLE orders").collect()
+
+
+def test_result_sinks(spark, tmp_dir):
+    """JSON records, CSV with a UTF-8 byte-order mark, Parquet, and the report next to them."""
+    import glob
+    import json
+
+    from planwise.sources.snapshot import write_result
+    df = spark.createDataFrame([("华东", 400.0), ("West", 200.0)], "region string, value double").repartition(2)
+    report = {"input_rows": 2, "warnings": ["w"]}
+    for fmt in ("json", "csv", "parquet"):
+        write_result(df, f"{tmp_dir}/{fmt}", fmt, report=report)
+    rows = [json.loads(line) for f in glob.glob(f"{tmp_dir}/json/data/part-*") for line in open(f, encoding="utf-8")]
+    assert sorted((r["region"], r["value"]) for r in rows) == [("West", 200.0), ("华东", 400.0)]
+    parts = [f for f in glob.glob(f"{tmp_dir}/csv/data/part-*") if os.path.getsize(f)]
+    assert parts and all(open(f, "rb").read().startswith(b"\xef\xbb\xbfregion,value") for f in parts)
+    back = spark.read.option("header", True).csv(f"{tmp_dir}/csv/data")
+    assert back.columns == ["region", "value"] and back.count() == 2
+    assert spark.read.parquet(f"{tmp_dir}/parquet/data").count() == 2
+    text = "".join(r["value"] for r in spark.read.text(f"{tmp_dir}/parquet/report.json").collect())
+    assert json.loads(text) == report
