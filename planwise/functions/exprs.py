@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,10 +19,17 @@ def guard(condition: Column, message: str, value: Column) -> Column:
     return F.when(condition, F.raise_error(F.lit(message))).otherwise(value)
 
 
+def quote_id(name: str) -> str:
+    """A column name as a SQL identifier (backticks doubled inside)."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def any_null(columns: list[str]) -> Column:
+    """True when any of ``columns`` is null.  Built as one SQL expression:
+    each Column-API call is a driver round trip, and plans ask for this often."""
     if not columns:
         return F.lit(False)
-    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
+    return F.expr(" OR ".join(f"{quote_id(c)} IS NULL" for c in columns))
 
 
 def week_label(col: Column) -> Column:

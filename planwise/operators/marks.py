@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planwise.functions.exprs import missing_label
+from planwise.functions.exprs import missing_label, quote_id
 from planwise.operators.joins import join_small
 from planwise.operators.review import GuardError, check_coordinates, check_non_negative, check_numeric_axis
 from planwise.session import ensure_checkpoint_dir
@@ -89,50 +89,50 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs=(0.25, 0.5, 0.7
     are fetched.  No task ever holds a whole group.
     Output: group, n, q0, q1, ... (one column per probability).
     """
+    # Expressions are written as SQL text: one driver round trip each,
+    # where the Column API needs several per operator.
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    rows = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    rows = df.selectExpr(f"{quote_id(group)} AS g", f"CAST({quote_id(value)} AS DOUBLE) AS v").where("v IS NOT NULL")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ranked = (rows.repartitionByRange(parts, "g", "v").sortWithinPartitions("g", "v")
-              .withColumn("_mid", F.monotonically_increasing_id())
+              .selectExpr("g", "v", "monotonically_increasing_id() AS _mid")
               .checkpoint(eager=True))  # freezes the ids the two passes below share
-    pid = F.shiftright(F.col("_mid"), _LOCAL_BITS)
-    local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
-    seg = ranked.groupBy(F.col("g"), pid.alias("pid")).agg(F.min(local).alias("first"), F.count(F.lit(1)).alias("cnt"))
+    local_mask = (1 << _LOCAL_BITS) - 1
+    seg = (ranked.selectExpr("g", f"shiftright(_mid, {_LOCAL_BITS}) AS pid", f"_mid & {local_mask} AS local")
+           .groupBy("g", "pid").agg(F.expr("min(local) AS first"), F.expr("count(1) AS cnt")))
     # Slices per group are at most the number of partitions.
-    seg = seg.withColumn("offset", F.sum("cnt").over(Window.partitionBy("g").orderBy("pid")) - F.col("cnt"))
-    n = seg.groupBy("g").agg(F.sum("cnt").alias("n"))
-    targets = n.select("g", "n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("qi", "p"))
-    targets = targets.select("g", "n", "qi", (F.col("p") * (F.col("n") - 1)).alias("pos"))
-    targets = targets.select("g", "n", "qi", "pos", F.explode(F.array(
-        F.floor("pos").cast("bigint"), F.ceil("pos").cast("bigint"))).alias("rank")).distinct()
+    seg = seg.selectExpr("*", "sum(cnt) OVER (PARTITION BY g ORDER BY pid) - cnt AS offset")
+    n = seg.groupBy("g").agg(F.expr("sum(cnt) AS n"))
+    prob_list = ", ".join(f"CAST({float(p)!r} AS DOUBLE)" for p in probs)
+    targets = (n.selectExpr("g", "n", f"posexplode(array({prob_list})) AS (qi, p)")
+               .selectExpr("g", "n", "qi", "p * (n - 1) AS pos")
+               .selectExpr("g", "n", "qi", "pos",
+                           "explode(array(CAST(floor(pos) AS BIGINT), CAST(ceil(pos) AS BIGINT))) AS rank")
+               .distinct())
     located = (targets.join(seg, "g")
-               .filter((F.col("rank") >= F.col("offset")) & (F.col("rank") < F.col("offset") + F.col("cnt")))
-               .select("g", "n", "qi", "pos", "rank",
-                       (F.shiftleft(F.col("pid"), _LOCAL_BITS) + F.col("first") + F.col("rank") - F.col("offset"))
-                       .alias("_mid")))
+               .where("rank >= offset AND rank < offset + cnt")
+               .selectExpr("g", "n", "qi", "pos", "rank",
+                           f"shiftleft(pid, {_LOCAL_BITS}) + first + rank - offset AS _mid"))
     picked = join_small(ranked.select("_mid", "v"), located, "_mid")
-    per_q = picked.groupBy("g", "n", "qi", "pos").agg(
-        F.min_by("v", "rank").alias("lo_v"), F.max_by("v", "rank").alias("hi_v"))
-    frac = F.col("pos") - F.floor("pos")
-    per_q = per_q.select("g", "n", "qi", (F.col("lo_v") + (F.col("hi_v") - F.col("lo_v")) * frac).alias("q"))
-    wide = per_q.groupBy("g", "n").pivot("qi", list(range(len(probs)))).agg(F.first("q"))
-    return wide.select(F.col("g").alias(group), "n", *[F.col(str(i)).alias(f"q{i}") for i in range(len(probs))])
+    per_q = (picked.groupBy("g", "n", "qi", "pos").agg(F.expr("min_by(v, rank) AS lo_v"), F.expr("max_by(v, rank) AS hi_v"))
+             .selectExpr("g", "n", "qi", "lo_v + (hi_v - lo_v) * (pos - floor(pos)) AS q"))
+    wide = per_q.groupBy("g", "n").pivot("qi", list(range(len(probs)))).agg(F.expr("first(q)"))
+    return wide.selectExpr(f"g AS {quote_id(group)}", "n", *[f"`{i}` AS q{i}" for i in range(len(probs))])
 
 
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, 1.5*IQR whiskers at observed values, and outlier counts."""
-    q = exact_quantiles(df, group, value).select(
-        group, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
-    iqr = F.col("q3") - F.col("q1")
-    q = q.select("*", (F.col("q1") - 1.5 * iqr).alias("lo_fence"), (F.col("q3") + 1.5 * iqr).alias("hi_fence"))
-    rows = df.select(group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    g = quote_id(group)
+    q = exact_quantiles(df, group, value).selectExpr(
+        g, "n", "q0 AS q1", "q1 AS median", "q2 AS q3",
+        "q0 - 1.5 * (q2 - q0) AS lo_fence", "q2 + 1.5 * (q2 - q0) AS hi_fence")
+    rows = df.selectExpr(g, f"CAST({quote_id(value)} AS DOUBLE) AS _v").where("_v IS NOT NULL")
     joined = join_small(rows, q, group)
-    v = F.col("_v")
     return joined.groupBy(group, "n", "q1", "median", "q3").agg(
-        F.min(F.when(v >= F.col("lo_fence"), v)).alias("lower_whisker"),
-        F.max(F.when(v <= F.col("hi_fence"), v)).alias("upper_whisker"),
-        F.count_if((v < F.col("lo_fence")) | (v > F.col("hi_fence"))).alias("outliers"))
+        F.expr("min(CASE WHEN _v >= lo_fence THEN _v END) AS lower_whisker"),
+        F.expr("max(CASE WHEN _v <= hi_fence THEN _v END) AS upper_whisker"),
+        F.expr("count_if(_v < lo_fence OR _v > hi_fence) AS outliers"))
 
 
 def box_outliers(df: DataFrame, group: str, value: str) -> DataFrame:

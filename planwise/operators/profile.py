@@ -39,29 +39,83 @@ def _number(c: Column) -> Column:
     return F.when(c.rlike(NUMBER_PATTERN), F.trim(c).try_cast("double"))
 
 
-def _date(c: Column, fmt: str) -> Column:
+def _layout_key(fmt: str) -> str:
+    """The shape of the texts a layout parses: each run of pattern letters
+    becomes ``9``, quoted and punctuation characters stay as they are
+    (``yyyy-M-d H:m`` -> ``9-9-9 9:9``).  A text can only parse in a layout
+    whose key equals its own ``_value_layout``."""
+    out, i = [], 0
+    while i < len(fmt):
+        ch = fmt[i]
+        if ch == "'":
+            j = fmt.index("'", i + 1)
+            out.append(fmt[i + 1:j].upper())
+            i = j + 1
+        elif ch.isalpha():
+            while i < len(fmt) and fmt[i] == ch:
+                i += 1
+            out.append("9")
+        else:
+            out.append(ch)
+            i += 1
+    return "".join(out)
+
+
+def _value_layout(c: Column) -> Column:
+    """A text's shape in the same alphabet: digit runs become ``9``."""
+    return F.upper(F.regexp_replace(F.trim(c), r"\d+", "9"))
+
+
+def _parse(c: Column, fmt: str) -> Column:
     return F.try_to_timestamp(F.trim(c), F.lit(fmt)).cast("timestamp_ntz")
 
 
+def _date(c: Column, fmt: str) -> Column:
+    """Text -> timestamp in layout ``fmt`` (null when it does not parse).
+
+    The parse only runs on texts of the layout's shape: a failed
+    ``try_to_timestamp`` is an exception inside the JVM, and probing every
+    layout on every value that way costs far more than one shape test.
+    """
+    return F.when(_value_layout(c) == F.lit(_layout_key(fmt)), _parse(c, fmt))
+
+
+def inference_inputs(string_cols: list[str]) -> list[Column]:
+    """Per-row parse results the inference counts read, one column each.
+
+    Computed once per row in a projection (the number parse is counted twice
+    and the date prefix guards every layout); add them with
+    ``select("*", *inference_inputs(cols))`` before ``inference_aggregates``.
+    """
+    out = []
+    for i, c in enumerate(string_cols):
+        col = F.col(c)
+        pre = col.rlike(DATE_PREFIX)
+        out += [_number(col).alias(f"_num{i}"), pre.alias(f"_pre{i}"),
+                F.when(pre, _value_layout(col)).alias(f"_lay{i}")]
+    return out
+
+
 def inference_aggregates(string_cols: list[str]) -> list[Column]:
-    """Per-column counts that decide each text column's dtype.
+    """Per-column counts that decide each text column's dtype, over the
+    columns of ``inference_inputs``.
 
     Usable inside any other aggregate over the same rows (ingestion fuses
     them with its validation counts so an import scans the file once).
     """
     aggs = []
     for i, c in enumerate(string_cols):
-        col = F.col(c)
+        col, num, pre = F.col(c), F.col(f"_num{i}"), F.col(f"_pre{i}")
         aggs += [
             F.count(col).alias(f"n{i}"),
-            F.count(_number(col)).alias(f"num{i}"),
-            F.count_if(col.rlike(DATE_PREFIX)).alias(f"pre{i}"),
-            F.count_if(F.abs(_number(col)) == float("inf")).alias(f"inf{i}"),
+            F.count(num).alias(f"num{i}"),
+            F.count_if(pre).alias(f"pre{i}"),
+            F.count_if(F.abs(num) == float("inf")).alias(f"inf{i}"),
         ]
-        # A date column needs every value to match the prefix, so formats are
+        # A date column needs every value to match the prefix, so layouts are
         # only probed on values that do (parsing is the expensive part).
-        looks_like_date = col.rlike(DATE_PREFIX)
-        aggs += [F.count(F.when(looks_like_date, _date(col, fmt))).alias(f"d{i}_{k}")
+        lay = F.col(f"_lay{i}")
+        aggs += [F.count(F.when(lay == F.lit(_layout_key(fmt)), _parse(col, fmt))).alias(f"d{i}_{k}")
                  for k, fmt in enumerate(DATE_FORMATS)]
     return aggs
 
@@ -95,7 +149,8 @@ def infer_types(df: DataFrame) -> DataFrame:
     string_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not string_cols:
         raise DatasetError("no text columns to infer")
-    return inference_rows(df.agg(*inference_aggregates(string_cols)), string_cols)
+    counts = df.select(*string_cols, *inference_inputs(string_cols)).agg(*inference_aggregates(string_cols))
+    return inference_rows(counts, string_cols)
 
 
 def strict_cast(df: DataFrame, column: str, dtype: str, name: str | None = None,

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planwise.dataset import Dataset, DatasetError
-from planwise.operators.profile import inference_aggregates, inference_rows, type_dataset
+from planwise.operators.profile import inference_aggregates, inference_inputs, inference_rows, type_dataset
 
 CORRUPT = "_corrupt_record"
 REPLACEMENT_CHAR = "�"
@@ -90,7 +90,8 @@ def read_delimited(
         F.first(F.col(CORRUPT), ignorenulls=True).alias("example"),
         F.count_if(bad_text).alias("undecodable"),
     ]
-    counts_df = df.agg(*validation, *(inference_aggregates(ids) if infer else []))
+    scanned = df.select("*", *inference_inputs(ids)) if infer else df
+    counts_df = scanned.agg(*validation, *(inference_aggregates(ids) if infer else []))
     checks = counts_df.first()
     if checks["ragged"]:
         hint = "" if multiline else " (set multiline=True if quoted fields contain line breaks)"

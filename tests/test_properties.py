@@ -93,3 +93,27 @@ def test_time_bucket_groups_match_labels(spark, days, grain):
     assert set(got) == set(expect)
     for k, v in expect.items():
         assert (got[k] is None and v is None) or math.isclose(got[k], v, rel_tol=1e-9, abs_tol=1e-9)
+
+
+DATE_PIECES = st.lists(st.one_of(
+    st.sampled_from(["2026", "1999", "12345", "26", "-", "/", " ", "  ", "\t", ":", ".", "T", "t", "+", "x"]),
+    st.integers(0, 99).map(str), st.integers(0, 999999).map(str)), min_size=1, max_size=12).map("".join)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(texts=st.lists(st.one_of(DATE_PIECES, st.sampled_from([
+    "2026-01-31", " 2026-1-1 ", "2026/02/03 04:05", "2026-02-30", "2026-1-1T3:4:5", "2026-1-1t03:04:05.123",
+    "2026-12-31 23:59:59.999999", "2026-1-1 1:2:3.", "+2026-1-1", "2026-1-1 24:00"])), min_size=1, max_size=40))
+def test_layout_guard_never_hides_a_parse(spark, texts):
+    """Guarding each layout's parse with its shape regex gives exactly the
+    unguarded try_to_timestamp result, value by value."""
+    from pyspark.sql import functions as F
+
+    from planwise.operators.profile import DATE_FORMATS, _date
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    cols = []
+    for k, fmt in enumerate(DATE_FORMATS):
+        plain = F.try_to_timestamp(F.trim("s"), F.lit(fmt)).cast("timestamp_ntz")
+        cols.append(F.count_if(~_date(F.col("s"), fmt).eqNullSafe(plain)).alias(f"diff{k}"))
+    diffs = df.agg(*cols).first()
+    assert all(v == 0 for v in diffs), diffs
