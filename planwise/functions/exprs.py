@@ -24,6 +24,11 @@ def quote_id(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def sql_literal(text: str) -> str:
+    """Text as a Spark SQL string literal (backslash and quote escaped)."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def any_null(columns: list[str]) -> Column:
     """True when any of ``columns`` is null.  Built as one SQL expression:
     each Column-API call is a driver round trip, and plans ask for this often."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from planwise.dataset import Dataset, DatasetError, Field
+from planwise.functions.exprs import quote_id, sql_literal
 
 # Number grammar accepted by the reference's numeric parser (decimal or
 # scientific, optional sign, surrounding blanks; inf/infinity parse but are
@@ -238,29 +239,22 @@ def profile(ds: Dataset, approx: bool = False) -> DataFrame:
     which keep memory bounded on very wide or very large tables; exact
     distinct counts shuffle each column's distinct values once.
     """
-    distinct = F.approx_count_distinct if approx else F.count_distinct
     aggs = []
     for i, f in enumerate(ds.fields):
-        c = F.col(f.id)
-        aggs += [F.count_if(c.isNull()).alias(f"nulls{i}"), distinct(c).alias(f"unique{i}")]
+        c = quote_id(f.id)
+        aggs += [f"count_if({c} IS NULL) AS nulls{i}",
+                 (f"approx_count_distinct({c})" if approx else f"count(DISTINCT {c})") + f" AS unique{i}"]
         if f.dtype in ("number", "date"):
-            aggs += [F.min(c).cast("string").alias(f"min{i}"), F.max(c).cast("string").alias(f"max{i}")]
+            aggs += [f"CAST(min({c}) AS STRING) AS min{i}", f"CAST(max({c}) AS STRING) AS max{i}"]
         else:
-            aggs += [F.lit(None).cast("string").alias(f"min{i}"), F.lit(None).cast("string").alias(f"max{i}")]
-    stats = ds.df.agg(*aggs)
-    rows = [
-        F.struct(
-            F.lit(f.id).alias("field"),
-            F.lit(f.name).alias("name"),
-            F.lit(f.dtype).alias("dtype"),
-            F.col(f"nulls{i}").cast("bigint").alias("nulls"),
-            F.col(f"unique{i}").cast("bigint").alias("unique"),
-            F.col(f"min{i}").alias("min"),
-            F.col(f"max{i}").alias("max"),
-        )
-        for i, f in enumerate(ds.fields)
-    ]
-    return stats.select(F.inline(F.array(*rows)))
+            aggs += [f"CAST(NULL AS STRING) AS min{i}", f"CAST(NULL AS STRING) AS max{i}"]
+    # SQL text keeps plan building to a few driver round trips for any width.
+    stats = ds.df.selectExpr(*aggs)
+    rows = ", ".join(
+        f"{sql_literal(f.id)}, {sql_literal(f.name)}, {sql_literal(f.dtype)}, "
+        f"CAST(nulls{i} AS BIGINT), CAST(unique{i} AS BIGINT), min{i}, max{i}"
+        for i, f in enumerate(ds.fields))
+    return stats.selectExpr(f"stack({len(ds.fields)}, {rows}) AS (field, name, dtype, nulls, unique, min, max)")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

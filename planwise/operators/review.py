@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planwise.dataset import Dataset
+from planwise.functions.exprs import quote_id, sql_literal
 
 # Labels that often mark summary rows inside data (they must
 # equal the reference's list).
@@ -20,9 +21,13 @@ class GuardError(ValueError):
     """Input that a chart or plan must reject (never silently repaired)."""
 
 
+# Unicode-aware trim (ideographic spaces included).
+TRIM_PATTERN = r"(?U)^\s+|\s+$"
+
+
 def _normalised(col):
-    # Unicode-aware trim (ideographic spaces included), then lower case.
-    return F.lower(F.regexp_replace(col, r"(?U)^\s+|\s+$", ""))
+    # Trimmed, then lower case.
+    return F.lower(F.regexp_replace(col, TRIM_PATTERN, ""))
 
 
 def summary_suspects(ds: Dataset) -> DataFrame:
@@ -47,14 +52,14 @@ def review_counts(ds: Dataset) -> DataFrame:
     """
     ids = [f.id for f in ds.fields if f.dtype == "string"]
     grouped = ds.df.groupBy(*ds.df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    cells = F.lit(0)
-    for c in ids:
-        cells = cells + F.coalesce(_normalised(F.col(c)).isin(list(SUMMARY_LABELS)).cast("int"), F.lit(0))
-    n = F.col("_n")
-    return grouped.agg(
-        F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("rows"),
-        F.coalesce(F.sum(n - 1), F.lit(0)).cast("bigint").alias("exact_duplicate_rows"),
-        F.coalesce(F.sum(n * cells), F.lit(0)).cast("bigint").alias("suspect_rows"))
+    labels = ", ".join(sql_literal(x) for x in SUMMARY_LABELS)
+    trim = sql_literal(TRIM_PATTERN)
+    cells = " + ".join(f"coalesce(CAST(lower(regexp_replace({quote_id(c)}, {trim}, '')) IN ({labels}) AS INT), 0)"
+                       for c in ids) or "0"
+    return grouped.selectExpr(
+        "CAST(coalesce(sum(_n), 0) AS BIGINT) AS rows",
+        "CAST(coalesce(sum(_n - 1), 0) AS BIGINT) AS exact_duplicate_rows",
+        f"CAST(coalesce(sum(_n * ({cells})), 0) AS BIGINT) AS suspect_rows")
 
 
 def data_review(ds: Dataset) -> dict:

@@ -376,16 +376,19 @@ SQL_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lin
               "documents", "labels", "conversations", "pages")
 
 
-def register_views(spark: SparkSession, sf_dir: str, names=SQL_TABLES) -> None:
+def register_views(spark: SparkSession, sf_dir: str, names=SQL_TABLES, sql: str | None = None) -> None:
+    """Views over the tables; with ``sql``, only the tables it names."""
+    import re
     for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+        if sql is None or re.search(rf"(?i)\b{name}\b", sql):
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
 def sql_query(name: str, sql: str, spark_sql: str | None = None):
     """Same text in both engines unless a dialect difference forces two."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from planwise.sources.sql import guarded_sql
-        register_views(spark, sf_dir)
+        register_views(spark, sf_dir, sql=spark_sql or sql)
         return guarded_sql(spark, spark_sql or sql)
     register(name, sql)(run)
 

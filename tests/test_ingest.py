@@ -143,3 +143,18 @@ def test_fused_review_counts_match_separate_passes(spark):
     rev = data_review(ds)
     assert {(r["field"], r["value"]): r["rows"] for r in rev["possible_summary_rows"]} == {
         ("a", "total"): 1, ("a", "全部"): 3, ("b", "合计"): 2, ("b", "all"): 3}
+
+
+def test_sql_text_helpers_survive_awkward_names(spark):
+    """Profile and review build SQL text; quotes, backticks, backslashes and
+    non-ASCII in names and labels must round-trip through Spark's parser."""
+    from planwise.functions.exprs import quote_id, sql_literal
+    texts = ["it's", "a\\b", "合计", "x`y", "line\nbreak", "\\'"]
+    got = spark.sql("SELECT " + ", ".join(f"{sql_literal(t)} AS c{i}" for i, t in enumerate(texts))).first()
+    assert list(got) == texts
+    df = spark.createDataFrame([("合计", 1.0), ("b", None)], "`we'ird name` string, `v\\x` double")
+    ds = Dataset.from_frame(df)
+    prof = {r["field"]: r for r in profile(ds).collect()}
+    assert prof["we'ird name"]["unique"] == 2 and prof["v\\x"]["nulls"] == 1 and prof["v\\x"]["max"] == "1.0"
+    assert review_counts(ds).first()["suspect_rows"] == 1
+    assert spark.range(1).selectExpr(f"1 AS {quote_id('a`b')}").columns == ["a`b"]
