@@ -229,7 +229,7 @@ def test_exact_report_equals_observed_report(spark, duplicates, missing, grain):
     plan = Plan(group_by=group, metric="v", missing=missing, duplicates=duplicates, time_grain=grain,
                 filters=[Filter("v", "ne", 9.0)])
     exact_rows, exact = compile_plan(ds, plan).collect()
-    obs_rows, observed = compile_plan(ds, plan).collect(exact_report=False)
+    obs_rows, observed = compile_plan(ds, plan, observe=True).collect(exact_report=False)
     assert sorted(map(tuple, exact_rows), key=repr) == sorted(map(tuple, obs_rows), key=repr)
     for key in ("input_rows", "filtered_rows", "analyzed_rows", "missing_rows", "duplicate_rows_removed",
                 "observed_range"):
