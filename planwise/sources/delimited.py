@@ -9,12 +9,15 @@ line breaks (a file is then parsed by one task).
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planwise.dataset import Dataset, DatasetError
 from planwise.operators.profile import inference_aggregates, inference_inputs, inference_rows, type_dataset
 
+BLANK = "_blank_line"
 CORRUPT = "_corrupt_record"
 REPLACEMENT_CHAR = "�"
 
@@ -36,15 +39,29 @@ def _reader(spark: SparkSession, delim: str, encoding: str, multiline: bool):
             .option("columnNameOfCorruptRecord", CORRUPT).option("nullValue", "").option("emptyValue", ""))
 
 
-def _header_lines(spark: SparkSession, path: str, header_row: int, delim: str, encoding: str,
-                  multiline: bool) -> DataFrame:
-    """Records from the header row on.  Row 1 needs no work; a later header
-    row drops the physical lines above it (index from one distributed pass)."""
+def _header_lines(spark: SparkSession, path: str, header_row: int, encoding: str) -> DataFrame | None:
+    """Physical lines from the header row on, as ``(value, _line)``.
+
+    Row 1 needs no work.  For a later header row the lines above it are
+    dropped by position: ``monotonically_increasing_id`` numbers the rows of
+    the first input split 0, 1, 2, ... and the file's first lines are there.
+    That the whole preamble lies in that split is checked (one filtered
+    count), never assumed.  Everything stays JVM-side.
+    """
     if header_row == 1:
         return None
-    lines = spark.read.option("encoding", encoding).text(path).rdd.zipWithIndex()
-    kept = lines.filter(lambda p: p[1] >= header_row - 1).map(lambda p: p[0][0])
-    return kept
+    skip = header_row - 1
+    lines = (spark.read.option("encoding", encoding).text(path)
+             .withColumn("_line", F.monotonically_increasing_id()))
+    if lines.filter(F.col("_line") < skip).count() != skip:
+        raise IngestError(f"Header row {header_row} is not within the first lines of the file")
+    return lines.filter(F.col("_line") >= skip)
+
+
+def _split_header(line: str, delim: str) -> list[str | None]:
+    """Cells of the one header line (driver-side: a single line)."""
+    cells = next(csv.reader([line], delimiter=delim, quotechar='"', doublequote=True), [])
+    return [c if c != "" else None for c in cells]
 
 
 def read_delimited(
@@ -71,21 +88,40 @@ def read_delimited(
     spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
     if encoding.lower().replace("-", "") in ("gb18030",):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    source = _header_lines(spark, path, header_row, delim, encoding, multiline)
+    if header_row > 1 and multiline:
+        raise IngestError("A header row after row 1 needs single-line records (multiline=False)")
+    source = _header_lines(spark, path, header_row, encoding)
     reader = _reader(spark, delim, encoding, multiline)
-    head = (reader.option("header", False).csv(source if source is not None else path).limit(1).collect())
-    if not head or all(v is None for v in head[0]):
+    if source is None:
+        head = reader.option("header", False).csv(path).limit(1).collect()
+        head = list(head[0]) if head else []
+    else:
+        first = source.filter(F.col("_line") == header_row - 1).select("value").collect()
+        head = _split_header(first[0]["value"], delim) if first else []
+    if not head or all(v is None for v in head):
         raise IngestError("Empty header")
-    names = [v if v is not None else "Unnamed" for v in head[0]]
+    names = [v if v is not None else "Unnamed" for v in head]
     ids = [f"f{i + 1}" for i in range(len(names))]
     schema = ", ".join(f"`{i}` string" for i in ids) + f", `{CORRUPT}` string"
-    df = reader.schema(schema).option("header", True).csv(source if source is not None else path)
+    if source is None:
+        df = reader.schema(schema).option("header", True).csv(path)
+    else:
+        # Records below the header, parsed by Spark's CSV parser per line.
+        # Blank lines are flagged (counted in the validation aggregate below,
+        # then dropped as the file reader drops them).
+        body = source.filter(F.col("_line") > header_row - 1)
+        options = {"sep": delim, "quote": '"', "escape": '"', "mode": "PERMISSIVE",
+                   "columnNameOfCorruptRecord": CORRUPT, "nullValue": "", "emptyValue": ""}
+        df = body.select(F.from_csv(F.col("value"), schema, options).alias("_r"),
+                         (F.trim(F.col("value")) == "").alias(BLANK)).select("_r.*", BLANK)
+    blank_line = F.col(BLANK) if BLANK in df.columns else F.lit(False)
 
     bad_text = F.lit(False)
     for i in ids:
         bad_text = bad_text | F.coalesce(F.col(i).contains(REPLACEMENT_CHAR), F.lit(False))
     validation = [
-        F.count(F.lit(1)).alias("rows"),
+        F.count_if(~blank_line).alias("rows"),
+        F.count_if(blank_line).alias("blank_lines"),
         F.count_if(F.col(CORRUPT).isNotNull()).alias("ragged"),
         F.first(F.col(CORRUPT), ignorenulls=True).alias("example"),
         F.count_if(bad_text).alias("undecodable"),
@@ -99,10 +135,15 @@ def read_delimited(
                           f"{checks['example']!r}; fix the delimiter{hint}")
     if checks["undecodable"]:
         raise IngestError(f"Encoding failed: {checks['undecodable']} rows are not valid {encoding}")
-    if check_blank_lines and not multiline and source is None:
-        blank = spark.read.option("encoding", encoding).text(path).filter(F.trim(F.col("value")) == "").limit(1).count()
+    if check_blank_lines and not multiline:
+        # The file reader drops blank lines silently, so they are counted on
+        # the text: here from the header-row path's flag, else by one text scan.
+        blank = checks["blank_lines"] if source is not None else spark.read.option("encoding", encoding).text(
+            path).filter(F.trim(F.col("value")) == "").limit(1).count()
         if blank:
             raise IngestError("Blank lines are rows with zero cells; remove them")
+    if BLANK in df.columns:
+        df = df.filter(~F.col(BLANK)).drop(BLANK)
     if max_rows is not None and checks["rows"] > max_rows:
         raise IngestError("Row limit exceeded; no rows were imported")
     ds = Dataset.from_frame(df.drop(CORRUPT), names=names, positional_ids=False, source=path)

@@ -158,3 +158,21 @@ def test_sql_text_helpers_survive_awkward_names(spark):
     assert prof["we'ird name"]["unique"] == 2 and prof["v\\x"]["nulls"] == 1 and prof["v\\x"]["max"] == "1.0"
     assert review_counts(ds).first()["suspect_rows"] == 1
     assert spark.range(1).selectExpr(f"1 AS {quote_id('a`b')}").columns == ["a`b"]
+
+
+def test_header_row_three_stays_in_spark(spark, tmp_dir):
+    """A later header row: preamble dropped by position, records parsed by
+    Spark's CSV parser, ragged and blank lines still rejected."""
+    path = write(tmp_dir, "h3.csv", b'report,2026\n\nregion,"amount, total",day\nEast,100,2026-01-01\n'
+                 b'"We""st",,2026-01-02\n')
+    ds = type_dataset(read_delimited(spark, path, header_row=3, check_blank_lines=True))
+    assert [f.name for f in ds.fields] == ["region", "amount, total", "day"]
+    assert [f.dtype for f in ds.fields] == ["string", "number", "date"]
+    assert sorted((r["f1"], r["f2"]) for r in ds.df.collect()) == [("East", 100.0), ('We"st', None)]
+    ragged = write(tmp_dir, "r3.csv", b"x\nname,value\nA,1\nB,2,3\n")
+    with pytest.raises(IngestError, match="do not have 2 columns"):
+        read_delimited(spark, ragged, header_row=2)
+    blank = write(tmp_dir, "b3.csv", b"x\nname,value\nA,1\n\nB,2\n")
+    with pytest.raises(IngestError, match="Blank lines"):
+        read_delimited(spark, blank, header_row=2)
+    assert read_delimited(spark, blank, header_row=2, check_blank_lines=False).df.count() == 2
