@@ -4,7 +4,9 @@ Prints ONE JSON line.  Each query runs once cold, then BENCH_REPEATS warm
 times; the reported value per query is the warm median in seconds.  Queries
 execute fully through Spark's ``noop`` sink (no driver collection).  The
 reference's own micro-benchmark (grouped sum of 20 text groups) is rebuilt
-with ``spark.range`` at 1M and 10M rows.
+with ``spark.range`` at 1M and 10M rows, and once more at ``BENCH_SCALE_ROWS``
+(default 100M, 0 skips it) as a throughput point reported under ``scale``:
+it is not part of the summed ``value``, so that stays comparable between runs.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from planwise.session import build_session  # noqa: E402
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 REPEATS = int(os.environ.get("BENCH_REPEATS", "5"))
+SCALE_ROWS = int(os.environ.get("BENCH_SCALE_ROWS", str(100_000_000)))
 
 HEADLINE = [
     "plan_monthly_revenue",
@@ -89,6 +92,13 @@ def main() -> None:
         cold[key] = round(c, 4)
         rows_per_s[key] = round(n / statistics.median(w))
         ds.df.unpersist()
+    scale = {}
+    if SCALE_ROWS:
+        ds = synthetic(spark, SCALE_ROWS)
+        c, w = timed(lambda d=ds: compile_plan(d, grouped).df)
+        scale = {"rows": SCALE_ROWS, "warm_median_sec": round(statistics.median(w), 4), "cold_sec": round(c, 4),
+                 "rows_per_sec": round(SCALE_ROWS / statistics.median(w))}
+        ds.df.unpersist()
     rows_per_s["agg_sum"] = round(lineitem_rows / queries["agg_sum"])
     total = round(sum(queries.values()), 4)
     print(json.dumps({
@@ -98,6 +108,7 @@ def main() -> None:
         "queries": queries,
         "cold": cold,
         "rows_per_sec": rows_per_s,
+        "scale": scale,
         "sf": os.path.basename(SF_DIR.rstrip("/")).replace("sf", ""),
         "lineitem_rows": lineitem_rows,
         "cpus": CPUS,
