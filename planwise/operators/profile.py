@@ -6,6 +6,8 @@ Inference and profiling each run as ONE aggregate job over all columns
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -235,15 +237,37 @@ def type_dataset(ds: Dataset, overrides: dict[str, dict] | None = None, inferred
 def profile(ds: Dataset, approx: bool = False) -> DataFrame:
     """Per-field nulls, distinct non-null values and min/max text (number/date).
 
-    One aggregate job.  ``approx=True`` uses HyperLogLog distinct counts,
-    which keep memory bounded on very wide or very large tables; exact
-    distinct counts shuffle each column's distinct values once.
+    Exact (default): one job whose branches each read ONE column, group it on
+    its own values (a hot value collapses map-side to one row per task) and
+    derive everything from the distinct values and their counts - nulls are
+    the count of the null group, min/max are over the distinct values.  So
+    each column is read once and only narrow distinct values are shuffled
+    (a single aggregate with one ``count(DISTINCT)`` per column would have
+    Spark copy every row once per column before its shuffle).
+    ``approx=True`` computes HyperLogLog distinct counts in a single
+    aggregate instead (bounded memory for very wide or very large tables).
     """
+    if approx:
+        return _profile_approx(ds)
+    branches = []
+    for f in ds.fields:
+        q = quote_id(f.id)
+        minmax = (["CAST(min(v) AS STRING) AS min", "CAST(max(v) AS STRING) AS max"]
+                  if f.dtype in ("number", "date") else ["CAST(NULL AS STRING) AS min", "CAST(NULL AS STRING) AS max"])
+        branches.append(
+            ds.df.selectExpr(f"{q} AS v").groupBy("v").agg(F.expr("count(1) AS n"))
+            .selectExpr(f"{sql_literal(f.id)} AS field", f"{sql_literal(f.name)} AS name",
+                        f"{sql_literal(f.dtype)} AS dtype",
+                        "CAST(coalesce(sum(CASE WHEN v IS NULL THEN n END), 0) AS BIGINT) AS nulls",
+                        "CAST(count(v) AS BIGINT) AS unique", *minmax))
+    return reduce(DataFrame.unionByName, branches)
+
+
+def _profile_approx(ds: Dataset) -> DataFrame:
     aggs = []
     for i, f in enumerate(ds.fields):
         c = quote_id(f.id)
-        aggs += [f"count_if({c} IS NULL) AS nulls{i}",
-                 (f"approx_count_distinct({c})" if approx else f"count(DISTINCT {c})") + f" AS unique{i}"]
+        aggs += [f"count_if({c} IS NULL) AS nulls{i}", f"approx_count_distinct({c}) AS unique{i}"]
         if f.dtype in ("number", "date"):
             aggs += [f"CAST(min({c}) AS STRING) AS min{i}", f"CAST(max({c}) AS STRING) AS max{i}"]
         else:

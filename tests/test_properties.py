@@ -117,3 +117,22 @@ def test_layout_guard_never_hides_a_parse(spark, texts):
         cols.append(F.count_if(~_date(F.col("s"), fmt).eqNullSafe(plain)).alias(f"diff{k}"))
     diffs = df.agg(*cols).first()
     assert all(v == 0 for v in diffs), diffs
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=st.lists(st.tuples(GROUPS, VALUES), min_size=1, max_size=40), hot=st.integers(0, 60))
+def test_profile_matches_brute_force(spark, rows, hot):
+    """Per-column nulls, distinct values and min/max, with one value repeated
+    ``hot`` extra times (a hot key collapses map-side)."""
+    from planwise.operators.profile import profile
+    rows = rows + [("a", 7.0)] * hot
+    ds = Dataset.from_frame(spark.createDataFrame(rows, "g string, v double"))
+    got = {r["field"]: r for r in profile(ds).collect()}
+    for i, name in enumerate(("g", "v")):
+        vals = [r[i] for r in rows]
+        nn = [x for x in vals if x is not None]
+        assert got[name]["nulls"] == len(vals) - len(nn)
+        assert got[name]["unique"] == len(set(nn))
+    nn = [r[1] for r in rows if r[1] is not None]
+    assert got["v"]["min"] == (str(min(nn)) if nn else None) and got["v"]["max"] == (str(max(nn)) if nn else None)
+    assert got["g"]["min"] is None and got["g"]["dtype"] == "string"
