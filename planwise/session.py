@@ -29,6 +29,25 @@ DEFAULT_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, partition_bytes: int = 128 << 20, max_partitions: int = 200_000) -> dict[str, str]:
+    """Shuffle sizing for an input of ``input_bytes``.
+
+    The initial shuffle partition count is chosen so a partition of the
+    largest shuffle holds about ``partition_bytes`` (one input split's worth);
+    AQE then coalesces small partitions to the advisory size at run time and
+    splits skewed ones, so over-provisioning the count is cheap while
+    under-provisioning spills.  Pass the result as ``build_session(extra=...)``.
+    """
+    parts = max(1, min(max_partitions, -(-int(input_bytes) // partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+    }
+
+
 def build_session(
     master: str = "local[*]",
     app_name: str = "planwise",

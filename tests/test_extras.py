@@ -50,3 +50,13 @@ def test_registered_queries_all_have_callables():
     import __spark_entry__ as entry
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(q) and len(q) >= 90
+
+
+def test_scale_conf_sizes_shuffles():
+    from planwise.session import scale_conf
+    conf = scale_conf(10 * (1 << 40))  # 10 TiB -> 81,920 partitions of 128 MiB
+    assert conf["spark.sql.shuffle.partitions"] == "81920"
+    assert scale_conf(100 * (1 << 40))["spark.sql.shuffle.partitions"] == "200000"  # capped
+    assert conf["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == conf["spark.sql.shuffle.partitions"]
+    assert scale_conf(1)["spark.sql.shuffle.partitions"] == "1"
+    assert scale_conf(10 ** 18)["spark.sql.shuffle.partitions"] == "200000"
