@@ -263,9 +263,11 @@ def kpi_table(result: DataFrame, label: str, value: str, descending: bool = True
 
 def top_evidence(result: DataFrame, value: str, keys: list[str], limit: int = MAX_EVIDENCE) -> DataFrame:
     """First ``limit`` groups by value (desc) with 1-based IDs and the total
-    group count.  The top-k runs per partition before one small merge."""
+    group count.  The top-k runs per partition before one small merge; the
+    total is a scalar subquery of the same lazy query (Catalyst prunes it to
+    counting the group keys, reading only the key columns)."""
     order = [F.col(value).desc_nulls_last(), *[F.col(k).asc_nulls_last() for k in keys]]
-    total = result.count()
+    total = result.agg(F.count(F.lit(1))).scalar()
     top = result.orderBy(*order).limit(limit)
     return (top.withColumn("evidence_id", F.row_number().over(Window.orderBy(*order)))
-            .withColumn("total_groups", F.lit(total)))
+            .withColumn("total_groups", total))

@@ -89,4 +89,6 @@ def preview(ds: Dataset, rows: int = 50) -> tuple[list, int]:
 
 
 def preview_frame(ds: Dataset, rows: int = 50) -> DataFrame:
-    return ds.df.limit(rows).withColumn("total_rows", F.lit(ds.df.count()))
+    """The first ``rows`` rows with the table's total row count (a scalar
+    subquery of the same lazy query)."""
+    return ds.df.limit(rows).withColumn("total_rows", ds.df.agg(F.count(F.lit(1))).scalar())
