@@ -63,18 +63,23 @@ def stream_plan(events: DataFrame, ts: str, grain: str, keys: list[str], aggrega
                 metric: str | None = None, denominator: str | None = None, watermark: str = "1 day") -> DataFrame:
     """A plan's aggregate on a stream, bucketed by event time.
 
-    Day and week use event-time windows so finished buckets leave the state
-    store once the watermark passes; month and year buckets are kept.
+    Day and week use event-time windows.  Months and years are not fixed
+    durations, so their bucket start (``date_trunc``) becomes the event-time
+    column that carries the watermark and is grouped on.  Either way a
+    finished bucket leaves the state store once the watermark passes it, and
+    rows older than the watermark are dropped as late.
     """
     if aggregation not in STREAMABLE_AGGREGATIONS:
         raise ValueError(f"aggregation {aggregation!r} cannot run incrementally")
-    df = events.withWatermark(ts, watermark)
     value = value_expression(aggregation, metric, denominator).alias("value")
     if grain in ("day", "week"):
+        df = events.withWatermark(ts, watermark)
         win = F.window(ts, "1 day") if grain == "day" else F.window(ts, "7 days", "7 days", WEEK_START_OFFSET)
         out = df.groupBy(win.alias("w"), *keys).agg(value)
         return out.select(time_bucket(F.col("w.start"), grain).alias(ts), *keys, "value")
-    return df.groupBy(time_bucket(F.col(ts), grain).alias(ts), *keys).agg(value)
+    df = events.withColumn("_bucket", F.date_trunc(grain, F.col(ts))).withWatermark("_bucket", watermark)
+    out = df.groupBy("_bucket", *keys).agg(value)
+    return out.select(time_bucket(F.col("_bucket"), grain).alias(ts), *keys, "value")
 
 
 def run_available(stream: DataFrame, out_dir: str, mode: str = "append") -> str:

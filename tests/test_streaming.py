@@ -57,3 +57,27 @@ def test_tail_and_stream_plan_incremental(spark, tmp_dir):
     assert sorted(r["seq"] for r in spark.read.parquet(tail).collect()) == [1, 3, 4]
     sums = {(r["ts"], r["status"]): r["value"] for r in read_latest(spark, plan, ["ts", "status"]).collect()}
     assert sums == {("2026-01-05", "completed"): 7.0, ("2026-01-05", "running"): 3.0, ("2026-01-05", "failed"): 4.0}
+
+
+def test_month_buckets_finalise_after_watermark(spark, tmp_dir):
+    """Month buckets carry the watermark on their start: in append mode a
+    month is emitted (and leaves the state store) once a later month has
+    moved the watermark past it; a row older than the watermark is dropped."""
+    src = os.path.join(tmp_dir, "months")
+    jan = dt.datetime(2026, 1, 10)
+    _drop(spark, src, "b1", [(1, "a", "done", jan, 2.0), (2, "b", "done", jan + dt.timedelta(days=3), 3.0)])
+    schema = spark.createDataFrame([], SCHEMA).schema
+    out = scratch_dir(spark, "months")
+
+    def run():
+        stream = event_stream(spark, src + "/*", schema, time_col="ts")
+        return run_available(stream_plan(stream, "ts", "month", ["status"], "sum", "value"), out, mode="append")
+
+    run()
+    _drop(spark, src, "b2", [(3, "c", "done", dt.datetime(2026, 3, 2), 5.0)])
+    run()
+    _drop(spark, src, "b3", [(4, "d", "done", dt.datetime(2026, 1, 20), 100.0),   # late: January is closed
+                             (5, "e", "done", dt.datetime(2026, 3, 5), 1.0)])
+    data = run()
+    got = {(r["ts"], r["status"]): r["value"] for r in spark.read.parquet(data).collect()}
+    assert got == {("2026-01", "done"): 5.0}
