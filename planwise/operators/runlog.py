@@ -8,7 +8,7 @@ keys are reduced map-side or split across tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from planwise.operators.joins import join_small
@@ -34,14 +34,17 @@ def latest_state(events: DataFrame, run: str, seq: str) -> DataFrame:
 
 def overdue_runs(latest: DataFrame, status: str, updated: str, as_of,
                  limits: dict[str, int] | None = None) -> DataFrame:
-    """Open runs whose last update is older than their status's deadline."""
+    """Open runs whose last update is older than their status's deadline.
+    ``as_of`` is a timestamp value or a Column (e.g. a scalar subquery such
+    as the log's latest event time)."""
     limits = limits or {"queued": QUEUE_TIMEOUT_S, "running": RUNNING_TIMEOUT_S}
     deadline = None
     for st, seconds in limits.items():
         cond = F.col(status) == st
         secs = F.lit(seconds)
         deadline = F.when(cond, secs) if deadline is None else deadline.when(cond, secs)
-    age = F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.col(updated).cast("timestamp"))
+    now = as_of if isinstance(as_of, Column) else F.lit(as_of)
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(updated).cast("timestamp"))
     return (latest.withColumn("deadline_s", deadline)
             .filter(F.col("deadline_s").isNotNull() & (age > F.col("deadline_s") * F.lit(1_000_000)))
             .withColumn("age_s", age / F.lit(1_000_000)))

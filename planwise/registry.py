@@ -767,7 +767,7 @@ def _log_overdue(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "running") \
         .otherwise(F.col("event_type"))
     latest = latest_state(ev.withColumn("status", status), "user_id", "event_id")
-    as_of = ev.agg(F.max("ts")).first()[0]
+    as_of = ev.agg(F.max("ts")).scalar()
     return overdue_runs(latest, "status", "ts", as_of).select("user_id", "status", "deadline_s")
 
 
