@@ -87,5 +87,4 @@ def missing_label(col: Column) -> Column:
 
 def sort_key(name: str, ascending: bool = True) -> Column:
     """Nulls last in both directions (pandas ``sort_values`` default)."""
-    c = F.col(name)
-    return c.asc_nulls_last() if ascending else c.desc_nulls_last()
+    return F.asc_nulls_last(name) if ascending else F.desc_nulls_last(name)
