@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from planwise.llm.lm_score import op1_lm_score
+from planwise.llm.near_dedup import op5_near_dedup
+from planwise.llm.substrings import op8_substring_dedup
 
-QUERIES = {"op1_lm_score": op1_lm_score}
+QUERIES = {"op1_lm_score": op1_lm_score, "op5_near_dedup": op5_near_dedup,
+           "op8_substring_dedup": op8_substring_dedup}
 ORACLE: dict[str, str] = {}
