@@ -4,8 +4,17 @@ from __future__ import annotations
 
 from planwise.llm.lm_score import op1_lm_score
 from planwise.llm.near_dedup import op5_near_dedup
+from planwise.llm.packing import op2_packing
 from planwise.llm.substrings import op8_substring_dedup
+from planwise.llm.warc import ORACLE_OP4, op4_warc
 
-QUERIES = {"op1_lm_score": op1_lm_score, "op5_near_dedup": op5_near_dedup,
-           "op8_substring_dedup": op8_substring_dedup}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "op1_lm_score": op1_lm_score,
+    "op2_packing": op2_packing,
+    "op4_warc": op4_warc,
+    "op5_near_dedup": op5_near_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
+}
+ORACLE: dict[str, str] = {
+    "op4_warc": ORACLE_OP4,
+}
