@@ -6,6 +6,7 @@ from planwise.llm.lm_score import op1_lm_score
 from planwise.llm.near_dedup import op5_near_dedup
 from planwise.llm.packing import op2_packing
 from planwise.llm.substrings import op8_substring_dedup
+from planwise.llm.topk import ORACLE_OP9, op9_exact_topk
 from planwise.llm.warc import ORACLE_OP4, op4_warc
 
 QUERIES = {
@@ -14,7 +15,9 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_near_dedup": op5_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_exact_topk": op9_exact_topk,
 }
 ORACLE: dict[str, str] = {
     "op4_warc": ORACLE_OP4,
+    "op9_exact_topk": ORACLE_OP9,
 }
