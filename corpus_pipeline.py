@@ -1,18 +1,63 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and reread by the next."""
+"""Corpus pipeline over ``documents``: filter, deduplicate, decontaminate and pack.
+
+Each stage takes all that its predecessor kept and returns the columns of
+``documents``; the last returns packed pieces.  A text that loses words keeps
+the others joined by one space, and its ``n_chars`` is counted anew.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from planwise.llm.common import stored, table
+from planwise.llm.decontaminate import contaminated
+from planwise.llm.near_dedup import near_duplicates
+from planwise.llm.packing import pack_documents, public_tokenizer
+from planwise.llm.quality import classify
+from planwise.llm.substrings import remove_repeats
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity fits their language's trusted text."""
+    kept = classify(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near duplicates (five words, 0.8)."""
+    kept = near_duplicates(docs, width=5).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of repeated windows; a text that loses nothing stays as it is."""
+    cut = stored(remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept"), "repeats-cut")
+    out = docs.join(cut, "doc_id", "left")
+    text = F.coalesce("kept", "text")
+    return (out.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length(text)))
+            .withColumn("text", text).select(docs.columns))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    leaks = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents in sequences of 2048 ids."""
+    return pack_documents(docs, public_tokenizer())
+
 
-STAGES = []
+STAGES = [("quality classifier", quality_classifier), ("near dedup", near_dedup), ("substring dedup", substring_dedup),
+          ("decontamination", decontamination), ("packing", packing)]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # trained models and tokenizers; tests compare each stage with a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

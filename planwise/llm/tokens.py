@@ -16,6 +16,8 @@ CHUNK = 4 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+WORDS_ONLY = np.zeros(256, bool)  # separators that also drop ASCII punctuation and controls
+WORDS_ONLY[[b for b in range(128) if not chr(b).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20260).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,10 +57,10 @@ def chunks(texts: Iterable[bytes], size: int = CHUNK) -> Iterable[list[bytes]]:
 class Tokens:
     """Word positions of a list of texts: ``start``, ``end`` in ``data``, ``first`` word and ``count`` of each text."""
 
-    def __init__(self, texts: list[bytes], lower: bool):
+    def __init__(self, texts: list[bytes], lower: bool, separators: np.ndarray = _SPACE):
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         self.data = _LOWER[data] if lower else data
-        space = _SPACE[data]
+        space = separators[data]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         if not space[0]:
             edge = np.concatenate([[0], edge])
