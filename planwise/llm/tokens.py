@@ -12,7 +12,7 @@ import numpy as np
 
 from planwise.llm.common import mixed
 
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
