@@ -7,6 +7,8 @@ distinct key and block instead of once per word of the corpus.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,11 +86,20 @@ def iter_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator
         yield base | k, pa.Table.from_batches(held)
 
 
+def release() -> None:
+    """Give freed memory back, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def per_block(docs: DataFrame, fn: Callable[[int, pa.Table], Iterator[pa.RecordBatch]], schema: str,
               block_bytes: int = BLOCK_BYTES) -> DataFrame:
     def run(batches):
         for block, rows in iter_blocks(batches, block_bytes):
             yield from fn(block, rows)
+            del rows
+            release()
     return docs.mapInArrow(run, schema)
 
 

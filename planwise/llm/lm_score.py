@@ -4,7 +4,9 @@ The model is a trie of byte contexts of order 0 to ``order`` over the token
 stream of a text: its words, lower-cased A-Z, joined by one space, then an end
 mark.  Escapes follow method D (each distinct symbol gives half a count to the
 escape); symbols that a longer context has seen are excluded from the shorter
-ones; below order 0 the symbols not yet seen share the rest.
+ones, and are not counted there either (a shorter context counts a symbol once
+for each longer context that it followed); below order 0 the symbols not yet
+seen share the rest.
 
 Pretrained scoring counts windows in the training rows on Spark, so that the
 trie grows with the corpus and is never held in one place; adaptive scoring
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from planwise.llm import lookup
 from planwise.llm.bytegrams import suffix_bits, window_sums, windows, with_levels
-from planwise.llm.common import (KeyMap, byte_values, distinct, merged, packed_blocks, per_block, shard_count, stored,
-                                 table, text_bytes, unpack_block)
+from planwise.llm.common import (KeyMap, byte_values, distinct, merged, packed_blocks, per_block, release,
+                                 shard_count, stored, table, text_bytes, unpack_block)
 from planwise.llm.tokens import Tokens, chunks
 
 ORDER = 5
@@ -69,7 +71,7 @@ def ppm_levels(grams: DataFrame, order: int) -> list[tuple[DataFrame, DataFrame]
     counts = [grams.select(F.col("key").alias("g"), F.col("n"))]
     for k in reversed(range(order)):
         counts.append(stored(counts[-1].groupBy(F.col("g").bitwiseAND(F.lit(suffix_bits(k))).alias("g"))
-                             .agg(F.sum("n").alias("n")), f"lm-order{k}"))
+                             .agg(F.count("*").alias("n")), f"lm-order{k}"))
     counts.reverse()
     levels = []
     for k, c in enumerate(counts):
@@ -143,6 +145,8 @@ def score(docs: DataFrame, train, text: str = "text", doc_id: str = "doc_id", or
             n_known.append(known + (end > 0))
             base.append(logs + math.log10((end + 1) / whole))
             sums.append(window_sums(gram_map, gram_p, *tokens.stream(), order))
+        del word_map, gram_map, word_keys, gram_keys, word_n, gram_p
+        release()
         n = rows.num_rows
         return pa.table({"id": rows["_id"], "held_out": pc.invert(rows["_train"]),
                          "n_tokens": pa.array(np.concatenate(n_tokens), pa.int64()),
@@ -168,7 +172,7 @@ def coded(trie: dict[bytes, Counter], text: str | None, order: int, learn: bool)
     data = b"\xff" * order + b" ".join(_words((text or "").encode())) + b"\xff"
     total = 0.0
     for i in range(order, len(data)):
-        symbol, excluded, p = data[i], set(), None
+        symbol, excluded, p, found = data[i], set(), None, 0
         for k in range(order, -1, -1):
             node = trie.get(data[i - k:i])
             if node is None:
@@ -176,14 +180,14 @@ def coded(trie: dict[bytes, Counter], text: str | None, order: int, learn: bool)
             live = {s: c for s, c in node.items() if s not in excluded}
             mass = sum(live.values())
             if symbol in live:
-                p = (2 * live[symbol] - 1) / (2 * mass)
+                p, found = (2 * live[symbol] - 1) / (2 * mass), k
                 break
             if live:
                 total += math.log10(len(live) / (2 * mass))
             excluded = set(node)
         total += math.log10(p) if p is not None else -math.log10(256 - len(excluded))
         if learn:
-            for k in range(order + 1):
+            for k in range(found, order + 1):
                 trie.setdefault(data[i - k:i], Counter())[symbol] += 1
     return total
 
