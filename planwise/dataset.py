@@ -88,7 +88,7 @@ class Dataset:
         )
         warnings = ()
         if len(set(display)) != len(display):
-            warnings = ("Duplicate headers retained with stable IDs",)
+            warnings = ("some headers repeat; the fields differ by their IDs",)
         return cls(df=df, fields=fields, source=source, warnings=warnings)
 
     # ---- lookups --------------------------------------------------------
@@ -130,5 +130,5 @@ class Dataset:
             "source": self.source,
             "fields": [f.__dict__.copy() for f in self.fields],
             "warnings": list(self.warnings),
-            "transforms": list(self.transforms),
+            "transforms": [dict(t) for t in self.transforms],
         }

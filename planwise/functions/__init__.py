@@ -1,5 +1,5 @@
 from planwise.functions.exprs import (
-    any_null,
+    any_missing,
     format_value,
     guard,
     missing_label,
@@ -8,4 +8,4 @@ from planwise.functions.exprs import (
     week_label,
 )
 
-__all__ = ["any_null", "format_value", "guard", "missing_label", "sort_key", "time_bucket", "week_label"]
+__all__ = ["any_missing", "format_value", "guard", "missing_label", "sort_key", "time_bucket", "week_label"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType, StructType
 
 # Fixed values shown to users (they must equal the reference's).
 MISSING_CATEGORY = "(missing)"
@@ -29,12 +30,24 @@ def sql_literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def any_null(columns: list[str]) -> Column:
-    """True when any of ``columns`` is null.  Built as one SQL expression:
-    each Column-API call is a driver round trip, and plans ask for this often."""
+def any_missing(columns: list[str], schema: StructType) -> Column:
+    """True when any of ``columns`` is null, or not a number in a floating-point
+    column.  Built as one SQL expression: each Column-API call is a driver
+    round trip, and plans ask for this often."""
     if not columns:
         return F.lit(False)
-    return F.expr(" OR ".join(f"{quote_id(c)} IS NULL" for c in columns))
+    test = lambda c: f"{quote_id(c)} IS NULL" + (f" OR isnan({quote_id(c)})" if is_float(schema, c) else "")
+    return F.expr(" OR ".join(test(c) for c in columns))
+
+
+def is_float(schema: StructType, column: str) -> bool:
+    return isinstance(schema[column].dataType, (DoubleType, FloatType))
+
+
+def without_nan(column: str, schema: StructType) -> Column:
+    """The column, with null for what is not a number."""
+    c = F.col(column)
+    return F.nanvl(c, F.lit(None).cast(schema[column].dataType)) if is_float(schema, column) else c
 
 
 def week_label(col: Column) -> Column:

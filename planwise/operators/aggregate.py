@@ -12,20 +12,21 @@ from pyspark.sql import functions as F
 
 from planwise.functions.exprs import guard
 
-ZERO_GROUP_DENOMINATOR = "Zero group denominator"
-ZERO_ROW_DENOMINATOR = "Zero row denominator"
+ZERO_GROUP_DENOMINATOR = "a group's denominators add up to zero"
+ZERO_ROW_DENOMINATOR = "a row has a zero denominator"
 
 
 def value_expression(aggregation: str, metric: str | None, denominator: str | None,
-                     checked: "callable[[Column], Column]" = lambda c: c) -> Column:
-    """Aggregate expression for ``value``.
+                     checked: "callable[[Column], Column]" = lambda c: c,
+                     column: "callable[[str], Column]" = F.col) -> Column:
+    """Aggregate expression for ``value``; ``column`` reads a field.
 
     ``checked`` wraps the per-row input so row-level guards (missing values)
     run inside the aggregate the query needs anyway.
     """
     if aggregation == "count":
         return F.count(checked(F.lit(1)))
-    m = checked(F.col(metric))
+    m = checked(column(metric))
     if aggregation == "sum":
         return F.sum(m)
     if aggregation == "mean":
@@ -34,7 +35,7 @@ def value_expression(aggregation: str, metric: str | None, denominator: str | No
         return F.min(m)
     if aggregation == "max":
         return F.max(m)
-    d = F.col(denominator)
+    d = column(denominator)
     if aggregation == "ratio_total":
         num, den = F.sum(m), F.sum(d)
         return guard(den == 0, ZERO_GROUP_DENOMINATOR, num / den)

@@ -1,12 +1,12 @@
 """Exact removal of duplicate rows, with a hash-first variant for wide rows.
 
 ``shuffle`` is Spark's ``dropDuplicates``: every distinct row of every task
-crosses the network once.  ``hash`` first counts 64-bit row hashes (an
-8-byte shuffle); a row whose hash occurs once cannot have a duplicate and
-is kept where it is, and only rows sharing a hash go through an exact
-``dropDuplicates``.  The result is exact either way (colliding but different
-rows are compared in full).  ``hash`` pays a second scan of the input to
-avoid shuffling wide, mostly unique rows.
+crosses the network once.  ``hash`` counts 64-bit row hashes first (an 8-byte
+shuffle); a row whose hash occurs once has no duplicate.  If the hashes that
+occur more often are few enough to broadcast (their number is measured), the
+other rows stay where they are and only rows that share a hash go through an
+exact ``dropDuplicates``; otherwise the whole table does.  The result is exact
+either way: colliding but different rows are compared in full.
 """
 
 from __future__ import annotations
@@ -14,20 +14,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planwise.session import ensure_checkpoint_dir
+
 HASH_COL = "_row_hash"
+BROADCAST_HASHES = 1_000_000  # of eight bytes each
 
 
-def drop_exact_duplicates(df: DataFrame, strategy: str = "shuffle") -> DataFrame:
+def drop_exact_duplicates(df: DataFrame, strategy: str = "shuffle", broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     if strategy == "shuffle":
         return df.dropDuplicates()
     if strategy != "hash":
         raise ValueError("strategy must be 'shuffle' or 'hash'")
+    ensure_checkpoint_dir(df.sparkSession)
     cols = df.columns
     hashed = df.withColumn(HASH_COL, F.xxhash64(*[F.col(c) for c in cols]))
     repeated = (hashed.groupBy(HASH_COL).agg(F.count(F.lit(1)).alias("_n"))
-                .filter(F.col("_n") > 1).select(HASH_COL))
-    # The repeated-hash set is an aggregate: AQE broadcasts it when its
-    # measured size is small, so unique rows never leave their task.
-    unique_rows = hashed.join(repeated, HASH_COL, "left_anti")
-    shared = hashed.join(repeated, HASH_COL, "left_semi").dropDuplicates(cols)
+                .filter(F.col("_n") > 1).select(HASH_COL).checkpoint(eager=True))
+    if repeated.count() > broadcast_hashes:
+        return df.dropDuplicates()
+    unique_rows = hashed.join(F.broadcast(repeated), HASH_COL, "left_anti")
+    shared = hashed.join(F.broadcast(repeated), HASH_COL, "left_semi").dropDuplicates(cols)
     return unique_rows.unionByName(shared).drop(HASH_COL)

@@ -33,10 +33,11 @@ def predicate(flt: Filter, dtype: str) -> Column:
         return col == lit
     if op == "ne":
         return ~col.eqNullSafe(lit) if dtype in ("number", "date") else col != lit
-    if op == "gt":
-        return col > lit
-    if op == "gte":
-        return col >= lit
+    if op in ("gt", "gte"):
+        over = col > lit if op == "gt" else col >= lit
+        # Spark orders NaN above every number; here it is missing.  The
+        # comparison stays a conjunct of its own and reaches the scan.
+        return over & ~F.isnan(col.cast("double")) if dtype == "number" else over
     if op == "lt":
         return col < lit
     if op == "lte":

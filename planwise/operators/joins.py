@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Bound for broadcasting a side whose size is known before the join runs.
-MAX_BROADCAST_ROWS = 1_000_000
+from planwise.session import ensure_checkpoint_dir
+
+# A side of at most this many rows of a few plain columns is broadcast.
+BROADCAST_ROWS = 100_000
+SALTS = 16
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               known_rows: int | None = None) -> DataFrame:
-    """Join ``small`` (typically one row per group) onto ``big``.
+def join_stats(big: DataFrame, stats: DataFrame, keys: list[str], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join ``stats`` (one row per group) onto ``big``; a null key is a group.
 
-    When the caller knows the small side's row count and it is under the
-    bound, it is broadcast outright.  Otherwise the join is left to adaptive
-    execution: the small side is an aggregate, so it is materialised as a
-    shuffle stage first and AQE broadcasts it only if its measured size is
-    under ``spark.sql.adaptive.autoBroadcastJoinThreshold`` - a size check
-    that costs no second computation.  Above the threshold the join stays a
-    shuffle join and AQE's skew handling splits a hot key's partition.
+    The statistics are materialised as a job of their own, so their size is
+    known before the join is planned.  Up to ``broadcast_rows`` they are
+    broadcast and ``big`` stays where it is.  Beyond that every statistics
+    row is repeated once per salt and ``big`` is dealt by key and salt, so a
+    key with a third of all rows is spread over ``SALTS`` tasks.
     """
-    if known_rows is not None and known_rows <= MAX_BROADCAST_ROWS:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
+    ensure_checkpoint_dir(big.sparkSession)
+    stats = stats.withColumnsRenamed({k: f"_key_{k}" for k in keys}).checkpoint(eager=True)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    if stats.count() <= broadcast_rows:
+        out = big.join(F.broadcast(stats), same)
+    else:
+        salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns, F.spark_partition_id()), F.lit(SALTS)).cast("int"))
+        copies = stats.withColumn("_salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = salted.join(copies, same & (F.col("_salt") == F.col("_salt_of"))).drop("_salt", "_salt_of")
+    return out.drop(*[f"_key_{k}" for k in keys])

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planwise.functions.exprs import missing_label, quote_id
-from planwise.operators.joins import join_small
+from planwise.operators.joins import join_stats
 from planwise.operators.review import GuardError, check_coordinates, check_non_negative, check_numeric_axis
 from planwise.session import ensure_checkpoint_dir
 
@@ -25,7 +27,6 @@ MAX_EVIDENCE = 100
 HISTOGRAM_BINS = 10
 VIOLIN_POINTS = 100
 PALETTE_SIZE = 10
-_LOCAL_BITS = 33  # monotonically_increasing_id = partition id << 33 | row index
 
 
 def _at_most(df: DataFrame, limit: int, what: str) -> DataFrame:
@@ -79,105 +80,117 @@ def histogram(df: DataFrame, value: str, bins: int = HISTOGRAM_BINS) -> DataFram
 
 
 # ---- V3 box --------------------------------------------------------------------
+def _value_counts(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Distinct (g, v) with their counts ``c``: equal values collapse before the shuffle."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return (df.selectExpr(f"{quote_id(group)} AS g", f"CAST({quote_id(value)} AS DOUBLE) AS v").where("v IS NOT NULL")
+            .groupBy("g", "v").agg(F.expr("count(1) AS c")).checkpoint(eager=True))
+
+
+def _running(batches):
+    """Numbers the sorted pairs of one partition: rows of the same group before each pair in it."""
+    task, last, before = TaskContext.get().partitionId(), (), 0
+    for batch in batches:
+        groups, counts, start = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
+        for g, c in zip(groups, counts):
+            if (g,) != last:
+                last, before = (g,), 0
+            start.append(before)
+            before += c
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), batch.column(2), pa.array([task] * len(start), pa.int32()),
+             pa.array(start, pa.int64())], ["g", "v", "c", "pid", "before"])
+
+
+def _quantiles(counts: DataFrame, probs) -> DataFrame:
+    """(g, n, q0, q1, ...) from the distinct values and their counts."""
+    spark = counts.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    g_type = counts.schema["g"].dataType.simpleString()
+    # Range partitions split a group at its values; pairs are distinct, so a
+    # value that fills most of a table is one pair and no task is hot.
+    ranked = (counts.repartitionByRange(parts, "g", "v").sortWithinPartitions("g", "v")
+              .mapInArrow(_running, f"g {g_type}, v double, c bigint, pid int, before bigint").checkpoint(eager=True))
+    seg = ranked.groupBy("g", "pid").agg(F.expr("sum(c) AS cnt"))  # at most one row per group and partition
+    seg = seg.selectExpr("g", "pid", "sum(cnt) OVER (PARTITION BY g ORDER BY pid) - cnt AS offset",
+                         "sum(cnt) OVER (PARTITION BY g) AS n")
+    prob_list = ", ".join(f"CAST({float(p)!r} AS DOUBLE)" for p in probs)
+    seg = seg.selectExpr("*", f"transform(array({prob_list}), p -> p * (n - 1)) AS at")
+    first = "offset + before"
+    hit = f"exists(at, p -> floor(p) >= {first} AND floor(p) < {first} + c OR ceil(p) >= {first} AND ceil(p) < {first} + c)"
+    near = join_stats(ranked, seg, ["g", "pid"]).where(hit).selectExpr("g", "n", "at", "v", "c", f"{first} AS first")
+    edge = lambda end, i: f"max(CASE WHEN {end}(at[{i}]) >= first AND {end}(at[{i}]) < first + c THEN v END)"
+    cols = [f"{edge('floor', i)} + ({edge('ceil', i)} - {edge('floor', i)}) * (any_value(at)[{i}] - floor(any_value(at)[{i}])) AS q{i}"
+            for i in range(len(probs))]
+    return near.groupBy("g", "n").agg(*[F.expr(c) for c in cols])
+
+
 def exact_quantiles(df: DataFrame, group: str, value: str, probs=(0.25, 0.5, 0.75)) -> DataFrame:
-    """Exact linear-interpolated quantiles per group, distributed.
+    """Exact linear-interpolated quantiles per group, distributed; a null group is a group.
 
-    Rows are range-partitioned and sorted on (group, value) - a hot group is
-    spread over many tasks - and each row's global rank inside its group is
-    its position in the partition plus the sizes of the group's slices in
-    earlier partitions.  Only the (at most two) rows around each target rank
-    are fetched.  No task ever holds a whole group.
+    Rows collapse to distinct (group, value) pairs with counts first; only
+    pairs are range-partitioned, and a pair's rank in its group is what stands
+    before it in its partition plus the group's counts in earlier partitions.
     Output: group, n, q0, q1, ... (one column per probability).
     """
-    # Expressions are written as SQL text: one driver round trip each,
-    # where the Column API needs several per operator.
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    rows = df.selectExpr(f"{quote_id(group)} AS g", f"CAST({quote_id(value)} AS DOUBLE) AS v").where("v IS NOT NULL")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranked = (rows.repartitionByRange(parts, "g", "v").sortWithinPartitions("g", "v")
-              .selectExpr("g", "v", "monotonically_increasing_id() AS _mid")
-              .checkpoint(eager=True))  # freezes the ids the two passes below share
-    local_mask = (1 << _LOCAL_BITS) - 1
-    seg = (ranked.selectExpr("g", f"shiftright(_mid, {_LOCAL_BITS}) AS pid", f"_mid & {local_mask} AS local")
-           .groupBy("g", "pid").agg(F.expr("min(local) AS first"), F.expr("count(1) AS cnt")))
-    # Slices per group are at most the number of partitions.
-    seg = seg.selectExpr("*", "sum(cnt) OVER (PARTITION BY g ORDER BY pid) - cnt AS offset")
-    n = seg.groupBy("g").agg(F.expr("sum(cnt) AS n"))
-    prob_list = ", ".join(f"CAST({float(p)!r} AS DOUBLE)" for p in probs)
-    targets = (n.selectExpr("g", "n", f"posexplode(array({prob_list})) AS (qi, p)")
-               .selectExpr("g", "n", "qi", "p * (n - 1) AS pos")
-               .selectExpr("g", "n", "qi", "pos",
-                           "explode(array(CAST(floor(pos) AS BIGINT), CAST(ceil(pos) AS BIGINT))) AS rank")
-               .distinct())
-    located = (targets.join(seg, "g")
-               .where("rank >= offset AND rank < offset + cnt")
-               .selectExpr("g", "n", "qi", "pos", "rank",
-                           f"shiftleft(pid, {_LOCAL_BITS}) + first + rank - offset AS _mid"))
-    picked = join_small(ranked.select("_mid", "v"), located, "_mid")
-    per_q = (picked.groupBy("g", "n", "qi", "pos").agg(F.expr("min_by(v, rank) AS lo_v"), F.expr("max_by(v, rank) AS hi_v"))
-             .selectExpr("g", "n", "qi", "lo_v + (hi_v - lo_v) * (pos - floor(pos)) AS q"))
-    wide = per_q.groupBy("g", "n").pivot("qi", list(range(len(probs)))).agg(F.expr("first(q)"))
-    return wide.selectExpr(f"g AS {quote_id(group)}", "n", *[f"`{i}` AS q{i}" for i in range(len(probs))])
+    return _quantiles(_value_counts(df, group, value), probs).withColumnRenamed("g", group)
 
 
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, 1.5*IQR whiskers at observed values, and outlier counts."""
-    g = quote_id(group)
-    q = exact_quantiles(df, group, value).selectExpr(
-        g, "n", "q0 AS q1", "q1 AS median", "q2 AS q3",
+    counts = _value_counts(df, group, value)
+    q = _quantiles(counts, (0.25, 0.5, 0.75)).selectExpr(
+        "g", "n", "q0 AS q1", "q1 AS median", "q2 AS q3",
         "q0 - 1.5 * (q2 - q0) AS lo_fence", "q2 + 1.5 * (q2 - q0) AS hi_fence")
-    rows = df.selectExpr(g, f"CAST({quote_id(value)} AS DOUBLE) AS _v").where("_v IS NOT NULL")
-    joined = join_small(rows, q, group)
-    return joined.groupBy(group, "n", "q1", "median", "q3").agg(
-        F.expr("min(CASE WHEN _v >= lo_fence THEN _v END) AS lower_whisker"),
-        F.expr("max(CASE WHEN _v <= hi_fence THEN _v END) AS upper_whisker"),
-        F.expr("count_if(_v < lo_fence OR _v > hi_fence) AS outliers"))
+    return join_stats(counts, q, ["g"]).groupBy("g", "n", "q1", "median", "q3").agg(
+        F.expr("min(CASE WHEN v >= lo_fence THEN v END) AS lower_whisker"),
+        F.expr("max(CASE WHEN v <= hi_fence THEN v END) AS upper_whisker"),
+        F.expr("coalesce(sum(CASE WHEN v < lo_fence OR v > hi_fence THEN c END), 0) AS outliers")
+    ).withColumnRenamed("g", group)
 
 
 def box_outliers(df: DataFrame, group: str, value: str) -> DataFrame:
     """The outlier rows themselves (unbounded: returned as a DataFrame)."""
-    stats = box_stats(df, group, value).select(group, "q1", "q3")
-    iqr = F.col("q3") - F.col("q1")
+    stats = box_stats(df, group, value).select(group, F.col("q1").alias("_q1"), F.col("q3").alias("_q3"))
+    iqr = F.col("_q3") - F.col("_q1")
     v = F.col(value)
-    return (join_small(df, stats, group)
-            .filter((v < F.col("q1") - 1.5 * iqr) | (v > F.col("q3") + 1.5 * iqr)).drop("q1", "q3"))
+    return (join_stats(df, stats, [group])
+            .filter((v < F.col("_q1") - 1.5 * iqr) | (v > F.col("_q3") + 1.5 * iqr)).drop("_q1", "_q3"))
 
 
 # ---- V4 violin -----------------------------------------------------------------
 def violin_density(df: DataFrame, group: str, value: str, points: int = VIOLIN_POINTS, cut: float = 2.0) -> DataFrame:
-    """Gaussian kernel density per group on a ``points`` grid.
+    """Gaussian kernel density per group on a ``points`` grid; a null group is a group.
 
     Bandwidth = sample stddev * n^(-1/5) (Scott's rule); grid spans
-    [min - cut*bw, max + cut*bw].  Each row contributes to every grid point
-    of its group inside the task (explode + partial aggregate), so the
-    shuffle carries at most groups x points rows per task.
-    Output: group, idx, x, density.
+    [min - cut*bw, max + cut*bw].  Distinct values carry their counts as
+    weights, so the grid is evaluated once per distinct value.  A group with
+    one row or without spread has no bandwidth: it gives one row at its value
+    with a null density and ``flat`` set.
+    Output: group, idx, x, density, flat.
     """
-    rows = df.select(group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    stats = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("_v").alias("sd"),
-                                    F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    stats = (stats.filter((F.col("n") > 1) & (F.col("sd") > 0))
-             .withColumn("bw", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-             .withColumn("start", F.col("lo") - cut * F.col("bw"))
-             .withColumn("step", (F.col("hi") - F.col("lo") + 2 * cut * F.col("bw")) / (points - 1)))
-    joined = join_small(rows, stats.select(group, "n", "bw", "start", "step"), group)
-    grid = joined.select(group, "n", "bw", "start", "step", "_v",
-                         F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("idx"))
-    x = F.col("start") + F.col("idx") * F.col("step")
-    z = (x - F.col("_v")) / F.col("bw")
-    dens = grid.groupBy(group, "idx", "n", "bw", "start", "step").agg(F.sum(F.exp(-0.5 * z * z)).alias("k"))
-    norm = F.col("n") * F.col("bw") * F.lit(math.sqrt(2 * math.pi))
-    return dens.select(group, "idx", (F.col("start") + F.col("idx") * F.col("step")).alias("x"),
-                       (F.col("k") / norm).alias("density"))
+    counts = _value_counts(df, group, value)
+    moments = df.selectExpr(f"{quote_id(group)} AS g", f"CAST({quote_id(value)} AS DOUBLE) AS v").where("v IS NOT NULL")
+    stats = moments.groupBy("g").agg(F.expr("count(1) AS n"), F.expr("stddev_samp(v) AS sd"), F.expr("min(v) AS lo"),
+                                     F.expr("max(v) AS hi"))
+    flat = stats.where("n = 1 OR NOT sd > 0").selectExpr("g", "0 AS idx", "lo AS x", "CAST(NULL AS DOUBLE) AS density",
+                                                         "true AS flat")
+    grids = (stats.where("n > 1 AND sd > 0").selectExpr("*", "sd * pow(CAST(n AS DOUBLE), -0.2D) AS bw")
+             .selectExpr("g", "n", "bw", f"lo - {cut}D * bw AS start", f"(hi - lo + 2 * {cut}D * bw) / {points - 1} AS step"))
+    joined = join_stats(counts, grids, ["g"])
+    z = "((start + idx * step - v) / bw)"
+    dens = (joined.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+            .groupBy("g", "idx", "n", "bw", "start", "step").agg(F.expr(f"sum(c * exp(-0.5D * {z} * {z})) AS k")))
+    return (dens.selectExpr("g", "idx", "start + idx * step AS x", f"k / (n * bw * {math.sqrt(2 * math.pi)!r}D) AS density",
+                            "false AS flat")
+            .unionByName(flat).withColumnRenamed("g", group))
 
 
 # ---- V5 heatmap / V6 facets ------------------------------------------------------
-def heatmap_matrix(result: DataFrame, row: str, col: str, value: str, max_columns: int = 1000) -> DataFrame:
-    """Pivot two keys to a matrix; a duplicate cell is an error, never merged."""
-    values = [r[0] for r in result.select(col).distinct().limit(max_columns + 1).collect()]
-    if len(values) > max_columns:
-        raise GuardError(f"Heatmap has over {max_columns} columns; filter first")
+def heatmap_matrix(result: DataFrame, row: str, col: str, value: str) -> DataFrame:
+    """Pivot two keys to a matrix; a duplicate cell is an error, never merged.
+    The column names of the matrix pass through the driver."""
+    values = [r[0] for r in result.select(col).distinct().collect()]
     values = sorted(values, key=lambda v: (v is None, str(v)))
     cell = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("Heatmap has duplicate cells"))).otherwise(F.first(value))
     return result.groupBy(row).pivot(col, values).agg(cell)
@@ -246,17 +259,18 @@ def color_scale(result: DataFrame, value: str) -> DataFrame:
     return result.withColumn("color_t", F.try_divide(F.col(value) - F.lit(s["lo"]), span))
 
 
-def color_codes(result: DataFrame, category: str, max_marks: int = MAX_MARKS) -> DataFrame:
+def color_codes(result: DataFrame, category: str) -> DataFrame:
     """Palette index per category (ordered by category), modulo palette size."""
-    cats = _at_most(result.select(category).distinct(), max_marks, "categories")
+    cats = result.select(category).distinct()
     codes = cats.select(category, ((F.dense_rank().over(Window.orderBy(F.col(category).asc_nulls_last())) - 1)
                                    % PALETTE_SIZE).alias("color_code"))
-    return result.join(F.broadcast(codes), result[category].eqNullSafe(codes[category])).drop(codes[category])
+    return join_stats(result, codes, [category])
 
 
-def kpi_table(result: DataFrame, label: str, value: str, descending: bool = True) -> DataFrame:
-    """At most 40 ranked rows with a rank column; more is an error."""
-    _at_most(result, MAX_TABLE_ROWS, "table rows")
+def kpi_table(result: DataFrame, label: str, value: str, descending: bool = True,
+              max_rows: int = MAX_TABLE_ROWS) -> DataFrame:
+    """At most ``max_rows`` ranked rows with a rank column; more is an error."""
+    _at_most(result, max_rows, "table rows")
     order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
     return result.select(label, value, F.row_number().over(Window.orderBy(order, F.col(label).asc_nulls_last())).alias("rank"))
 

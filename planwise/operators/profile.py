@@ -34,6 +34,7 @@ DATE_FORMATS = (
     "yyyy/M/d H:m",
     "yyyy/M/d H:m:s",
 )
+# The texts that a boolean cast accepts.
 BOOLEAN_TEXT = {"true": True, "false": False, "1": True, "0": False}
 
 
@@ -171,9 +172,9 @@ def strict_cast(df: DataFrame, column: str, dtype: str, name: str | None = None,
         value = _number(c)
         bad = df.filter(c.isNotNull() & value.isNull()).select(column).limit(3).collect()
         if bad:
-            raise DatasetError(f"{label}: invalid numeric values: {[r[0] for r in bad]}")
+            raise DatasetError(f"{label}: not a number: {[r[0] for r in bad]}")
         if df.filter(F.abs(value) == float("inf")).limit(1).count():
-            raise DatasetError(f"{label}: infinite numeric values are not supported")
+            raise DatasetError(f"{label}: holds an infinite number")
         return F.nanvl(value, F.lit(None).cast("double")).alias(column)
     if dtype == "date":
         formats = [date_format] if date_format else list(DATE_FORMATS)
@@ -181,14 +182,14 @@ def strict_cast(df: DataFrame, column: str, dtype: str, name: str | None = None,
         chosen = next((f for k, f in enumerate(formats) if counts[f"d{k}"] == counts["n"]), None)
         if chosen is None:
             bad = df.filter(c.isNotNull() & _date(c, formats[0]).isNull()).select(column).limit(3).collect()
-            raise DatasetError(f"{label}: invalid date values: {[r[0] for r in bad]}")
+            raise DatasetError(f"{label}: not a date: {[r[0] for r in bad]}")
         return _date(c, chosen).alias(column)
     if dtype == "boolean":
         lookup = F.create_map(*[x for k, v in BOOLEAN_TEXT.items() for x in (F.lit(k), F.lit(v))])
         value = lookup[F.lower(F.trim(c.cast("string")))]
         bad = df.filter(c.isNotNull() & value.isNull()).select(column).limit(3).collect()
         if bad:
-            raise DatasetError(f"{label}: boolean must be true/false/1/0: {[r[0] for r in bad]}")
+            raise DatasetError(f"{label}: not one of {sorted(BOOLEAN_TEXT)}: {[r[0] for r in bad]}")
         return value.alias(column)
     raise DatasetError(f"unknown dtype {dtype!r}")
 
@@ -292,14 +293,18 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-insensitive content fingerprint: count, xor and sum of row hashes.
+    """Order-insensitive content fingerprint: row count, and sums of two parts of the rows' md5.
 
-    Independent of file layout and partitioning (unlike a file checksum); the
-    count and sum keep duplicate pairs from cancelling out in the xor.
+    A row is spelled out column by column as its position, and the length and
+    text of its value or a mark for null, so that a value cannot move to
+    another column or a null to another place unseen.  The count and the sums
+    keep repeated rows from cancelling out; layout and partitioning play no part.
     """
-    h = F.xxhash64(*[F.col(c) for c in df.columns])
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.bit_xor(h).alias("xor_hash"),
-        F.sum(h.cast("decimal(38,0)")).cast("string").alias("sum_hash"),
-    ).select("*", F.sha2(F.concat_ws(":", "rows", "xor_hash", "sum_hash"), 256).alias("checksum"))
+    cell = lambda i, c: (f"concat('{i}', coalesce(concat('=', length(CAST({quote_id(c)} AS STRING)), ':', "
+                         f"CAST({quote_id(c)} AS STRING)), '-'))")
+    row = "md5(CAST(concat(" + ", ".join(cell(i, c) for i, c in enumerate(df.columns)) + ") AS BINARY))"
+    part = lambda start: f"CAST(conv(substring(_md5, {start}, 15), 16, 10) AS DECIMAL(38, 0))"
+    sums = df.selectExpr(f"{row if df.columns else repr('')} AS _md5").selectExpr(f"{part(1)} AS a", f"{part(16)} AS b").agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("a"), F.lit(0)).cast("string").alias("sum_a"),
+        F.coalesce(F.sum("b"), F.lit(0)).cast("string").alias("sum_b"))
+    return sums.select("*", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), "sum_a", "sum_b"), 256).alias("checksum"))

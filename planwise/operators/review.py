@@ -73,8 +73,8 @@ def data_review(ds: Dataset) -> dict:
         "exact_duplicate_rows": counts["exact_duplicate_rows"],
         "possible_summary_rows": suspects,
         "warnings": list(ds.warnings),
-        "policy": "Summary labels are candidates, not proof; duplicates may be legitimate repeated events. "
-                  "Nothing is deleted automatically.",
+        "policy": "A label only hints at a summary row, and equal rows may be separate events: nothing is removed "
+                  "unless a plan says so.",
     }
 
 
@@ -92,23 +92,23 @@ def check_coordinates(df: DataFrame, lon: str, lat: str) -> None:
     """Every row must hold a WGS84 point; a null coordinate is invalid."""
     ok = F.col(lon).between(-180, 180) & F.col(lat).between(-90, 90)
     if _violations(df, ~F.coalesce(ok, F.lit(False))):
-        raise GuardError("Coordinates outside WGS84 bounds")
+        raise GuardError("a coordinate is missing or not on the globe (WGS84 degrees)")
 
 
 def check_numeric_axis(df: DataFrame, column: str) -> None:
     """A non-null value on a value axis must be a number."""
     c = F.col(column)
     if _violations(df, c.isNotNull() & c.cast("string").try_cast("double").isNull()):
-        raise GuardError("Chart requires a numeric value axis")
+        raise GuardError(f"{column}: a value axis needs numbers")
 
 
 def check_non_negative(df: DataFrame, column: str) -> None:
     if _violations(df, F.col(column) < 0):
-        raise GuardError("Flow/funnel values must be nonnegative")
+        raise GuardError(f"{column}: flows and funnels cannot hold negative values")
 
 
 def check_positive_finite(df: DataFrame, measure: str, denominator: str) -> None:
     m, d = F.col(measure), F.col(denominator)
     bad = (d <= 0) | F.isnan(m) | (F.abs(m) == float("inf")) | F.isnan(d) | (F.abs(d) == float("inf"))
     if _violations(df, bad):
-        raise GuardError("Ratio inputs need positive denominators and finite measures")
+        raise GuardError(f"{measure} / {denominator}: needs finite numbers and denominators above zero")

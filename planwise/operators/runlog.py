@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from planwise.operators.joins import join_small
+from planwise.operators.joins import join_stats
 from planwise.session import ensure_checkpoint_dir
 
 OPEN_STATUSES = ("queued", "running")
@@ -50,17 +50,20 @@ def overdue_runs(latest: DataFrame, status: str, updated: str, as_of,
             .withColumn("age_s", age / F.lit(1_000_000)))
 
 
-def superseded(events: DataFrame, key: str, seq: str) -> DataFrame:
-    """Flag every request that has a newer one for the same key.
+def superseded(events: DataFrame, key: str, seq: str, status: str | None = None,
+               open_statuses: tuple[str, ...] = OPEN_STATUSES) -> DataFrame:
+    """Flag every open request that has a newer one for the same key.
 
-    Equivalent to ``lead(seq) over (partition by key order by seq) is not
-    null`` but computed as a per-key max joined back (size-checked
-    broadcast, else a skew-aware shuffle join), so one hot key never sorts
-    in a single task.
+    With ``status`` only requests in ``open_statuses`` can go stale; without
+    it every request counts as open.  A null key is a key.  The newest
+    sequence number per key is aggregated first and joined back, so a hot key
+    neither sorts nor meets in a single task.
     """
     newest = events.groupBy(key).agg(F.max(seq).alias("_newest"))
-    return (join_small(events, newest, key)
-            .withColumn("superseded", F.col(seq) < F.col("_newest")).drop("_newest"))
+    still_open = F.col(status).isin(list(open_statuses)) if status else F.lit(True)
+    return (join_stats(events, newest, [key])
+            .withColumn("superseded", F.coalesce(still_open & (F.col(seq) < F.col("_newest")), F.lit(False)))
+            .drop("_newest"))
 
 
 def recent_per_key(events: DataFrame, key: str, order: str, k: int = 30) -> DataFrame:
@@ -90,9 +93,10 @@ def history_depth(revisions: DataFrame, id_col: str, parent_col: str) -> DataFra
     about log2(L) rounds (a recursive CTE takes L, and stops at its recursion
     limit).  A round is one join whose right side has one row per revision;
     a popular ancestor on the left is split by AQE's skew join.  Lineage is
-    cut by a reliable checkpoint each round.  Revisions under a dangling
-    parent or on a cycle never reach a root and are left out, as in the
-    recursive definition.  Output: id, root, depth.
+    cut by a reliable checkpoint each round, and revisions that have reached
+    their root only serve as targets.  A revision under a dangling parent or
+    on a cycle has a null root and depth and the status ``unrooted``.
+    Output: id, root, depth, status.
     """
     spark = revisions.sparkSession
     ensure_checkpoint_dir(spark)
@@ -101,28 +105,29 @@ def history_depth(revisions: DataFrame, id_col: str, parent_col: str) -> DataFra
     # (id, anc, dist): ``anc`` is the ancestor ``dist`` steps up; a root points at itself.
     state = nodes.select("id", F.coalesce("parent", "id").alias("anc"),
                          F.when(is_root, 0).otherwise(1).alias("dist")).checkpoint(eager=True)
-    total = state.count()
-    rounds = max(total, 2).bit_length() + 1  # enough to climb any acyclic chain
+    rounds = max(state.count(), 2).bit_length() + 1  # enough to climb any acyclic chain
     for _ in range(rounds):
         hop = state.select(F.col("id").alias("_to"), F.col("anc").alias("_anc2"), F.col("dist").alias("_d2"))
+        climbed = (state.where("dist > 0").join(hop, F.col("anc") == F.col("_to"), "left")
+                   .select("id", F.coalesce("_anc2", "anc").alias("anc"),
+                           (F.col("dist") + F.coalesce("_d2", F.lit(0))).alias("dist"),
+                           (F.coalesce("_d2", F.lit(0)) > 0).alias("_moved")))
         moved = Observation()
-        state = (state.join(hop, F.col("anc") == F.col("_to"))
-                 .select("id", F.col("_anc2").alias("anc"), (F.col("dist") + F.col("_d2")).alias("dist"),
-                         (F.col("_d2") > 0).alias("_moved"))
-                 .observe(moved, F.count_if("_moved").alias("moved"))
-                 .drop("_moved")
-                 .checkpoint(eager=True))
+        state = (climbed.observe(moved, F.count_if("_moved").alias("moved")).drop("_moved")
+                 .unionByName(state.where("dist = 0")).checkpoint(eager=True))
         if moved.get["moved"] == 0:
             break
-    roots = nodes.filter(is_root).select(F.col("id").alias("anc"))
-    return (state.join(roots, "anc", "left_semi")
-            .select(F.col("id").alias(id_col), F.col("anc").alias("root"), F.col("dist").alias("depth")))
+    roots = nodes.filter(is_root).select(F.col("id").alias("_root")).distinct()
+    rooted = F.col("_root").isNotNull()
+    return (state.join(roots, F.col("anc") == F.col("_root"), "left")
+            .select(F.col("id").alias(id_col), F.col("_root").alias("root"), F.when(rooted, F.col("dist")).alias("depth"),
+                    F.when(rooted, F.lit("rooted")).otherwise(F.lit("unrooted")).alias("status")))
 
 
 def compare_and_set(results: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     """Accept a result only if every key still matches the current state
     (null-safe); everything else is stale.  Adds ``accepted``."""
-    marked = state.select(*[F.col(k) for k in keys]).withColumn("_current", F.lit(True))
+    marked = state.select(*[F.col(k) for k in keys]).distinct().withColumn("_current", F.lit(True))
     cond = None
     for k in keys:
         c = F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}"))

@@ -365,10 +365,20 @@ SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT o_orderstatus, o_orderp
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from planwise.operators.profile import fingerprint
-    return fingerprint(table(spark, sf_dir, "lineitem")).select("rows", "checksum")
+    return fingerprint(table(spark, sf_dir, "documents").select("doc_id", F.nullif("lang", F.lit("fr")).alias("lang"),
+                                                                "text", "source", "n_chars")).select("rows", "checksum")
 
 
-register("fingerprint")(_fingerprint)
+register("fingerprint", """
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS a, nullif(lang, 'fr') AS b, text AS c, source AS d, CAST(n_chars AS VARCHAR) AS e
+           FROM documents),
+     h AS (SELECT md5('0' || coalesce('=' || length(a) || ':' || a, '-') || '1' || coalesce('=' || length(b) || ':' || b, '-')
+                      || '2' || coalesce('=' || length(c) || ':' || c, '-') || '3' || coalesce('=' || length(d) || ':' || d, '-')
+                      || '4' || coalesce('=' || length(e) || ':' || e, '-')) AS m FROM d),
+     s AS (SELECT count(*) AS rows, coalesce(sum(CAST('0x' || substr(m, 1, 15) AS BIGINT)), 0) AS x,
+                  coalesce(sum(CAST('0x' || substr(m, 16, 15) AS BIGINT)), 0) AS y FROM h)
+SELECT rows, sha256(concat_ws(':', rows, x, y)) AS checksum FROM s
+""")(_fingerprint)
 
 
 # ---------------------------------------------------------------- guarded SQL (Q1-Q11)
@@ -403,9 +413,14 @@ SELECT c.c_custkey, count(o.o_orderkey) AS n_orders
 FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_custkey
 """)
 sql_query("sql_join_full", """
-SELECT coalesce(s.s_nationkey, c.c_nationkey) AS nationkey, count(DISTINCT s.s_suppkey) AS suppliers,
-       count(DISTINCT c.c_custkey) AS customers
-FROM supplier s FULL OUTER JOIN customer c ON s.s_nationkey = c.c_nationkey GROUP BY 1
+SELECT coalesce(s.k, c.k) AS nationkey, coalesce(s.n, 0) AS suppliers, coalesce(c.n, 0) AS customers
+FROM (SELECT s_nationkey AS k, count(DISTINCT s_suppkey) AS n FROM supplier GROUP BY 1) s
+FULL OUTER JOIN (SELECT c_nationkey AS k, count(DISTINCT c_custkey) AS n FROM customer GROUP BY 1) c ON s.k = c.k
+""")
+sql_query("sql_join_right", """
+SELECT n.n_name, coalesce(s.n, 0) AS suppliers
+FROM (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal > 0 GROUP BY 1) s
+RIGHT JOIN nation n ON s.k = n.n_nationkey
 """)
 sql_query("sql_join_semi", """
 SELECT c.c_custkey, c.c_name FROM customer c
@@ -551,19 +566,33 @@ FROM lineitem GROUP BY 1
 
 def _mark_violin(spark: SparkSession, sf_dir: str) -> DataFrame:
     from planwise.operators.marks import violin_density
-    out = violin_density(_events(spark, sf_dir), "event_type", "value")
-    return out.select("event_type", "idx", F.round("x", 6).alias("x"), F.round(F.col("density") * 1e6, 3).alias("density_e6"))
+    # one kind of event loses its name, another all but one of its values
+    kind = F.nullif("event_type", F.lit("view"))
+    events = _events(spark, sf_dir).select(kind.alias("event_type"), F.when(
+        (F.col("event_type") != "click") | (F.col("event_id") == F.lit(_first_click(spark, sf_dir))), F.col("value")).alias("value"))
+    out = violin_density(events, "event_type", "value")
+    return out.select("event_type", "idx", F.round("x", 6).alias("x"), F.round(F.col("density") * 1e6, 3).alias("density_e6"),
+                      "flat")
+
+
+def _first_click(spark: SparkSession, sf_dir: str) -> int:
+    return _events(spark, sf_dir).where("event_type = 'click'").agg(F.min("event_id")).first()[0]
 
 
 register("mark_violin", """
-WITH s AS (SELECT event_type, count(*) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi
-           FROM events WHERE value IS NOT NULL GROUP BY 1),
+WITH ev AS (SELECT coalesce(nullif(event_type, 'view'), '') AS event_type, value FROM events
+                WHERE event_type <> 'click' OR event_id = (SELECT min(event_id) FROM events WHERE event_type = 'click')),
+     s AS (SELECT event_type, count(*) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi
+           FROM ev WHERE value IS NOT NULL GROUP BY 1),
      p AS (SELECT event_type, n, sd * pow(CAST(n AS DOUBLE), -0.2) AS bw, lo, hi FROM s WHERE n > 1 AND sd > 0),
      g AS (SELECT event_type, n, bw, lo - 2.0 * bw AS start, (hi - lo + 2 * 2.0 * bw) / 99 AS step FROM p)
-SELECT g.event_type, CAST(i.range AS INTEGER) AS idx, round(g.start + i.range * g.step, 6) AS x,
+SELECT nullif(event_type, '') AS event_type, 0 AS idx, round(lo, 6) AS x, CAST(NULL AS DOUBLE) AS density_e6, true AS flat
+FROM s WHERE n = 1 OR sd = 0
+UNION ALL
+SELECT nullif(g.event_type, '') AS event_type, CAST(i.range AS INTEGER) AS idx, round(g.start + i.range * g.step, 6) AS x,
        round(sum(exp(-0.5 * ((g.start + i.range * g.step - e.value) / g.bw) * ((g.start + i.range * g.step - e.value) / g.bw)))
-             / (g.n * g.bw * sqrt(2 * pi())) * 1e6, 3) AS density_e6
-FROM events e JOIN g USING (event_type), range(100) i
+             / (g.n * g.bw * sqrt(2 * pi())) * 1e6, 3) AS density_e6, false AS flat
+FROM ev e JOIN g USING (event_type), range(100) i
 WHERE e.value IS NOT NULL
 GROUP BY g.event_type, i.range, g.start, g.step, g.n, g.bw
 """)(_mark_violin)
@@ -784,14 +813,36 @@ WHERE status IN ('queued', 'running')
 
 def _log_superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
     from planwise.operators.runlog import superseded
-    return superseded(_events(spark, sf_dir).select("event_id", "user_id"), "user_id", "event_id")
+    return superseded(_requests(spark, sf_dir), "user_id", "event_id", "status")
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # views and clicks stand for requests that are queued and running
+    status = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "running").otherwise("done")
+    return _events(spark, sf_dir).select("event_id", "user_id", status.alias("status"))
 
 
-register("log_superseded", """
-SELECT event_id, user_id, event_id < max(event_id) OVER (PARTITION BY user_id) AS superseded FROM events
+_REQUESTS_SQL = """SELECT event_id, user_id, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running'
+                                   ELSE 'done' END AS status FROM events"""
+register("log_superseded", f"""
+SELECT event_id, user_id, status,
+       status <> 'done' AND event_id < max(event_id) OVER (PARTITION BY user_id) AS superseded FROM ({_REQUESTS_SQL})
 """)(_log_superseded)
 
 
+def _log_superseded_nullkey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.runlog import superseded
+    few = F.when(F.col("user_id") % 3 != 0, F.col("user_id"))
+    return superseded(_requests(spark, sf_dir).withColumn("user_id", few.cast("string")), "user_id", "event_id", "status")
+
+
+register("log_superseded_nullkey", f"""
+SELECT event_id, user_id, status,
+       status <> 'done' AND event_id < max(event_id) OVER (PARTITION BY user_id) AS superseded
+FROM (SELECT event_id, CASE WHEN user_id % 3 <> 0 THEN CAST(user_id AS VARCHAR) END AS user_id, status FROM ({_REQUESTS_SQL}))
+""")(_log_superseded_nullkey)
+
+
 def _log_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     from planwise.operators.runlog import recent_per_key
     return recent_per_key(_events(spark, sf_dir).select("event_id", "user_id", "event_type"), "user_id", "event_id", 30)
@@ -813,24 +864,29 @@ def _revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rev = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     parent = F.when(F.col("turn") > 0, F.concat_ws(":", F.col("conv_id").cast("string"),
                                                     (F.col("turn") - 1).cast("string")))
+    # the chains of every seventh conversation start from a revision that does not exist
+    parent = F.when((F.col("turn") == 0) & (F.col("conv_id") % 7 == 0), F.lit("none")).otherwise(parent)
     return conv.select(rev.alias("rev_id"), parent.alias("parent_id"))
 
 
 def _log_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     from planwise.operators.runlog import history_depth
-    return history_depth(_revisions(spark, sf_dir), "rev_id", "parent_id")
+    out = history_depth(_revisions(spark, sf_dir), "rev_id", "parent_id")
+    return out.withColumn("depth", F.col("depth").cast("string"))
 
 
 register("log_history_depth", """
 WITH RECURSIVE revs AS (
   SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS rev_id,
-         CASE WHEN turn > 0 THEN CAST(conv_id AS VARCHAR) || ':' || CAST(turn - 1 AS VARCHAR) END AS parent_id
+         CASE WHEN turn > 0 THEN CAST(conv_id AS VARCHAR) || ':' || CAST(turn - 1 AS VARCHAR)
+              WHEN conv_id % 7 = 0 THEN 'none' END AS parent_id
   FROM conversations),
 chain(id, root, depth) AS (
   SELECT rev_id, rev_id, 0 FROM revs WHERE parent_id IS NULL
   UNION ALL
   SELECT r.rev_id, c.root, c.depth + 1 FROM revs r JOIN chain c ON r.parent_id = c.id)
-SELECT id AS rev_id, root, depth FROM chain
+SELECT r.rev_id, c.root, CAST(c.depth AS VARCHAR) AS depth, CASE WHEN c.id IS NULL THEN 'unrooted' ELSE 'rooted' END AS status
+FROM revs r LEFT JOIN chain c ON c.id = r.rev_id
 """)(_log_history)
 
 
@@ -1056,7 +1112,21 @@ def _proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proposals_frame(dataset(spark, sf_dir, "orders"), goal="order value by segment")
 
 
-register("suggest_plans")(_proposals)
+# Shape of a proposal's plan, as the library spells it; names and ranks come from the table's statistics.
+register("suggest_plans", """
+WITH n AS (SELECT count(*) AS rows, count(DISTINCT o_orderstatus) AS s, count(DISTINCT o_orderpriority) AS p FROM orders),
+     g AS (SELECT 'o_orderstatus' AS name, 2 AS place, false AS trend FROM n WHERE s <= greatest(10, 0.7 * rows)
+           UNION ALL SELECT 'o_orderdate', 4, true
+           UNION ALL SELECT 'o_orderpriority', 5, false FROM n WHERE p <= greatest(10, 0.7 * rows))
+SELECT CAST(row_number() OVER (ORDER BY place) AS INTEGER) AS position,
+       name || CASE WHEN trend THEN ' · Trend' ELSE ' · Compare' END AS title,
+       CASE WHEN trend THEN 'line' ELSE 'bar' END AS chart,
+       '{"aggregation":"sum","denominator":null,"duplicates":"keep","filters":[],"goal":"order value by segment","group_by":["'
+       || name || '"],"limitations":["Describes the data; it does not show causes"],"metric":"o_totalprice","missing":"keep",'
+       || '"schema_version":"1.0","sort":"' || CASE WHEN trend THEN 'label' ELSE 'desc' END || '","time_grain":"'
+       || CASE WHEN trend THEN 'month' ELSE 'none' END || '","unit":""}' AS plan
+FROM g ORDER BY place LIMIT 3
+""")(_proposals)
 
 
 # ---------------------------------------------------------------- more stream grains

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -29,16 +28,16 @@ DEFAULT_CONF = {
 }
 
 
-def scale_conf(input_bytes: int, partition_bytes: int = 128 << 20, max_partitions: int = 200_000) -> dict[str, str]:
+def scale_conf(input_bytes: int, partition_bytes: int = 128 << 20) -> dict[str, str]:
     """Shuffle sizing for an input of ``input_bytes``.
 
     The initial shuffle partition count is chosen so a partition of the
     largest shuffle holds about ``partition_bytes`` (one input split's worth);
     AQE then coalesces small partitions to the advisory size at run time and
     splits skewed ones, so over-provisioning the count is cheap while
-    under-provisioning spills.  Pass the result as ``build_session(extra=...)``.
+    under-provisioning spills.  ``build_session(input_bytes=...)`` applies it.
     """
-    parts = max(1, min(max_partitions, -(-int(input_bytes) // partition_bytes)))
+    parts = max(1, -(-int(input_bytes) // partition_bytes))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
@@ -53,10 +52,14 @@ def build_session(
     app_name: str = "planwise",
     shuffle_partitions: int | None = None,
     extra: dict[str, str] | None = None,
+    input_bytes: int | None = None,
 ) -> SparkSession:
-    """Create (or reuse) a session with the library defaults applied."""
+    """Create (or reuse) a session with the library defaults applied;
+    ``input_bytes`` sizes its shuffles for the largest input."""
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(DEFAULT_CONF)
+    if input_bytes is not None:
+        conf.update(scale_conf(input_bytes))
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -77,17 +80,13 @@ def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster")
         base = tempfile.mkdtemp(prefix="planwise-ckpt-")
         spark.sparkContext.setCheckpointDir(base)
     base = base.rstrip("/")
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    path = f"{base}/planwise/{name or 'scratch'}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path:
-        os.makedirs(path, exist_ok=True)
-    return path
+    # Spark creates the folder on writing, in whatever file system it is.
+    return f"{base}/planwise/{name or 'scratch'}-{uuid.uuid4().hex[:12]}"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

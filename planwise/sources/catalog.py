@@ -54,11 +54,29 @@ class SourceCatalog:
         if kind == "sqlite":
             from planwise.sources.sqlite import read_sqlite
             return read_sqlite(self.spark, loc, table)
+        from planwise.sources.jdbc import read_query
         url, props = loc
-        reader = self.spark.read.format("jdbc").option("url", url).option("dbtable", table)
-        for k, v in props.items():
-            reader = reader.option(k, v)
-        return reader.load()
+        return read_query(self.spark, url, f"SELECT * FROM {table}", props)
+
+    def query(self, source_id: str, sql: str) -> DataFrame:
+        """One guarded SELECT on a configured source; only that source's tables can be named.
+
+        A JDBC source runs the query itself, read-only and under a timeout.
+        The tables of another source become views of a session of their own,
+        so neither the caller's views nor other sources are in reach."""
+        from planwise.sources.jdbc import read_query
+        from planwise.sources.sql import guarded_sql
+        kind, loc = self._get(source_id)
+        if kind == "jdbc":
+            return read_query(self.spark, loc[0], sql, loc[1])
+        own = self.spark.newSession()
+        for key in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
+            own.conf.set(key, self.spark.conf.get(key))
+        names = loc if kind == "parquet" else [r["table"] for r in self.browse(source_id).select("table").distinct().collect()]
+        alone = SourceCatalog(own, self._sources)
+        for name in names:
+            alone.read(source_id, name).createOrReplaceTempView(name)
+        return guarded_sql(own, sql)
 
     def browse(self, source_id: str) -> DataFrame:
         """(table, column, type) for every table of a configured source."""

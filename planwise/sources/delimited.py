@@ -29,7 +29,7 @@ class IngestError(DatasetError):
 def _delimiter(path: str, delimiter: str | None) -> str:
     delim = delimiter or ("\t" if path.lower().endswith(".tsv") else ",")
     if len(delim) != 1:
-        raise IngestError("Delimiter must be one character")
+        raise IngestError("a delimiter is a single character")
     return delim
 
 
@@ -39,23 +39,29 @@ def _reader(spark: SparkSession, delim: str, encoding: str, multiline: bool):
             .option("columnNameOfCorruptRecord", CORRUPT).option("nullValue", "").option("emptyValue", ""))
 
 
-def _header_lines(spark: SparkSession, path: str, header_row: int, encoding: str) -> DataFrame | None:
-    """Physical lines from the header row on, as ``(value, _line)``.
+def _numbered(df: DataFrame, header_row: int) -> DataFrame:
+    """Rows of delimited files with ``_file`` and ``_n``, the row's number in its file, for each file's head.
 
-    Row 1 needs no work.  For a later header row the lines above it are
-    dropped by position: ``monotonically_increasing_id`` numbers the rows of
-    the first input split 0, 1, 2, ... and the file's first lines are there.
-    That the whole preamble lies in that split is checked (one filtered
-    count), never assumed.  Everything stays JVM-side.
+    A file's first split holds its first rows in order, so a row's number is
+    its distance from the smallest row id of that split.  Rows of later
+    splits have a null number.  Everything stays JVM-side.
     """
-    if header_row == 1:
-        return None
-    skip = header_row - 1
-    lines = (spark.read.option("encoding", encoding).text(path)
-             .withColumn("_line", F.monotonically_increasing_id()))
-    if lines.filter(F.col("_line") < skip).count() != skip:
-        raise IngestError(f"Header row {header_row} is not within the first lines of the file")
-    return lines.filter(F.col("_line") >= skip)
+    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+                     F.monotonically_increasing_id().alias("_line"))
+    heads = (rows.filter("_start = 0").groupBy("_file").agg(F.min("_line").alias("_first"), F.count("*").alias("_rows")))
+    short = heads.filter(F.col("_rows") < header_row).limit(1).count()
+    if short:
+        raise IngestError(f"a file has no row {header_row} in its first split to take the header from")
+    number = F.when(F.col("_start") == 0, F.col("_line") - F.col("_first") + 1)
+    return rows.join(heads.select("_file", "_first"), "_file").withColumn("_n", number).drop("_start", "_line", "_first")
+
+
+def _one_header(lines: DataFrame, header_row: int, delim: str) -> list[str | None]:
+    """The header that all files share; a file with another one rejects the import."""
+    texts = lines.filter(F.col("_n") == header_row).select("value").distinct().limit(2).collect()
+    if len(texts) > 1:
+        raise IngestError(f"files have different headers: {texts[0]['value']!r} and {texts[1]['value']!r}")
+    return _split_header(texts[0]["value"], delim) if texts else []
 
 
 def _split_header(line: str, delim: str) -> list[str | None]:
@@ -82,42 +88,40 @@ def read_delimited(
     in the same aggregate as the validation counts (one scan of the data).
     """
     if header_row < 1:
-        raise IngestError("Header row starts at 1")
+        raise IngestError("header_row counts from 1")
     delim = _delimiter(path, delimiter)
-    # Ragged rows are only visible when the parser tokenises every column.
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-    if encoding.lower().replace("-", "") in ("gb18030",):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    if header_row > 1 and multiline:
-        raise IngestError("A header row after row 1 needs single-line records (multiline=False)")
-    source = _header_lines(spark, path, header_row, encoding)
-    reader = _reader(spark, delim, encoding, multiline)
-    if source is None:
-        head = reader.option("header", False).csv(path).limit(1).collect()
-        head = list(head[0]) if head else []
-    else:
-        first = source.filter(F.col("_line") == header_row - 1).select("value").collect()
-        head = _split_header(first[0]["value"], delim) if first else []
+    strict = encoding.lower().replace("-", "").replace("_", "") == "utf8"
+    # UTF-8 lines come as the bytes they are, so they can be checked.
+    lines = spark.read.option("encoding", encoding).text(path)
+    head = _one_header(_numbered(lines, header_row), header_row, delim)
+    if head:  # a byte-order mark is not part of the first name
+        head[0] = (head[0] or "").removeprefix("\ufeff") or None
     if not head or all(v is None for v in head):
-        raise IngestError("Empty header")
+        raise IngestError("the header has no names")
     names = [v if v is not None else "Unnamed" for v in head]
     ids = [f"f{i + 1}" for i in range(len(names))]
     schema = ", ".join(f"`{i}` string" for i in ids) + f", `{CORRUPT}` string"
-    if source is None:
-        df = reader.schema(schema).option("header", True).csv(path)
-    else:
+    by_line = header_row > 1 and not multiline
+    if by_line:
         # Records below the header, parsed by Spark's CSV parser per line.
         # Blank lines are flagged (counted in the validation aggregate below,
         # then dropped as the file reader drops them).
-        body = source.filter(F.col("_line") > header_row - 1)
+        body = _numbered(lines, header_row).filter(F.col("_n").isNull() | (F.col("_n") > header_row))
         options = {"sep": delim, "quote": '"', "escape": '"', "mode": "PERMISSIVE",
                    "columnNameOfCorruptRecord": CORRUPT, "nullValue": "", "emptyValue": ""}
         df = body.select(F.from_csv(F.col("value"), schema, options).alias("_r"),
                          (F.trim(F.col("value")) == "").alias(BLANK)).select("_r.*", BLANK)
+    else:
+        reader = _reader(spark, delim, encoding, multiline).schema(schema)
+        if header_row == 1:
+            df = reader.option("header", True).csv(path)
+        else:  # a file with line breaks inside quotes is one split
+            df = (_numbered(reader.option("header", False).csv(path), header_row).filter(F.col("_n") > header_row)
+                  .select(*ids, CORRUPT))
     blank_line = F.col(BLANK) if BLANK in df.columns else F.lit(False)
 
     bad_text = F.lit(False)
-    for i in ids:
+    for i in [] if strict else ids:  # other encodings are decoded by the reader, which marks what it cannot read
         bad_text = bad_text | F.coalesce(F.col(i).contains(REPLACEMENT_CHAR), F.lit(False))
     validation = [
         F.count_if(~blank_line).alias("rows"),
@@ -125,6 +129,7 @@ def read_delimited(
         F.count_if(F.col(CORRUPT).isNotNull()).alias("ragged"),
         F.first(F.col(CORRUPT), ignorenulls=True).alias("example"),
         F.count_if(bad_text).alias("undecodable"),
+        F.count_if(F.coalesce(*[F.col(i) for i in ids]).isNull()).alias("empty"),
     ]
     scanned = df.select("*", *inference_inputs(ids)) if infer else df
     counts_df = scanned.agg(*validation, *(inference_aggregates(ids) if infer else []))
@@ -133,19 +138,18 @@ def read_delimited(
         hint = "" if multiline else " (set multiline=True if quoted fields contain line breaks)"
         raise IngestError(f"{checks['ragged']} rows do not have {len(ids)} columns, e.g. "
                           f"{checks['example']!r}; fix the delimiter{hint}")
-    if checks["undecodable"]:
-        raise IngestError(f"Encoding failed: {checks['undecodable']} rows are not valid {encoding}")
-    if check_blank_lines and not multiline:
-        # The file reader drops blank lines silently, so they are counted on
-        # the text: here from the header-row path's flag, else by one text scan.
-        blank = checks["blank_lines"] if source is not None else spark.read.option("encoding", encoding).text(
-            path).filter(F.trim(F.col("value")) == "").limit(1).count()
-        if blank:
-            raise IngestError("Blank lines are rows with zero cells; remove them")
+    # The file reader drops blank lines and replaces bad bytes silently, so both are counted on the text.
+    text = lines.agg(F.count_if(F.trim(F.col("value")) == "").alias("blank"),
+                     F.count_if(~F.is_valid_utf8("value")).alias("bad")).first()
+    undecodable = text["bad"] if strict else checks["undecodable"]
+    if undecodable:
+        raise IngestError(f"{undecodable} rows are not valid {encoding}")
+    if check_blank_lines and not multiline and (checks["blank_lines"] if by_line else text["blank"]):
+        raise IngestError("blank lines have no cells; remove them")
     if BLANK in df.columns:
         df = df.filter(~F.col(BLANK)).drop(BLANK)
     if max_rows is not None and checks["rows"] > max_rows:
-        raise IngestError("Row limit exceeded; no rows were imported")
+        raise IngestError(f"{checks['rows']} rows exceed the limit of {max_rows}; nothing was imported")
     ds = Dataset.from_frame(df.drop(CORRUPT), names=names, positional_ids=False, source=path)
     ds = ds.with_frame(ds.df, {"operation": "import", "source": path, "header_row": header_row})
     if not infer:
@@ -158,14 +162,17 @@ def read_delimited(
 
 def read_pasted(spark: SparkSession, text: str) -> Dataset:
     """A pasted tab-separated table (small by nature: it arrives in the driver)."""
-    lines = [line for line in text.splitlines() if line.strip()]
-    if not lines:
-        raise IngestError("Empty header")
+    lines = text.splitlines()
+    if not lines or not lines[0].strip():
+        raise IngestError("the header has no names")
+    blank = next((n for n, line in enumerate(lines, start=1) if line == ""), None)
+    if blank:
+        raise IngestError(f"row {blank} is blank: it has no cells")
     rows = [line.split("\t") for line in lines]
     names, body = rows[0], rows[1:]
     for n, row in enumerate(body, start=2):
         if len(row) != len(names):
-            raise IngestError(f"Row {n}: expected {len(names)} columns, got {len(row)}")
+            raise IngestError(f"row {n} has {len(row)} cells, the header {len(names)}")
     ids = [f"f{i + 1}" for i in range(len(names))]
     df = spark.createDataFrame([[v if v != "" else None for v in r] for r in body],
                                ", ".join(f"`{i}` string" for i in ids))

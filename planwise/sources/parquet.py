@@ -1,24 +1,10 @@
-"""Parquet table reads with a remembered schema.
-
-``spark.read.parquet(path)`` without a schema runs a Spark job that reads a
-footer to infer it, on every call.  A table's schema is fixed once written
-(snapshots are immutable), so it is inferred once per path and passed on
-later reads; the file listing itself is still fresh on every read.
-"""
+"""Parquet table reads."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
-
-_SCHEMAS: dict[str, StructType] = {}
 
 
-def read_parquet(spark: SparkSession, path: str, refresh: bool = False) -> DataFrame:
-    """Read the Parquet table at ``path``; ``refresh=True`` re-infers its schema."""
-    schema = None if refresh else _SCHEMAS.get(path)
-    if schema is None:
-        df = spark.read.parquet(path)
-        _SCHEMAS[path] = df.schema
-        return df
-    return spark.read.schema(schema).parquet(path)
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """The Parquet table at ``path``, with the schema it has now."""
+    return spark.read.parquet(path)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planwise.dataset import Dataset, Field
-from planwise.operators.profile import fingerprint, profile
+from planwise.operators.profile import duplicate_rows, fingerprint, profile
 from planwise.plans.compile import compile_plan
 from planwise.plans.plan import Plan
 
@@ -37,6 +37,7 @@ def write_snapshot(ds: Dataset, root: str, snapshot_id: str | None = None, with_
     meta.update(id=sid, rows=fp["rows"], checksum=fp["checksum"], snapshot=f"{sid}/data")
     if with_profile:
         prof = profile(Dataset(stored, ds.fields)).collect()
+        meta["duplicate_rows"] = duplicate_rows(stored).first()["duplicate_rows"]
         meta["profile"] = {r["field"]: {k: r[k] for k in ("nulls", "unique", "min", "max")} for r in prof}
         by_id = {r["field"]: r for r in prof}
         for f in meta["fields"]:
@@ -67,18 +68,28 @@ def write_result(df: DataFrame, path: str, fmt: str = "json", report: dict | Non
     writer = df.write.mode("errorifexists")
     if fmt == "csv":
         writer.option("header", True).csv(f"{path}/data")
+    elif fmt == "json":
+        writer.option("ignoreNullFields", False).json(f"{path}/data")
     else:
         writer.format(fmt).save(f"{path}/data")
     if report is not None:
         _write_json(df.sparkSession, f"{path}/report.json", report)
 
 
-def write_package(ds: Dataset, plan: Plan, path: str, include_data: bool = False) -> None:
-    """Reproduction package: plan, dataset description (no private paths),
-    the result, and optionally the data itself."""
+def _public(meta: dict) -> dict:
+    """A dataset description without where its data lies."""
+    out = {k: v for k, v in meta.items() if k != "source"}
+    out["transforms"] = [{k: v for k, v in t.items() if k != "source"} for t in meta.get("transforms", [])]
+    return out
+
+
+def write_package(ds: Dataset, plan: Plan, path: str, include_data: bool = False, chart: dict | None = None) -> None:
+    """Reproduction package: plan, dataset description with its checksum (no
+    private paths), the chart configuration, the result, and optionally the data."""
     spark = ds.df.sparkSession
-    meta = ds.metadata()
-    meta.pop("source", None)
+    meta = _public(ds.metadata()) | {"checksum": fingerprint(ds.df).first()["checksum"]}
+    if chart is not None:
+        _write_json(spark, f"{path}/chart.json", chart)
     _write_json(spark, f"{path}/plan.json", plan.to_dict())
     _write_json(spark, f"{path}/dataset.json", meta)
     compile_plan(ds, plan).df.write.mode("errorifexists").parquet(f"{path}/result")
@@ -86,15 +97,20 @@ def write_package(ds: Dataset, plan: Plan, path: str, include_data: bool = False
         ds.df.write.mode("errorifexists").parquet(f"{path}/data")
 
 
-def rerun_package(spark: SparkSession, path: str, ds: Dataset | None = None) -> DataFrame:
+def rerun_package(spark: SparkSession, path: str, ds: Dataset | None = None, digits: int = 9) -> DataFrame:
     """Recompute a package's plan and return rows that differ from the stored
-    result (both directions, duplicates respected); empty means reproduced."""
+    result (both directions, duplicates respected); empty means reproduced.
+    Doubles are compared to ``digits`` significant digits: sums depend on the
+    order of addition in the last ones."""
     plan = Plan.from_dict(_read_json(spark, f"{path}/plan.json"))
     if ds is None:
         meta = _read_json(spark, f"{path}/dataset.json")
         fields = tuple(Field(f["id"], f["name"], f["dtype"], f.get("meaning", "")) for f in meta["fields"])
         ds = Dataset(spark.read.parquet(f"{path}/data"), fields)
-    fresh = compile_plan(ds, plan).df
-    stored = spark.read.parquet(f"{path}/result")
+    def rounded(df: DataFrame) -> DataFrame:
+        doubles = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
+        return df.withColumns({c: F.format_string(f"%.{digits - 1}e", F.col(c)) for c in doubles})
+    fresh = rounded(compile_plan(ds, plan).df)
+    stored = rounded(spark.read.parquet(f"{path}/result"))
     return (fresh.exceptAll(stored).withColumn("_side", F.lit("recomputed_only"))
             .unionByName(stored.exceptAll(fresh).withColumn("_side", F.lit("stored_only"))))

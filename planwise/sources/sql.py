@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from planwise.dataset import Dataset
@@ -24,19 +25,35 @@ class SqlGuardError(ValueError):
     pass
 
 
-def _strip_comments_and_strings(sql: str) -> str:
-    sql = re.sub(r"--[^\n]*", " ", sql)
-    sql = re.sub(r"/\*.*?\*/", " ", sql, flags=re.S)
-    return re.sub(r"'(?:[^'\\]|\\.|'')*'", "''", sql)
+# One scan from left to right: whichever of a quoted text or a comment starts
+# first ends before anything else can start.
+_SKIPPED = re.compile(
+    r"""[rR]'[^']*'|[rR]"[^"]*"|'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|--[^\n]*|/\*(?!\+).*?\*/""", re.S)
+_DENIED_CLASSES = ("CallMethodViaReflection", "TryReflect")
 
 
 def check_sql(sql: str) -> None:
-    code = _strip_comments_and_strings(sql)
+    """Reject denied functions by the text (needed where Spark does not analyse it)."""
+    code = _SKIPPED.sub(" '' ", sql)
     for fn in DENIED_FUNCTIONS:
-        if re.search(rf"(?i)(?<![\w.`]){fn}\s*\(", code) or re.search(rf"(?i)`{fn}`\s*\(", code):
+        if re.search(rf"(?i)(?<![\w`]){fn}\s*\(", code) or re.search(rf"(?i)`{fn}`\s*\(", code):
             raise SqlGuardError(f"function {fn} is not allowed")
 
 
+def check_analysed(df: DataFrame) -> None:
+    """Reject denied functions by what Spark has resolved, however the text was quoted.
+
+    Nothing has run yet: these functions are evaluated by rows only."""
+    plan = df._jdf.queryExecution().analyzed()
+    text = plan.toString() + plan.toJSON()
+    for name in DENIED_FUNCTIONS:
+        if re.search(rf"(?i)(?<![\w'.]){name}\(", text):
+            raise SqlGuardError(f"function {name} is not allowed")
+    for name in _DENIED_CLASSES:
+        if f".{name}" in text:
+            raise SqlGuardError("functions that call into the JVM are not allowed")
+
+
 def guarded_sql(spark: SparkSession, sql: str) -> DataFrame:
     """Run one read-only query; the whole result stays a lazy DataFrame."""
     check_sql(sql)
@@ -46,18 +63,21 @@ def guarded_sql(spark: SparkSession, sql: str) -> DataFrame:
     previous = spark.conf.get("spark.sql.runSQLOnFiles", "true")
     spark.conf.set("spark.sql.runSQLOnFiles", "false")
     try:
-        return spark.sql(f"SELECT * FROM (\n{body}\n) AS guarded_query")
-    except Exception as e:  # noqa: BLE001 - parse/analysis errors become guard errors
-        raise SqlGuardError(f"Only one read-only SELECT query is supported: {str(e).splitlines()[0]}") from e
+        out = spark.sql(f"SELECT * FROM (\n{body}\n) AS guarded_query")
+    except (ParseException, AnalysisException) as e:
+        raise SqlGuardError(f"Not a single read-only query over known tables: {str(e).splitlines()[0]}") from e
     finally:
         spark.conf.set("spark.sql.runSQLOnFiles", previous)
+    check_analysed(out)
+    return out
 
 
 def capped(df: DataFrame, limit: int = DEFAULT_ROW_LIMIT) -> DataFrame:
     """Reject (never truncate) a result with more than ``limit`` rows."""
-    limit = min(max(int(limit), 1), DEFAULT_ROW_LIMIT)
-    if df.limit(limit + 1).count() > limit:
-        raise SqlGuardError(f"Query exceeds {limit} rows; add aggregation or an explicit LIMIT. No silent truncation.")
+    if int(limit) < 1:
+        raise SqlGuardError("the row limit must be at least 1")
+    if df.limit(int(limit) + 1).count() > limit:
+        raise SqlGuardError(f"the result exceeds {limit} rows and is never cut: aggregate, or write a LIMIT into the query")
     return df
 
 

@@ -103,11 +103,6 @@ class _Book:
                 value = None
             yield row, col, value, f is not None and value is None
 
-    def dimension(self, sheet_path: str) -> tuple[int, int]:
-        rows = cols = 0
-        for row, col, _, _ in self.cells(sheet_path):
-            rows, cols = max(rows, row), max(cols, col)
-        return rows, cols
 
 
 def _catalog(batches, upload_limit: int):
@@ -178,16 +173,16 @@ def read_workbook(spark: SparkSession, path: str, sheet: str, header_row: int =
     cells = workbook_cells(spark, path, sheet, upload_limit).filter(F.col("row") >= header_row)
     header = {r["col"]: r["value"] for r in cells.filter(F.col("row") == header_row).select("col", "value").collect()}
     if not any(v is not None for v in header.values()):
-        raise DatasetError("Empty header")
+        raise DatasetError("the header has no names")
     names = [header.get(c) if header.get(c) is not None else "Unnamed" for c in range(1, n_cols + 1)]
     body = cells.filter(F.col("row") > header_row)
-    uncached = body.filter("formula_uncached").select("row", "col").orderBy("row", "col").limit(100).collect()
+    uncached = body.filter("formula_uncached").select("row", "col").orderBy("row", "col").collect()  # at most the cells of one sheet
     wide = body.groupBy("row").pivot("col", list(range(1, n_cols + 1))).agg(F.first("value"))
     spine = spark.range(header_row + 1, n_rows + 1).select(F.col("id").cast("int").alias("row"))
     df = spine.join(wide, "row", "left").orderBy("row").select(
         *[F.col(str(c)).cast("string").alias(f"f{c}") for c in range(1, n_cols + 1)])
     ds = Dataset.from_frame(df, names=names, source=f"{path}#{sheet}")
-    warnings = list(ds.warnings) + [f"Formula cache missing at row {r['row']} column {r['col']}; recalculate"
+    warnings = list(ds.warnings) + [f"row {r['row']}, column {r['col']}: the formula has no stored value; recalculate the workbook"
                                     for r in uncached]
     return ds.with_frame(ds.df, {"operation": "import", "source": path, "sheet": sheet, "header_row": header_row},
                          warnings=tuple(warnings))

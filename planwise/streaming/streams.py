@@ -15,11 +15,12 @@ replayed batch after a failure replaces its own output (idempotent), and
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planwise.functions.exprs import time_bucket
+from planwise.functions.exprs import quote_id, time_bucket
 from planwise.operators.aggregate import value_expression
 from planwise.operators.runlog import OPEN_STATUSES
 
@@ -50,8 +51,8 @@ def tail_terminal(events: DataFrame, status: str, terminal: tuple[str, ...]) ->
 def deadline_sessions(events: DataFrame, run: str, ts: str, status: str, seq: str, gap: str,
                       watermark: str | None = None, open_statuses: tuple[str, ...] = OPEN_STATUSES) -> DataFrame:
     """One row per (run, activity session): start, end (= last event + gap),
-    events, last status and whether the run was left open past its deadline."""
-    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    events, last status and whether the run was left open past its deadline.
+    ``build_session`` merges sessions inside each task before the shuffle."""
     df = events.withWatermark(ts, watermark) if watermark else events
     sessions = df.groupBy(run, F.session_window(ts, gap).alias("session")).agg(
         F.count(F.lit(1)).alias("events"), F.max_by(F.col(status), F.col(seq)).alias("last_status"))
@@ -59,27 +60,54 @@ def deadline_sessions(events: DataFrame, run: str, ts: str, status: str, seq: st
                            "events", "last_status", F.col("last_status").isin(list(open_statuses)).alias("overdue"))
 
 
+# Months and years have no fixed length, but event-time windows do.  A row's
+# time is moved to a calendar whose months (years) all have the length of the
+# shortest one: the days beyond it wait on its last instant.  That calendar
+# never runs ahead of the real one inside a bucket, so a bucket stays open
+# until its real end plus the delay has passed.
+_DAY = 86_400_000_000
+_EVEN = {"month": (28, "(year({t}) - 1970) * 12 + month({t}) - 1"), "year": (365, "year({t}) - 1970")}
+
+
+def _even_time(ts: str, grain: str):
+    days, index = _EVEN[grain]
+    t = quote_id(ts)
+    inside = f"unix_micros(CAST({t} AS TIMESTAMP)) - unix_micros(date_trunc('{grain}', CAST({t} AS TIMESTAMP)))"
+    return F.expr(f"timestamp_micros(({index.format(t=t)}) * {days * _DAY}L + least({inside}, {days * _DAY - 1}L))")
+
+
+def _from_even(start, grain: str):
+    days, _ = _EVEN[grain]
+    n = F.floor(F.unix_micros(start) / F.lit(days * _DAY)).cast("int")
+    months = n if grain == "month" else n * 12
+    return F.add_months(F.lit("1970-01-01").cast("date"), months).cast("timestamp")
+
+
 def stream_plan(events: DataFrame, ts: str, grain: str, keys: list[str], aggregation: str,
-                metric: str | None = None, denominator: str | None = None, watermark: str = "1 day") -> DataFrame:
+                metric: str | None = None, denominator: str | None = None, watermark: str = "1 day",
+                null_time: str = "error") -> DataFrame:
     """A plan's aggregate on a stream, bucketed by event time.
 
-    Day and week use event-time windows.  Months and years are not fixed
-    durations, so their bucket start (``date_trunc``) becomes the event-time
-    column that carries the watermark and is grouped on.  Either way a
-    finished bucket leaves the state store once the watermark passes it, and
-    rows older than the watermark are dropped as late.
+    The watermark follows the events' own time: a bucket takes rows until its
+    end plus ``watermark`` has passed, then leaves the state store, and later
+    rows for it are late and dropped.  A row without an event time stops the
+    query (``null_time="error"``) or is left out (``"drop"``).
     """
     if aggregation not in STREAMABLE_AGGREGATIONS:
         raise ValueError(f"aggregation {aggregation!r} cannot run incrementally")
+    if null_time not in ("error", "drop"):
+        raise ValueError("null_time must be 'error' or 'drop'")
     value = value_expression(aggregation, metric, denominator).alias("value")
+    if null_time == "error":
+        events = events.withColumn(ts, F.coalesce(F.col(ts), F.raise_error(F.lit(f"a row has no {ts}"))))
     if grain in ("day", "week"):
         df = events.withWatermark(ts, watermark)
         win = F.window(ts, "1 day") if grain == "day" else F.window(ts, "7 days", "7 days", WEEK_START_OFFSET)
         out = df.groupBy(win.alias("w"), *keys).agg(value)
         return out.select(time_bucket(F.col("w.start"), grain).alias(ts), *keys, "value")
-    df = events.withColumn("_bucket", F.date_trunc(grain, F.col(ts))).withWatermark("_bucket", watermark)
-    out = df.groupBy("_bucket", *keys).agg(value)
-    return out.select(time_bucket(F.col("_bucket"), grain).alias(ts), *keys, "value")
+    df = events.withColumn("_even", _even_time(ts, grain)).withWatermark("_even", watermark)
+    out = df.groupBy(F.window("_even", f"{_EVEN[grain][0]} days").alias("w"), *keys).agg(value)
+    return out.select(time_bucket(_from_even(F.col("w.start"), grain), grain).alias(ts), *keys, "value")
 
 
 def run_available(stream: DataFrame, out_dir: str, mode: str = "append") -> str:
@@ -101,10 +129,10 @@ def read_latest(spark: SparkSession, data: str, keys: list[str], schema: str | N
     """Newest emitted version of every group of an update-mode stream."""
     try:
         df = spark.read.parquet(data)
-    except Exception:  # noqa: BLE001 - nothing emitted yet
-        if schema is None:
+    except AnalysisException as e:
+        if schema is None or e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema)  # nothing emitted yet
     cols = [c for c in df.columns if c not in keys and c != "batch"]
     best = F.max_by(F.struct(*[F.col(c) for c in cols]), F.col("batch"))
     return df.groupBy(*keys).agg(best.alias("_s")).select(*keys, "_s.*")

@@ -38,21 +38,21 @@ def test_ragged_row_rejected(spark, tmp_dir):
 
 def test_blank_line_rejected(spark, tmp_dir):
     path = write(tmp_dir, "b.csv", b"a,b\n1,2\n\n3,4\n")
-    with pytest.raises(IngestError, match="Blank"):
+    with pytest.raises(IngestError, match="blank"):
         read_delimited(spark, path)
 
 
 def test_gb18030_and_duplicate_headers(spark, tmp_dir):
     raw = "region,amount,amount\n华东,100,200\n华南,非法,300\n".encode("gb18030")
     path = write(tmp_dir, "g.csv", raw)
-    with pytest.raises(IngestError, match="Encoding"):
+    with pytest.raises(IngestError, match="not valid"):
         read_delimited(spark, path)
     ds = read_delimited(spark, path, encoding="GB18030")
     assert ds.ids == ["f1", "f2", "f3"] and ds.warnings
     typed = type_dataset(ds)
     assert [f.dtype for f in typed.fields] == ["string", "string", "number"]
     assert any("mixed" in w for w in typed.warnings)
-    with pytest.raises(DatasetError, match="invalid numeric"):
+    with pytest.raises(DatasetError, match="not a number"):
         type_dataset(ds, {"f2": {"dtype": "number"}})
 
 
@@ -72,7 +72,7 @@ def test_multiline_quoted_field(spark, tmp_dir):
 
 def test_row_limit_rejects(spark, tmp_dir):
     path = write(tmp_dir, "l.csv", b"a\n1\n2\n3\n")
-    with pytest.raises(IngestError, match="Row limit"):
+    with pytest.raises(IngestError, match="exceed the limit"):
         read_delimited(spark, path, max_rows=2)
 
 
@@ -93,12 +93,12 @@ def test_strict_casts(spark):
     ds = Dataset.from_frame(df)
     typed = type_dataset(ds, {"b": {"dtype": "boolean"}})
     assert [r["b"] for r in typed.df.collect()] == [True, False]
-    with pytest.raises(DatasetError, match="invalid numeric"):
+    with pytest.raises(DatasetError, match="not a number"):
         type_dataset(ds, {"n": {"dtype": "number"}})
     inf = Dataset.from_frame(spark.createDataFrame([("inf",), ("1",)], "n string"))
     with pytest.raises(DatasetError, match="infinite"):
         type_dataset(inf)
-    with pytest.raises(DatasetError, match="boolean"):
+    with pytest.raises(DatasetError, match="not one of"):
         type_dataset(ds, {"d": {"dtype": "boolean"}})
     with pytest.raises(DatasetError, match="Unknown field"):
         type_dataset(ds, {"zz": {"dtype": "number"}})
@@ -173,6 +173,6 @@ def test_header_row_three_stays_in_spark(spark, tmp_dir):
     with pytest.raises(IngestError, match="do not have 2 columns"):
         read_delimited(spark, ragged, header_row=2)
     blank = write(tmp_dir, "b3.csv", b"x\nname,value\nA,1\n\nB,2\n")
-    with pytest.raises(IngestError, match="Blank lines"):
+    with pytest.raises(IngestError, match="blank lines"):
         read_delimited(spark, blank, header_row=2)
     assert read_delimited(spark, blank, header_row=2, check_blank_lines=False).df.count() == 2

@@ -134,7 +134,10 @@ def test_history_depth_matches_recursive_cte(spark):
     rows += [("r", None)] + [(f"k{i}", "r") for i in range(50)]                  # fan-out under one root
     rows += [("x1", "missing"), ("x2", "x1"), ("y1", "y2"), ("y2", "y1")]       # dangling and cyclic
     revs = spark.createDataFrame(rows, "id string, parent string")
-    got = {r["id"]: (r["root"], r["depth"]) for r in runlog.history_depth(revs, "id", "parent").collect()}
+    rows_out = runlog.history_depth(revs, "id", "parent").collect()
+    assert {r["id"] for r in rows_out if r["status"] == "unrooted"} == {"x1", "x2", "y1", "y2"}
+    assert all(r["root"] is None and r["depth"] is None for r in rows_out if r["status"] == "unrooted")
+    got = {r["id"]: (r["root"], r["depth"]) for r in rows_out if r["status"] == "rooted"}
     parent = dict(rows)
     expect = {}
     for node in parent:

@@ -38,10 +38,10 @@ def test_ratio_requires_denominator_and_unknown_keys_rejected():
 
 def test_zero_denominators_raise(spark):
     ds = frame(spark, [("A", 1.0, 0.0), ("B", None, 0.0), ("B", 1.0, 2.0)], "g string, n double, d double")
-    with pytest.raises(Exception, match="Zero group denominator"):
+    with pytest.raises(Exception, match="add up to zero"):
         compile_plan(ds, Plan(group_by=["g"], metric="n", denominator="d", aggregation="ratio_total",
                               missing="keep")).df.collect()
-    with pytest.raises(Exception, match="Zero row denominator"):
+    with pytest.raises(Exception, match="zero denominator"):
         compile_plan(ds, Plan(group_by=["g"], metric="n", denominator="d", aggregation="ratio_mean",
                               missing="keep")).df.collect()
 
@@ -52,8 +52,8 @@ def test_month_grain_and_partial_notice(spark):
     res = compile_plan(ds, Plan(group_by=["date"], metric="amount", time_grain="month", sort="label"))
     out, report = res.collect()
     assert [(r["date"], r["value"]) for r in out] == [("2026-01", 300.0), ("2026-02", 50.0)]
-    assert any("edge months may be incomplete" in w for w in report.warnings)
-    with pytest.raises(PlanError, match="Unknown field"):
+    assert any("may lack days" in w for w in report.warnings)
+    with pytest.raises(PlanError, match="no field has the ID"):
         compile_plan(ds, Plan(group_by=["nope"], metric="amount"))
 
 
@@ -110,7 +110,7 @@ def test_filters_contains_in_and_dates(spark):
     assert cont["value"] == 200.0
     din = compile_plan(ds, Plan(metric="amount", filters=[Filter("d", "in", ["2026-02-01"])])).df.first()
     assert din["value"] == 200.0
-    with pytest.raises(PlanError, match="No data"):
+    with pytest.raises(PlanError, match="no rows are left"):
         compile_plan(ds, Plan(metric="amount", filters=[Filter("amount", "gt", 1e9)])).collect()
 
 
@@ -124,11 +124,11 @@ def test_sorts_nulls_last_and_label(spark):
 
 def test_validation_rules(spark):
     ds = frame(spark, [("x", 1.0, dt.datetime(2026, 1, 1))], "s string, n double, d timestamp_ntz")
-    with pytest.raises(PlanError, match="numeric metric"):
+    with pytest.raises(PlanError, match="metric: "):
         compile_plan(ds, Plan(metric="s"))
-    with pytest.raises(PlanError, match="date"):
+    with pytest.raises(PlanError, match="time bucket"):
         compile_plan(ds, Plan(group_by=["s"], metric="n", time_grain="month"))
-    with pytest.raises(PlanError, match="Denominator"):
+    with pytest.raises(PlanError, match="denominator: "):
         compile_plan(ds, Plan(metric="n", denominator="s", aggregation="ratio_total"))
 
 
@@ -139,7 +139,7 @@ def test_display_names_resolve_to_ids(spark):
     assert out["f1"] == "A" and out["value"] == 3.0
     dup = Dataset.from_frame(df, names=["Same", "Same"], positional_ids=True)
     assert dup.warnings
-    with pytest.raises(PlanError, match="Unknown field"):
+    with pytest.raises(PlanError, match="no field has the ID"):
         compile_plan(dup, Plan(metric="Same"))
 
 

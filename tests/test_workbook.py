@@ -19,7 +19,7 @@ def test_workbook_header_two_nulls_and_formula(spark, tmp_dir):
     write_xlsx(path, [("说明", False, [["readme"]]), ("中文销售", False, rows)])
     ds = type_dataset(read_workbook(spark, path, "中文销售", header_row=2))
     assert ds.df.count() == 4 and ds.fields[0].dtype == "date"
-    assert any("Formula cache missing" in w for w in ds.warnings)
+    assert any("has no stored value" in w for w in ds.warnings)
     with pytest.raises(Exception, match="missing"):
         compile_plan(ds, Plan(group_by=["f2"], metric="f3")).df.collect()
     out = compile_plan(ds, Plan(group_by=["f2"], metric="f3", missing="keep")).df.collect()
