@@ -2,7 +2,9 @@
 
 Each stage takes all that its predecessor kept and returns the columns of
 ``documents``; the last returns packed pieces.  A text that loses words keeps
-the others joined by one space, and its ``n_chars`` is counted anew.
+the others joined by one space, and its ``n_chars`` is counted anew.  Rows that
+share an id, or have none, share the decision of the filtering stages where any
+of them is kept; decontamination tells them apart by their texts.
 """
 
 from __future__ import annotations
@@ -18,31 +20,38 @@ from planwise.llm.quality import classify
 from planwise.llm.substrings import remove_repeats
 
 
+def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    kept = decided.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity fits their language's trusted text."""
-    kept = classify(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return _kept(docs, classify(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near duplicates (five words, 0.8)."""
-    kept = near_duplicates(docs, width=5).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return _kept(docs, near_duplicates(docs, width=5))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of repeated windows; a text that loses nothing stays as it is."""
-    cut = stored(remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept"), "repeats-cut")
-    out = docs.join(cut, "doc_id", "left")
-    text = F.coalesce("kept", "text")
-    return (out.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length(text)))
-            .withColumn("text", text).select(docs.columns))
+    others = [c for c in docs.columns if c != "doc_id"]
+    out = remove_repeats(docs.select("doc_id", F.col("text").alias("_whole"), *[F.col(c).alias(f"_old_{c}") for c in others]),
+                         text="_whole", carry=tuple(f"_old_{c}" for c in others))
+    cut = F.col("n_removed") > 0
+    fresh = {"text": F.when(cut, F.col("kept")).otherwise(F.col("_old_text")),
+             "n_chars": F.when(cut, F.length("kept").cast("bigint")).otherwise(F.col("_old_n_chars"))}
+    return out.select(*[(fresh[c] if c in fresh else F.col(c if c == "doc_id" else f"_old_{c}")).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    leaks = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    whole = docs.withColumn("_key", F.struct("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("md5")))
+    leaks = (contaminated(whole, table(spark, sf_dir, "benchmark"), doc_id="_key")
+             .select(F.col("_key").alias("_leak")).distinct())
+    return whole.join(leaks, F.col("_key").eqNullSafe(F.col("_leak")), "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,10 +82,12 @@ def _replies(requests: DataFrame) -> DataFrame:
     return requests.groupBy("shard").applyInArrow(count, REPLY)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
-    """(doc id, n_words, n_removed, removed, kept): ``removed`` lists maximal intervals [first, last] of
-    word positions, ``kept`` holds the other words joined by one space."""
-    picked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH,
+                   carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc id, n_words, n_removed, removed, kept, carried columns): ``removed`` lists maximal intervals
+    [first, last] of word positions, ``kept`` holds the other words joined by one space."""
+    picked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"),
+                         *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)])
     shards = shard_count(text_bytes(picked, "_text"))
     replies = _replies(_requests(picked, width, shards))
 
@@ -137,12 +139,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return pa.table({"id": rows["_id"], "n_words": pa.array(n_words, pa.int64()),
                          "n_removed": pa.array(n_removed, pa.int64()),
                          "removed": pa.array(removed, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
-                         "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+                         "kept": pa.array(kept, pa.binary()).cast(pa.string()),
+                         **{f"_carry{i}": rows[f"_carry{i}"] for i in range(len(carry))}})
 
     id_type = picked.schema["_id"].dataType.simpleString()
     schema = f"id {id_type}, n_words bigint, n_removed bigint, removed array<struct<first:int,last:int>>, kept string"
+    schema += "".join(f", _carry{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     return (packed_blocks(picked).groupBy("block").cogroup(replies.groupBy("block"))
-            .applyInArrow(finish, schema).withColumnRenamed("id", doc_id))
+            .applyInArrow(finish, schema)
+            .withColumnsRenamed({"id": doc_id} | {f"_carry{i}": c for i, c in enumerate(carry)}))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
