@@ -240,6 +240,12 @@ def density_raster(df: DataFrame, x: str, y: str, width: int, height: int,
     return inside.groupBy(px.alias("px"), py.alias("py")).agg(F.count(F.lit(1)).alias("count"))
 
 
+def density_shade(raster: DataFrame) -> DataFrame:
+    """The raster with ``shade``, each count's logarithmic share of the largest: log(1 + count) / log(1 + max)."""
+    top = raster.agg(F.max("count")).scalar()
+    return raster.withColumn("shade", F.log1p("count") / F.log1p(top))
+
+
 def density_stats(raster: DataFrame) -> DataFrame:
     return raster.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("points_in_view"),
                       F.coalesce(F.max("count"), F.lit(0)).alias("max_count"))
@@ -276,12 +282,12 @@ def kpi_table(result: DataFrame, label: str, value: str, descending: bool = True
 
 
 def top_evidence(result: DataFrame, value: str, keys: list[str], limit: int = MAX_EVIDENCE) -> DataFrame:
-    """First ``limit`` groups by value (desc) with 1-based IDs and the total
-    group count.  The top-k runs per partition before one small merge; the
+    """First ``limit`` groups by value (desc) with 1-based IDs, the total
+    group count and how many of the groups are included.  The top-k runs per partition before one small merge; the
     total is a scalar subquery of the same lazy query (Catalyst prunes it to
     counting the group keys, reading only the key columns)."""
     order = [F.col(value).desc_nulls_last(), *[F.col(k).asc_nulls_last() for k in keys]]
     total = result.agg(F.count(F.lit(1))).scalar()
     top = result.orderBy(*order).limit(limit)
     return (top.withColumn("evidence_id", F.row_number().over(Window.orderBy(*order)))
-            .withColumn("total_groups", total))
+            .withColumns({"total_groups": total, "included_groups": F.least(total, F.lit(limit).cast("bigint"))}))

@@ -33,7 +33,19 @@ DATE_FORMATS = (
     "yyyy-M-d'T'H:m:s.SSSSSS",
     "yyyy/M/d H:m",
     "yyyy/M/d H:m:s",
+    "yyyy-M-d'T'H:m",
+    "yyyy-M-d'T'H:mXXX",
+    "yyyy-M-d'T'H:m:sXXX",
+    "yyyy-M-d'T'H:m:s.SSSSSSXXX",
+    "yyyy-M-d H:m:sXXX",
+    "yyyy-M-d h:m a",
+    "yyyy-M-d h:m:s a",
+    "yyyy/M/d h:m a",
 )
+# Further layouts that a cast to date tries, though inference leaves such
+# columns as text; where day and month could change places, the month is first.
+CAST_DATE_FORMATS = ("M/d/yyyy", "M/d/yyyy H:m", "M/d/yyyy H:m:s", "yyyyMMdd", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy",
+                     "d MMMM yyyy")
 # The texts that a boolean cast accepts.
 BOOLEAN_TEXT = {"true": True, "false": False, "1": True, "0": False}
 
@@ -58,7 +70,7 @@ def _layout_key(fmt: str) -> str:
         elif ch.isalpha():
             while i < len(fmt) and fmt[i] == ch:
                 i += 1
-            out.append("9")
+            out.append({"X": "X", "a": "A"}.get(ch, "9"))
         else:
             out.append(ch)
             i += 1
@@ -66,8 +78,10 @@ def _layout_key(fmt: str) -> str:
 
 
 def _value_layout(c: Column) -> Column:
-    """A text's shape in the same alphabet: digit runs become ``9``."""
-    return F.upper(F.regexp_replace(F.trim(c), r"\d+", "9"))
+    """A text's shape in the same alphabet: digit runs become ``9``, a zone
+    after a time ``X``, a half of the day ``A``."""
+    zoned = F.regexp_replace(F.trim(c), r"(:\d{1,2}(?:\.\d+)?)(?:[Zz]|[+-]\d{2}:\d{2})$", "$1X")
+    return F.upper(F.regexp_replace(F.regexp_replace(zoned, r"(?i)(\d )[ap]m$", "$1A"), r"\d+", "9"))
 
 
 def _parse(c: Column, fmt: str) -> Column:
@@ -177,13 +191,14 @@ def strict_cast(df: DataFrame, column: str, dtype: str, name: str | None = None,
             raise DatasetError(f"{label}: holds an infinite number")
         return F.nanvl(value, F.lit(None).cast("double")).alias(column)
     if dtype == "date":
-        formats = [date_format] if date_format else list(DATE_FORMATS)
-        counts = df.agg(F.count(c).alias("n"), *[F.count(_date(c, f)).alias(f"d{k}") for k, f in enumerate(formats)]).first()
+        formats = [date_format] if date_format else [*DATE_FORMATS, *CAST_DATE_FORMATS]
+        read = lambda f: _date(c, f) if f in DATE_FORMATS else _parse(c, f)
+        counts = df.agg(F.count(c).alias("n"), *[F.count(read(f)).alias(f"d{k}") for k, f in enumerate(formats)]).first()
         chosen = next((f for k, f in enumerate(formats) if counts[f"d{k}"] == counts["n"]), None)
         if chosen is None:
-            bad = df.filter(c.isNotNull() & _date(c, formats[0]).isNull()).select(column).limit(3).collect()
+            bad = df.filter(c.isNotNull() & F.coalesce(*[read(f) for f in formats]).isNull()).select(column).limit(3).collect()
             raise DatasetError(f"{label}: not a date: {[r[0] for r in bad]}")
-        return _date(c, chosen).alias(column)
+        return read(chosen).alias(column)
     if dtype == "boolean":
         lookup = F.create_map(*[x for k, v in BOOLEAN_TEXT.items() for x in (F.lit(k), F.lit(v))])
         value = lookup[F.lower(F.trim(c.cast("string")))]

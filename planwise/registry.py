@@ -238,7 +238,8 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("top_evidence", """
 WITH r AS (SELECT o_custkey, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1),
      t AS (SELECT count(*) AS total_groups FROM r)
-SELECT o_custkey, value, row_number() OVER (ORDER BY value DESC, o_custkey) AS evidence_id, total_groups
+SELECT o_custkey, value, row_number() OVER (ORDER BY value DESC, o_custkey) AS evidence_id, total_groups,
+       least(total_groups, 100) AS included_groups
 FROM r, t ORDER BY value DESC, o_custkey LIMIT 100
 """)(_evidence)
 

@@ -78,6 +78,27 @@ def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
                                              F.round("center_lat", 6).alias("center_lat"))
 
 
+@register("mark_density_log", """
+WITH r AS (SELECT least(floor((l_quantity - 0) / 60 * 32), 31) AS px, least(floor(l_discount / 0.2 * 16), 15) AS py, count(*) AS n
+           FROM lineitem WHERE l_quantity BETWEEN 0 AND 60 AND l_discount BETWEEN 0 AND 0.2 GROUP BY 1, 2)
+SELECT CAST(px AS BIGINT) AS px, CAST(py AS BIGINT) AS py, n AS count,
+       round(ln(1 + n) / ln(1 + (SELECT max(n) FROM r)), 6) AS shade FROM r
+""")
+def _density_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import density_raster, density_shade
+    raster = density_raster(table(spark, sf_dir, "lineitem"), "l_quantity", "l_discount", 32, 16, (0.0, 60.0), (0.0, 0.2))
+    return density_shade(raster).withColumn("shade", F.round("shade", 6))
+
+
+@register("dates_with_offsets", "SELECT event_id, ts - INTERVAL 8 HOUR AS at FROM events")
+def _offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.profile import type_dataset
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+08:00"))
+    raw = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("event_id"), text.alias("at"))
+    df = type_dataset(Dataset.from_frame(raw)).df
+    return df.select(F.col("event_id").cast("bigint").alias("event_id"), F.col("at").cast("timestamp_ntz").alias("at"))
+
+
 @register("citations_unknown",
           "SELECT DISTINCT o_custkey AS evidence_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def _citations(spark: SparkSession, sf_dir: str) -> DataFrame:

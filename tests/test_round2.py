@@ -183,3 +183,28 @@ def test_rows_without_a_time_stop_the_stream(spark, tmp_dir):
         run_available(stream_plan(events(), "ts", "day", [], "count"), f"{tmp_dir}/a", mode="update")
     data = run_available(stream_plan(events(), "ts", "day", [], "count", null_time="drop"), f"{tmp_dir}/b", mode="update")
     assert read_latest(spark, data, ["ts"]).first()["value"] == 1
+
+
+@pytest.mark.parametrize("text,want", [
+    ("2026-01-02T10:20", dt.datetime(2026, 1, 2, 10, 20)), ("2026-01-02T10:20:30Z", dt.datetime(2026, 1, 2, 10, 20, 30)),
+    ("2026-01-02T10:20:30+08:00", dt.datetime(2026, 1, 2, 2, 20, 30)), ("2026-01-02 03:04 PM", dt.datetime(2026, 1, 2, 15, 4)),
+    ("2026-01-02T10:20:30.5-01:30", dt.datetime(2026, 1, 2, 11, 50, 30, 500000)),
+])
+def test_dates_that_inference_reads(spark, text, want):
+    from planwise.operators.profile import type_dataset
+    if ".5-" in text:
+        text = text.replace(".5-", ".500000-")
+    ds = type_dataset(Dataset.from_frame(spark.createDataFrame([(text,), (None,)], "d string")))
+    assert ds.dtype("d") == "date" and ds.df.where("d IS NOT NULL").first()["d"] == want
+
+
+@pytest.mark.parametrize("text", ["01/02/2026", "20260102", "Jan 2, 2026", "2 Jan 2026", "January 2, 2026"])
+def test_dates_that_a_cast_reads(spark, text):
+    from planwise.operators.profile import strict_cast
+    df = spark.createDataFrame([(text,)], "d string")
+    assert df.select(strict_cast(df, "d", "date")).first()["d"] in (dt.datetime(2026, 1, 2), dt.datetime(2026, 1, 2, 0, 0))
+
+
+def test_log_shade(spark):
+    raster = spark.createDataFrame([(0, 0, 0), (0, 1, 9), (1, 1, 99)], "px int, py int, count long")
+    assert [round(r["shade"], 3) for r in marks.density_shade(raster).orderBy("count").collect()] == [0.0, 0.5, 1.0]
