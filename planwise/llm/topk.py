@@ -145,9 +145,9 @@ def search(queries: DataFrame, index: DataFrame, k: int = K, query_rows: int = Q
         return queries.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"),
                               F.lit(0).cast("bigint").alias("score")).limit(0)
     # a block of the index meets each block of the stated queries in a task of its own
+    last = index.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0]
     met = index.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    blocks = index.select("block").distinct().withColumn("_one", F.lit(1))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(_most(blocks)))))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last))))
 
     def run(have: pa.Table, ask: pa.Table) -> pa.Table:
         empty = pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
@@ -172,11 +172,6 @@ def search(queries: DataFrame, index: DataFrame, k: int = K, query_rows: int = Q
     return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
-def _most(blocks: DataFrame) -> int:
-    top = blocks.agg(F.max("block")).first()[0]
-    return 0 if top is None else top
-
-
 def integer_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
                     scale: int = SCALE) -> DataFrame:
     """(id, vec): floor(scale * x) of every component, without the rows that take no part."""
