@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, StructType
+from pyspark.sql.types import DoubleType, FloatType, StringType, StructType
 
 # Fixed values shown to users (they must equal the reference's).
 MISSING_CATEGORY = "(missing)"
@@ -44,6 +44,19 @@ def is_float(schema: StructType, column: str) -> bool:
     return isinstance(schema[column].dataType, (DoubleType, FloatType))
 
 
+SHORT_TEXT = 64
+
+
+def compact_key(column: str, schema: StructType) -> str:
+    """SQL text of a grouping key that stands for the column's value: long texts
+    as their SHA-256 (marked, so that no short text equals one), so that they
+    are not shuffled whole."""
+    c = quote_id(column)
+    if not isinstance(schema[column].dataType, StringType):
+        return c
+    return f"CASE WHEN length({c}) > {SHORT_TEXT} THEN concat('\\u0000', sha2(CAST({c} AS BINARY), 256)) ELSE {c} END"
+
+
 def without_nan(column: str, schema: StructType) -> Column:
     """The column, with null for what is not a number."""
     c = F.col(column)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from planwise.dataset import Dataset, DatasetError, Field
-from planwise.functions.exprs import quote_id, sql_literal
+from planwise.functions.exprs import compact_key, quote_id, sql_literal
 
 # Number grammar accepted by the reference's numeric parser (decimal or
 # scientific, optional sign, surrounding blanks; inf/infinity parse but are
@@ -257,7 +257,8 @@ def profile(ds: Dataset, approx: bool = False) -> DataFrame:
     its own values (a hot value collapses map-side to one row per task) and
     derive everything from the distinct values and their counts - nulls are
     the count of the null group, min/max are over the distinct values.  So
-    each column is read once and only narrow distinct values are shuffled
+    each column is read once and only narrow distinct values (long texts as
+    their SHA-256) are shuffled
     (a single aggregate with one ``count(DISTINCT)`` per column would have
     Spark copy every row once per column before its shuffle).
     ``approx=True`` computes HyperLogLog distinct counts in a single
@@ -265,13 +266,12 @@ def profile(ds: Dataset, approx: bool = False) -> DataFrame:
     """
     if approx:
         return _profile_approx(ds)
-    branches = []
+    branches, key = [], lambda c: compact_key(c, ds.df.schema)
     for f in ds.fields:
-        q = quote_id(f.id)
         minmax = (["CAST(min(v) AS STRING) AS min", "CAST(max(v) AS STRING) AS max"]
                   if f.dtype in ("number", "date") else ["CAST(NULL AS STRING) AS min", "CAST(NULL AS STRING) AS max"])
         branches.append(
-            ds.df.selectExpr(f"{q} AS v").groupBy("v").agg(F.expr("count(1) AS n"))
+            ds.df.selectExpr(f"{key(f.id)} AS v").groupBy("v").agg(F.expr("count(1) AS n"))
             .selectExpr(f"{sql_literal(f.id)} AS field", f"{sql_literal(f.name)} AS name",
                         f"{sql_literal(f.dtype)} AS dtype",
                         "CAST(coalesce(sum(CASE WHEN v IS NULL THEN n END), 0) AS BIGINT) AS nulls",
@@ -301,9 +301,11 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows minus distinct rows (nulls compare equal), as a one-row frame.
 
     Exact duplicates collapse in the map-side partial aggregate, so a row
-    repeated a billion times costs one shuffle record per task.
+    repeated a billion times costs one shuffle record per task; long texts
+    are compared and shuffled as their SHA-256.
     """
-    return (df.groupBy(*df.columns).count()
+    keys = [f"{compact_key(c, df.schema)} AS _k{i}" for i, c in enumerate(df.columns)]
+    return (df.selectExpr(*keys).groupBy(*[f"_k{i}" for i in range(len(keys))]).count()
             .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows")))
 
 
