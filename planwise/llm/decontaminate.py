@@ -7,9 +7,9 @@ starting once a longest item) is a query.  An item's impacts are divided by
 its BM25 score for its own text, so that one threshold fits all items.
 
 A passage is searched by block-max WAND if the bounds allow a hit: an item's
-weakest terms, which together stay below the threshold, cannot carry it alone,
-so the passage must hold some of its other terms, and these with the weakest
-must reach the threshold.  What WAND retrieves is verified by five-word
+weakest terms (the frequent ones, up to a share ``weak`` of its score) count as
+if all were there, and the other terms that the passage holds must bring the
+sum to the threshold for some item.  What WAND retrieves is verified by five-word
 shingles: the item's question (all but its last sentence) and answer (its last
 sentence) must overlap with the passage, or nearly the whole item must.
 
@@ -33,6 +33,7 @@ from planwise.llm.common import KeyMap, byte_values, table
 from planwise.llm.tokens import WORDS_ONLY, Tokens, chunks, spans
 
 THRESHOLD = 0.6  # of an item's own score
+WEAK = 0.25
 PART, WHOLE = 0.5, 0.8  # overlap of question and answer, or of the whole item
 SHINGLE = 5
 K1, B = 1.2, 0.75
@@ -57,7 +58,7 @@ def parts(text: str | None) -> tuple[str, str]:
 class Index:
     """BM25 postings of some items in blocks with their largest impacts."""
 
-    def __init__(self, items: list[tuple[int, str | None]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str | None]], threshold: float = THRESHOLD, weak: float = WEAK):
         self.ids = [i for i, _ in items]
         keys = [Tokens([(t or "").encode()], True, WORDS_ONLY).keys() for _, t in items]
         self.parts = []
@@ -81,7 +82,7 @@ class Index:
             for t, x in sorted(impact.items(), key=lambda p: p[1]):
                 x /= own
                 self.postings[t].append((item, x))
-                if low + x < threshold * (1 - 1e-9):
+                if low + x <= min(weak, threshold * 0.999):
                     low += x
                 else:
                     strong[t].append((item, x))
