@@ -15,6 +15,7 @@ a text of any length is cut, never shortened.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -26,14 +27,24 @@ from planwise.llm.common import table, text_bytes
 
 LENGTH = 2048
 GROUP_BYTES = 8 << 20
-CACHE_WORDS = 200_000
+CACHE_WORDS = 800_000
 END_ID = 1
 
 
+# Texts of these characters alone are cut into the tokenizer's words here: white
+# space, printable ASCII but the apostrophe, and the Latin-1 letters.  They have
+# one form under normalisation, and lower-case one by one.
+PLAIN = re.compile(r"[\t\n\x0b\x0c\r -&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+PIECE = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
 class WordTokenizer:
-    """Ids of texts by a tokenizer that never joins across ASCII white space, one distinct word at a time.
+    """Ids of texts by a tokenizer that splits at white space and between letters, digits and other characters.
 
-    A text that holds the string of a special token goes to the tokenizer whole.
+    Each distinct word is encoded once while it is remembered.  Plain texts
+    are cut into the tokenizer's own words; of other texts, the runs between
+    ASCII white space are looked up whole; a text that holds the string of a
+    special token goes to the tokenizer as it is.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -42,23 +53,48 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.limit, self.known = cache_words, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in
-                self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Encode many words in one text; each of them ends with the first id that ends a word."""
+        for a in range(0, len(words), 5000):
+            part = words[a:a + 5000]
+            ids = self._ids([" ".join(part)])[0]
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):
+                data, cuts = ids.tobytes(), (np.concatenate([[0], stops]) * 4).tolist()
+                self.known.update(zip(part, [data[x:y] for x, y in zip(cuts, cuts[1:])]))
+            else:  # another tokenizer file: one by one
+                self.known.update(zip(part, [x.tobytes() for x in self._ids(part)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        # bytes split at ASCII white space only; other white space stays inside a word and is the tokenizer's
-        split = [None if any(s in t for s in self.special) else t.encode().split() for t in texts]
-        if len(self.known) > self.limit:
-            self.known = {}
+        split, plain, runs = [], set(), set()
+        for t in texts:
+            if any(s in t for s in self.special):
+                split.append(None)
+            elif PLAIN.fullmatch(t):
+                split.append(PIECE.findall(t.lower()))
+                plain.update(split[-1])
+            else:
+                # bytes split at ASCII white space only; other white space stays inside a run and is the tokenizer's
+                split.append(t.encode().split())
+                runs.update(split[-1])
+        if len(self.known) > self.limit:  # go on with the words at hand
+            self.known = {w: self.known[w] for w in plain | runs if w in self.known}
         known = self.known
-        fresh = list(set().union(*(w for w in split if w is not None)).difference(known))
-        for a in range(0, len(fresh), 10_000):
-            part = fresh[a:a + 10_000]
-            known.update(zip(part, self._ids([w.decode() for w in part])))
-        return [self._ids([t])[0] if w is None else b"".join(map(known.__getitem__, w)) for t, w in zip(texts, split)]
+        self._learn_words([w for w in plain if w not in known])
+        fresh = [w for w in runs if w not in known]
+        for a in range(0, len(fresh), 5000):
+            part = fresh[a:a + 5000]
+            known.update(zip(part, [x.tobytes() for x in self._ids([w.decode() for w in part])]))
+        return [self._ids([t])[0].tobytes() if w is None else b"".join(map(known.__getitem__, w))
+                for t, w in zip(texts, split)]
 
 
 class Tournament:

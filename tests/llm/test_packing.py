@@ -47,7 +47,8 @@ def test_tokenizer_by_words_equals_whole_texts():
     t = Tokenizer.from_file(public_tokenizer())
     texts = ["", " ", "It's HERE now, don't stop", "é ́x", "a<|endoftext|>b <|startoftext|> c",
              "İstanbul ΣΣ Σ", "x\u0085y​z q r\x1cs\x1ft", "99 1234 ½ ﬁ",
-             "﻿b ᠎ c", "👩‍🚀 ok"]
+             "﻿b ᠎ c", "👩‍🚀 ok",
+             "ÀÉß ÿØ×÷ Straße! 12a3$$$x, y.\n(z)\t--w", "<| a |> <x", "%%%A***b### 7,5", "ª º ² µ ¿qué?", "x\x1cy\x00z \x7f~"]
     w = WordTokenizer(public_tokenizer())
     got = [np.frombuffer(x, "<u4").tolist() for x in w.encode(texts)]
     assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
