@@ -9,10 +9,17 @@ small sets borrow from a full one in an order fixed by the bucket.
 
 Documents with equal sets form one class.  Class representatives meet where a
 band of six registers agrees (42 bands; a pair at 0.8 is missed with a chance
-of 3e-6).  Within a band bucket, members are first compared with a hub, the
+of 3e-6).  A handful of shingles fills no registers, so sets of up to nine meet
+exactly instead: two of them at 0.8 are equal after leaving out one shingle at
+most each, or two of a partner's ten or eleven.  Within a band bucket, members are first compared with a hub, the
 member that shares most with the others; then, bucket by bucket, only members
-that the links found so far leave in different components.  Each pair passes a
-collision-corrected register estimate before its full sets decide.
+that the links found so far leave in different components, and whose distances
+from the hub differ by no more than linked ones may (the Jaccard distance is a
+metric).  Each pair passes a
+collision-corrected register estimate before its full sets decide.  Whole
+buckets are compared by an exact bound: a member whose shingles are too often
+rare (in at most ``RARE`` open members) to reach the overlap without them meets
+only the few that share one of these; the others meet in their bucket.
 
 Defined cases: null text is empty; a null id is a document of its own and its
 own component; repeated rows have equal sets; an empty table gives an empty
@@ -35,7 +42,8 @@ from planwise.llm.tokens import Tokens, chunks, inverse, powers, spans
 REGISTERS, MANTISSA = 256, 10
 BAND, BANDS = 6, 42
 SHORT_BASE = 0xE7037ED1A0B428DB
-STAR_ROUNDS = 2
+SMALL, PARTNER = 9, 11  # at 0.8 a set of up to nine shingles has partners of up to eleven
+RARE = 32
 _BORROW = mixed(np.arange(REGISTERS * 4096, dtype=np.uint64)) % np.uint64(REGISTERS)
 
 
@@ -99,6 +107,19 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return (agree - chance) / (1 - chance)
 
 
+def small_keys(keys: np.ndarray) -> np.ndarray:
+    """Keys of a small set and of what is left without one shingle, or two above SMALL."""
+    if not 4 <= len(keys) <= PARTNER:  # below four shingles only equal sets reach 0.8
+        return np.zeros(0, np.uint64)
+    each = mixed(keys)
+    total = each.sum(dtype=np.uint64)
+    out = [np.array([total]), total - each]
+    if len(keys) > SMALL:
+        i, j = np.triu_indices(len(keys), 1)
+        out.append(total - each[i] - each[j])
+    return np.unique(mixed(np.concatenate(out)))
+
+
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
     id_type = docs.schema["_id"].dataType.simpleString()
 
@@ -111,12 +132,13 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
                 "_id": rows["_id"].combine_chunks(), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "set_id": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                                     for s in sets], pa.binary()),
-                "registers": pa.array([r.tobytes() if len(s) else None for r, s in zip(regs, sets)], pa.binary())})
-    return docs.mapInArrow(sign, f"_id {id_type}, n_shingles bigint, set_id binary, registers binary")
+                "registers": pa.array([r.tobytes() if len(s) else None for r, s in zip(regs, sets)], pa.binary()),
+                "small": pa.array([small_keys(s).tobytes() if len(s) <= PARTNER else None for s in sets], pa.binary())})
+    return docs.mapInArrow(sign, f"_id {id_type}, n_shingles bigint, set_id binary, registers binary, small binary")
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    """(key, id) for each band of each representative."""
+    """(key, id) for each band of a representative of ten shingles or more, and each key of a small set."""
     id_type = reps.schema["id"].dataType.simpleString()
 
     def cut(batches):
@@ -129,10 +151,13 @@ def _bands(reps: DataFrame) -> DataFrame:
             keys = np.broadcast_to(mixed(np.arange(1, BANDS + 1, dtype=np.uint64)), (n, BANDS)).copy()
             for j in range(BAND):
                 keys = mixed((keys ^ part[:, :, j]) * np.uint64(0x9E3779B97F4A7C15))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel().view(np.int64)),
-                 batch.column(0).take(pa.array(np.repeat(np.arange(n), BANDS)))], ["key", "id"])
-    return reps.select("id", "registers").mapInArrow(cut, f"key bigint, id {id_type}")
+            wide = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False) > SMALL)
+            small = [np.frombuffer(x or b"", np.uint64) for x in batch.column(3).to_pylist()]
+            flat = np.concatenate([keys[wide].ravel(), *small])
+            owner = np.concatenate([np.repeat(wide, BANDS), np.repeat(np.arange(n), [len(x) for x in small])])
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), batch.column(0).take(pa.array(owner))],
+                                             ["key", "id"])
+    return reps.select("id", "registers", "n_shingles", "small").mapInArrow(cut, f"key bigint, id {id_type}")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -149,7 +174,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
+    """(a, b, linked, distance) of the pairs whose estimate lets their full sets decide."""
     side = lambda name: reps.select(F.col("id").alias(name), F.col("registers").alias(f"r_{name}"),
                                     F.col("n_shingles").alias(f"n_{name}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -172,19 +197,43 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int)
     def decide(batches):
         for b in batches:
             cols = {name: b.column(i) for i, name in enumerate(b.schema.names)}
-            keep = []
+            linked, distance = [], []
             for x, y in zip(cols["k_a"].to_pylist(), cols["k_b"].to_pylist()):
                 both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
                 both.sort()
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * shared >= percent * (len(both) - shared))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([cols["a"].filter(keep), cols["b"].filter(keep)], ["a", "b"])
+                linked.append(100 * shared >= percent * (len(both) - shared))
+                distance.append(1 - shared / (len(both) - shared))
+            yield pa.RecordBatch.from_arrays([cols["a"], cols["b"], pa.array(linked, pa.bool_()), pa.array(distance, pa.float64())],
+                                             ["a", "b", "linked", "distance"])
 
     near = near.mapInArrow(likely, pair_type)
     full = (near.join(sets.select(F.col("id").alias("a"), F.col("keys").alias("k_a")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("keys").alias("k_b")), "b"))
-    return full.mapInArrow(decide, pair_type)
+    return full.mapInArrow(decide, f"{pair_type}, linked boolean, distance double")
+
+
+def _rarity(sets: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For members (id, component): (id, size, common), ``common`` counting the shingles that more than RARE of
+    them have; and the pairs of different components that share a shingle that fewer have."""
+    id_type = members.schema["id"].dataType.simpleString()
+
+    def spread(batches):
+        for b in batches:
+            for i, data in enumerate(b.column(1).to_pylist()):
+                keys = np.frombuffer(data, np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(keys), i))), pa.array(keys)],
+                                                 ["id", "shingle"])
+    chosen = sets.join(members.select("id"), "id", "left_semi")
+    rows = stored(chosen.select("id", "keys").mapInArrow(spread, f"id {id_type}, shingle bigint"), "open-shingles")
+    seldom = rows.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= RARE)
+    rare = stored(rows.join(seldom, "shingle"), "rare-shingles")
+    own = rare.groupBy("id").agg(F.count("*").alias("rare"))
+    sizes = (chosen.select("id", (F.length("keys") / 8).cast("bigint").alias("size")).join(own, "id", "left")
+             .select("id", "size", (F.col("size") - F.coalesce("rare", F.lit(0))).alias("common")))
+    several = rare.where("n > 1").join(members, "id").select("shingle", "id", "component")
+    other = several.select("shingle", F.col("id").alias("other"), F.col("component").alias("other_component"))
+    return sizes, several.join(other, "shingle").where("component < other_component").select("id", "other")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -195,46 +244,50 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                     percent: int = 80) -> DataFrame:
     """(doc id, n_shingles, component_id, kept): documents whose sets share at least ``percent`` of
     their union are linked; a component is named by its smallest id, which alone is kept."""
+    if not 80 <= percent <= 100:
+        raise ValueError("percent must be 80 to 100: the bands and the keys of small sets are made for these")
     picked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     signed = stored(_signatures(picked, width), "signatures")
     reps = stored(signed.where("set_id IS NOT NULL AND _id IS NOT NULL").groupBy("set_id")
-                  .agg(F.min(F.struct("_id", "registers", "n_shingles")).alias("least"))
-                  .select("set_id", F.col("least._id").alias("id"), "least.registers", "least.n_shingles"), "classes")
+                  .agg(F.min(F.struct("_id", "registers", "n_shingles", "small")).alias("least"))
+                  .select("set_id", F.col("least._id").alias("id"), "least.registers", "least.n_shingles", "least.small"),
+                  "classes")
     sizes = _bands(reps).groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(_bands(reps).join(sizes, "key"), "band-members")
     weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
     members = stored(members.drop("size").join(weight, "id"), "band-weights")
     sets = stored(_sets(picked, members.select("id").distinct(), width), "candidate-sets")
-    links, parts, open_ = None, None, members.withColumn("component", F.col("id"))
-    for turn in range(STAR_ROUNDS + 1):
-        if turn < STAR_ROUNDS:
-            # hub: the member with the widest reach, each round among those outside the first hub's component
-            main = F.max(F.struct("weight", F.xxhash64("id", F.lit(turn)), "id", "component")).alias("hub")
-            hubs = open_.groupBy("key").agg(main).select("key", F.col("hub.id").alias("other"),
-                                                         F.col("hub.component").alias("other_component"))
-            found = open_.join(hubs, "key")
-        else:
-            found = open_.join(open_.select("key", F.col("id").alias("other"),
-                                            F.col("component").alias("other_component")), "key")
-        pairs = stored(_pairs(found.where("component <> other_component")), "pairs")
-        new = _verified(pairs, reps, sets, percent)
-        links = stored(new if links is None else links.unionByName(new), "near-links")
-        parts = stored(components(links), "near-components")
-        if turn == STAR_ROUNDS:
-            break
-        labelled = (open_.drop("component").join(parts, "id", "left")
-                    .select("key", "id", "weight", F.coalesce("component", "id").alias("component")))
-        # of two members the hub was one: nothing is left to compare
-        torn = (labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                            F.count("*").alias("n")).where("lo <> hi AND n > 2").select("key"))
-        open_ = stored(labelled.join(torn, "key"), "open-buckets")
-        if open_.isEmpty():
-            break
-        if turn < STAR_ROUNDS - 1:
-            # the next hub comes from another component than the last one's: weigh by what is still apart
-            heavy = open_.groupBy("key", "component").agg(F.count("*").alias("n"))
-            open_ = (open_.join(heavy, ["key", "component"])
-                     .withColumn("weight", -F.col("n")).drop("n"))
+
+    # first every member with its bucket's hub, the member with the widest reach
+    hub = F.max(F.struct("weight", F.xxhash64("id"), "id")).alias("hub")
+    hubs = stored(members.groupBy("key").agg(hub).select("key", F.col("hub.id").alias("other")), "hubs")
+    ends = [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
+    starred = members.join(hubs, "key").select("key", "id", "other")
+    tested = stored(_verified(stored(_pairs(starred.where("id <> other")), "pairs"), reps, sets, percent), "near-tested")
+    links = tested.where("linked").select("a", "b")
+    parts = stored(components(links), "near-components")
+
+    # then the buckets that this leaves in several components; of two members the hub was one
+    labelled = starred.join(parts, "id", "left").select(
+        "key", "id", F.coalesce("component", "id").alias("component"), *ends, (F.col("id") == F.col("other")).alias("is_hub"))
+    torn = (labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                        F.count("*").alias("n")).where("lo <> hi AND n > 2").select("key"))
+    gap = F.when(F.col("is_hub"), F.lit(0.0)).otherwise(F.col("distance"))
+    open_ = stored(labelled.join(torn, "key").join(tested.select("a", "b", "distance"), ["a", "b"], "left")
+                   .select("key", "id", "component", gap.alias("gap")), "open-buckets")
+    if not open_.isEmpty():
+        sizes, sharing = _rarity(sets, open_.select("id", "component").distinct())
+        sized = stored(open_.join(sizes, "id"), "open-sizes")
+        other = sized.select("key", *[F.col(c).alias(to) for c, to in (
+            ("id", "other"), ("component", "other_component"), ("size", "other_size"), ("common", "other_common"),
+            ("gap", "other_gap"))])
+        # the overlap that the similarity asks for, without any rare shingle of either side
+        enough = ((100 + percent) * F.least("common", "other_common") >= percent * (F.col("size") + F.col("other_size")))
+        close = F.coalesce(F.abs(F.col("gap") - F.col("other_gap")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
+        found = (sized.join(other, "key").where(enough & close & (F.col("component") < F.col("other_component")))
+                 .select("id", "other").unionByName(sharing))
+        more = _verified(stored(_pairs(found), "pairs"), reps, sets, percent).where("linked").select("a", "b")
+        parts = stored(components(stored(links.unionByName(more), "near-links")), "near-components")
     classes = reps.join(parts, "id", "left").select("set_id", F.coalesce("component", "id").alias("component_id"))
     out = (signed.select("_id", "n_shingles", "set_id").join(classes, "set_id", "left")
            .select(F.col("_id").alias(doc_id), "n_shingles",

@@ -60,3 +60,30 @@ def test_family_linked_only_through_its_source(spark):
         rows.append((i, " ".join(copy)))
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), width=2).collect()}
     assert got == {i: c for i, (_, c) in helpers.near(rows, 2).items()}
+
+
+def test_small_sets_meet_exactly(spark):
+    rng = random.Random(8)
+    rows = []
+    for g in range(60):
+        words = [f"g{g}w{i}" for i in range(rng.randint(4, 13))]
+        for _ in range(4):
+            copy = list(words)
+            for _ in range(rng.randint(0, 2)):
+                copy.insert(rng.choice([0, len(copy)]), rng.choice(["x", "y", f"n{rng.random()}"]))
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(1000 + i, "of the " + " ".join(rng.choices("abcdefghij", k=3))) for i in range(200)]
+    got = {r.doc_id: (r.n_shingles, r.component_id)
+           for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), width=2).collect()}
+    assert got == helpers.near(rows, 2)
+
+
+def test_drifting_family_without_a_centre(spark):
+    rng = random.Random(9)
+    text, rows = [f"w{i}" for i in range(80)], []
+    for i in range(120):
+        rows.append((i, " ".join(text)))
+        text[rng.randrange(80)] = f"v{i}"
+        text[rng.randrange(80)] = f"u{i}"
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), width=2).collect()}
+    assert got == {i: c for i, (_, c) in helpers.near(rows, 2).items()}
