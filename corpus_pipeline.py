@@ -3,8 +3,9 @@
 Each stage takes all that its predecessor kept and returns the columns of
 ``documents``; the last returns packed pieces.  A text that loses words keeps
 the others joined by one space, and its ``n_chars`` is counted anew.  Rows that
-share an id, or have none, share the decision of the filtering stages where any
-of them is kept; decontamination tells them apart by their texts.
+share an id, or have none, share the decision of the quality stage where any of
+them is kept; near dedup tells rows apart by a stored row key, decontamination
+by their texts.
 """
 
 from __future__ import annotations
@@ -31,8 +32,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates (five words, 0.8)."""
-    return _kept(docs, near_duplicates(docs, width=5))
+    """One row, one with the smallest id, of each group of near duplicates (five words, 0.8).
+
+    Repeated rows and rows without an id are rows like others; of these a row without an id stays last.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows, doc_id="_row", width=5).select("_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    first = (groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("least"))
+             .select(F.col("least._row").alias("_row")))
+    return rows.join(first, "_row", "left_semi").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -96,3 +97,15 @@ def test_pipeline_edge_rows(spark):
     assert {r.doc_id for r in docs.collect()} == {None, 1, 2, 3}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, before.limit(0), SF).count() == 0
+
+
+def test_one_row_of_each_group_of_copies_stays(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(1, text("a")), (1, text("a")), (None, text("b")), (2, text("b")), (None, text("c")), (None, text("c")),
+            (3, text("d")), (3, text("e"))]
+    docs = stored(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_chars", F.length("text").cast("bigint")), "rows")
+    once = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert once.columns == docs.columns
+    out = corpus_pipeline.substring_dedup(spark, stored(once, "once"), SF).collect()
+    want = [(1, text("a")), (2, text("b")), (None, text("c")), (3, text("d")), (3, text("e"))]
+    assert sorted([(r.doc_id, r.text) for r in out], key=str) == sorted(want, key=str)
