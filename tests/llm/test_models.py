@@ -176,6 +176,19 @@ def test_op6_edge_cases(spark, documents):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
+def test_op6_small_languages_are_judged_by_their_own_text(spark, documents):
+    good = [(i, r.text, "en") for i, r in enumerate(documents.where("lang = 'en' AND n_chars > 200").orderBy("doc_id").limit(80).collect())]
+    noise = lambda k: " ".join(str(hash((k, j)) % 10**9) for j in range(60))
+    codes = [(1000 + k, noise(k), "xx") for k in range(40)]
+    rows = [*good, *codes, (2000, noise(2000), "en"), (2001, noise(2001), "xx"), (2002, "%%%$$$ " * 300, "yy"), (2003, "%%%$$$ " * 300, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, _, _ in good + codes], "doc_id bigint, quality int")
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    assert not got[2000].kept and got[2001].kept  # numbers are usual in one language and junk in the other
+    assert got[2002].kept and got[2002].lowest is None and got[2002].highest is None and not got[2003].kept
+    assert sum(got[i].kept for i, _, _ in codes) == len(codes)
+
+
 # ------------------------------------------------------------------ toxicity
 def test_grammar_states():
     lex = Lexicon({"idiot": 3.0, "scumm*": 2.0})
