@@ -189,6 +189,19 @@ def test_op6_small_languages_are_judged_by_their_own_text(spark, documents):
     assert sum(got[i].kept for i, _, _ in codes) == len(codes)
 
 
+def test_op6_limits_take_every_trusted_row_that_was_not_fitted(spark, documents):
+    good = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1")
+    clean = documents.where("lang = 'en' AND n_chars > 200").join(good, "doc_id", "left_semi")
+    texts = [r.text for r in clean.orderBy("doc_id").limit(40).collect()]
+    ids = [i for i in range(1000) if crc32(str(i).encode()) % 5][:len(texts)]
+    rows = [*[(i, t, "en") for i, t in zip(ids, texts)], (9000, "%%%$$$ " * 300, "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in ids], "doc_id bigint, quality int")
+    got = {r.doc_id: r for r in quality.classify(docs, labels, train_rows=10).collect()}
+    assert got[9000].highest is not None and not got[9000].kept
+    assert sum(got[i].kept for i in ids) == len(ids)
+
+
 # ------------------------------------------------------------------ toxicity
 def test_grammar_states():
     lex = Lexicon({"idiot": 3.0, "scumm*": 2.0})
