@@ -599,6 +599,34 @@ GROUP BY g.event_type, i.range, g.start, g.step, g.n, g.bw
 """)(_mark_violin)
 
 
+def _mark_violin_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import violin_density
+    # all events, and beside them a group of one value and one without a name
+    extra = spark.createDataFrame([("single", 1.0), (None, 1.0), (None, 3.0)], "event_type string, value double")
+    out = violin_density(_events(spark, sf_dir).select("event_type", "value").unionByName(extra), "event_type", "value")
+    return out.select("event_type", "idx", F.round("x", 6).alias("x"), F.round(F.col("density") * 1e6, 3).alias("density_e6"),
+                      "flat")
+
+
+register("mark_violin_all", """
+WITH ev AS (SELECT event_type, value FROM events
+            UNION ALL SELECT * FROM (VALUES ('single', 1.0::DOUBLE), ('', 1.0::DOUBLE), ('', 3.0::DOUBLE))),
+     s AS (SELECT event_type, count(*) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi
+           FROM ev WHERE value IS NOT NULL GROUP BY 1),
+     p AS (SELECT event_type, n, sd * pow(CAST(n AS DOUBLE), -0.2) AS bw, lo, hi FROM s WHERE n > 1 AND sd > 0),
+     g AS (SELECT event_type, n, bw, lo - 2.0 * bw AS start, (hi - lo + 2 * 2.0 * bw) / 99 AS step FROM p)
+SELECT nullif(event_type, '') AS event_type, 0 AS idx, round(lo, 6) AS x, CAST(NULL AS DOUBLE) AS density_e6, true AS flat
+FROM s WHERE n = 1 OR sd = 0
+UNION ALL
+SELECT nullif(g.event_type, '') AS event_type, CAST(i.range AS INTEGER) AS idx, round(g.start + i.range * g.step, 6) AS x,
+       round(sum(exp(-0.5 * ((g.start + i.range * g.step - e.value) / g.bw) * ((g.start + i.range * g.step - e.value) / g.bw)))
+             / (g.n * g.bw * sqrt(2 * pi())) * 1e6, 3) AS density_e6, false AS flat
+FROM ev e JOIN g USING (event_type), range(100) i
+WHERE e.value IS NOT NULL
+GROUP BY g.event_type, i.range, g.start, g.step, g.n, g.bw
+""")(_mark_violin_all)
+
+
 def _mark_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     from planwise.operators.marks import heatmap_matrix
     res = compile_plan(dataset(spark, sf_dir, "lineitem"),

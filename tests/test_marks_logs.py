@@ -1,6 +1,7 @@
 """Chart-data operators, run-log analytics and streaming."""
 
 import datetime as dt
+from collections import Counter
 
 import pytest
 
@@ -168,3 +169,13 @@ def test_stream_equals_batch(spark):
     batch = {(r["ts"], r["event_type"]): r["value"] for r in compile_plan(
         ds, Plan(group_by=["ts", "event_type"], metric="value", time_grain="day"), decimals=2).df.collect()}
     assert stream == batch
+
+
+def test_violin_of_all_events(spark):
+    import __spark_entry__
+    sf_dir = "/root/testdata/sf0.001"
+    rows = __spark_entry__.queries()["mark_violin_all"](spark, sf_dir).collect()
+    kinds = {r[0] for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type").distinct().collect()}
+    shown = Counter(r.event_type for r in rows if not r.flat)
+    assert shown == dict.fromkeys([*kinds, None], 100) and "click" in shown
+    assert [(r.event_type, r.x) for r in rows if r.flat] == [("single", 1.0)]
