@@ -6,6 +6,7 @@ from planwise.llm.decontaminate import op3_decontamination
 from planwise.llm.lm_score import op1_lm_score
 from planwise.llm.near_dedup import op5_near_dedup
 from planwise.llm.packing import op2_packing
+from planwise.llm.prefix_trie import ORACLE_OP11, op11_conversation_trie
 from planwise.llm.quality import op6_quality
 from planwise.llm.sharding import op10_sharding
 from planwise.llm.substrings import op8_substring_dedup
@@ -24,8 +25,10 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_exact_topk": op9_exact_topk,
     "op10_sharding": op10_sharding,
+    "op11_conversation_trie": op11_conversation_trie,
 }
 ORACLE: dict[str, str] = {
     "op4_warc": ORACLE_OP4,
     "op9_exact_topk": ORACLE_OP9,
+    "op11_conversation_trie": ORACLE_OP11,
 }
