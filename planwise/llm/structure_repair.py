@@ -51,7 +51,6 @@ FORCED = (2, 2, 3, 2)  # state after one more user or assistant turn, whichever
 ENDS = (True, False, False, True)
 KEEP = ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
 DELETE, INSERT, REROLE, TRUNCATED = 2, 5, 1, 5
-LEGAL = {"su", "ua", "au"}
 AUDIT_BYTES = 8 << 20
 SALTS = 16
 
@@ -153,7 +152,7 @@ def judged_signatures(signatures: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ signatures
 def _faulty_rows(turns: DataFrame) -> DataFrame:
-    """(place columns, class, blank, cut, first): what the faults of a row hang on, without its text."""
+    """(place columns, class, blank, cut): what the faults of a row hang on, without its text."""
     last = F.right(F.rtrim("text", F.lit(SPACE)), F.lit(1))
     first = F.substring("role", 1, 1)
     return turns.select("conv_id", "turn", "role", digest().alias("digest"),
@@ -353,17 +352,17 @@ WITH RECURSIVE w AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce
               SELECT x.conv_id, x.pos - 1 AS pos, {_step_sql(0)} AS b0, {_step_sql(1)} AS b1, {_step_sql(2)} AS b2, {_step_sql(3)} AS b3
               FROM dp x JOIN r ON r.conv_id IS NOT DISTINCT FROM x.conv_id AND r.pos = x.pos) steps),
      best AS (SELECT conv_id, s0.c AS cost, s0.a AS audit FROM dp WHERE pos = 0),
-     walk AS (SELECT conv_id, 0 AS at, 0 AS pos, 0 AS state, CAST([] AS VARCHAR[]) AS lines, audit FROM best
+     walk AS (SELECT conv_id, 0 AS taken, 0 AS pos, 0 AS state, CAST([] AS VARCHAR[]) AS lines, audit FROM best
               UNION ALL
-              SELECT z.conv_id, z.at + 1, z.pos + CASE WHEN z.e = 'I' THEN 0 ELSE 1 END,
+              SELECT z.conv_id, z.taken + 1, z.pos + CASE WHEN z.e = 'I' THEN 0 ELSE 1 END,
                      CASE WHEN z.e = 'D' THEN z.state WHEN z.e = 'K' AND z.i = 's' THEN 1 WHEN z.state = 2 THEN 3 ELSE 2 END,
                      CASE z.e WHEN 'D' THEN z.lines WHEN 'I' THEN list_append(z.lines, z.forced || ':')
                        WHEN 'K' THEN list_append(z.lines, z.role || ':' || z.text) ELSE list_append(z.lines, z.forced || ':' || z.text) END,
                      z.audit
-              FROM (SELECT y.*, substr(y.audit, y.at + 1, 1) AS e, CASE WHEN y.state = 2 THEN 'assistant' ELSE 'user' END AS forced,
+              FROM (SELECT y.*, substr(y.audit, y.taken + 1, 1) AS e, CASE WHEN y.state = 2 THEN 'assistant' ELSE 'user' END AS forced,
                            r.i, r.role, r.text FROM walk y LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM y.conv_id AND r.pos = y.pos + 1
-                    WHERE y.at < length(y.audit)) z),
-     fixed AS (SELECT conv_id, sha256(array_to_string(lines, chr(10))) AS repaired_sha256 FROM walk WHERE at = length(audit))
+                    WHERE y.taken < length(y.audit)) z),
+     fixed AS (SELECT conv_id, sha256(array_to_string(lines, chr(10))) AS repaired_sha256 FROM walk WHERE taken = length(audit))
 SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
        coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
        coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
