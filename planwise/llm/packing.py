@@ -10,7 +10,8 @@ sequences whose lengths are powers of two, which need no padding.
 
 Defined cases: null and empty texts are the end mark alone; repeated rows and
 null ids are packed as documents of their own; an empty table packs nothing;
-a text of any length is cut, never shortened.
+a text of any length is cut, never shortened.  Rows are dealt to groups by
+their place in the stored table, so any number of equal rows spreads evenly.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ END_ID = 1
 # one form under normalisation, and lower-case one by one.
 PLAIN = re.compile(r"[\t\n\x0b\x0c\r -&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 PIECE = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+# A tokenizer file is taken word by word only if these come out as from whole texts.
+PROBES = ["It's HERE now, don't  stop.\n\nNext line\tand 12 3a4 $5.60 (x)!", "Straße ÀÉß, naïve café — ½ ﬁ 中文 e\u0301x", " leading and trailing ",
+          "MiXeD CASE words-with/joins_and 'quotes' \"double\"", "a", "é", "\x1cb\u200bc 👩\u200d🚀 ok"]
 
 
 class WordTokenizer:
@@ -44,7 +48,8 @@ class WordTokenizer:
     Each distinct word is encoded once while it is remembered.  Plain texts
     are cut into the tokenizer's own words; of other texts, the runs between
     ASCII white space are looked up whole; a text that holds the string of a
-    special token goes to the tokenizer as it is.
+    special token goes to the tokenizer as it is.  Any other tokenizer, told
+    by probe texts, gets whole texts.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -56,6 +61,8 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.whole = False
+        self.whole = self.encode(PROBES) != [x.tobytes() for x in self._ids(PROBES)]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -74,6 +81,8 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if self.whole:
+            return [x.tobytes() for x in self._ids(texts)]
         split, plain, runs = [], set(), set()
         for t in texts:
             if any(s in t for s in self.special):
@@ -208,8 +217,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", doc_id:
     """One row per piece: (doc id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length, ids)."""
     picked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     n_groups = max(8, -(-text_bytes(picked, "_text") // group_bytes))
-    # rows that are alike in all respects are told apart by the partition they are read from
-    group = F.pmod(F.xxhash64("_id", "_text", F.spark_partition_id(), F.lit(seed)), F.lit(n_groups))
+    # a row's place tells it from equal ones, so no content makes a large group; stored files are read again in the same order
+    group = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(n_groups))
     id_type = picked.schema["_id"].dataType.simpleString()
     state: dict[str, WordTokenizer] = {}
 

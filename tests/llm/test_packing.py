@@ -95,3 +95,24 @@ def test_edge_cases(spark):
     assert sum(r.doc_tokens == 2 for r in out) == 2
     assert pack_documents(spark.createDataFrame([], schema), public_tokenizer()).count() == 0
     assert F is not None
+
+
+def test_equal_rows_spread_over_groups(spark):
+    text = "same words again " * 6
+    rows = spark.range(30_000).select(F.lit(1).alias("doc_id"), F.lit(text).alias("text")).repartition(2)
+    out = pack_documents(rows, public_tokenizer(), group_bytes=100_000, with_ids=False)
+    whole = out.groupBy(F.shiftright("sequence_id", 32).alias("g")).agg(F.sum("length").alias("n")).collect()
+    tokens = len(WordTokenizer(public_tokenizer()).encode([text])[0]) // 4 + 1
+    assert sum(r.n for r in whole) == 30_000 * tokens
+    assert max(r.n for r in whole) * len(text) / tokens <= 2 * 100_000
+
+
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["It's HERE  now", "ÀÉ ok", "x y", ""]
+    w = WordTokenizer(path)
+    assert w.whole and not WordTokenizer(public_tokenizer()).whole
+    got = [np.frombuffer(x, "<u4").tolist() for x in w.encode(texts)]
+    assert got == [Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids for x in texts]
