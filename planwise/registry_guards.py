@@ -178,3 +178,38 @@ def _stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     run_available(plan(), f"{source}/out", mode="update")
     moved.where("event_id % 2 <> 0").coalesce(1).write.mode("append").parquet(f"{source}/in")
     return read_latest(spark, run_available(plan(), f"{source}/out", mode="update"), ["ts"])
+
+
+@register("csv_multiline", """
+SELECT doc_id, md5(replace(text, '. ', '.' || chr(10))) AS text_md5, n_chars, lang FROM documents
+""")
+def _csv_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through CSV files whose quoted texts hold line breaks."""
+    from planwise.session import scratch_dir
+    from planwise.sources.delimited import read_delimited
+    path = scratch_dir(spark, "csv-multiline")
+    docs = table(spark, sf_dir, "documents")
+    (docs.select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n")).alias("text"), "n_chars", "lang")
+     .write.option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    ds = read_delimited(spark, path, multiline=True, check_blank_lines=False)
+    return ds.df.select(F.col("f1").cast("bigint").alias("doc_id"), F.md5(F.col("f2").cast("binary")).alias("text_md5"),
+                        F.col("f3").cast("bigint").alias("n_chars"), F.col("f4").alias("lang"))
+
+
+@register("csv_ragged_rows", """
+WITH r AS (SELECT o_orderkey, o_orderkey % 16 AS part, row_number() OVER (PARTITION BY o_orderkey % 16 ORDER BY o_orderkey) + 1 AS n FROM orders)
+SELECT CAST(part AS BIGINT) AS part, CAST(n AS BIGINT) AS row, 'ragged' AS fault FROM r WHERE o_orderkey % 7 = 0
+""")
+def _csv_ragged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as CSV files with line breaks in quotes, every seventh with a cell too many: the rows that are named."""
+    from planwise.session import scratch_dir
+    from planwise.sources.delimited import faulty_rows
+    path = scratch_dir(spark, "csv-ragged")
+    cells = F.concat(F.col("o_orderkey"), F.lit(',"'), "o_orderpriority", F.lit('\n""'), "o_orderstatus", F.lit('"""'),
+                     F.when(F.col("o_orderkey") % 7 == 0, ",more").otherwise(""))
+    rows = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 16).alias("part"), F.col("o_orderkey").alias("k"), cells.alias("value"))
+    heads = spark.range(16).select(F.col("id").alias("part"), F.lit(-1).cast("bigint").alias("k"), F.lit("key,priority").alias("value"))
+    (rows.unionByName(heads).repartition(16, "part").sortWithinPartitions("part", "k").select("part", "value")
+     .write.partitionBy("part").text(path))
+    return (faulty_rows(spark, path).select(F.regexp_extract("file", r"part=(\d+)/", 1).cast("bigint").alias("part"), "row", "fault"))

@@ -2,9 +2,10 @@
 
 Every cell is read as text under positional IDs ``f1..fn``; empty cells are
 null; a row whose width differs from the header's, a blank line, or an
-undecodable byte rejects the whole import (nothing is imported).  Files are
-split across tasks; set ``multiline=True`` only when quoted fields contain
-line breaks (a file is then parsed by one task).
+undecodable byte rejects the whole import (nothing is imported), and the
+message names the first such row by its number in its file, the header
+included.  Files are split across tasks, also with ``multiline=True``, which
+finds the records where quoted cells contain line breaks.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from pyspark.sql import functions as F
 
 from planwise.dataset import Dataset, DatasetError
 from planwise.operators.profile import inference_aggregates, inference_inputs, inference_rows, type_dataset
+from planwise.sources.records import is_utf8, read_records
 
 BLANK = "_blank_line"
 CORRUPT = "_corrupt_record"
+INVALID = "_invalid_text"
 REPLACEMENT_CHAR = "�"
 
 
@@ -33,35 +36,70 @@ def _delimiter(path: str, delimiter: str | None) -> str:
     return delim
 
 
-def _reader(spark: SparkSession, delim: str, encoding: str, multiline: bool):
+def _reader(spark: SparkSession, delim: str, encoding: str):
     return (spark.read.option("sep", delim).option("encoding", encoding).option("quote", '"')
-            .option("escape", '"').option("multiLine", multiline).option("mode", "PERMISSIVE")
+            .option("escape", '"').option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", CORRUPT).option("nullValue", "").option("emptyValue", ""))
 
 
-def _numbered(df: DataFrame, header_row: int) -> DataFrame:
-    """Rows of delimited files with ``_file`` and ``_n``, the row's number in its file, for each file's head.
-
-    A file's first split holds its first rows in order, so a row's number is
-    its distance from the smallest row id of that split.  Rows of later
-    splits have a null number.  Everything stays JVM-side.
+def _one_header(headers: list[str], delim: str) -> list[str | None]:
+    """The header that all files share; a file with another one rejects the import."""
+    if len(headers) > 1:
+        raise IngestError(f"files have different headers: {headers[0]!r} and {headers[1]!r}")
+    head = _split_header(headers[0], delim) if headers else []
+    if head:  # a byte-order mark is not part of the first name
+        head[0] = (head[0] or "").removeprefix("\ufeff") or None
+    if not head or all(v is None for v in head):
+        raise IngestError("the header has no names")
+    return head
+
+
+def _scanned_lines(spark: SparkSession, path: str, encoding: str):
+    """Headers of all files (two at most), blank and invalid lines, in one pass."""
+    lines = spark.read.option("encoding", encoding).text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_line"))
+    first = F.min_by(F.when(F.col("_start") == 0, F.col("value")), F.when(F.col("_start") == 0, F.col("_line")))
+    if not is_utf8(encoding):
+        first = first.cast("binary")
+    files = lines.groupBy("_file").agg(first.alias("head"), F.count_if(F.trim(F.col("value")) == "").alias("blank"),
+                                       F.count_if(~F.is_valid_utf8("value")).alias("bad"))
+    return files.agg(F.min("head").alias("head"), F.max("head").alias("other"), F.coalesce(F.sum("blank"), F.lit(0)).alias("blank"),
+                     F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
+
+
+def _parsed(records: DataFrame, schema: str, delim: str) -> DataFrame:
+    """Cells of records (_file, _row, value), with the record marked where it is ragged, blank or not valid text."""
+    options = {"sep": delim, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true",
+               "columnNameOfCorruptRecord": CORRUPT, "nullValue": "", "emptyValue": ""}
+    return records.select("_file", "_row", F.from_csv(F.col("value"), schema, options).alias("_r"),
+                          (F.trim(F.col("value")) == "").alias(BLANK),
+                          (~F.is_valid_utf8("value") | F.col("value").contains(REPLACEMENT_CHAR)).alias(INVALID)
+                          ).select("_file", "_row", "_r.*", BLANK, INVALID)
+
+
+def faulty_rows(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "utf-8",
+                header_row: int = 1) -> DataFrame:
+    """(file, row, fault, record): every ragged, blank or undecodable record below the header, by its number in its file.
+
+    ``fault`` is ``ragged``, ``blank`` or ``undecodable``; ``file`` is the path Spark read it from.
     """
-    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
-                     F.monotonically_increasing_id().alias("_line"))
-    heads = (rows.filter("_start = 0").groupBy("_file").agg(F.min("_line").alias("_first"), F.count("*").alias("_rows")))
-    short = heads.filter(F.col("_rows") < header_row).limit(1).count()
-    if short:
-        raise IngestError(f"a file has no row {header_row} in its first split to take the header from")
-    number = F.when(F.col("_start") == 0, F.col("_line") - F.col("_first") + 1)
-    return rows.join(heads.select("_file", "_first"), "_file").withColumn("_n", number).drop("_start", "_line", "_first")
+    delim = _delimiter(path, delimiter)
+    records, _ = read_records(spark, path, delim, encoding)
+    heads = records.where(F.col("_row") == header_row).select("value").distinct().limit(2).collect()
+    ids = [f"f{i + 1}" for i in range(len(_one_header(sorted(r["value"] for r in heads), delim)))]
+    schema = ", ".join(f"`{i}` string" for i in ids) + f", `{CORRUPT}` string"
+    rows = _parsed(records.where(F.col("_row") > header_row), schema, delim)
+    fault = (F.when(F.col(INVALID), "undecodable").when(F.col(BLANK), "blank").when(F.col(CORRUPT).isNotNull(), "ragged"))
+    return (rows.select(F.col("_file").alias("file"), F.col("_row").alias("row"), fault.alias("fault"), F.col(CORRUPT).alias("record"))
+            .where("fault IS NOT NULL"))
 
 
-def _one_header(lines: DataFrame, header_row: int, delim: str) -> list[str | None]:
-    """The header that all files share; a file with another one rejects the import."""
-    texts = lines.filter(F.col("_n") == header_row).select("value").distinct().limit(2).collect()
-    if len(texts) > 1:
-        raise IngestError(f"files have different headers: {texts[0]['value']!r} and {texts[1]['value']!r}")
-    return _split_header(texts[0]["value"], delim) if texts else []
+def _first_fault(spark: SparkSession, path: str, delim: str, encoding: str, header_row: int, fault: str) -> str:
+    """Where a rejected import is wrong first, for its message."""
+    row = (faulty_rows(spark, path, delim, encoding, header_row).where(F.col("fault") == fault)
+           .agg(F.min(F.struct("file", "row")).alias("at")).first()["at"])
+    return f"the first is row {row['row']} of {row['file'].rsplit('/', 1)[-1]}" if row else "counted by lines"
 
 
 def _split_header(line: str, delim: str) -> list[str | None]:
@@ -90,64 +128,57 @@ def read_delimited(
     if header_row < 1:
         raise IngestError("header_row counts from 1")
     delim = _delimiter(path, delimiter)
-    strict = encoding.lower().replace("-", "").replace("_", "") == "utf8"
-    # UTF-8 lines come as the bytes they are, so they can be checked.
-    lines = spark.read.option("encoding", encoding).text(path)
-    head = _one_header(_numbered(lines, header_row), header_row, delim)
-    if head:  # a byte-order mark is not part of the first name
-        head[0] = (head[0] or "").removeprefix("\ufeff") or None
-    if not head or all(v is None for v in head):
-        raise IngestError("the header has no names")
+    strict = is_utf8(encoding)
+    by_record = multiline or header_row > 1
+    if by_record:
+        records, unclosed = read_records(spark, path, delim, encoding)
+        heads = records.where(F.col("_row") == header_row).select("value").distinct().limit(2).collect()
+        headers = sorted(r["value"] for r in heads)
+        if multiline and (open_ := unclosed.first()):
+            raise IngestError(f"row {open_['_row']} of {open_['_file'].rsplit('/', 1)[-1]} opens quotes that nothing closes")
+        if not headers:
+            raise IngestError(f"no file has a row {header_row} to take the header from")
+    else:  # UTF-8 lines come as the bytes they are, so they can be checked
+        text = _scanned_lines(spark, path, encoding)
+        headers = sorted({h if strict else bytes(h).decode(encoding, "replace") for h in (text["head"], text["other"]) if h is not None})
+    head = _one_header(headers, delim)
     names = [v if v is not None else "Unnamed" for v in head]
     ids = [f"f{i + 1}" for i in range(len(names))]
     schema = ", ".join(f"`{i}` string" for i in ids) + f", `{CORRUPT}` string"
-    by_line = header_row > 1 and not multiline
-    if by_line:
-        # Records below the header, parsed by Spark's CSV parser per line.
-        # Blank lines are flagged (counted in the validation aggregate below,
-        # then dropped as the file reader drops them).
-        body = _numbered(lines, header_row).filter(F.col("_n").isNull() | (F.col("_n") > header_row))
-        options = {"sep": delim, "quote": '"', "escape": '"', "mode": "PERMISSIVE",
-                   "columnNameOfCorruptRecord": CORRUPT, "nullValue": "", "emptyValue": ""}
-        df = body.select(F.from_csv(F.col("value"), schema, options).alias("_r"),
-                         (F.trim(F.col("value")) == "").alias(BLANK)).select("_r.*", BLANK)
+    if by_record:
+        df = _parsed(records.filter(F.col("_row") > header_row), schema, delim).drop("_file", "_row")
     else:
-        reader = _reader(spark, delim, encoding, multiline).schema(schema)
-        if header_row == 1:
-            df = reader.option("header", True).csv(path)
-        else:  # a file with line breaks inside quotes is one split
-            df = (_numbered(reader.option("header", False).csv(path), header_row).filter(F.col("_n") > header_row)
-                  .select(*ids, CORRUPT))
-    blank_line = F.col(BLANK) if BLANK in df.columns else F.lit(False)
-
-    bad_text = F.lit(False)
-    for i in [] if strict else ids:  # other encodings are decoded by the reader, which marks what it cannot read
+        df = (_reader(spark, delim, encoding).schema(schema).option("header", True).csv(path)
+              .withColumns({BLANK: F.lit(False), INVALID: F.lit(False)}))
+    bad_text = F.col(INVALID)
+    for i in [] if strict or by_record else ids:  # other encodings are decoded by the reader, which marks what it cannot read
         bad_text = bad_text | F.coalesce(F.col(i).contains(REPLACEMENT_CHAR), F.lit(False))
+    kept = ~F.col(BLANK)
     validation = [
-        F.count_if(~blank_line).alias("rows"),
-        F.count_if(blank_line).alias("blank_lines"),
-        F.count_if(F.col(CORRUPT).isNotNull()).alias("ragged"),
-        F.first(F.col(CORRUPT), ignorenulls=True).alias("example"),
+        F.count_if(kept).alias("rows"),
+        F.count_if(F.col(BLANK)).alias("blank_lines"),
+        F.count_if(F.col(CORRUPT).isNotNull() & kept).alias("ragged"),
+        F.first(F.when(kept, F.col(CORRUPT)), ignorenulls=True).alias("example"),
         F.count_if(bad_text).alias("undecodable"),
         F.count_if(F.coalesce(*[F.col(i) for i in ids]).isNull()).alias("empty"),
     ]
     scanned = df.select("*", *inference_inputs(ids)) if infer else df
     counts_df = scanned.agg(*validation, *(inference_aggregates(ids) if infer else []))
     checks = counts_df.first()
+
+    def where(fault: str) -> str:
+        return _first_fault(spark, path, delim, encoding, header_row, fault)
     if checks["ragged"]:
         hint = "" if multiline else " (set multiline=True if quoted fields contain line breaks)"
         raise IngestError(f"{checks['ragged']} rows do not have {len(ids)} columns, e.g. "
-                          f"{checks['example']!r}; fix the delimiter{hint}")
+                          f"{checks['example']!r}; {where('ragged')}; fix the delimiter{hint}")
     # The file reader drops blank lines and replaces bad bytes silently, so both are counted on the text.
-    text = lines.agg(F.count_if(F.trim(F.col("value")) == "").alias("blank"),
-                     F.count_if(~F.is_valid_utf8("value")).alias("bad")).first()
-    undecodable = text["bad"] if strict else checks["undecodable"]
+    undecodable = checks["undecodable"] if by_record or not strict else text["bad"]
     if undecodable:
-        raise IngestError(f"{undecodable} rows are not valid {encoding}")
-    if check_blank_lines and not multiline and (checks["blank_lines"] if by_line else text["blank"]):
-        raise IngestError("blank lines have no cells; remove them")
-    if BLANK in df.columns:
-        df = df.filter(~F.col(BLANK)).drop(BLANK)
+        raise IngestError(f"{undecodable} rows are not valid {encoding}; {where('undecodable')}")
+    if check_blank_lines and (checks["blank_lines"] if by_record else text["blank"]):
+        raise IngestError(f"blank lines have no cells; remove them: {where('blank')}")
+    df = df.filter(kept).drop(BLANK, INVALID)
     if max_rows is not None and checks["rows"] > max_rows:
         raise IngestError(f"{checks['rows']} rows exceed the limit of {max_rows}; nothing was imported")
     ds = Dataset.from_frame(df.drop(CORRUPT), names=names, positional_ids=False, source=path)
