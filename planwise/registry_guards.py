@@ -213,3 +213,62 @@ def _csv_ragged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     (rows.unionByName(heads).repartition(16, "part").sortWithinPartitions("part", "k").select("part", "value")
      .write.partitionBy("part").text(path))
     return (faulty_rows(spark, path).select(F.regexp_extract("file", r"part=(\d+)/", 1).cast("bigint").alias("part"), "row", "fault"))
+
+
+# ---------------------------------------------------------------- deadlines with timers, late rows
+@register("stream_deadline_timers", """
+WITH e AS (SELECT user_id, event_id, date_trunc('milliseconds', ts) AS ts,
+                  CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' END AS status,
+                  lead(date_trunc('milliseconds', ts)) OVER (PARTITION BY user_id ORDER BY date_trunc('milliseconds', ts), event_id) AS after
+           FROM events),
+     d AS (SELECT *, ts + CASE status WHEN 'queued' THEN INTERVAL 6 HOUR ELSE INTERVAL 12 HOUR END AS expired_at FROM e WHERE status IS NOT NULL)
+SELECT user_id, event_id, status, ts AS updated_at, expired_at FROM d
+WHERE (after IS NULL OR after > expired_at) AND expired_at <= (SELECT max(ts) FROM e) - INTERVAL 1 HOUR
+""")
+def _deadline_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deadlines of all events, delivered in three parts by time, that fired by the end of the stream."""
+    from planwise.streaming import event_stream, run_available
+    from planwise.streaming.timers import STATE_STORE, deadline_timers
+    status = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "running").otherwise("done")
+    ev = table(spark, sf_dir, "events").select("user_id", "event_id", status.alias("status"), F.date_trunc("millisecond", "ts").cast("timestamp").alias("ts"))
+    source = scratch_dir(spark, "deadline-timers")
+    for low, high in (("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01")):
+        ev.where(f"ts >= '{low}' AND ts < '{high}'").coalesce(1).write.mode("append").parquet(f"{source}/in")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, STATE_STORE)
+    try:
+        stream = event_stream(spark, f"{source}/in", ev.schema, max_files_per_trigger=1)
+        fired = deadline_timers(stream, "user_id", "ts", "status", "event_id", {"queued": "6 hours", "running": "12 hours"}, "1 hour")
+        data = run_available(fired, f"{source}/out")
+    finally:
+        spark.conf.set(key, before)
+    times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("updated_at", "expired_at")]
+    return spark.read.parquet(data).select("user_id", "event_id", "status", *times)
+
+
+@register("stream_late_rows", """
+WITH passed AS (SELECT max(ts) - INTERVAL 3 DAY AS w FROM events WHERE event_id % 2 = 0),
+     e AS (SELECT *, event_id % 2 = 1 AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT w FROM passed) AS late FROM events)
+SELECT strftime(ts, '%Y-%m-%d') AS ts, event_type, round(coalesce(sum(value) FILTER (NOT late), 0), 2) AS on_time,
+       round(coalesce(sum(value) FILTER (late), 0), 2) AS late, round(sum(value), 2) AS value, count(*) FILTER (late) AS late_rows
+FROM e GROUP BY 1, 2
+""")
+def _late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily sums of events that come in two parts: what the plan took, what was late, and both together."""
+    from planwise.functions.exprs import time_bucket
+    from planwise.streaming import event_stream
+    from planwise.streaming.late import read_late, read_plan, run_plan_with_late
+    ev = table(spark, sf_dir, "events")
+    source = scratch_dir(spark, "late-rows")
+    for part in (0, 1):
+        ev.where(f"event_id % 2 = {part}").coalesce(1).write.mode("append").parquet(f"{source}/in")
+        stream = event_stream(spark, f"{source}/in", ev.schema)
+        run_plan_with_late(stream, f"{source}/out", "ts", "day", ["event_type"], "sum", "value", watermark="3 days")
+    keys = ["ts", "event_type"]
+    main = read_plan(spark, f"{source}/out", "ts", "day", ["event_type"], "sum").withColumnRenamed("value", "on_time")
+    late = (read_late(spark, f"{source}/out", ev.schema).withColumn("ts", time_bucket(F.col("ts"), "day")).groupBy(*keys)
+            .agg(F.sum("value").alias("late"), F.count(F.lit(1)).alias("late_rows")))
+    zero = [F.coalesce(c, F.lit(0)) for c in ("on_time", "late", "late_rows")]
+    return (main.join(late, keys, "full").select(*keys, F.round(zero[0], 2).alias("on_time"), F.round(zero[1], 2).alias("late"),
+                                                 F.round(zero[0] + zero[1], 2).alias("value"), zero[2].alias("late_rows")))
