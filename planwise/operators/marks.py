@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from planwise.functions.exprs import missing_label, quote_id
+from planwise.functions.exprs import is_float, missing_label, quote_id, without_nan
 from planwise.operators.joins import join_stats
 from planwise.operators.review import GuardError, check_coordinates, check_non_negative, check_numeric_axis
 from planwise.session import ensure_checkpoint_dir
@@ -24,6 +25,7 @@ from planwise.session import ensure_checkpoint_dir
 MAX_MARKS = 20_000
 MAX_TABLE_ROWS = 40
 MAX_EVIDENCE = 100
+MAX_COLUMNS = 10_000  # of a matrix: what Spark's pivot takes, too
 HISTOGRAM_BINS = 10
 VIOLIN_POINTS = 100
 PALETTE_SIZE = 10
@@ -35,18 +37,36 @@ def _at_most(df: DataFrame, limit: int, what: str) -> DataFrame:
     return df
 
 
+def _numbers(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with null for NaN: a value that is not a number is missing, as in plans."""
+    floats = [c for c in dict.fromkeys(columns) if is_float(df.schema, c)]
+    return df.withColumns({c: without_nan(c, df.schema) for c in floats}) if floats else df
+
+
 def _scalars(df: DataFrame, *exprs: Column):
     return df.agg(*exprs).first()
 
 
 # ---- V1 / O6 / N7 / O7 -------------------------------------------------------
 def bar_marks(result: DataFrame, x: str, y: str, max_marks: int = MAX_MARKS) -> DataFrame:
-    """(category, value) marks: numeric value axis, nulls labelled, mark cap."""
+    """(category, value) marks: numeric value axis, nulls labelled, mark cap.
+
+    Bars lie where only ``x`` is numeric: then it is the value axis and ``y`` names the categories.
+    """
     _at_most(result, max_marks, "output marks")
+    if is_horizontal(result, x, y):
+        x, y = y, x
     check_numeric_axis(result, y)
+    result = _numbers(result, y)
     return result.select(missing_label(F.col(x)).alias("category"), F.col(y).cast("double").alias("value"))
 
 
+def is_horizontal(result: DataFrame, x: str, y: str) -> bool:
+    """Whether bars over these axes lie: ``x`` is numeric and ``y`` is not."""
+    numeric = [isinstance(result.schema[c].dataType, NumericType) for c in (x, y)]
+    return numeric[0] and not numeric[1]
+
+
 def with_row_index(result: DataFrame, order_by: list[str], max_marks: int = MAX_MARKS) -> DataFrame:
     """A 0-based row index as the x of a single-column result (capped input)."""
     _at_most(result, max_marks, "output marks")
@@ -60,6 +80,7 @@ def histogram(df: DataFrame, value: str, bins: int = HISTOGRAM_BINS) -> DataFram
 
     Output: bin (1..bins), lower, upper, count - empty bins included.
     """
+    df = _numbers(df, value)
     s = _scalars(df, F.min(value).alias("lo"), F.max(value).alias("hi"))
     lo, hi = s["lo"], s["hi"]
     if lo is None:
@@ -83,7 +104,7 @@ def histogram(df: DataFrame, value: str, bins: int = HISTOGRAM_BINS) -> DataFram
 def _value_counts(df: DataFrame, group: str, value: str) -> DataFrame:
     """Distinct (g, v) with their counts ``c``: equal values collapse before the shuffle."""
     ensure_checkpoint_dir(df.sparkSession)
-    return (df.selectExpr(f"{quote_id(group)} AS g", f"CAST({quote_id(value)} AS DOUBLE) AS v").where("v IS NOT NULL")
+    return (_numbers(df, value).selectExpr(f"{quote_id(group)} AS g", f"CAST({quote_id(value)} AS DOUBLE) AS v").where("v IS NOT NULL")
             .groupBy("g", "v").agg(F.expr("count(1) AS c")).checkpoint(eager=True))
 
 
@@ -154,7 +175,7 @@ def box_outliers(df: DataFrame, group: str, value: str) -> DataFrame:
     stats = box_stats(df, group, value).select(group, F.col("q1").alias("_q1"), F.col("q3").alias("_q3"))
     iqr = F.col("_q3") - F.col("_q1")
     v = F.col(value)
-    return (join_stats(df, stats, [group])
+    return (join_stats(_numbers(df, value), stats, [group])
             .filter((v < F.col("_q1") - 1.5 * iqr) | (v > F.col("_q3") + 1.5 * iqr)).drop("_q1", "_q3"))
 
 
@@ -170,7 +191,7 @@ def violin_density(df: DataFrame, group: str, value: str, points: int = VIOLIN_P
     Output: group, idx, x, density, flat.
     """
     counts = _value_counts(df, group, value)
-    moments = df.selectExpr(f"{quote_id(group)} AS g", f"CAST({quote_id(value)} AS DOUBLE) AS v").where("v IS NOT NULL")
+    moments = _numbers(df, value).selectExpr(f"{quote_id(group)} AS g", f"CAST({quote_id(value)} AS DOUBLE) AS v").where("v IS NOT NULL")
     stats = moments.groupBy("g").agg(F.expr("count(1) AS n"), F.expr("stddev_samp(v) AS sd"), F.expr("min(v) AS lo"),
                                      F.expr("max(v) AS hi"))
     flat = stats.where("n = 1 OR NOT sd > 0").selectExpr("g", "0 AS idx", "lo AS x", "CAST(NULL AS DOUBLE) AS density",
@@ -189,8 +210,10 @@ def violin_density(df: DataFrame, group: str, value: str, points: int = VIOLIN_P
 # ---- V5 heatmap / V6 facets ------------------------------------------------------
 def heatmap_matrix(result: DataFrame, row: str, col: str, value: str) -> DataFrame:
     """Pivot two keys to a matrix; a duplicate cell is an error, never merged.
-    The column names of the matrix pass through the driver."""
-    values = [r[0] for r in result.select(col).distinct().collect()]
+    The column names of the matrix, at most MAX_COLUMNS, pass through the driver; more are an error."""
+    values = [r[0] for r in result.select(col).distinct().limit(MAX_COLUMNS + 1).collect()]
+    if len(values) > MAX_COLUMNS:
+        raise GuardError(f"Over {MAX_COLUMNS} heatmap columns; aggregate or filter first")
     values = sorted(values, key=lambda v: (v is None, str(v)))
     cell = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("Heatmap has duplicate cells"))).otherwise(F.first(value))
     return result.groupBy(row).pivot(col, values).agg(cell)
@@ -228,6 +251,9 @@ def density_raster(df: DataFrame, x: str, y: str, width: int, height: int,
                    y_range: tuple[float, float] | None = None) -> DataFrame:
     """Point counts per pixel over the full data (or a viewport); points
     outside the ranges are dropped.  Output: px, py, count."""
+    if x == y:
+        raise GuardError("a density needs two fields")
+    df = _numbers(df, x, y)
     if x_range is None or y_range is None:
         s = _scalars(df, F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
         x_range = x_range or (float(s["x0"]), float(s["x1"]))
@@ -260,16 +286,28 @@ def geo_view(df: DataFrame, lon: str, lat: str) -> DataFrame:
 
 def color_scale(result: DataFrame, value: str) -> DataFrame:
     """Value normalised to [0, 1] by the result's min and max."""
+    result = _numbers(result, value)
     s = _scalars(result, F.min(value).alias("lo"), F.max(value).alias("hi"))
     span = F.lit(s["hi"]) - F.lit(s["lo"])
     return result.withColumn("color_t", F.try_divide(F.col(value) - F.lit(s["lo"]), span))
 
 
 def color_codes(result: DataFrame, category: str) -> DataFrame:
-    """Palette index per category (ordered by category), modulo palette size."""
-    cats = result.select(category).distinct()
-    codes = cats.select(category, ((F.dense_rank().over(Window.orderBy(F.col(category).asc_nulls_last())) - 1)
-                                   % PALETTE_SIZE).alias("color_code"))
+    """Palette index per category (ordered by category), modulo palette size.
+
+    Distinct categories are sorted by range partitions; a category's rank is its place in its partition plus the
+    sizes of the earlier ones, of which there is one number for each partition.
+    """
+    ensure_checkpoint_dir(result.sparkSession)
+    order = F.col(category).asc_nulls_last()
+    cats = (result.select(category).distinct().repartitionByRange(order).sortWithinPartitions(order)
+            .withColumn("_at", F.monotonically_increasing_id()).checkpoint(eager=True))  # partition << 33, place
+    part = F.shiftright("_at", 33)
+    sizes = cats.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")
+    codes = (cats.withColumn("_part", part).join(F.broadcast(before), "_part")
+             .select(category, (place % PALETTE_SIZE).cast("int").alias("color_code")))
     return join_stats(result, codes, [category])
 
 

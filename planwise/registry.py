@@ -567,22 +567,15 @@ FROM lineitem GROUP BY 1
 
 def _mark_violin(spark: SparkSession, sf_dir: str) -> DataFrame:
     from planwise.operators.marks import violin_density
-    # one kind of event loses its name, another all but one of its values
-    kind = F.nullif("event_type", F.lit("view"))
-    events = _events(spark, sf_dir).select(kind.alias("event_type"), F.when(
-        (F.col("event_type") != "click") | (F.col("event_id") == F.lit(_first_click(spark, sf_dir))), F.col("value")).alias("value"))
+    # one kind of event loses its name
+    events = _events(spark, sf_dir).select(F.nullif("event_type", F.lit("view")).alias("event_type"), "value")
     out = violin_density(events, "event_type", "value")
     return out.select("event_type", "idx", F.round("x", 6).alias("x"), F.round(F.col("density") * 1e6, 3).alias("density_e6"),
                       "flat")
 
 
-def _first_click(spark: SparkSession, sf_dir: str) -> int:
-    return _events(spark, sf_dir).where("event_type = 'click'").agg(F.min("event_id")).first()[0]
-
-
 register("mark_violin", """
-WITH ev AS (SELECT coalesce(nullif(event_type, 'view'), '') AS event_type, value FROM events
-                WHERE event_type <> 'click' OR event_id = (SELECT min(event_id) FROM events WHERE event_type = 'click')),
+WITH ev AS (SELECT coalesce(nullif(event_type, 'view'), '') AS event_type, value FROM events),
      s AS (SELECT event_type, count(*) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi
            FROM ev WHERE value IS NOT NULL GROUP BY 1),
      p AS (SELECT event_type, n, sd * pow(CAST(n AS DOUBLE), -0.2) AS bw, lo, hi FROM s WHERE n > 1 AND sd > 0),

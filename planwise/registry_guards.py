@@ -272,3 +272,79 @@ def _late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = [F.coalesce(c, F.lit(0)) for c in ("on_time", "late", "late_rows")]
     return (main.join(late, keys, "full").select(*keys, F.round(zero[0], 2).alias("on_time"), F.round(zero[1], 2).alias("late"),
                                                  F.round(zero[0] + zero[1], 2).alias("value"), zero[2].alias("late_rows")))
+
+
+# ---------------------------------------------------------------- marks where a tenth of the values is not a number
+_NAN_EVENTS = "ev AS (SELECT event_id, event_type, CASE WHEN event_id % 10 <> 0 THEN value END AS value FROM events)"
+
+
+def _nan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.when(F.col("event_id") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    return table(spark, sf_dir, "events").select("event_id", "event_type", value.alias("value"))
+
+
+def _over_nan(name: str) -> str:
+    """The SQL of a mark over all events, with null for every tenth value."""
+    from planwise.registry import ORACLE
+    return ORACLE[name].replace("FROM events", "FROM ev").replace("WITH ", f"WITH {_NAN_EVENTS}, ", 1)
+
+
+@register("mark_histogram_nan", _over_nan("mark_histogram"))
+def _histogram_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import histogram
+    return histogram(_nan_events(spark, sf_dir), "value").select("bin", "count")
+
+
+@register("mark_box_nan", _over_nan("mark_box"))
+def _box_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import box_stats
+    out = box_stats(_nan_events(spark, sf_dir), "event_type", "value")
+    return out.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3")],
+                      "lower_whisker", "upper_whisker", "outliers")
+
+
+@register("mark_violin_nan", f"""
+WITH {_NAN_EVENTS},
+     s AS (SELECT event_type, count(*) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi
+           FROM ev WHERE value IS NOT NULL GROUP BY 1),
+     p AS (SELECT event_type, n, sd * pow(CAST(n AS DOUBLE), -0.2) AS bw, lo, hi FROM s),
+     g AS (SELECT event_type, n, bw, lo - 2.0 * bw AS start, (hi - lo + 2 * 2.0 * bw) / 99 AS step FROM p)
+SELECT g.event_type, CAST(i.range AS INTEGER) AS idx, round(g.start + i.range * g.step, 6) AS x,
+       round(sum(exp(-0.5 * ((g.start + i.range * g.step - e.value) / g.bw) * ((g.start + i.range * g.step - e.value) / g.bw)))
+             / (g.n * g.bw * sqrt(2 * pi())) * 1e6, 3) AS density_e6
+FROM ev e JOIN g USING (event_type), range(100) i
+WHERE e.value IS NOT NULL
+GROUP BY g.event_type, i.range, g.start, g.step, g.n, g.bw
+""")
+def _violin_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import violin_density
+    out = violin_density(_nan_events(spark, sf_dir), "event_type", "value")
+    return out.select("event_type", "idx", F.round("x", 6).alias("x"), F.round(F.col("density") * 1e6, 3).alias("density_e6"))
+
+
+@register("mark_density_nan", f"""
+WITH {_NAN_EVENTS}, s AS (SELECT min(event_id) AS x0, max(event_id) AS x1, min(value) AS y0, max(value) AS y1 FROM ev)
+SELECT CAST(least(floor((event_id - x0) / (x1 - x0) * 32), 31) AS BIGINT) AS px,
+       CAST(least(floor((value - y0) / (y1 - y0) * 16), 15) AS BIGINT) AS py, count(*) AS count
+FROM ev, s WHERE value IS NOT NULL GROUP BY 1, 2
+""")
+def _density_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import density_raster
+    return density_raster(_nan_events(spark, sf_dir), "event_id", "value", 32, 16)
+
+
+@register("mark_color_scale_nan", f"""
+WITH {_NAN_EVENTS}
+SELECT event_id, round((value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()), 6) AS color_t FROM ev
+""")
+def _color_scale_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import color_scale
+    return color_scale(_nan_events(spark, sf_dir), "value").select("event_id", F.round("color_t", 6).alias("color_t"))
+
+
+@register("mark_color_codes_all", """
+SELECT doc_id, CAST((dense_rank() OVER (ORDER BY doc_id) - 1) % 10 AS INTEGER) AS color_code FROM documents
+""")
+def _color_codes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwise.operators.marks import color_codes
+    return color_codes(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")

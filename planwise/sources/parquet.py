@@ -3,8 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+LISTED = 64  # files of a table whose schema is remembered
+_known: dict[tuple, StructType] = {}
+
+
+def _files(spark: SparkSession, path: str) -> tuple | None:
+    """Names, sizes and times of the table's files; None if it is not a file or a plain folder of a few files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if any(c in path for c in "*?[{"):
+        return None
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    if len(found) > LISTED or any(f.isDirectory() for f in found):
+        return None
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """The Parquet table at ``path``, with the schema it has now."""
-    return spark.read.parquet(path)
+    """The Parquet table at ``path``, with the schema it has now.
+
+    Inferring a schema is a Spark job; it is remembered for as long as the table's files stay what they are.
+    """
+    files = _files(spark, path)
+    if files is None:
+        return spark.read.parquet(path)
+    if files not in _known:
+        _known[files] = spark.read.parquet(path).schema
+    return spark.read.schema(_known[files]).parquet(path)
