@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwise.llm.common import shared_dir, table
+from planwise.llm.common import shared_dir, stored, table
 
 SKIPPABLE = 0x184D2A5D
 FRAME = 0xFD2FB528
@@ -207,7 +207,10 @@ def with_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html",
                    least: int = 100, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write a record for each page below ``path``; returns (archive, records, bytes) lazily: act on it to write."""
+    """Write a record for each page below ``path``; returns (archive, records, bytes) lazily: act on it to write.
+
+    Store the rows once: they name the files of the tasks that finished; others, of lost attempts, may lie beside them.
+    """
     plan = with_revisits(pages.select(F.col(page_id).alias("_id"), F.col(url).alias("_url"),
                                       F.col(html).alias("_html")), least)
 
@@ -217,13 +220,12 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
         held, size, k = [], 0, 0
 
         def close():
-            name = f"pages-{task.partitionId():06d}-{k:05d}.warc.zst"
+            # each attempt has files of its own, as the order of rows may differ between attempts
+            name = f"pages-{task.partitionId():06d}-{k:05d}-{task.taskAttemptId()}.warc.zst"
             data = make_archive(held)
-            hidden = f"{root}/_{name}.{task.taskAttemptId()}"
             fs.create_dir(root, recursive=True)
-            with fs.open_output_stream(hidden) as out:
+            with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
                 out.write(data)
-            fs.move(hidden, f"{root}/{name}")
             return pa.RecordBatch.from_pydict({"archive": [name], "records": pa.array([len(held)], pa.int64()),
                                                "bytes": pa.array([len(data)], pa.int64())})
         for b in batches:
@@ -244,17 +246,26 @@ RECORD = ("page_id bigint, url string, record_type string, payload_bytes bigint,
           "refers_to bigint, payload binary, archive string, frame_at bigint")
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Every record of the archives below ``path``; a broken archive raises BadArchive."""
+def read_archives(spark: SparkSession, path: str, payloads: bool = True, written: DataFrame | None = None) -> DataFrame:
+    """Every record of the archives below ``path``; a broken archive raises BadArchive.
+
+    ``written`` (archive, records; one row for each archive, sent to all tasks) leaves out files that it does not name
+    and checks how many records each holds.
+    """
     schema = RECORD if payloads else RECORD.replace(", payload binary", "")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("path", "content")
+    if written is None:
+        files = files.withColumn("records", F.lit(None).cast("bigint"))
+    else:
+        files = (files.withColumn("archive", F.regexp_extract("path", "[^/]+$", 0))
+                 .join(F.broadcast(written.select("archive", "records")), "archive").select("path", "content", "records"))
 
     def read(batches):
         names = [f.split()[0] for f in schema.split(", ")]
         for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1)):
-                held, size = [], 0
-                for r in read_archive(data.as_buffer(), os.path.basename(name)):
+            for name, data, records in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                held, size, n = [], 0, 0
+                for n, r in enumerate(read_archive(data.as_buffer(), os.path.basename(name)), 1):
                     held.append({n: r[n] for n in names})
                     size += r["payload_bytes"] if payloads else 200
                     if size >= 4 << 20:
@@ -262,6 +273,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                         held, size = [], 0
                 if held:
                     yield _batch(held, names)
+                if records is not None and n != records:
+                    raise BadArchive(f"{os.path.basename(name)} holds {n} records, {records} were written")
     return files.mapInArrow(read, schema)
 
 
@@ -275,11 +288,11 @@ def _batch(rows: list[dict], names: list[str]) -> pa.RecordBatch:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "archives")
-    written = write_archives(table(spark, sf_dir, "pages"), path).agg(F.sum("records")).first()[0]
-    if not written:
+    written = stored(write_archives(table(spark, sf_dir, "pages"), path), "written-archives")
+    if written.isEmpty():
         return spark.createDataFrame([], "page_id bigint, payload_bytes bigint, payload_digest string, "
                                          "record_type string, refers_to bigint")
-    return (read_archives(spark, path, payloads=False)
+    return (read_archives(spark, path, payloads=False, written=written)
             .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 

@@ -68,3 +68,16 @@ def test_archives_without_a_dictionary_are_read():
     one = zstandard.ZstdCompressor(write_checksum=True)
     data = one.compress(_record(7)) + one.compress(_record(8, b""))
     assert [r["page_id"] for r in read_archive(data)] == [7, 8]
+
+
+def test_files_of_lost_attempts_are_left_out(spark):
+    from planwise.llm.common import shared_dir, stored, table
+    pages, path = table(spark, SF, "pages"), shared_dir(spark, "archives")
+    ordered = lambda c: pages.repartition(3).sortWithinPartitions(c)
+    write_archives(ordered("url"), path, archive_bytes=200_000).collect()  # an attempt that was lost, in another order
+    written = stored(write_archives(ordered("page_id"), path, archive_bytes=150_000), "written")
+    got = read_archives(spark, path, payloads=False, written=written).select("page_id").collect()
+    assert sorted(r.page_id for r in got) == sorted(r.page_id for r in pages.collect())
+    short = written.withColumn("records", written.records + 1)
+    with pytest.raises(Exception, match="were written"):
+        read_archives(spark, path, payloads=False, written=short).collect()
