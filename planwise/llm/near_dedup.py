@@ -12,14 +12,14 @@ band of six registers agrees (42 bands; a pair at 0.8 is missed with a chance
 of 3e-6).  A handful of shingles fills no registers, so sets of up to nine meet
 exactly instead: two of them at 0.8 are equal after leaving out one shingle at
 most each, or two of a partner's ten or eleven.  Within a band bucket, members are first compared with a hub, the
-member that shares most with the others; then, bucket by bucket, only members
-that the links found so far leave in different components, and whose distances
-from the hub differ by no more than linked ones may (the Jaccard distance is a
-metric).  Each pair passes a
-collision-corrected register estimate before its full sets decide.  Whole
-buckets are compared by an exact bound: a member whose shingles are too often
-rare (in at most ``RARE`` open members) to reach the overlap without them meets
-only the few that share one of these; the others meet in their bucket.
+member that shares most with the others, and the links contract into
+components.  Members of buckets that this leaves in several components meet
+by an exact prefix filter, whatever their bucket: with shingles in the order
+of how few open members have them, two linked sets share one of their first
+fifth.  Only pairs of different components are formed, so the copies of one
+text, however many, pair with nothing but their hub.  Each pair passes a
+register estimate, less the agreement that chance gives for sets of their
+sizes, before its full sets decide.
 
 Defined cases: null text is empty; a null id is a document of its own and its
 own component; repeated rows have equal sets; an empty table gives an empty
@@ -32,7 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planwise.llm.common import byte_values, mixed, stored, table
@@ -43,7 +43,8 @@ REGISTERS, MANTISSA = 256, 10
 BAND, BANDS = 6, 42
 SHORT_BASE = 0xE7037ED1A0B428DB
 SMALL, PARTNER = 9, 11  # at 0.8 a set of up to nine shingles has partners of up to eleven
-RARE = 32
+# Fixed value: expected collisions a register of two equally large sets, times 2**mantissa bits (HyperMinHash, Yu and Weber).
+COLLISIONS = 0.169919487159739
 _BORROW = mixed(np.arange(REGISTERS * 4096, dtype=np.uint64)) % np.uint64(REGISTERS)
 
 
@@ -100,10 +101,11 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Jaccard estimate from registers, less the agreement that different minima show by chance."""
+    """Jaccard estimate from registers, less the agreement that different minima of sets of these sizes show by chance."""
     agree = (a == b).mean(axis=1)
-    # two different minima share a register if zeros and mantissa agree: about 1 / (3 * 2**10)
-    chance = 1 / (3 * (1 << MANTISSA))
+    low, high = np.minimum(n_a, n_b), np.maximum(np.maximum(n_a, n_b), 1)
+    ratio = low / high
+    chance = COLLISIONS / (1 << MANTISSA) * 4 * ratio / (1 + ratio) ** 2
     return (agree - chance) / (1 - chance)
 
 
@@ -174,7 +176,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked, distance) of the pairs whose estimate lets their full sets decide."""
+    """(a, b, linked) of the pairs whose estimate lets their full sets decide."""
     side = lambda name: reps.select(F.col("id").alias(name), F.col("registers").alias(f"r_{name}"),
                                     F.col("n_shingles").alias(f"n_{name}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -197,25 +199,27 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int)
     def decide(batches):
         for b in batches:
             cols = {name: b.column(i) for i, name in enumerate(b.schema.names)}
-            linked, distance = [], []
+            linked = []
             for x, y in zip(cols["k_a"].to_pylist(), cols["k_b"].to_pylist()):
                 both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
                 both.sort()
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
                 linked.append(100 * shared >= percent * (len(both) - shared))
-                distance.append(1 - shared / (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([cols["a"], cols["b"], pa.array(linked, pa.bool_()), pa.array(distance, pa.float64())],
-                                             ["a", "b", "linked", "distance"])
+            yield pa.RecordBatch.from_arrays([cols["a"], cols["b"], pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     near = near.mapInArrow(likely, pair_type)
     full = (near.join(sets.select(F.col("id").alias("a"), F.col("keys").alias("k_a")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("keys").alias("k_b")), "b"))
-    return full.mapInArrow(decide, f"{pair_type}, linked boolean, distance double")
+    return full.mapInArrow(decide, f"{pair_type}, linked boolean")
 
 
-def _rarity(sets: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For members (id, component): (id, size, common), ``common`` counting the shingles that more than RARE of
-    them have; and the pairs of different components that share a shingle that fewer have."""
+def _prefix_pairs(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(id, other): pairs of members (id, component) in different components that may be linked.
+
+    Shingles are ordered by how few members have them.  A linked pair shares at least ``percent`` of either set, so
+    the first |x| - ceil(percent |x|) + 1 shingles of both sets have one in common; behind the first one they share,
+    what is left of the smaller rest bounds the overlap.  Shingles of one member pair nothing and go before the join.
+    """
     id_type = members.schema["id"].dataType.simpleString()
 
     def spread(batches):
@@ -224,16 +228,19 @@ def _rarity(sets: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
                 keys = np.frombuffer(data, np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(keys), i))), pa.array(keys)],
                                                  ["id", "shingle"])
-    chosen = sets.join(members.select("id"), "id", "left_semi")
-    rows = stored(chosen.select("id", "keys").mapInArrow(spread, f"id {id_type}, shingle bigint"), "open-shingles")
-    seldom = rows.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= RARE)
-    rare = stored(rows.join(seldom, "shingle"), "rare-shingles")
-    own = rare.groupBy("id").agg(F.count("*").alias("rare"))
-    sizes = (chosen.select("id", (F.length("keys") / 8).cast("bigint").alias("size")).join(own, "id", "left")
-             .select("id", "size", (F.col("size") - F.coalesce("rare", F.lit(0))).alias("common")))
-    several = rare.where("n > 1").join(members, "id").select("shingle", "id", "component")
-    other = several.select("shingle", F.col("id").alias("other"), F.col("component").alias("other_component"))
-    return sizes, several.join(other, "shingle").where("component < other_component").select("id", "other")
+    chosen = sets.join(members.select("id"), "id", "left_semi").select("id", "keys")
+    rows = stored(chosen.mapInArrow(spread, f"id {id_type}, shingle bigint"), "open-shingles")
+    seldom = rows.groupBy("shingle").agg(F.count("*").alias("n"))
+    by_set = Window.partitionBy("id")
+    ranked = (rows.join(seldom, "shingle").withColumn("rank", F.row_number().over(by_set.orderBy("n", "shingle")))
+              .withColumn("size", F.count("*").over(by_set)))
+    prefix = (ranked.where((F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1) & (F.col("n") > 1))
+              .select("id", "shingle", "size", (F.col("size") - F.col("rank")).alias("rest")))
+    prefix = stored(prefix.join(members, "id"), "open-prefixes")
+    other = prefix.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("id", "component", "size", "rest")])
+    enough = (100 + percent) * (1 + F.least("rest", "other_rest")) >= percent * (F.col("size") + F.col("other_size"))
+    return (prefix.join(other, "shingle").where((F.col("component") < F.col("other_component")) & enough)
+            .select("id", F.col("other_id").alias("other")))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -268,25 +275,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     parts = stored(components(links), "near-components")
 
     # then the buckets that this leaves in several components; of two members the hub was one
-    labelled = starred.join(parts, "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("component"), *ends, (F.col("id") == F.col("other")).alias("is_hub"))
+    labelled = starred.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     torn = (labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                         F.count("*").alias("n")).where("lo <> hi AND n > 2").select("key"))
-    gap = F.when(F.col("is_hub"), F.lit(0.0)).otherwise(F.col("distance"))
-    open_ = stored(labelled.join(torn, "key").join(tested.select("a", "b", "distance"), ["a", "b"], "left")
-                   .select("key", "id", "component", gap.alias("gap")), "open-buckets")
+    open_ = stored(labelled.join(torn, "key").select("id", "component").distinct(), "open-members")
     if not open_.isEmpty():
-        sizes, sharing = _rarity(sets, open_.select("id", "component").distinct())
-        sized = stored(open_.join(sizes, "id"), "open-sizes")
-        other = sized.select("key", *[F.col(c).alias(to) for c, to in (
-            ("id", "other"), ("component", "other_component"), ("size", "other_size"), ("common", "other_common"),
-            ("gap", "other_gap"))])
-        # the overlap that the similarity asks for, without any rare shingle of either side
-        enough = ((100 + percent) * F.least("common", "other_common") >= percent * (F.col("size") + F.col("other_size")))
-        close = F.coalesce(F.abs(F.col("gap") - F.col("other_gap")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
-        found = (sized.join(other, "key").where(enough & close & (F.col("component") < F.col("other_component")))
-                 .select("id", "other").unionByName(sharing))
-        more = _verified(stored(_pairs(found), "pairs"), reps, sets, percent).where("linked").select("a", "b")
+        found = stored(_pairs(_prefix_pairs(sets, open_, percent)), "pairs")
+        more = _verified(found, reps, sets, percent).where("linked").select("a", "b")
         parts = stored(components(stored(links.unionByName(more), "near-links")), "near-components")
     classes = reps.join(parts, "id", "left").select("set_id", F.coalesce("component", "id").alias("component_id"))
     out = (signed.select("_id", "n_shingles", "set_id").join(classes, "set_id", "left")
