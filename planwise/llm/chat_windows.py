@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planwise.llm.common import table
+from planwise.llm.packing import WordTokenizer, public_tokenizer
 from planwise.llm.turns import digest, grouped_rows, numbered, per_row, plain_turns
 
 START, END, BREAK = "<|im_start|>", "<|im_end|>", "<|n|>"
@@ -71,28 +72,25 @@ def parse(text: str) -> Iterator[tuple[str, str]]:
 
 
 # ------------------------------------------------------------------ tokens
-def counted_turns(turns: DataFrame, tokenizer: str) -> DataFrame:
-    """Plain turns with their digest and the tokens they take in a window."""
-    turns = turns.select("conv_id", "turn", "role", "text", digest().alias("digest"))
-    names = turns.columns
+def with_tokens(rows: DataFrame, tokenizer: str) -> DataFrame:
+    """``rows`` with the tokens that each turn takes in a window."""
+    names = rows.columns
+    role_at, text_at = names.index("role"), names.index("text")
 
     def count(batches):
-        from tokenizers import Tokenizer
-
-        encoder = Tokenizer.from_file(tokenizer)
-        encoder.encode_special_tokens = True
+        encoder = WordTokenizer(tokenizer)
         for b in batches:
             sizes, held, chars = [], [], 0
-            for role, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for role, text in zip(b.column(role_at).to_pylist(), b.column(text_at).to_pylist()):
                 held.append(f"{escape(role)}\n{escape(text)}")
                 chars += len(text)
                 if chars >= COUNT_CHARS:
-                    sizes += [len(e.ids) + MARKS for e in encoder.encode_batch_fast(held, add_special_tokens=False)]
+                    sizes += [len(ids) // 4 + MARKS for ids in encoder.encode(held)]
                     held, chars = [], 0
-            sizes += [len(e.ids) + MARKS for e in encoder.encode_batch_fast(held, add_special_tokens=False)]
+            sizes += [len(ids) // 4 + MARKS for ids in encoder.encode(held)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes, pa.int64())], [*names, "tokens"])
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in turns.schema)
-    return turns.mapInArrow(count, f"{schema}, tokens bigint")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(count, f"{schema}, tokens bigint")
 
 
 # ------------------------------------------------------------------ windows
@@ -176,7 +174,8 @@ def chat_windows(turns: DataFrame, tokenizer: str, budget: int = BUDGET, history
     if history_turns >= slice_turns:
         raise ValueError("a slice must hold more turns than are repeated")
     id_type = turns.schema["conv_id"].dataType.simpleString()
-    rows = numbered(counted_turns(turns, tokenizer), "conv_id", ["turn", "role", "digest"], "chat-turns")
+    rows = numbered(turns.select("conv_id", "turn", "role", "text", digest().alias("digest")), "conv_id", ["turn", "role", "digest"],
+                    "chat-turns", lambda sorted_rows: with_tokens(sorted_rows, tokenizer))
     rows = rows.select("conv_id", (F.col("pos") / slice_turns).cast("bigint").alias("slice"), F.lit(2).alias("kind"), "pos",
                        "role", "text", "tokens")
     place = F.col("pos") % slice_turns
@@ -243,8 +242,6 @@ def read_back(windows: DataFrame) -> DataFrame:
 
 
 def op12_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from planwise.llm.packing import public_tokenizer
-
     turns = plain_turns(table(spark, sf_dir, "conversations"))
     said = f"{END}{START}assistant ok"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)

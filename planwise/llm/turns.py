@@ -40,16 +40,18 @@ def grouped_rows(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[
             held = row[at]
 
 
-def numbered(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+def numbered(rows: DataFrame, key: str, order: list[str], name: str, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``rows`` with ``pos``, their place from 0 among the rows of their key in order (nulls first).
 
     Rows are range-partitioned by key and order, so a key with any share of the
     rows spreads over many tasks; each task numbers its own runs, and a run that
     goes on from earlier tasks adds their rows.  What is joined back is one
-    number for each task of the sort.
+    number for each task of the sort.  ``then`` may add columns to the sorted
+    rows, in place, before they are stored: it runs once, after the sort's sampling.
     """
     by = [F.col(key), *[F.col(c) for c in order]]
     dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
+    dealt = then(dealt) if then else dealt
     names = dealt.columns
 
     def count(batches):
