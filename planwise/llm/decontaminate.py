@@ -1,8 +1,11 @@
 """Operator 3: benchmark decontamination by BM25 and block-max WAND.
 
-Items are indexed in shards of at most ``shard_items``; a shard's index is
-bounded by that and goes to the tasks, one pass over the documents for each
-shard.  Every passage of every document (windows of twice the longest item,
+Equal items collapse to one text.  The number of texts, their mean and largest
+length and the document frequency of each term are Spark aggregates over all
+of them, so hits do not depend on how items are split.  Texts are dealt to
+shards of about ``shard_items`` by their hash; a task builds each shard's index
+and writes it to the shared folder, from where the tasks that search read it,
+one pass over the documents for each shard.  Every passage of every document (windows of twice the longest item,
 starting once a longest item) is a query.  An item's impacts are divided by
 its BM25 score for its own text, so that one threshold fits all items.
 
@@ -14,22 +17,27 @@ shingles: the item's question (all but its last sentence) and answer (its last
 sentence) must overlap with the passage, or nearly the whole item must.
 
 Defined cases: null and empty texts hold no terms, match nothing and are never
-matched; repeated items are matched one by one; repeated rows give one row per
+matched; repeated items are matched under each of their ids; repeated rows give one row per
 id and item; a null id is an id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
+from bisect import bisect_left
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwise.llm.common import KeyMap, byte_values, table
+from planwise.llm.common import KeyMap, byte_values, shared_dir, stored, table
+from planwise.llm.warc import _filesystem as filesystem
 from planwise.llm.tokens import WORDS_ONLY, Tokens, chunks, spans
 
 THRESHOLD = 0.6  # of an item's own score
@@ -55,31 +63,48 @@ def parts(text: str | None) -> tuple[str, str]:
     return (" ".join(cut[:-1]), cut[-1]) if len(cut) > 1 else ("".join(cut), "".join(cut))
 
 
+def item_keys(text: str | None) -> np.ndarray:
+    return Tokens([(text or "").encode()], True, WORDS_ONLY).keys()
+
+
+class Stats(NamedTuple):
+    """What BM25 counts over all item texts: their number, mean and largest length, and how many hold each term."""
+    texts: int
+    mean: float
+    longest: int
+    frequency: dict[int, int]
+
+
 class Index:
     """BM25 postings of some items in blocks with their largest impacts."""
 
-    def __init__(self, items: list[tuple[int, str | None]], threshold: float = THRESHOLD, weak: float = WEAK):
+    def __init__(self, items: list[tuple[int, str | None]], threshold: float = THRESHOLD, weak: float = WEAK,
+                 stats: Stats | None = None):
         self.ids = [i for i, _ in items]
-        keys = [Tokens([(t or "").encode()], True, WORDS_ONLY).keys() for _, t in items]
+        keys = [item_keys(t) for _, t in items]
         self.parts = []
         for _, t in items:
-            q, a = (Tokens([x.encode()], True, WORDS_ONLY).keys() for x in parts(t))
+            q, a = (item_keys(x) for x in parts(t))
             self.parts.append((q, a))
         self.keys = keys
         self.vocabulary = np.unique(np.concatenate([*keys, np.zeros(0, np.uint64)]))
         term_of = {int(k): i for i, k in enumerate(self.vocabulary)}
         counts = [Counter(term_of[int(k)] for k in ks) for ks in keys]
-        df = Counter(t for c in counts for t in c)
-        n, mean = len(items), max(1.0, sum(map(len, keys)) / max(1, len(items)))
+        if stats is None:  # these are all items
+            found = Counter(t for c in counts for t in c)
+            stats = Stats(len(items), max(1.0, sum(map(len, keys)) / max(1, len(items))), max([0, *map(len, keys)]),
+                          {int(k): found[i] for i, k in enumerate(self.vocabulary)})
+        n = stats.texts
+        df = [stats.frequency[int(k)] for k in self.vocabulary]
         self.postings: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
-        self.weak = np.zeros(n)
+        self.weak = np.zeros(len(items))
         strong: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
         for item, c in enumerate(counts):
-            norm = K1 * (1 - B + B * len(keys[item]) / mean)
+            norm = K1 * (1 - B + B * len(keys[item]) / stats.mean)
             impact = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in c.items()}
             own = sum(impact.values())
             low = 0.0
-            for t, x in sorted(impact.items(), key=lambda p: p[1]):
+            for t, x in sorted(impact.items(), key=lambda p: (p[1], int(self.vocabulary[p[0]]))):
                 x /= own
                 self.postings[t].append((item, x))
                 if low + x <= min(weak, threshold * 0.999):
@@ -87,6 +112,7 @@ class Index:
                 else:
                     strong[t].append((item, x))
             self.weak[item] = low
+        self.listed = [[i for i, _ in p] for p in self.postings]
         self.highest = [max((x for _, x in p), default=0.0) for p in self.postings]
         self.blocks = [[(p[min(a + BLOCK, len(p)) - 1][0], max(x for _, x in p[a:a + BLOCK]))
                         for a in range(0, len(p), BLOCK)] for p in self.postings]
@@ -94,7 +120,8 @@ class Index:
         self.strong_n, self.strong_at = sizes, np.cumsum(sizes) - sizes
         self.strong_item = np.array([i for p in strong for i, _ in p], np.int64)
         self.strong_impact = np.array([x for p in strong for _, x in p], float)
-        self.stride = max([LEAST_STRIDE, *map(len, keys)])
+        self.ends = [[b[0] for b in blocks] for blocks in self.blocks]
+        self.stride = max(LEAST_STRIDE, stats.longest)
         self.threshold = threshold
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
@@ -116,10 +143,11 @@ class Index:
                 pivot += 1
             block, end = 0.0, 1 << 62
             for c in cursors[:pivot + 1]:
-                b = next((x for x in self.blocks[c[2]][c[1] // BLOCK:] if x[0] >= item), None)
-                if b:
-                    block += b[1]
-                    end = min(end, b[0])
+                k = bisect_left(self.ends[c[2]], item, c[1] // BLOCK)  # the block that may hold the item
+                if k < len(self.ends[c[2]]):
+                    last, most = self.blocks[c[2]][k]
+                    block += most
+                    end = min(end, last)
             if block < theta:
                 # no item up to the first block end, nor before the next list's item, can reach it
                 upto = end + 1 if end < 1 << 62 else item + 1
@@ -135,8 +163,7 @@ class Index:
             else:
                 upto, moved = item, cursors[:pivot]
             for c in moved:
-                while c[1] < len(c[0]) and c[0][c[1]][0] < upto:
-                    c[1] += 1
+                c[1] = bisect_left(self.listed[c[2]], upto, c[1])
             cursors = [c for c in cursors if c[1] < len(c[0])]
         return out
 
@@ -206,25 +233,73 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     passage for each document and item."""
     picked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     id_type = picked.schema["_id"].dataType.simpleString()
-    tests = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t"))
-    shards = max(1, -(-tests.count() // shard_items))
-    # rows of a shard are few by construction; equal rows may meet in one shard and are indexed one by one
-    dealt = tests.withColumn("s", F.pmod(F.xxhash64("i", "t"), F.lit(shards)))
-    out = None
-    for s in range(shards):
-        index = Index([(r["i"], r["t"]) for r in dealt.where(F.col("s") == s).orderBy("i").collect()], threshold)
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        found = picked.mapInArrow(_search(shared), f"_id {id_type}, {HIT}")
-        out = found if out is None else out.unionByName(found)
+    texts, shards = _indexed(items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")), threshold, shard_items)
+    out = docs.sparkSession.createDataFrame([], f"_id {id_type}, {HIT}")
+    for path in shards:
+        out = out.unionByName(picked.mapInArrow(_search(path), f"_id {id_type}, {HIT}"))
+    # an item's text is found once and holds for every id that has it
+    out = out.withColumnRenamed("item_id", "_text_id").join(texts, "_text_id").drop("_text_id")
     best = F.max(F.struct("score", -F.col("passage_start"), "question_overlap", "answer_overlap")).alias("best")
     return (out.groupBy("_id", "item_id").agg(best)
             .select(F.col("_id").alias(doc_id), "item_id", (-F.col("best.col2")).alias("passage_start"), "best.score",
                     "best.question_overlap", "best.answer_overlap"))
 
 
-def _search(shared):
+def _indexed(items: DataFrame, threshold: float, shard_items: int) -> tuple[DataFrame, list[str]]:
+    """((_text_id, item_id) of all items, paths of the shards' indexes) for items (i, t)."""
+    spark = items.sparkSession
+    named = items.where("t IS NOT NULL").select("i", "t", F.sha2(F.col("t").cast("binary"), 256).alias("h"))
+    texts = stored(named.groupBy("h").agg(F.any_value("t").alias("t")).withColumn("_text_id", F.xxhash64("h")), "item-texts")
+
+    def terms(batches):
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                keys, n = np.unique(item_keys(t), return_counts=True)
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i)), pa.array(keys.view(np.int64)), pa.array(n)],
+                                                     ["_text_id", "term", "n"])
+    found = stored(texts.select("_text_id", "t").mapInArrow(terms, "_text_id bigint, term bigint, n bigint"), "item-terms")
+    size = found.groupBy("_text_id").agg(F.sum("n").alias("n")).agg(F.count("*"), F.avg("n"), F.max("n")).first()
+    ids = named.join(texts.select("h", "_text_id"), "h").select("_text_id", F.col("i").alias("item_id"))
+    if not size[0]:
+        return ids, []
+    shards = -(-size[0] // shard_items)
+    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
+    known = (found.join(frequency, "term").groupBy("_text_id").agg(F.collect_list(F.struct("term", "df")).alias("terms"))
+             .join(texts, "_text_id").withColumn("shard", F.pmod(F.col("_text_id"), F.lit(shards))))
+    base = shared_dir(spark, "item-index")
+
+    def build(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = sorted(rows.select(["_text_id", "t", "terms"]).to_pylist(), key=lambda r: r["_text_id"])
+        df = {x["term"] & (1 << 64) - 1: x["df"] for r in rows for x in r["terms"]}
+        index = Index([(r["_text_id"], r["t"]) for r in rows], threshold, stats=Stats(size[0], max(1.0, float(size[1])), size[2], df))
+        # each attempt has a file of its own; only those of finished tasks are returned
+        name = f"shard-{key[0].as_py()}-{TaskContext.get().taskAttemptId()}"
+        fs, root = filesystem(base)
+        fs.create_dir(root, recursive=True)
+        with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
+            out.write(pickle.dumps(index))
+        return pa.table({"path": [f"{base}/{name}"]})
+    built = known.groupBy("shard").applyInArrow(build, "path string")
+    return ids, sorted(r["path"] for r in built.collect())  # one path for each shard
+
+
+_held: dict[str, Index] = {}
+
+
+def _load(path: str) -> Index:
+    """A shard's index; a worker holds one at a time."""
+    if path not in _held:
+        _held.clear()
+        fs, at = filesystem(path)
+        with fs.open_input_stream(at, compression=None) as data:
+            _held[path] = pickle.loads(data.read())
+    return _held[path]
+
+
+def _search(path):
     def run(batches):
-        index = shared.value
+        index = _load(path)
         for b in batches:
             rows = pa.Table.from_batches([b])
             hits = list(passages_of(index, byte_values(rows["_text"])))

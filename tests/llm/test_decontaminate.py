@@ -1,32 +1,48 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 
-from planwise.llm.decontaminate import PART, WHOLE, Index, contaminated, op3_decontamination, overlap
-from planwise.llm.tokens import WORDS_ONLY, Tokens
+from planwise.llm.decontaminate import Index, contaminated, op3_decontamination
+from tests.llm import helpers
 from tests.llm.conftest import SF
 
 
-def _keys(text):
-    return Tokens([(text or "").encode()], True, WORDS_ONLY).keys()
+def _words(text):
+    return re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", helpers.lower(text))
+
+
+def _overlap(part, passage):
+    """Share of the five-word shingles of a part that the passage holds."""
+    n = min(5, len(part))
+    mine = {tuple(part[k:k + n]) for k in range(len(part) - n + 1)} if part else set()
+    return len(mine & {tuple(passage[k:k + n]) for k in range(len(passage) - n + 1)}) / len(mine) if mine else 0.0
 
 
 def _brute(rows, items):
-    """Every passage against every item by its full BM25 score."""
-    index = Index(items)
-    term_of = {int(k): i for i, k in enumerate(index.vocabulary)}
+    """Every passage against every item by plain BM25 and plain shingles; knows nothing of the index."""
+    texts = {t: _words(t) for _, t in items if _words(t or "")}
+    n, mean, stride = len(texts), sum(map(len, texts.values())) / max(1, len(texts)), max([64, *map(len, texts.values())])
+    df = Counter(w for ws in texts.values() for w in set(ws))
+    impact = {}
+    for t, ws in texts.items():
+        norm = 1.2 * (0.25 + 0.75 * len(ws) / mean)
+        one = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + norm) for w, f in Counter(ws).items()}
+        impact[t] = {w: x / sum(one.values()) for w, x in one.items()}
     out = set()
     for doc, text in rows:
-        keys = _keys(text)
-        for a in range(0, max(1, len(keys)), index.stride):
-            passage = keys[a:a + 2 * index.stride]
-            terms = {term_of[int(k)] for k in passage if int(k) in term_of}
-            for item in range(len(items)):
-                score = sum(x for t in terms for i, x in index.postings[t] if i == item)
-                if score >= index.threshold * (1 - 1e-9):
-                    q, r = (overlap(p, passage) for p in index.parts[item])
-                    if overlap(index.keys[item], passage) >= WHOLE or (q >= PART and r >= PART):
-                        out.add((doc, items[item][0]))
+        words = _words(text or "")
+        for a in range(0, max(1, len(words)), stride):
+            passage = words[a:a + 2 * stride]
+            held = set(passage)
+            for t, ws in texts.items():
+                if sum(x for w, x in impact[t].items() if w in held) >= 0.6 * (1 - 1e-9):
+                    cut = [x for x in re.split(r"(?<=[.!?])\s+", t.strip()) if x]
+                    q, r = (" ".join(cut[:-1]), cut[-1]) if len(cut) > 1 else ("".join(cut), "".join(cut))
+                    if _overlap(ws, passage) >= 0.8 or (_overlap(_words(q), passage) >= 0.5 and _overlap(_words(r), passage) >= 0.5):
+                        out |= {(doc, i) for i, x in items if x == t}
     return out
 
 
@@ -66,3 +82,11 @@ def test_edge_cases(spark):
     two = {(r.doc_id, r.item_id) for r in contaminated(docs, items, shard_items=2).collect()}
     assert two == set(got)
     assert contaminated(docs.limit(0), items).count() == 0 and contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_hits_do_not_depend_on_the_shards(spark, documents):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = items.unionByName(items.selectExpr("item_id + 1000 AS item_id", "text").limit(15))  # some texts twice
+    docs = documents.where("doc_id % 4 = 0")
+    whole, *others = ([tuple(r) for r in contaminated(docs, items, shard_items=n).orderBy("doc_id", "item_id").collect()] for n in (1000, 10, 2))
+    assert whole and all(o == whole for o in others)
