@@ -11,7 +11,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +39,47 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_written: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def written_paths() -> Iterator[list[str]]:
+    """Collects the paths that ``stored`` writes meanwhile."""
+    paths: list[str] = []
+    _written.append(paths)
+    try:
+        yield paths
+    finally:
+        _written.pop()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     schema = df.schema
     df.write.parquet(path)
+    for paths in _written:
+        paths.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def drop_paths(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete intermediates that nothing reads any more."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(hadoop).delete(at, True)
+
+
+def unused(columns: Iterable[str], name: str) -> str:
+    """``name``, or it with underscores before it, so that no column clashes."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Total UTF-8 bytes of the texts; sizes the shards of a job."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0])

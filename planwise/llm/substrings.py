@@ -83,9 +83,10 @@ def _replies(requests: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH,
-                   carry: tuple[str, ...] = ()) -> DataFrame:
+                   carry: tuple[str, ...] = (), originals: bool = False) -> DataFrame:
     """(doc id, n_words, n_removed, removed, kept, carried columns): ``removed`` lists maximal intervals
-    [first, last] of word positions, ``kept`` holds the other words joined by one space."""
+    [first, last] of word positions, ``kept`` holds the other words joined by one space; with ``originals``,
+    ``kept`` is the text as it was, null included, where nothing is removed."""
     picked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"),
                          *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)])
     shards = shard_count(text_bytes(picked, "_text"))
@@ -111,6 +112,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         del mine
         hit = KeyMap(np.unique(np.concatenate(repeated)))
         n_words, n_removed, removed, kept = [], [], [], []
+        whole = rows["_text"].cast(pa.binary()).to_pylist() if originals else None
         for part in runs:
             tokens, at, keys, shard = _windows(part, width, shards)
             first = at[hit.find(mixed(keys ^ shard.astype(np.uint64))) >= 0]
@@ -129,7 +131,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 n_removed.append(n)
                 if not n:
                     removed.append([])
-                    kept.append(flat[starts[i]:ends[i]])
+                    kept.append(whole[len(kept)] if originals else flat[starts[i]:ends[i]])
                     continue
                 mask = gone[f:f + c]
                 turn = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))

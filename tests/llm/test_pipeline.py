@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from planwise.llm.common import stored, table
+from planwise.llm.common import stored, table, written_paths
 from planwise.llm.packing import END_ID, public_tokenizer
 from tests.llm import helpers
 from tests.llm.conftest import SF
@@ -31,7 +31,7 @@ def test_stages_are_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "near dedup", "substring dedup", "decontamination",
                                                       "packing"]
     assert "pipeline" in __spark_entry__.queries() and corpus_pipeline.ORACLE_SQL is None
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in __spark_entry__.queries() if k.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in __spark_entry__.queries() if k.startswith("op")}
 
 
 def test_all_but_the_last_return_documents(stages):
@@ -87,10 +87,13 @@ def test_pipeline_edge_rows(spark):
     rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "a b c", None, None, 5), (2, "a b c", None, None, 5),
             (3, "long " * 40_000, "en", "s", 200_000),
             *[(None, x.text, "en", "s", 1) for x in table(spark, SF, "benchmark").limit(1).collect()]]
-    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, "
-                                                          "kept int")
+    docs = spark.createDataFrame([(*r, 1, "r", "k", "l", 7) for r in rows],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint, "
+                                 "kept int, _row string, _key string, _LEAK string, __key int")
     assert corpus_pipeline.quality_classifier(spark, docs, SF).columns == docs.columns
     for name, stage in corpus_pipeline.STAGES[1:]:
+        if name != "near dedup":
+            assert {tuple(r) for r in docs.select("_row", "_key", "_LEAK", "__key").collect()} == {("r", "k", "l", 7)}
         before, docs = docs, stored(stage(spark, docs, SF), "edge")
         if name == "decontamination":  # only the row without an id that holds a test item goes
             assert before.count() - docs.count() == 1 and docs.where("doc_id IS NULL").count() == 1
@@ -109,3 +112,12 @@ def test_one_row_of_each_group_of_copies_stays(spark):
     out = corpus_pipeline.substring_dedup(spark, stored(once, "once"), SF).collect()
     want = [(1, text("a")), (2, text("b")), (None, text("c")), (3, text("d")), (3, text("e"))]
     assert sorted([(r.doc_id, r.text) for r in out], key=str) == sorted(want, key=str)
+
+
+def test_run_leaves_its_result_only(spark):
+    with written_paths() as paths:
+        out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    there = [p for p in paths if (at := spark._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(hadoop).exists(at)]
+    assert there == paths[-1:]
