@@ -1,17 +1,23 @@
 """Operator 7: toxicity by a weighted finite-state pattern grammar.
 
-Two transducers are composed over each clause.  The lexical one reads a word
-and writes its classes: learned patterns (a word, or the beginning of a word
-for inflected stems) are insults with a weight; fixed words are targets,
-threats, negations and reported speech.  The clause transducer reads these
-classes from left to right; its state is what the clause has shown so far
-(target, negation within reach, report), and it emits each match with its
-weight under that state.  A document's score is the logistic value of its
-matches by state, with coefficients fitted on labelled rows.
+Seven small machines make the grammar.  The lexical transducer is one
+character trie over the words of five classes: learned patterns (a word, or
+the beginning of a word for inflected stems) are insults, fixed words are
+threats, targets, negations and reported speech; its final states carry the
+class and a weight, for threats the learned one where a pattern covers the
+word.  The clause transducers read classes: ``target`` left to right and
+``later_target`` right to left mark matches whose clause names a target,
+``negation`` those within reach of one, ``report`` those after reported
+speech, and ``decide`` writes the state that prevails.  The four that read
+left to right are composed once into one deterministic machine, so a text is
+read with one table lookup a word.  A document's score is the logistic value
+of its matches' weights, number and clauses by class and state, with
+coefficients (the weights of the composed machine's last arcs, so to say)
+fitted on labelled rows.
 
 ``train_rows`` bounds the labelled rows for learning (the smallest hashes of
-their ids among those whose crc32 fold is not 0); ``most_patterns`` bounds the
-lexicon.  Every row is scored over its whole text.
+their ids among those whose crc32 fold is not 0), and with them the lexicon,
+which holds every pattern that passes.  Every row is scored over its whole text.
 
 Defined cases: null and empty texts, and texts without a match, get the value
 of no match; null labels are not learned from; a null id is held out by the
@@ -23,7 +29,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +41,6 @@ from pyspark.sql import functions as F
 from planwise.llm.common import stored, table
 
 TRAIN_ROWS = 20_000
-MOST_PATTERNS = 2_000
 LEAST_DOCS = 3
 PREFIX = (4, 9)
 REACH = 3  # words over which a negation carries
@@ -45,84 +52,185 @@ NEGATION = "not no never neither nor isn't aren't don't nicht kein keine nie nie
 REPORT = "said says say called quoted wrote told sagte sagt nannte schrieb dit disait appelé écrit dijo dice llamó escribió"
 
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|[.!?;:\n]")
-STOP = frozenset(".!?;:\n")
-STATES = ("plain", "targeted", "negated", "reported")
-N_FEATURES = 3 * len(STATES) + 2
+STOP = {**dict.fromkeys(".!?;\n", "end"), ":": "colon"}  # what follows a colon may still be reported
+KINDS = ("insult", "threat")
+STATES = ("plain", "targeted", "negated", "reported")  # a later one prevails
+N_FEATURES = 3 * len(STATES) * len(KINDS) + 1
 
 
 def held_out(doc_id):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
+# ---- the machines ----------------------------------------------------------------
+@dataclass(frozen=True)
+class Transducer:
+    """A deterministic transducer: ``arcs[state][symbol]`` is (next state, written symbol)."""
+    start: object
+    arcs: dict
+
+    def run(self, symbols: Iterable, state=None) -> tuple[list, object]:
+        state, out = self.start if state is None else state, []
+        for symbol in symbols:
+            state, written = self.arcs[state][symbol]
+            out.append(written)
+        return out, state
+
+
+def _machine(start, symbols: Iterable, step: Callable) -> Transducer:
+    """The states that ``step(state, symbol)`` reaches from ``start``, written out as arcs."""
+    symbols, arcs, todo = list(symbols), {}, deque([start])
+    while todo:
+        state = todo.popleft()
+        if state in arcs:
+            continue
+        arcs[state] = {symbol: step(state, symbol) for symbol in symbols}
+        todo.extend(to for to, _ in arcs[state].values())
+    return Transducer(start, arcs)
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The machine that writes what ``second`` writes for what ``first`` writes; reachable pairs of states only."""
+    def step(pair, symbol):
+        a, between = first.arcs[pair[0]][symbol]
+        b, written = second.arcs[pair[1]][between]
+        return (a, b), written
+    return _machine((first.start, second.start), first.arcs[first.start], step)
+
+
+# A symbol is a class and the marks that machines have set on it; only matches bear marks.
+PLAIN = [(c,) for c in ("other", "target", "negation", "report", "end", "colon")]
+MATCHES = [(k, *(m for m, bit in zip(STATES[1:], (1, 2, 4)) if bits & bit)) for k in KINDS for bits in range(8)]
+
+
+def _marked(symbol: tuple, mark: str) -> tuple:
+    return (symbol[0], *(s for s in STATES[1:] if s == mark or s in symbol[1:]))
+
+
+def target() -> Transducer:
+    """Marks matches after a target of their clause; read from the clause's end, those before one."""
+    def step(seen, symbol):
+        if symbol[0] in ("end", "colon"):
+            return False, symbol
+        if symbol[0] in KINDS:
+            return seen, _marked(symbol, "targeted") if seen else symbol
+        return seen or symbol[0] == "target", symbol
+    return _machine(False, PLAIN + MATCHES, step)
+
+
+def negation(reach: int = REACH) -> Transducer:
+    """Marks matches among the ``reach`` words after a negation of their clause; the state is the words left."""
+    def step(left, symbol):
+        if symbol[0] in ("end", "colon"):
+            return 0, symbol
+        if symbol[0] == "negation":
+            return reach, symbol
+        return max(0, left - 1), _marked(symbol, "negated") if left and symbol[0] in KINDS else symbol
+    return _machine(0, PLAIN + MATCHES, step)
+
+
+def report() -> Transducer:
+    """Marks matches after reported speech of their sentence; a colon does not end it."""
+    def step(seen, symbol):
+        if symbol[0] in KINDS:
+            return seen, _marked(symbol, "reported") if seen else symbol
+        return symbol[0] == "report" or seen and symbol[0] != "end", symbol
+    return _machine(False, PLAIN + MATCHES, step)
+
+
+def decide() -> Transducer:
+    """Writes a match's class and the state that prevails, and nothing for other symbols."""
+    return _machine(None, PLAIN + MATCHES, lambda _, s: (None, (s[0], s[-1] if len(s) > 1 else STATES[0]) if s[0] in KINDS else None))
+
+
+GRAMMAR = compose(compose(compose(target(), negation()), report()), decide())
+LATER_TARGET = target()  # run from right to left
+
+
 class Lexicon(dict):
-    """The lexical transducer: word to (class, weight), or None for other words; remembers a bounded number."""
+    """The lexical transducer: word to (symbol, weight); ends of paths are learned once a word, a bounded number is kept."""
 
     def __init__(self, patterns: dict[str, float], most: int = 400_000):
         super().__init__()
-        self.patterns, self.most = patterns, most
-        self.lengths = sorted({len(p) - 1 for p in patterns if p.endswith("*")})
-        self.fixed = {w: (kind, 1.0) for kind, words in (("report", REPORT), ("negation", NEGATION), ("target", TARGET),
-                                                         ("threat", THREAT)) for w in words.split()}
+        self.most, self.trie = most, {}
+        for kind, words in (("report", REPORT), ("negation", NEGATION), ("target", TARGET)):
+            for w in words.split():
+                self._node(w).setdefault("word", (kind, 1.0))
+        for p, weight in patterns.items():
+            if p.endswith("*"):
+                self._node(p[:-1])["stem"] = weight
+            else:
+                self._node(p)["word"] = ("insult", weight)
+        for w in THREAT.split():
+            kind, weight = self.read(w)
+            self._node(w)["word"] = ("threat", weight if kind == "insult" else 1.0)
+
+    def _node(self, path: str) -> dict:
+        node = self.trie
+        for c in path:
+            node = node.setdefault(c, {})
+        return node
+
+    def read(self, word: str) -> tuple[str, float]:
+        """The class and weight at the end of the word's path: a whole word of a match, else its heaviest stem."""
+        node, stem = self.trie, None
+        for c in word:
+            node = node.get(c)
+            if node is None:
+                break
+            if "stem" in node:
+                stem = max(node["stem"], stem or node["stem"])
+        end = node.get("word", ("other", 0.0)) if node else ("other", 0.0)
+        return end if end[0] in KINDS or stem is None else ("insult", stem)
 
     def __missing__(self, word: str):
         if len(self) > self.most:
             self.clear()
-        weight = self.patterns.get(word)
-        if weight is None:
-            weight = max((self.patterns[p] for n in self.lengths if len(word) >= n
-                          and (p := word[:n] + "*") in self.patterns), default=None)
-        out = self[word] = ("insult", weight) if weight is not None else self.fixed.get(word)
+        kind, weight = (STOP[word], 0.0) if word in STOP else self.read(word)
+        out = self[word] = ((kind,), weight)
         return out
 
 
 def matches(text: str | None, lexicon: Lexicon) -> list[tuple[str, str, float, int]]:
-    """The clause transducer: (class, state, weight, clause number) for each insult or threat."""
-    out, clause = [], 0
-    target = report = False
-    negated = 0
-    pending: list[int] = []  # matches of this clause that a later target would aim
+    """(class, state, weight, clause number) of each insult or threat, in the text's order."""
+    out, clause, state = [], 0, GRAMMAR.start
+    symbols, weights, hit = [], [], False
+
+    def close():
+        nonlocal symbols, weights, hit, state
+        if hit:
+            aimed, _ = LATER_TARGET.run(reversed(symbols))
+            symbols = aimed[::-1]
+        written, state = GRAMMAR.run(symbols, state)
+        if hit:
+            out.extend((*w, weight, clause) for w, weight in zip(written, weights) if w)
+        symbols, weights, hit = [], [], False
+
     for token in TOKEN.findall((text or "").lower()):
+        symbol, weight = lexicon[token]
         if token in STOP:
-            if token != ":":  # what follows a colon may still be reported
-                report = False
-            clause, target, negated, pending = clause + 1, False, 0, []
-            continue
-        got = lexicon[token]
-        negated = max(0, negated - 1)
-        if got is None:
+            close()
+            state, clause = GRAMMAR.arcs[state][symbol][0], clause + 1
             continue
-        kind, weight = got
-        if kind == "target":
-            target = True
-            for i in pending:
-                if out[i][1] == "plain":
-                    out[i] = (out[i][0], "targeted", *out[i][2:])
-        elif kind == "negation":
-            negated = REACH + 1
-        elif kind == "report":
-            report = True
-        else:
-            state = "reported" if report else "negated" if negated else "targeted" if target else "plain"
-            pending.append(len(out))
-            out.append((kind, state, weight, clause))
+        symbols.append(symbol)
+        weights.append(weight)
+        hit = hit or symbol[0] in KINDS
+    close()
     return out
 
 
-def features(text: str | None, lexicon: Lexicon) -> np.ndarray:
-    """Matched weight, matches and matched clauses by state, then threats and the heaviest clause."""
+def features(found: list[tuple[str, str, float, int]]) -> np.ndarray:
+    """Weight, number and clauses of the matches by class and state, then the heaviest clause."""
     x = np.zeros(N_FEATURES)
-    clauses, heavy = {s: set() for s in STATES}, Counter()
-    for kind, state, weight, clause in matches(text, lexicon):
-        if kind == "threat":
-            x[-2] += 1
-            continue
-        at = STATES.index(state)
-        x[3 * at] += weight
-        x[3 * at + 1] += 1
-        clauses[state].add(clause)
+    clauses, heavy = {(k, s): set() for k in KINDS for s in STATES}, Counter()
+    for kind, state, weight, clause in found:
+        at = 3 * (len(STATES) * KINDS.index(kind) + STATES.index(state))
+        x[at] += weight
+        x[at + 1] += 1
+        clauses[kind, state].add(clause)
         heavy[clause] += weight
-    for at, s in enumerate(STATES):
-        x[3 * at + 2] = len(clauses[s])
+    for at, seen in enumerate(clauses.values()):
+        x[3 * at + 2] = len(seen)
     x[-1] = max(heavy.values(), default=0.0)
     return np.log1p(np.maximum(x, 0))
 
@@ -132,7 +240,7 @@ def _word_patterns(text: str | None) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in range(PREFIX[0], min(PREFIX[1], len(w)) + 1)}
 
 
-def learn_patterns(train: DataFrame, most: int = MOST_PATTERNS, least: int = LEAST_DOCS) -> dict[str, float]:
+def learn_patterns(train: DataFrame, least: int = LEAST_DOCS) -> dict[str, float]:
     """Patterns that toxic rows hold far more often than others, with their log odds; ``train`` is (text, toxic)."""
     def count(batches):
         for b in batches:
@@ -149,8 +257,7 @@ def learn_patterns(train: DataFrame, most: int = MOST_PATTERNS, least: int = LEA
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
     rows = (train.select("text", "toxic").mapInArrow(count, "pattern string, bad bigint, good bigint")
             .groupBy("pattern").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-            .withColumn("odds", odds).where((F.col("bad") >= least) & (F.col("odds") > 2.0))
-            .orderBy(F.desc(F.col("odds") * F.sqrt("bad")), F.length("pattern"), "pattern").limit(most).collect())
+            .withColumn("odds", odds).where((F.col("bad") >= least) & (F.col("odds") > 2.0)).collect())  # words of the bounded training rows
     kept: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (len(r["pattern"]), r["pattern"])):
         stem = r["pattern"].rstrip("*")
@@ -197,7 +304,7 @@ def train_model(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     def read(batches):
         for b in batches:
             yield pa.RecordBatch.from_pydict({
-                "x": pa.array([features(t, lexicon).tolist() for t in b.column(0).to_pylist()], pa.list_(pa.float64())),
+                "x": pa.array([features(matches(t, lexicon)).tolist() for t in b.column(0).to_pylist()], pa.list_(pa.float64())),
                 "y": b.column(1).cast(pa.int32())})
     rows = train.where(half).select("text", "toxic").mapInArrow(read, "x array<double>, y int").collect()  # bounded
     x = np.array([r["x"] for r in rows]).reshape(len(rows), N_FEATURES)
@@ -218,12 +325,12 @@ def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], text: str
     lexicon = Lexicon(patterns)
 
     def run(batches):
-        none = features(None, lexicon)
+        none = features([])
         for b in batches:
             xs, n, c = [], [], []
             for t in b.column(1).to_pylist():
                 found = matches(t, lexicon)
-                xs.append(features(t, lexicon) if found else none)
+                xs.append(features(found) if found else none)
                 n.append(len(found))
                 c.append(len({m[3] for m in found}))
             x = np.array(xs).reshape(b.num_rows, N_FEATURES)

@@ -218,6 +218,54 @@ def test_grammar_states():
     assert states(None) == states("") == []
 
 
+def test_threats_keep_their_state():
+    lex = Lexicon({"hur*": 4.0, "fool": 2.0})
+    assert matches("I will hurt you", lex) == [("threat", "targeted", 4.0, 0)]
+    assert matches("they said he will not hurt you", lex) == [("threat", "reported", 4.0, 0)]
+    assert matches("he will not burn", lex) == [("threat", "negated", 1.0, 0)] == matches("he will never burn", lex)
+    xs = [tuple(toxicity.features(matches(t, lex))) for t in
+          ("I will hurt you", "they said he will not hurt you", "nothing will hurt", "it will not hurt", "a fool", "you fool")]
+    assert len(set(xs)) == len(xs)
+
+
+def _states_by_definition(text, lex):
+    """Each match's state from the positions of the words around it, without any machine."""
+    out, sentence_start, spans, tokens = [], 0, [], toxicity.TOKEN.findall((text or "").lower())
+    start = 0
+    for i, t in enumerate([*tokens, "."]):
+        if t in toxicity.STOP:
+            spans.append((start, i, sentence_start))
+            start = i + 1
+            sentence_start = sentence_start if t == ":" else i + 1
+    kind = [None if t in toxicity.STOP else lex.read(t)[0] for t in tokens]
+    for clause, (a, b, first) in enumerate(spans):
+        for i in range(a, b):
+            if kind[i] in ("insult", "threat"):
+                state = ("reported" if "report" in kind[first:i] else
+                         "negated" if "negation" in kind[max(a, i - toxicity.REACH):i] else
+                         "targeted" if "target" in kind[a:b] else "plain")
+                out.append((kind[i], state, lex.read(tokens[i])[1], clause))
+    return out
+
+
+def test_the_composed_machine_equals_the_definition():
+    rng = random.Random(3)
+    lex = Lexicon({"fool": 2.0, "scumm*": 1.5, "scummier": 3.0, "kill*": 2.5})
+    words = "you they not never said wrote kill killing hurt fool scummy scummier a day by sea . : ; !".split()
+    for _ in range(3000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 25)))
+        assert matches(text, lex) == _states_by_definition(text, lex), text
+
+
+def test_composition_equals_running_one_after_the_other():
+    rng = random.Random(4)
+    first, second = toxicity.negation(2), toxicity.report()
+    both = toxicity.compose(first, second)
+    for _ in range(300):
+        symbols = [rng.choice(toxicity.PLAIN + toxicity.MATCHES) for _ in range(rng.randint(0, 12))]
+        assert both.run(symbols)[0] == second.run(first.run(symbols)[0])[0]
+
+
 def test_op7_on_held_out_rows(spark):
     sf = SF.replace("0.01", "0.1")
     rows = toxicity.op7_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
