@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import math
 
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -101,72 +99,77 @@ def histogram(df: DataFrame, value: str, bins: int = HISTOGRAM_BINS) -> DataFram
 
 
 # ---- V3 box --------------------------------------------------------------------
-def _value_counts(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Distinct (g, v) with their counts ``c``: equal values collapse before the shuffle."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return (_numbers(df, value).selectExpr(f"{quote_id(group)} AS g", f"CAST({quote_id(value)} AS DOUBLE) AS v").where("v IS NOT NULL")
-            .groupBy("g", "v").agg(F.expr("count(1) AS c")).checkpoint(eager=True))
-
-
-def _running(batches):
-    """Numbers the sorted pairs of one partition: rows of the same group before each pair in it."""
-    task, last, before = TaskContext.get().partitionId(), (), 0
-    for batch in batches:
-        groups, counts, start = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
-        for g, c in zip(groups, counts):
-            if (g,) != last:
-                last, before = (g,), 0
-            start.append(before)
-            before += c
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(2), pa.array([task] * len(start), pa.int32()),
-             pa.array(start, pa.int64())], ["g", "v", "c", "pid", "before"])
-
-
-def _quantiles(counts: DataFrame, probs) -> DataFrame:
-    """(g, n, q0, q1, ...) from the distinct values and their counts."""
-    spark = counts.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    g_type = counts.schema["g"].dataType.simpleString()
-    # Range partitions split a group at its values; pairs are distinct, so a
-    # value that fills most of a table is one pair and no task is hot.
-    ranked = (counts.repartitionByRange(parts, "g", "v").sortWithinPartitions("g", "v")
-              .mapInArrow(_running, f"g {g_type}, v double, c bigint, pid int, before bigint").checkpoint(eager=True))
-    seg = ranked.groupBy("g", "pid").agg(F.expr("sum(c) AS cnt"))  # at most one row per group and partition
-    seg = seg.selectExpr("g", "pid", "sum(cnt) OVER (PARTITION BY g ORDER BY pid) - cnt AS offset",
-                         "sum(cnt) OVER (PARTITION BY g) AS n")
+SELECT_BINS = 4096  # by which an open interval of values is divided
+FEW_ROWS = 200_000  # rows in open intervals that are told apart by value at once
+
+
+def _group_values(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(g, v): the group and its non-missing values as doubles."""
+    return (_numbers(df, value).selectExpr(f"{quote_id(group)} AS g", f"CAST({quote_id(value)} AS DOUBLE) AS v")
+            .where("v IS NOT NULL"))
+
+
+def _quantiles(rows: DataFrame, probs) -> DataFrame:
+    """(g, n, q0, q1, ...) of ``rows`` (g, v) by selection: no sort of the rows, only counts are shuffled.
+
+    A round counts the rows of each interval of values and keeps the intervals
+    that hold a wanted rank, with their smallest and largest value and the
+    number of rows before them; the next round divides these.  The first round
+    has one interval for each sign and power of two (at most about 4,200 for a
+    group), so that each later one gains 12 bits of the value: at most six
+    rounds.  An interval is done when its smallest and largest value are equal.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
     prob_list = ", ".join(f"CAST({float(p)!r} AS DOUBLE)" for p in probs)
-    seg = seg.selectExpr("*", f"transform(array({prob_list}), p -> p * (n - 1)) AS at")
-    first = "offset + before"
-    hit = f"exists(at, p -> floor(p) >= {first} AND floor(p) < {first} + c OR ceil(p) >= {first} AND ceil(p) < {first} + c)"
-    near = join_stats(ranked, seg, ["g", "pid"]).where(hit).selectExpr("g", "n", "at", "v", "c", f"{first} AS first")
-    edge = lambda end, i: f"max(CASE WHEN {end}(at[{i}]) >= first AND {end}(at[{i}]) < first + c THEN v END)"
-    cols = [f"{edge('floor', i)} + ({edge('ceil', i)} - {edge('floor', i)}) * (any_value(at)[{i}] - floor(any_value(at)[{i}])) AS q{i}"
+    at = f"transform(array({prob_list}), p -> p * (n - 1))"
+    wanted = (f"exists({at}, p -> floor(p) >= first AND floor(p) < first + c "
+              "OR ceil(p) >= first AND ceil(p) < first + c)")
+    power = ("CASE WHEN v = 0 THEN 0 WHEN abs(v) = double('Infinity') THEN 3000 * signum(v) "
+             "ELSE signum(v) * (1100 + floor(log2(abs(v)))) END")
+    found = (rows.groupBy("g", F.expr(power).alias("bin")).agg(F.expr("count(1) AS c"), F.expr("min(v) AS lo"), F.expr("max(v) AS hi"))
+             .selectExpr("g", "sum(c) OVER (PARTITION BY g) AS n", "sum(c) OVER (PARTITION BY g ORDER BY bin) - c AS first",
+                         "c", "lo", "hi").where(wanted).checkpoint(eager=True))
+    done = found.where("lo = hi")
+    while True:
+        still = found.where("lo < hi")
+        intervals, inside = still.agg(F.count("*"), F.sum("c")).first()
+        if not intervals:
+            break
+        bin_ = "v" if inside <= FEW_ROWS else f"CAST(floor((v - lo) / (hi - lo) * {SELECT_BINS}) AS DOUBLE)"
+        found = (join_stats(rows, still.select("g", "n", "first", "lo", "hi"), ["g"], known_rows=intervals)
+                 .where("v >= lo AND v <= hi")
+                 .groupBy("g", "n", F.col("first").alias("base"), F.expr(bin_).alias("bin"))
+                 .agg(F.expr("count(1) AS c"), F.expr("min(v) AS lo"), F.expr("max(v) AS hi"))
+                 .selectExpr("g", "n", "base + sum(c) OVER (PARTITION BY g, base ORDER BY bin) - c AS first", "c", "lo", "hi")
+                 .where(wanted).checkpoint(eager=True))
+        done = done.union(found.where("lo = hi"))
+    edge = lambda end, i: f"max(CASE WHEN {end}(at[{i}]) >= first AND {end}(at[{i}]) < first + c THEN lo END)"
+    between = lambda i: f"({edge('ceil', i)} - {edge('floor', i)}) * (any_value(at)[{i}] - floor(any_value(at)[{i}]))"
+    cols = [f"{edge('floor', i)} + CASE WHEN {edge('floor', i)} = {edge('ceil', i)} THEN 0 ELSE {between(i)} END AS q{i}"
             for i in range(len(probs))]
-    return near.groupBy("g", "n").agg(*[F.expr(c) for c in cols])
+    return done.selectExpr("*", f"{at} AS at").groupBy("g", "n").agg(*[F.expr(c) for c in cols])
 
 
 def exact_quantiles(df: DataFrame, group: str, value: str, probs=(0.25, 0.5, 0.75)) -> DataFrame:
     """Exact linear-interpolated quantiles per group, distributed; a null group is a group.
 
-    Rows collapse to distinct (group, value) pairs with counts first; only
-    pairs are range-partitioned, and a pair's rank in its group is what stands
-    before it in its partition plus the group's counts in earlier partitions.
+    Selection by counts of value intervals (see ``_quantiles``): ``df`` is read
+    once a round, so one that is costly to compute is best cached or stored.
     Output: group, n, q0, q1, ... (one column per probability).
     """
-    return _quantiles(_value_counts(df, group, value), probs).withColumnRenamed("g", group)
+    return _quantiles(_group_values(df, group, value), probs).withColumnRenamed("g", group)
 
 
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, 1.5*IQR whiskers at observed values, and outlier counts."""
-    counts = _value_counts(df, group, value)
-    q = _quantiles(counts, (0.25, 0.5, 0.75)).selectExpr(
+    rows = _group_values(df, group, value)
+    q = _quantiles(rows, (0.25, 0.5, 0.75)).selectExpr(
         "g", "n", "q0 AS q1", "q1 AS median", "q2 AS q3",
         "q0 - 1.5 * (q2 - q0) AS lo_fence", "q2 + 1.5 * (q2 - q0) AS hi_fence")
-    return join_stats(counts, q, ["g"]).groupBy("g", "n", "q1", "median", "q3").agg(
+    return join_stats(rows, q, ["g"]).groupBy("g", "n", "q1", "median", "q3").agg(
         F.expr("min(CASE WHEN v >= lo_fence THEN v END) AS lower_whisker"),
         F.expr("max(CASE WHEN v <= hi_fence THEN v END) AS upper_whisker"),
-        F.expr("coalesce(sum(CASE WHEN v < lo_fence OR v > hi_fence THEN c END), 0) AS outliers")
+        F.expr("count(CASE WHEN v < lo_fence OR v > hi_fence THEN 1 END) AS outliers")
     ).withColumnRenamed("g", group)
 
 
@@ -180,28 +183,51 @@ def box_outliers(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 # ---- V4 violin -----------------------------------------------------------------
+MOMENTS = 20
+FAR = 9.5  # bandwidths from a box's middle beyond which its kernels are below 1e-17
+
+
 def violin_density(df: DataFrame, group: str, value: str, points: int = VIOLIN_POINTS, cut: float = 2.0) -> DataFrame:
     """Gaussian kernel density per group on a ``points`` grid; a null group is a group.
 
     Bandwidth = sample stddev * n^(-1/5) (Scott's rule); grid spans
-    [min - cut*bw, max + cut*bw].  Distinct values carry their counts as
-    weights, so the grid is evaluated once per distinct value.  A group with
-    one row or without spread has no bandwidth: it gives one row at its value
-    with a null density and ``flat`` set.
+    [min - cut*bw, max + cut*bw].  Fast Gauss transform: values fall into boxes
+    one bandwidth wide, a box keeps the moments sum(exp(-t*t/2) * t^k), k < 20,
+    of its values' distances t from its middle (in bandwidths, |t| <= 1/2), and
+    at a grid point z bandwidths from the middle its kernels sum up to
+    exp(-z*z/2) * sum(z^k / k! * moment k).  What the series leaves out is less
+    than 1e-15 of a kernel's height for each value, and so are points farther
+    than ``FAR``.  Moments add up in each task before the shuffle, and a group
+    has at most as many boxes as its range has bandwidths.
+    A group with one row, without spread or with infinite values has no
+    bandwidth: it gives one row at its least value with a null density and
+    ``flat`` set.
     Output: group, idx, x, density, flat.
     """
-    counts = _value_counts(df, group, value)
-    moments = _numbers(df, value).selectExpr(f"{quote_id(group)} AS g", f"CAST({quote_id(value)} AS DOUBLE) AS v").where("v IS NOT NULL")
-    stats = moments.groupBy("g").agg(F.expr("count(1) AS n"), F.expr("stddev_samp(v) AS sd"), F.expr("min(v) AS lo"),
-                                     F.expr("max(v) AS hi"))
-    flat = stats.where("n = 1 OR NOT sd > 0").selectExpr("g", "0 AS idx", "lo AS x", "CAST(NULL AS DOUBLE) AS density",
-                                                         "true AS flat")
-    grids = (stats.where("n > 1 AND sd > 0").selectExpr("*", "sd * pow(CAST(n AS DOUBLE), -0.2D) AS bw")
-             .selectExpr("g", "n", "bw", f"lo - {cut}D * bw AS start", f"(hi - lo + 2 * {cut}D * bw) / {points - 1} AS step"))
-    joined = join_stats(counts, grids, ["g"])
-    z = "((start + idx * step - v) / bw)"
-    dens = (joined.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-            .groupBy("g", "idx", "n", "bw", "start", "step").agg(F.expr(f"sum(c * exp(-0.5D * {z} * {z})) AS k")))
+    rows = _group_values(df, group, value)
+    stats = rows.groupBy("g").agg(F.expr("count(1) AS n"), F.expr("stddev_samp(v) AS sd"), F.expr("min(v) AS lo"),
+                                  F.expr("max(v) AS hi"))
+    ensure_checkpoint_dir(df.sparkSession)
+    stats = stats.selectExpr("*", "n > 1 AND sd > 0 AND sd < double('Infinity') AS wide").checkpoint(eager=True)
+    flat = stats.where("NOT wide").selectExpr("g", "0 AS idx", "lo AS x", "CAST(NULL AS DOUBLE) AS density", "true AS flat")
+    grids = (stats.where("wide").selectExpr("*", "sd * pow(CAST(n AS DOUBLE), -0.2D) AS bw")
+             .selectExpr("g", "n", "lo", "bw", f"lo - {cut}D * bw AS start", f"(hi - lo + 2 * {cut}D * bw) / {points - 1} AS step"))
+    t = "(v - middle) / bw"
+    boxes = (join_stats(rows, grids, ["g"], known_rows=stats.count())
+             .selectExpr("*", "lo + (floor((v - lo) / bw) + 0.5D) * bw AS middle")
+             .selectExpr("g", "n", "bw", "start", "step", "middle", f"{t} AS t", f"exp(-0.5D * ({t}) * ({t})) AS w")
+             .groupBy("g", "n", "bw", "start", "step", "middle")
+             .agg(*[F.expr(f"sum(w * pow(t, {k}.0D)) AS m{k}") for k in range(MOMENTS)]))
+    near = (boxes.selectExpr("*", f"greatest(0, ceil((middle - {FAR}D * bw - start) / step)) AS a",
+                             f"least({points - 1}, floor((middle + {FAR}D * bw - start) / step)) AS b")
+            .where("a <= b").withColumn("idx", F.expr("explode(sequence(CAST(a AS INT), CAST(b AS INT)))"))
+            .withColumn("z", F.expr("(start + idx * step - middle) / bw")))
+    series = f"m{MOMENTS - 1}"
+    for k in reversed(range(MOMENTS - 1)):
+        series = f"(m{k} + z / {k + 1} * {series})"
+    key = ["g", "n", "bw", "start", "step", "idx"]
+    empty = grids.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select(*key, F.lit(0.0).alias("k"))
+    dens = near.select(*key, F.expr(f"exp(-0.5D * z * z) * {series} AS k")).unionByName(empty).groupBy(*key).agg(F.sum("k").alias("k"))
     return (dens.selectExpr("g", "idx", "start + idx * step AS x", f"k / (n * bw * {math.sqrt(2 * math.pi)!r}D) AS density",
                             "false AS flat")
             .unionByName(flat).withColumnRenamed("g", group))
