@@ -30,6 +30,18 @@ def sql_literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def unused_names(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores before it until no column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def any_missing(columns: list[str], schema: StructType) -> Column:
     """True when any of ``columns`` is null, or not a number in a floating-point
     column.  Built as one SQL expression: each Column-API call is a driver
