@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +26,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planwise.llm.common import table, text_bytes
+from planwise.llm.tokens import word_keys
 
 LENGTH = 2048
 GROUP_BYTES = 8 << 20
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000  # of each of two generations
 END_ID = 1
+BATCH = 1 << 20  # characters of plain texts encoded together
 
 
 # Texts of these characters alone are cut into the tokenizer's words here: white
 # space, printable ASCII but the apostrophe, and the Latin-1 letters.  They have
 # one form under normalisation, and lower-case one by one.
 PLAIN = re.compile(r"[\t\n\x0b\x0c\r -&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
-PIECE = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+# Kinds of their characters after lower-casing: a word is a run of letters, one digit, or a run of others.
+SPACE, LETTER, DIGIT, OTHER = range(4)
+_LATIN = [chr(i) for i in range(256)]
+_KIND = np.array([SPACE if c in " \t\n\x0b\x0c\r" else DIGIT if "0" <= c <= "9" else
+                  LETTER if "a" <= c <= "z" or "\u00df" <= c <= "\u00ff" and c != "\u00f7" else OTHER for c in _LATIN], np.uint8)
+_LOWER = np.array([ord(c.lower()) if PLAIN.fullmatch(c) else i for i, c in enumerate(_LATIN)], np.uint8)
+BREAK = re.compile(r"[ \t\n\x0b\x0c\r]")
 # A tokenizer file is taken word by word only if these come out as from whole texts.
 PROBES = ["It's HERE now, don't  stop.\n\nNext line\tand 12 3a4 $5.60 (x)!", "Straße ÀÉß, naïve café — ½ ﬁ 中文 e\u0301x", " leading and trailing ",
           "MiXeD CASE words-with/joins_and 'quotes' \"double\"", "a", "é", "\x1cb\u200bc 👩\u200d🚀 ok"]
@@ -46,10 +55,14 @@ class WordTokenizer:
     """Ids of texts by a tokenizer that splits at white space and between letters, digits and other characters.
 
     Each distinct word is encoded once while it is remembered.  Plain texts
-    are cut into the tokenizer's own words; of other texts, the runs between
-    ASCII white space are looked up whole; a text that holds the string of a
-    special token goes to the tokenizer as it is.  Any other tokenizer, told
-    by probe texts, gets whole texts.
+    are cut into the tokenizer's own words, about a megabyte at a time as
+    arrays, in which equal words are told by 64-bit keys; of other texts, the
+    runs between ASCII white space are looked up whole; a text that holds the
+    string of a special token goes to the tokenizer as it is.  Any other
+    tokenizer, told by probe texts, gets whole texts.
+
+    Words are remembered in two generations: when the younger is full it
+    becomes the older, and a word found there moves to the younger.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -57,7 +70,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.limit, self.known = cache_words, {}
+        self.limit, self.known, self.older = cache_words, {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -79,31 +92,104 @@ class WordTokenizer:
             else:  # another tokenizer file: one by one
                 self.known.update(zip(part, [x.tobytes() for x in self._ids(part)]))
 
+    def _learn_runs(self, runs: list[bytes]) -> None:
+        for a in range(0, len(runs), 5000):
+            part = runs[a:a + 5000]
+            self.known.update(zip(part, [x.tobytes() for x in self._ids([w.decode() for w in part])]))
+
+    def _recall(self, words: list, learn: Callable[[list], None]) -> list[bytes]:
+        """Ids of distinct words; those not remembered are learnt."""
+        if len(self.known) > self.limit:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        found = list(map(known.get, words))
+        gone = [i for i, x in enumerate(found) if x is None]
+        fresh = []
+        for i in gone:
+            x = older.get(words[i])
+            if x is None:
+                fresh.append(words[i])
+            else:
+                known[words[i]] = x
+        learn(fresh)
+        for i in gone:
+            found[i] = known[words[i]]
+        return found
+
+    def _plain_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain texts, by arrays over all their characters."""
+        data = _LOWER[np.frombuffer("\n".join([*texts, ""]).encode("latin-1"), np.uint8)]
+        kind = _KIND[data]
+        start = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)) + 1
+        start = np.concatenate([[0], start])
+        end = np.concatenate([start[1:], [len(data)]])
+        words = kind[start] != SPACE
+        start, end = start[words], end[words]
+        if not len(start):
+            return [b""] * len(texts)
+        keys = word_keys(data, start, end)
+        order = np.argsort(keys)
+        ordered = keys[order]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        first, which = order[new], np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        lower = data.tobytes().decode("latin-1")
+        found = self._recall([lower[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())], self._learn_words)
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        counts = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], counts) + np.arange(ends[-1])]
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
+        cuts = ends[np.searchsorted(start, bounds)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if self.whole:
             return [x.tobytes() for x in self._ids(texts)]
-        split, plain, runs = [], set(), set()
-        for t in texts:
+        out: list[list[bytes]] = [[] for _ in texts]
+        parts, at, size = [], [], 0
+        runs: dict[int, list[bytes]] = {}
+
+        def flush() -> None:
+            for i, ids in zip(at, self._plain_ids(parts) if parts else ()):
+                out[i].append(ids)
+            parts.clear()
+            at.clear()
+
+        for i, t in enumerate(texts):
             if any(s in t for s in self.special):
-                split.append(None)
+                out[i].append(self._ids([t])[0].tobytes())
             elif PLAIN.fullmatch(t):
-                split.append(PIECE.findall(t.lower()))
-                plain.update(split[-1])
+                for part in _parts(t):
+                    if size + len(part) > BATCH:
+                        flush()
+                        size = 0
+                    parts.append(part)
+                    at.append(i)
+                    size += len(part)
             else:
                 # bytes split at ASCII white space only; other white space stays inside a run and is the tokenizer's
-                split.append(t.encode().split())
-                runs.update(split[-1])
-        if len(self.known) > self.limit:  # go on with the words at hand
-            self.known = {w: self.known[w] for w in plain | runs if w in self.known}
-        known = self.known
-        self._learn_words([w for w in plain if w not in known])
-        fresh = [w for w in runs if w not in known]
-        for a in range(0, len(fresh), 5000):
-            part = fresh[a:a + 5000]
-            known.update(zip(part, [x.tobytes() for x in self._ids([w.decode() for w in part])]))
-        return [self._ids([t])[0].tobytes() if w is None else b"".join(map(known.__getitem__, w))
-                for t, w in zip(texts, split)]
+                runs[i] = t.encode().split()
+        flush()
+        distinct = list(set().union(*runs.values()))
+        ids_of = dict(zip(distinct, self._recall(distinct, self._learn_runs)))
+        for i, found in runs.items():
+            out[i] = [b"".join(map(ids_of.__getitem__, found))]
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A text cut at white space into parts of about ``BATCH`` characters."""
+    a = 0
+    while len(text) - a > BATCH:
+        stop = BREAK.search(text, a + BATCH)
+        if not stop:
+            break
+        yield text[a:stop.start()]
+        a = stop.start()
+    yield text[a:]
 
 
 class Tournament:

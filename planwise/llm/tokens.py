@@ -54,6 +54,14 @@ def chunks(texts: Iterable[bytes], size: int = CHUNK) -> Iterable[list[bytes]]:
         yield held
 
 
+def word_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each of the words ``data[start:end]``."""
+    n = len(data)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * powers(inverse(_BASE), n), out=sums[1:], dtype=np.uint64)
+    return mixed((sums[end] - sums[start]) * powers(_BASE, n)[start])
+
+
 class Tokens:
     """Word positions of a list of texts: ``start``, ``end`` in ``data``, ``first`` word and ``count`` of each text."""
 
@@ -72,10 +80,7 @@ class Tokens:
 
     def keys(self) -> np.ndarray:
         """A 64-bit key for each word."""
-        n = len(self.data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * powers(inverse(_BASE), n), out=sums[1:], dtype=np.uint64)
-        return mixed((sums[self.end] - sums[self.start]) * powers(_BASE, n)[self.start])
+        return word_keys(self.data, self.start, self.end)
 
     def stream(self) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the words of each text joined by one space, then 0xFF; and where each text starts."""
