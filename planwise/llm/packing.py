@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,10 @@ _LATIN = [chr(i) for i in range(256)]
 _KIND = np.array([SPACE if c in " \t\n\x0b\x0c\r" else DIGIT if "0" <= c <= "9" else
                   LETTER if "a" <= c <= "z" or "\u00df" <= c <= "\u00ff" and c != "\u00f7" else OTHER for c in _LATIN], np.uint8)
 _LOWER = np.array([ord(c.lower()) if PLAIN.fullmatch(c) else i for i, c in enumerate(_LATIN)], np.uint8)
+# Byte-level models write each byte as a letter: printable Latin-1 bytes as themselves, the n-th other one as 256 + n.
+_OWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_LETTERS = [chr(i if i in _OWN else 256 + sum(b not in _OWN for b in range(i))) for i in range(256)]
+BYTE_LETTERS = {i: "".join(_LETTERS[b] for b in chr(i).encode()) for i in range(128, 256)}
 BREAK = re.compile(r"[ \t\n\x0b\x0c\r]")
 # A tokenizer file is taken word by word only if these come out as from whole texts.
 PROBES = ["It's HERE now, don't  stop.\n\nNext line\tand 12 3a4 $5.60 (x)!", "Straße ÀÉß, naïve café — ½ ﬁ 中文 e\u0301x", " leading and trailing ",
@@ -71,9 +76,6 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.limit, self.known, self.older = cache_words, {}, {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.whole = False
         self.whole = self.encode(PROBES) != [x.tobytes() for x in self._ids(PROBES)]
 
@@ -81,16 +83,12 @@ class WordTokenizer:
         return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn_words(self, words: list[str]) -> None:
-        """Encode many words in one text; each of them ends with the first id that ends a word."""
-        for a in range(0, len(words), 5000):
-            part = words[a:a + 5000]
-            ids = self._ids([" ".join(part)])[0]
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part):
-                data, cuts = ids.tobytes(), (np.concatenate([[0], stops]) * 4).tolist()
-                self.known.update(zip(part, [data[x:y] for x, y in zip(cuts, cuts[1:])]))
-            else:  # another tokenizer file: one by one
-                self.known.update(zip(part, [x.tobytes() for x in self._ids(part)]))
+        """Encode the tokenizer's own words by its model alone; they need no normalising and no cutting."""
+        tokens = self.tokenizer.model.tokenize
+        ids = [[t.id for t in tokens(w if w.isascii() else w.translate(BYTE_LETTERS))] for w in words]
+        cuts = (np.cumsum([0, *map(len, ids)]) * 4).tolist()
+        data = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        self.known.update(zip(words, [data[a:b] for a, b in zip(cuts, cuts[1:])]))
 
     def _learn_runs(self, runs: list[bytes]) -> None:
         for a in range(0, len(runs), 5000):

@@ -54,6 +54,19 @@ def test_tokenizer_by_words_equals_whole_texts():
     assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_plain_texts_in_parts_and_generations(monkeypatch):
+    rng = random.Random(5)
+    letters = "aZé ß×÷ \t\n\x0b09,.(-'ÀÿÞÐ "
+    texts = ["".join(rng.choice(letters[:rng.randint(2, len(letters))]) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["", " ", "x" * 500, " " * 300, "ab " * 200]
+    want = [x.tobytes() for x in WordTokenizer(public_tokenizer())._ids(texts)]
+    assert WordTokenizer(public_tokenizer()).encode(texts) == want
+    monkeypatch.setattr("planwise.llm.packing.BATCH", 50)
+    few = WordTokenizer(public_tokenizer(), cache_words=100)
+    assert few.encode(texts) == want and few.older
+    assert not few.whole
+
+
 def test_first_fit_equals_a_plain_scan():
     rng = random.Random(3)
     for _ in range(50):
