@@ -317,11 +317,24 @@ def fingerprint(df: DataFrame) -> DataFrame:
     another column or a null to another place unseen.  The count and the sums
     keep repeated rows from cancelling out; layout and partitioning play no part.
     """
+    return with_checksum(df.selectExpr(f"{row_md5(df.columns)} AS _md5").agg(*md5_sums()))
+
+
+def row_md5(columns: list[str]) -> str:
+    """SQL text of the md5 of a row, spelled out column by column."""
     cell = lambda i, c: (f"concat('{i}', coalesce(concat('=', length(CAST({quote_id(c)} AS STRING)), ':', "
                          f"CAST({quote_id(c)} AS STRING)), '-'))")
-    row = "md5(CAST(concat(" + ", ".join(cell(i, c) for i, c in enumerate(df.columns)) + ") AS BINARY))"
-    part = lambda start: f"CAST(conv(substring(_md5, {start}, 15), 16, 10) AS DECIMAL(38, 0))"
-    sums = df.selectExpr(f"{row if df.columns else repr('')} AS _md5").selectExpr(f"{part(1)} AS a", f"{part(16)} AS b").agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("a"), F.lit(0)).cast("string").alias("sum_a"),
-        F.coalesce(F.sum("b"), F.lit(0)).cast("string").alias("sum_b"))
-    return sums.select("*", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), "sum_a", "sum_b"), 256).alias("checksum"))
+    return "md5(CAST(concat(" + ", ".join(cell(i, c) for i, c in enumerate(columns)) + ") AS BINARY))" if columns else "''"
+
+
+def md5_sums(md5: str = "_md5") -> list[Column]:
+    """Aggregates that add up over any parts of a table: the rows, and the sums of two parts of their md5."""
+    part = lambda start: f"sum(CAST(conv(substring({md5}, {start}, 15), 16, 10) AS DECIMAL(38, 0)))"
+    return [F.count(F.lit(1)).alias("rows"),
+            *[F.expr(f"coalesce({part(start)}, 0)").cast("decimal(38,0)").alias(name) for start, name in ((1, "sum_a"), (16, "sum_b"))]]
+
+
+def with_checksum(sums: DataFrame) -> DataFrame:
+    """The sums as text, and one checksum of them."""
+    texts = sums.withColumns({c: F.col(c).cast("string") for c in ("sum_a", "sum_b")})
+    return texts.select("*", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), "sum_a", "sum_b"), 256).alias("checksum"))

@@ -348,3 +348,28 @@ SELECT doc_id, CAST((dense_rank() OVER (ORDER BY doc_id) - 1) % 10 AS INTEGER) A
 def _color_codes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     from planwise.operators.marks import color_codes
     return color_codes(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+# ---------------------------------------------------------------- manifest
+@register("cache_manifest", """
+WITH d AS (SELECT coalesce(lang, '') = 'en' AS first_part, CAST(doc_id AS VARCHAR) AS a, lang AS b, text AS c FROM documents),
+     h AS (SELECT first_part, md5('0' || coalesce('=' || length(a) || ':' || a, '-') || '1' || coalesce('=' || length(b) || ':' || b, '-')
+                                  || '2' || coalesce('=' || length(c) || ':' || c, '-')) AS m FROM d),
+     p AS (SELECT first_part, CAST('0x' || substr(m, 1, 15) AS BIGINT) AS x, CAST('0x' || substr(m, 16, 15) AS BIGINT) AS y FROM h),
+     s AS (SELECT step, count(*) AS rows, sum(x) AS x, sum(y) AS y,
+                  CASE step WHEN 'stored' THEN count(*) WHEN 'again' THEN 0 ELSE count(*) FILTER (NOT first_part) END AS rows_new
+           FROM p, (VALUES ('stored'), ('again'), ('appended')) AS t(step) WHERE first_part OR step = 'appended' GROUP BY step)
+SELECT step, rows_new, rows, sha256(concat_ws(':', rows, x, y)) AS checksum FROM s
+""")
+def _cache_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table stored, looked at again and appended to: only new files are read for its checksum."""
+    from planwise.sources.manifest import table_state
+    path, root = scratch_dir(spark, "manifest-table"), scratch_dir(spark, "manifest")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    first = F.coalesce(F.col("lang"), F.lit("")) == "en"
+    docs.where(first).write.parquet(path)
+    steps = [("stored", table_state(spark, path, root)), ("again", table_state(spark, path, root))]
+    docs.where(~first).write.mode("append").parquet(path)
+    steps.append(("appended", table_state(spark, path, root)))
+    return spark.createDataFrame([(step, t.rows_new, t.rows, t.checksum) for step, t in steps],
+                                 "step string, rows_new bigint, rows bigint, checksum string")
