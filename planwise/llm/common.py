@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 12 << 20
+PORTION_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,6 +119,19 @@ def iter_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator
         yield base | k, pa.Table.from_batches(held)
 
 
+def portions(batches: Iterable[pa.RecordBatch], portion_bytes: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, about ``portion_bytes`` of text at a time, so that what is made of them stays small."""
+    for batch in batches:
+        start, ends = 0, np.cumsum(_weight(batch))
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(int(np.searchsorted(ends, before + portion_bytes, side="right")), start + 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+        del batch
+        release()
+
+
 def release() -> None:
     """Give freed memory back, as workers live on between tasks."""
     pa.default_memory_pool().release_unused()

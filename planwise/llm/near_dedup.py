@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planwise.llm.common import byte_values, mixed, stored, table
+from planwise.llm.common import byte_values, mixed, portions, stored, table
 from planwise.llm.components import components
 from planwise.llm.tokens import Tokens, chunks, inverse, powers, spans
 
@@ -126,7 +126,7 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
     id_type = docs.schema["_id"].dataType.simpleString()
 
     def sign(batches):
-        for batch in batches:
+        for batch in portions(batches):
             rows = pa.Table.from_batches([batch])
             sets = shingle_sets(byte_values(rows["_text"]), width)
             regs = registers(sets)
@@ -144,10 +144,8 @@ def _bands(reps: DataFrame) -> DataFrame:
     id_type = reps.schema["id"].dataType.simpleString()
 
     def cut(batches):
-        for batch in batches:
+        for batch in portions(batches):
             n = batch.num_rows
-            if not n:
-                continue
             regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(n, REGISTERS)
             part = regs[:, :BAND * BANDS].reshape(n, BANDS, BAND).astype(np.uint64)
             keys = np.broadcast_to(mixed(np.arange(1, BANDS + 1, dtype=np.uint64)), (n, BANDS)).copy()
@@ -166,7 +164,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     id_type = docs.schema["_id"].dataType.simpleString()
 
     def build(batches):
-        for batch in batches:
+        for batch in portions(batches):
             rows = pa.Table.from_batches([batch])
             sets = shingle_sets(byte_values(rows["_text"]), width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())],
@@ -185,10 +183,8 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int)
     pair_type = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("a", "b"))
 
     def likely(batches):
-        for b in batches:
+        for b in portions(batches):
             n = b.num_rows
-            if not n:
-                continue
             cols = {name: b.column(i) for i, name in enumerate(b.schema.names)}
             regs = [np.frombuffer(b"".join(cols[c].to_pylist()), np.uint16).reshape(n, REGISTERS) for c in ("r_a", "r_b")]
             n_a, n_b = (cols[c].to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
@@ -197,7 +193,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int)
             yield pa.RecordBatch.from_arrays([cols["a"].filter(keep), cols["b"].filter(keep)], ["a", "b"])
 
     def decide(batches):
-        for b in batches:
+        for b in portions(batches):
             cols = {name: b.column(i) for i, name in enumerate(b.schema.names)}
             linked = []
             for x, y in zip(cols["k_a"].to_pylist(), cols["k_b"].to_pylist()):
@@ -223,7 +219,7 @@ def _prefix_pairs(sets: DataFrame, members: DataFrame, percent: int) -> DataFram
     id_type = members.schema["id"].dataType.simpleString()
 
     def spread(batches):
-        for b in batches:
+        for b in portions(batches):
             for i, data in enumerate(b.column(1).to_pylist()):
                 keys = np.frombuffer(data, np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(keys), i))), pa.array(keys)],

@@ -1,9 +1,13 @@
 import random
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from planwise.llm.near_dedup import near_duplicates, op5_near_dedup
-from planwise.llm.substrings import op8_substring_dedup, remove_repeats
+from planwise.llm.common import portions
+from planwise.llm.near_dedup import _signatures, near_duplicates, op5_near_dedup
+from planwise.llm.substrings import _by_shard, op8_substring_dedup, remove_repeats
 from tests.llm import helpers
 from tests.llm.conftest import SF
 
@@ -87,3 +91,44 @@ def test_drifting_family_without_a_centre(spark):
         text[rng.randrange(80)] = f"u{i}"
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), width=2).collect()}
     assert got == {i: c for i, (_, c) in helpers.near(rows, 2).items()}
+
+
+class _Task:
+    """Stands for a table: what is mapped over it is handed back, to run here."""
+    schema = StructType().add("_id", "long").add("_text", "string")
+
+    def mapInArrow(self, fn, _):
+        return fn
+
+
+def test_signatures_take_memory_by_the_portion_not_by_the_batch():
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(6000)]
+    batch = pa.RecordBatch.from_pydict({"_id": pa.array(range(len(texts)), pa.int64()), "_text": pa.array(texts)})
+    sign = _signatures(_Task(), 2)
+    list(sign(iter([batch.slice(0, 50)])))
+    tracemalloc.start()
+    ids = [i for out in sign(iter([batch])) for i in out.column(0).to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids == list(range(len(texts))) and most < 80e6  # of 14 MB of text; 55 MB, and 150 MB in one piece
+
+
+def test_portions_keep_rows_in_order():
+    batch = pa.RecordBatch.from_pydict({"t": pa.array(["x" * n for n in (10, 0, 5000, 3, 900, 900)] + [None])})
+    got = [p.column(0).to_pylist() for p in portions(iter([batch, batch.slice(2, 1), batch.slice(0, 0)]), 1000)]
+    assert [x for p in got for x in p] == [*batch.column(0).to_pylist(), "x" * 5000]
+    assert all(len(p) == 1 or sum(64 + len(x or "") for x in p) <= 1000 for p in got)
+
+
+def test_windows_by_shard_are_not_held_twice():
+    import numpy as np
+    rng = np.random.default_rng(5)
+    parts = [(rng.integers(0, 500, 1000, dtype=np.uint64), rng.integers(0, 3, 1000).astype(np.uint32)) for _ in range(4)]
+    keys, shard = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    got = _by_shard(parts)
+    assert not parts and sorted(got) == [0, 1, 2]
+    for s, (k, n) in got.items():
+        want = np.unique(keys[shard == s], return_counts=True)
+        assert k.tolist() == want[0].tolist() and n.tolist() == want[1].tolist()
