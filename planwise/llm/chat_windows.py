@@ -28,13 +28,13 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwise.llm.common import table
+from planwise.llm.common import portions, table
 from planwise.llm.packing import WordTokenizer, public_tokenizer
 from planwise.llm.turns import digest, grouped_rows, numbered, per_row, plain_turns
 
@@ -72,16 +72,15 @@ def parse(text: str) -> Iterator[tuple[str, str]]:
 
 
 # ------------------------------------------------------------------ tokens
-def with_tokens(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """``rows`` with the tokens that each turn takes in a window."""
-    names = rows.columns
-    role_at, text_at = names.index("role"), names.index("text")
-
+def with_tokens(tokenizer: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds to batches of turns the tokens that each turn takes in a window."""
     def count(batches):
-        encoder = WordTokenizer(tokenizer)
-        for b in batches:
+        encoder = None
+        for b in portions(batches):
+            encoder = encoder or WordTokenizer(tokenizer)  # a task without rows needs none
+            names = b.schema.names
             sizes, held, chars = [], [], 0
-            for role, text in zip(b.column(role_at).to_pylist(), b.column(text_at).to_pylist()):
+            for role, text in zip(b.column("role").to_pylist(), b.column("text").to_pylist()):
                 held.append(f"{escape(role)}\n{escape(text)}")
                 chars += len(text)
                 if chars >= COUNT_CHARS:
@@ -89,8 +88,7 @@ def with_tokens(rows: DataFrame, tokenizer: str) -> DataFrame:
                     held, chars = [], 0
             sizes += [len(ids) // 4 + MARKS for ids in encoder.encode(held)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes, pa.int64())], [*names, "tokens"])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(count, f"{schema}, tokens bigint")
+    return count
 
 
 # ------------------------------------------------------------------ windows
@@ -175,7 +173,7 @@ def chat_windows(turns: DataFrame, tokenizer: str, budget: int = BUDGET, history
         raise ValueError("a slice must hold more turns than are repeated")
     id_type = turns.schema["conv_id"].dataType.simpleString()
     rows = numbered(turns.select("conv_id", "turn", "role", "text", digest().alias("digest")), "conv_id", ["turn", "role", "digest"],
-                    "chat-turns", lambda sorted_rows: with_tokens(sorted_rows, tokenizer))
+                    "chat-turns", with_tokens(tokenizer), "tokens bigint")
     rows = rows.select("conv_id", (F.col("pos") / slice_turns).cast("bigint").alias("slice"), F.lit(2).alias("kind"), "pos",
                        "role", "text", "tokens")
     place = F.col("pos") % slice_turns

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planwise.llm.common import stored
+from planwise.llm.common import portions, stored
 
 PLACE = ["conv_id", "turn", "role", "digest"]
 
@@ -32,7 +32,7 @@ def plain_turns(turns: DataFrame, null: str = "", conv_id: str = "conv_id", turn
 def grouped_rows(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, bool, dict]]:
     """(key, whether it differs from the row before, row as a dict) of sorted rows, one by one."""
     held = object()
-    for b in batches:
+    for b in portions(batches):
         names = b.schema.names
         at = names.index(key)
         for row in zip(*(c.to_pylist() for c in b.columns)):
@@ -40,23 +40,23 @@ def grouped_rows(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[
             held = row[at]
 
 
-def numbered(rows: DataFrame, key: str, order: list[str], name: str, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def numbered(rows: DataFrame, key: str, order: list[str], name: str, then: Callable | None = None, added: str = "") -> DataFrame:
     """``rows`` with ``pos``, their place from 0 among the rows of their key in order (nulls first).
 
     Rows are range-partitioned by key and order, so a key with any share of the
     rows spreads over many tasks; each task numbers its own runs, and a run that
     goes on from earlier tasks adds their rows.  What is joined back is one
-    number for each task of the sort.  ``then`` may add columns to the sorted
-    rows, in place, before they are stored: it runs once, after the sort's sampling.
+    number for each task of the sort.  ``then`` may map an iterator of a task's
+    sorted batches to batches with the columns ``added`` behind: it runs once, after
+    the sort's sampling and in the worker that numbers the rows.
     """
     by = [F.col(key), *[F.col(c) for c in order]]
     dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
-    dealt = then(dealt) if then else dealt
     names = dealt.columns
 
     def count(batches):
         held, run, at = object(), -1, 0
-        for b in batches:
+        for b in then(batches) if then else batches:
             if not b.num_rows:
                 continue
             runs, places = [], []
@@ -67,8 +67,8 @@ def numbered(rows: DataFrame, key: str, order: list[str], name: str, then: Calla
                 places.append(at)
                 at += 1
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(runs, pa.int64()), pa.array(places, pa.int64())],
-                                             [*names, "_run", "_at"])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
+                                             [*b.schema.names, "_run", "_at"])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema], *([added] if added else [])])
     counted = stored(dealt.mapInArrow(count, f"{schema}, _run bigint, _at bigint"), name)
     ends = counted.groupBy("_part").agg(
         F.min(F.struct("_run", "_at", F.col(key).alias("k"))).alias("first"),

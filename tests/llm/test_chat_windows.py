@@ -107,3 +107,12 @@ def test_escapes_are_reversible():
         assert unescape(escape(text)) == text and "<|" not in escape(text)
         window = shown([("user", text), ("assistant", SAID + text)])
         assert list(parse(window)) == [("user", text), ("assistant", SAID + text)]
+
+
+def test_turns_are_counted_and_numbered_in_one_worker(spark, monkeypatch):
+    mapped = []
+    turns = plain_turns(spark.read.parquet(f"{SF}/conversations.parquet"))
+    plain = type(turns).mapInArrow
+    monkeypatch.setattr(type(turns), "mapInArrow", lambda self, fn, schema: mapped.append(schema) or plain(self, fn, schema))
+    chat_windows(turns, public_tokenizer())
+    assert len(mapped) == 2  # counting apart from numbering would keep two workers a task, each with a tokenizer
