@@ -13,9 +13,11 @@ length class moves them toward its own quantiles as if the language's had the
 weight of ``least`` documents.  A language without such documents has no limit
 on that side, and no other language's.
 
-``train_rows`` bounds the trusted documents that the model is fitted on (those
-with the smallest hashes of their ids, a fifth set aside); all others are
-unseen, and every count, score and quantile else covers all rows.
+The model is fitted on all trusted documents but the fifth set aside by the
+checksum of the id, which is unseen; every other count, score and quantile
+covers all rows.  ``train_rows`` may bound the fitted documents (to those with
+the smallest hashes of their ids; the others are unseen then); by default
+nothing does.
 
 Defined cases: null text is empty; a text without words is rejected; a null
 language is a language of its own; a null label or one for an unknown
@@ -33,12 +35,12 @@ from pyspark.sql import functions as F
 
 from planwise.llm import lookup
 from planwise.llm.bytegrams import suffix_bits, window_sums, windows, with_levels
-from planwise.llm.common import (KeyMap, byte_values, distinct, merged, packed_blocks, per_block, shard_count, stored,
-                                 table, text_bytes, unpack_block)
+from planwise.llm.common import (KeyMap, byte_values, distinct, merged, packed_blocks, per_block, release, shard_count,
+                                 stored, table, text_bytes, unpack_block)
 from planwise.llm.tokens import Tokens, chunks
 
 ORDER = 4
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = None
 QUANTILE = 0.998
 LEAST = 200
 WIDEN = 10  # times the spread from the median to a limit, over the number of documents
@@ -107,6 +109,7 @@ def perplexities(docs: DataFrame, train, text: str, keep: list[str], order: int
     kept_types = [f"{c} {picked.schema[c].dataType.simpleString()}" for c in keep]
 
     def finish(packed: pa.Table, got: pa.Table) -> pa.Table:
+        release()  # what the block before it took
         if not packed.num_rows:
             raise RuntimeError("answers for an unknown block: the input changed between two reads of it")
         rows = unpack_block(packed["data"][0].as_py())
@@ -122,20 +125,34 @@ def perplexities(docs: DataFrame, train, text: str, keep: list[str], order: int
             .applyInArrow(finish, ", ".join([*kept_types, "n_bytes bigint", "log10_p double"])))
 
 
+def _marked(base: DataFrame, fitted: DataFrame) -> DataFrame:
+    """``base`` with ``_fit``, true for the rows whose ``_id`` is in ``fitted`` and else null, without a shuffle of the texts.
+
+    Ids alone are joined; the rows found come back as a bit for each place in the input, 64 places to a broadcast row.
+    """
+    placed = base.withColumn("_place", F.monotonically_increasing_id())
+    bits = (placed.select("_id", "_place").join(fitted, "_id").groupBy(F.shiftright("_place", 6).alias("_word"))
+            .agg(F.expr("bit_or(shiftleft(1L, CAST(_place & 63 AS INT)))").alias("_bits")))
+    fit = F.expr("CASE WHEN shiftright(_bits, CAST(_place & 63 AS INT)) & 1L = 1L THEN true END")
+    return (placed.join(F.broadcast(stored(bits, "kn-fitted-places")), F.shiftright("_place", 6) == F.col("_word"), "left")
+            .select(*base.columns, fit.alias("_fit")))
+
+
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang",
-             order: int = ORDER, train_rows: int = TRAIN_ROWS, quantile: float = QUANTILE, least: int = LEAST) -> DataFrame:
+             order: int = ORDER, train_rows: int | None = TRAIN_ROWS, quantile: float = QUANTILE, least: int = LEAST) -> DataFrame:
     """(doc id, lang, n_bytes, perplexity, lowest, highest, kept) for every row; labels has (doc_id, quality)."""
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
     fold = F.pmod(F.crc32(F.col("_id").cast("string").cast("binary")), F.lit(5)) == 0
-    # the fitted rows are bounded by train_rows, so their ids may be broadcast
-    fitted = stored(trusted.where(~fold).orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
-                    .withColumn("_fit", F.lit(True)), "kn-fitted")
-    base = docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_body"))
-    marked = base.join(F.broadcast(fitted), "_id", "left")
+    fitted = trusted.where(~fold)
+    fitted = stored(fitted if train_rows is None else fitted.orderBy(F.xxhash64("_id"), "_id").limit(train_rows), "kn-fitted")
+    marked = _marked(docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_body")), fitted)
     scored = stored(perplexities(marked, F.col("_fit"), "_body", ["_id", "_lang", "_fit"], order)
                     .withColumn("perplexity", F.pow(F.lit(10.0), -F.col("log10_p") / F.col("n_bytes")))
                     .withColumn("_ln", F.ln("perplexity"))
                     .withColumn("_class", F.least(F.greatest(F.log2("n_bytes").cast("int"), F.lit(4)), F.lit(12))), "kn-scored")
+    known = scored.select("_id", "_fit").join(fitted.withColumn("_is", F.lit(True)), "_id", "left")
+    if not known.where(~F.col("_fit").eqNullSafe(F.col("_is"))).isEmpty():
+        raise RuntimeError("fitted rows were marked wrongly: the input changed between two reads of it")
     good = scored.join(trusted, "_id", "left_semi").where("n_bytes > 1")
     unseen = F.when(F.col("_fit").isNull(), F.col("_ln"))
 

@@ -202,6 +202,17 @@ def test_op6_limits_take_every_trusted_row_that_was_not_fitted(spark, documents)
     assert sum(got[i].kept for i in ids) == len(ids)
 
 
+def test_op6_fits_every_trusted_row_that_is_not_set_aside(spark):
+    text = F.concat_ws(" ", F.lit("word"), (F.col("doc_id") % 97).cast("string"), (F.xxhash64("doc_id") % 1009).cast("string"))
+    docs = spark.range(0, 26_000, 1, 4).withColumnRenamed("id", "doc_id").select("doc_id", text.alias("text"), F.lit("en").alias("lang"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+    whole = quality.perplexities(docs, train, "text", ["doc_id"])
+    want = {r.doc_id: 10 ** (-r.log10_p / r.n_bytes) for r in whole.collect()}
+    got = {r.doc_id: r.perplexity for r in quality.classify(docs, labels).collect()}
+    assert len(got) == 26_000 and got == pytest.approx(want)
+
+
 # ------------------------------------------------------------------ toxicity
 def test_grammar_states():
     lex = Lexicon({"idiot": 3.0, "scumm*": 2.0})
