@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from planwise.dataset import Dataset, DatasetError
 from planwise.operators.profile import inference_aggregates, inference_inputs, inference_rows, type_dataset
-from planwise.sources.records import is_utf8, read_records
+from planwise.sources.records import is_utf8, read_with_row
 
 BLANK = "_blank_line"
 CORRUPT = "_corrupt_record"
@@ -85,8 +85,8 @@ def faulty_rows(spark: SparkSession, path: str, delimiter: str | None = None, en
     ``fault`` is ``ragged``, ``blank`` or ``undecodable``; ``file`` is the path Spark read it from.
     """
     delim = _delimiter(path, delimiter)
-    records, _ = read_records(spark, path, delim, encoding)
-    heads = records.where(F.col("_row") == header_row).select("value").distinct().limit(2).collect()
+    records, _, heads = read_with_row(spark, path, delim, encoding, header_row)
+    heads = heads.select("value").distinct().limit(2).collect()
     ids = [f"f{i + 1}" for i in range(len(_one_header(sorted(r["value"] for r in heads), delim)))]
     schema = ", ".join(f"`{i}` string" for i in ids) + f", `{CORRUPT}` string"
     rows = _parsed(records.where(F.col("_row") > header_row), schema, delim)
@@ -131,8 +131,8 @@ def read_delimited(
     strict = is_utf8(encoding)
     by_record = multiline or header_row > 1
     if by_record:
-        records, unclosed = read_records(spark, path, delim, encoding)
-        heads = records.where(F.col("_row") == header_row).select("value").distinct().limit(2).collect()
+        records, unclosed, heads = read_with_row(spark, path, delim, encoding, header_row)
+        heads = heads.select("value").distinct().limit(2).collect()
         headers = sorted(r["value"] for r in heads)
         if multiline and (open_ := unclosed.first()):
             raise IngestError(f"row {open_['_row']} of {open_['_file'].rsplit('/', 1)[-1]} opens quotes that nothing closes")

@@ -105,3 +105,10 @@ def test_unclosed_quotes_are_named(spark, tmp_dir, small_splits):
         out.write("id,t\n" + "1,x\n" * 200 + '2,"never closed\n' + "3,y\n" * 200)
     with pytest.raises(IngestError, match=r"row 202 of a\.csv opens quotes"):
         read_delimited(spark, tmp_dir, multiline=True)
+
+
+def test_the_first_pass_runs_once(spark, tmp_dir, small_splits):
+    _write(tmp_dir, "a.csv", [["id", "t"], *[[str(i), "line\nline"] for i in range(50)]], "\n")
+    records, _ = read_records(spark, tmp_dir)
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("] text") == 2  # whole and crossing records; the splits' states are stored
