@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from planwise.llm.common import merged, mixed, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
+from planwise.llm.common import merged, mixed, release, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
 
 REQUEST = "block bigint, kind int, shard bigint, n_keys bigint, keys binary, counts binary"
 COUNTED = "kind int, shard bigint, key bigint, n bigint"
@@ -41,6 +41,7 @@ def request_rows(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, sh
 def counted(requests: DataFrame) -> DataFrame:
     """(kind, shard, key, n) for every key asked for; n is its count in training blocks, maybe 0."""
     def count(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        release()  # what the shard before it took
         parts = [(unsqueeze_sorted(k), unsqueeze(c, np.int64))
                  for k, c in zip(rows["keys"].to_pylist(), rows["counts"].to_pylist())]
         keys, n = merged(parts)
@@ -53,6 +54,7 @@ def counted(requests: DataFrame) -> DataFrame:
 def answers(requests: DataFrame, values: DataFrame) -> DataFrame:
     """Values for each request row, in the order of its keys; ``values`` is (kind, shard, key, value double)."""
     def answer(asked: pa.Table, have: pa.Table) -> pa.Table:
+        release()
         keys = have["key"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
         keys, vals = keys[order], have["value"].to_numpy()[order]
