@@ -2,6 +2,7 @@
 
 from planwise.streaming.streams import (
     deadline_sessions,
+    deliver,
     event_stream,
     read_latest,
     run_available,
@@ -9,4 +10,4 @@ from planwise.streaming.streams import (
     tail_terminal,
 )
 
-__all__ = ["deadline_sessions", "event_stream", "read_latest", "run_available", "stream_plan", "tail_terminal"]
+__all__ = ["deadline_sessions", "deliver", "event_stream", "read_latest", "run_available", "stream_plan", "tail_terminal"]

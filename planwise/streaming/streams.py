@@ -44,6 +44,25 @@ def event_stream(spark: SparkSession, directory: str, schema: T.StructType, glob
     return df
 
 
+def deliver(part: DataFrame, folder: str, files: int) -> None:
+    """Append ``part`` to the folder as ``files`` Parquet files, with empty ones for what it has too few rows to fill: a
+    stream that takes ``files`` files per trigger takes each part so delivered as one micro-batch."""
+    spark = part.sparkSession
+
+    def there() -> int:
+        try:
+            return len(spark.read.schema(part.schema).parquet(folder).inputFiles())
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return 0
+
+    wanted = there() + files
+    part.repartition(files).write.mode("append").parquet(folder)
+    for _ in range(wanted - there()):
+        spark.createDataFrame([], part.schema).coalesce(1).write.mode("append").parquet(folder)
+
+
 def tail_terminal(events: DataFrame, status: str, terminal: tuple[str, ...]) -> DataFrame:
     return events.filter(F.col(status).isin(list(terminal)))
 

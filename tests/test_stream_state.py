@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from planwise.session import scratch_dir
-from planwise.streaming import event_stream, run_available
+from planwise.streaming import deliver, event_stream, run_available
 from planwise.streaming.late import read_late, read_plan, run_plan_with_late
 from planwise.streaming.timers import STATE_STORE, deadline_timers
 
@@ -59,6 +59,43 @@ def test_deadlines_fire_once_in_any_order_of_arrival(spark, tmp_dir, rocksdb):
         assert sorted((r.run, r.seq, r.status, r.a - base, r.b - base) for r in got.collect()) == _expired(rows, max(r[3] for r in rows) - 400)
 
 
+def test_many_runs_share_a_bucket_and_its_timer(spark, tmp_dir, rocksdb):
+    rng = random.Random(7)
+    names = [None, *[2**60 + n for n in range(300)]]
+    rows = [(n, rng.choice(names), rng.choice(["queued", "running", "done"]), rng.randrange(3000), 1.0) for n in range(2000)]
+    rows.append((2000, names[1], "done", 9000, 1.0))
+    schema = SCHEMA.replace("run string", "run long")
+    source = f"{tmp_dir}/in"
+    spark.createDataFrame([(s, r, x, T0 + dt.timedelta(seconds=k), v) for s, r, x, k, v in rows], schema).coalesce(1).write.parquet(source)
+    stream = event_stream(spark, source, spark.read.parquet(source).schema, time_col="ts")
+    fired = deadline_timers(stream, "run", "ts", "status", "seq", {"queued": "60s", "running": "150s"}, buckets=4)
+    query = fired.writeStream.format("memory").queryName("shared_timers").trigger(availableNow=True).start()
+    query.awaitTermination()
+    stores = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    assert stores[0]["customMetrics"]["numRegisteredTimers"] <= 4 and stores[0]["numRowsTotal"] <= 4
+    base = int(T0.replace(tzinfo=dt.timezone.utc).timestamp())
+    got = spark.table("shared_timers").select("run", "seq", "status", F.unix_seconds("updated_at").alias("a"), F.unix_seconds("expired_at").alias("b"))
+    named = [(-1 if r is None else r, s, x, a, b) for r, s, x, a, b in _expired_by(rows, 9000)]
+    assert sorted((-1 if r.run is None else r.run, r.seq, r.status, r.a - base, r.b - base) for r in got.collect()) == sorted(named)
+
+
+def _expired_by(rows, now):
+    return [e for run in {r[1] for r in rows} for e in _expired([r for r in rows if r[1] == run], now)]
+
+
+def test_parts_of_any_size_are_micro_batches_of_their_own(spark, tmp_dir):
+    source, out = f"{tmp_dir}/in", f"{tmp_dir}/out"
+    sizes = (1000, 0, 1, 500)
+    for n in sizes:
+        deliver(spark.range(n), source, 4)
+    stream = event_stream(spark, source, spark.range(0).schema, max_files_per_trigger=4)
+    query = (stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").option("path", f"{out}/data")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert [p["numInputRows"] for p in query.recentProgress] == list(sizes)
+    assert spark.read.parquet(f"{out}/data").count() == sum(sizes)
+
+
 def test_late_rows_go_to_their_own_output(spark, tmp_dir):
     source, out = f"{tmp_dir}/in", scratch_dir(spark, "late")
     schema = spark.createDataFrame([], SCHEMA).schema
